@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, toxicity
+from . import mixing, packing, quality, toxicity
 from .shared import crc_mod
 
 
@@ -27,9 +27,45 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model, ["doc_id"]).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = mixing.place(_table(spark, sf_dir, "documents"), ["doc_id"])
+    first = F.coalesce(F.get("copies", F.lit(0))["position"], F.lit(2.0))
+    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda n, c: n + c["words"])
+    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), first.alias("_p")).orderBy("_p").drop("_p")
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+s AS (SELECT skey, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY skey) AS rank FROM d GROUP BY skey),
+w AS (SELECT *, CAST((rank - 1) % 3 + 1 AS DOUBLE) AS w, source_size * 3.0::DOUBLE AS top FROM s),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(top) OVER (ORDER BY top / w, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+              / sum(w) OVER (ORDER BY top / w, skey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT skey, source_size, CASE WHEN top <= w * level THEN top ELSE w * max(CASE WHEN top > w * level THEN level END) OVER () END AS target FROM l),
+p AS (SELECT d.*, t.source_size, CAST(t.target AS DOUBLE) AS target, CAST(round(t.target) AS BIGINT) AS aim,
+             coalesce(sum(size) OVER (PARTITION BY d.skey ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+      FROM d JOIN t ON d.skey = t.skey)
+SELECT doc_id, size, source_size, target,
+       CAST(greatest(0, least(size, aim - s)) + greatest(0, least(size, aim - s - source_size)) + greatest(0, least(size, aim - s - 2 * source_size)) AS BIGINT) AS taken
+FROM p
+"""
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality}
+    return {
+        "op1_toxicity": op1_toxicity,
+        "op2_mixing": op2_mixing,
+        "op3_quality": op3_quality,
+        "op7_packing": op7_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": OP2_SQL}
