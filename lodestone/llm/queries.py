@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, mixing, ngram_join, packing, quality, repeats, toxicity
+from . import embedding_dedup, lm, mixing, ngram_join, packing, quality, repeats, toxicity
 from .shared import crc_mod
 
 
@@ -62,6 +62,13 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    trie = lm.build_trie(docs, crc_mod("doc_id", 7) != 2)
+    scored = lm.score_texts(docs, trie, ["doc_id"])
+    return scored.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(trie.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeats.cut_repeats(_table(spark, sf_dir, "documents"), ["doc_id"])
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -79,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_ngram_join": op6_ngram_join,
         "op7_packing": op7_packing,
         "op8_embedding_dedup": op8_embedding_dedup,
+        "op9_lm_scoring": op9_lm_scoring,
         "op10_suffix_dedup": op10_suffix_dedup,
     }
 
