@@ -51,7 +51,7 @@ def learn_rotation(x: np.ndarray, rounds: int) -> np.ndarray:
     """
     d = x.shape[1]
     rng = np.random.Generator(np.random.PCG64(64))
-    _, _, vt = np.linalg.svd(x, full_matrices=True)
+    vt = np.linalg.eigh(x.T @ x)[1][:, ::-1].T
     parts, left = [], 64
     while left > 0:
         keep = min(d, left, 64)
