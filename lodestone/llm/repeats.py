@@ -10,8 +10,8 @@ independent of each other.
    at least two of them, are equal throughout, their windows repeat; this settles exact copies of
    any number without comparing texts.
 3. The runs left have an anchor that others share with other surroundings. One string of each such
-   run goes to the shard of its anchor, where a suffix array (Larsson-Sadakane) and common prefixes (Kasai)
-   tell which of its windows start elsewhere in the shard.
+   run goes to the shard of its anchor. What it shares there with no other string is cut off; a suffix array (Larsson-Sadakane) and
+   common prefixes (Kasai) tell which of its windows start elsewhere in the shard.
 4. An anchor with more runs than a shard takes is dealt to several shards. Each hands on the sorted
    keys of its distinct windows, cut into ranges; the ranges of all shards are merged by binary search, and the keys
    found in several shards go back to them.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .collide import key_groups
 from .shared import materialise, text_or_empty
-from .suffixes import repeated_starts
+from .suffixes import repeated_around
 
 _STEP = 1 << 20
 #: An odd base and its inverse modulo 2**64 make hashes of equal strings equal wherever they stand.
@@ -136,13 +136,13 @@ def repeated_spans(docs: DataFrame, p: RepeatParams) -> DataFrame:
                 if len(r):
                     shift = blo - off[rlo + r]
                     pick = pa.array(r + rlo)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), pa.array(f.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(lo + shift), pa.array(hi + shift)], names=["id", "th", "f", "whole", "lo", "hi"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), pa.array(f.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(lo + shift), pa.array(hi + shift), pa.array(at - lo)], names=["id", "th", "f", "whole", "lo", "hi", "rel"])
 
-    runs = materialise(docs.select("id", "th", "text").mapInArrow(scan, f"id {kind}, th bigint, f bigint, whole bigint, lo bigint, hi bigint"), "runs")
+    runs = materialise(docs.select("id", "th", "text").mapInArrow(scan, f"id {kind}, th bigint, f bigint, whole bigint, lo bigint, hi bigint, rel bigint"), "runs")
     often = runs.groupBy("f").agg(F.count("*").alias("n"), F.min("whole").alias("w0"), F.max("whole").alias("w1")).where("n > 1").select("f", (F.col("w0") == F.col("w1")).alias("alike"))
     shared = materialise(runs.join(often, "f"), "shared")
     mixed = shared.where("not alike")
-    kinds = materialise(mixed.groupBy("f", "whole").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "lo", "hi")).alias("rep")), "kinds")
+    kinds = materialise(mixed.groupBy("f", "whole").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "lo", "hi", "rel")).alias("rep")), "kinds")
     several = kinds.where("n > 1").select("f", "whole")
     copies = shared.where("alike").select("id", "th", "lo", "hi").union(mixed.join(several, ["f", "whole"], "left_semi").select("id", "th", "lo", "hi"))
     found = copies.select("id", "th", "lo", (F.col("hi") + p.width).alias("hi"))
@@ -154,7 +154,7 @@ def repeated_spans(docs: DataFrame, p: RepeatParams) -> DataFrame:
         return found
     shards = max(1, -(-int(total) // p.shard_bytes))
     wanted = kinds.join(load, "f").select("f", "whole", "n", F.ceil(F.col("kinds") / p.shard_runs).alias("subs"), "rep.*")
-    lists = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("f", "whole", "n", "subs", "lo", "hi")).alias("runs"))
+    lists = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("f", "whole", "n", "subs", "lo", "hi", "rel")).alias("runs"))
     joined = docs.alias("d").join(lists.alias("l"), F.col("d.id").eqNullSafe(F.col("l.id")) & (F.col("d.th") == F.col("l.th"))).select("d.id", "d.th", "d.text", "l.runs").dropDuplicates(["id", "th"])
 
     def cut(batches):
@@ -163,14 +163,14 @@ def repeated_spans(docs: DataFrame, p: RepeatParams) -> DataFrame:
                 data = b.column(2)[k].as_py().encode()
                 got = b.column(3)[k].as_py()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b.column(0)[k]] * len(got), b.schema.field(0).type), pa.array([b.column(1)[k].as_py()] * len(got), pa.int64()), *[pa.array([g[c] for g in got], pa.int64()) for c in ("f", "whole", "n", "subs", "lo", "hi")], pa.array([data[g["lo"] : g["hi"] + p.width] for g in got], pa.binary())],
-                    names=["id", "th", "f", "whole", "n", "subs", "lo", "hi", "bytes"],
+                    [pa.array([b.column(0)[k]] * len(got), b.schema.field(0).type), pa.array([b.column(1)[k].as_py()] * len(got), pa.int64()), *[pa.array([g[c] for g in got], pa.int64()) for c in ("f", "whole", "n", "subs", "lo", "hi", "rel")], pa.array([data[g["lo"] : g["hi"] + p.width] for g in got], pa.binary())],
+                    names=["id", "th", "f", "whole", "n", "subs", "lo", "hi", "rel", "bytes"],
                 )
 
-    strings = joined.mapInArrow(cut, f"id {kind}, th bigint, f bigint, whole bigint, n bigint, subs bigint, lo bigint, hi bigint, bytes binary")
+    strings = joined.mapInArrow(cut, f"id {kind}, th bigint, f bigint, whole bigint, n bigint, subs bigint, lo bigint, hi bigint, rel bigint, bytes binary")
     # shard of an anchor; an anchor of too many runs has shards of its own, numbered below zero
     shard = F.when(F.col("subs") > 1, F.lit(-1) - F.pmod(F.xxhash64("f", F.pmod(F.xxhash64("whole"), "subs")), F.lit(1 << 40))).otherwise(F.pmod(F.xxhash64("f"), F.lit(shards)))
-    strings = materialise(strings.select(shard.cast("long").alias("shard"), "f", "id", "th", "n", "lo", "hi", "bytes"), "strings")
+    strings = materialise(strings.select(shard.cast("long").alias("shard"), "f", "id", "th", "n", "lo", "hi", "rel", "bytes"), "strings")
 
     def windows_of(t: pa.Table, where: list[np.ndarray]):
         """Spans (of single runs) for the window starts that are marked."""
@@ -189,7 +189,7 @@ def repeated_spans(docs: DataFrame, p: RepeatParams) -> DataFrame:
 
     def search(batches):
         for t in key_groups(batches, 1):
-            yield from windows_of(t, repeated_starts(t.column("bytes").to_pylist(), p.width))
+            yield from windows_of(t, repeated_around(t.column("bytes").to_pylist(), t.column("f").to_pylist(), t.column("rel").to_pylist(), p.width))
 
     parts = strings.repartition("shard").sortWithinPartitions("shard")
     found = found.union(parts.mapInArrow(search, f"id {kind}, th bigint, lo bigint, hi bigint"))

@@ -102,3 +102,43 @@ def repeated_starts(strings: list[bytes], width: int) -> list[np.ndarray]:
     found = np.zeros(len(sa), bool)
     found[sa[hit]] = True
     return [found[a : a + max(0, n - width + 1)] for a, n in zip(shard.start, shard.size, strict=True)]
+
+
+def reach(parts: list[bytes], group: list[int], most: int) -> np.ndarray:
+    """For each string the longest prefix, up to ``most``, that it shares with another of its group.
+
+    Among sorted strings the neighbours share the longest prefixes.
+    """
+    out = np.zeros(len(parts), np.int64)
+    order = sorted(range(len(parts)), key=lambda i: (group[i], parts[i]))
+    for lo in range(0, len(order), 2048):
+        at = order[lo : lo + 2049]
+        grid = np.zeros((len(at), most), np.uint8)
+        size = np.array([min(most, len(parts[i])) for i in at])
+        grid[np.arange(most) < size[:, None]] = np.frombuffer(b"".join(parts[i][:most] for i in at), np.uint8)
+        differ = np.concatenate([grid[1:] != grid[:-1], np.ones((len(at) - 1, 1), bool)], axis=1)
+        shared = np.minimum(differ.argmax(axis=1), np.minimum(size[1:], size[:-1]))
+        g = np.array([group[i] for i in at])
+        shared[g[1:] != g[:-1]] = 0
+        at = np.array(at)
+        out[at[:-1]] = np.maximum(out[at[:-1]], shared)
+        out[at[1:]] = np.maximum(out[at[1:]], shared)
+    return out
+
+
+def repeated_around(strings: list[bytes], group: list[int], anchor: list[int], width: int) -> list[np.ndarray]:
+    """As ``repeated_starts``, for windows over an anchor: ``anchor`` is its offset, and equal windows have it at equal offsets in strings of one ``group``.
+
+    What a string shares with any other of its group on either side of the anchor bounds where its
+    repeated windows lie; the rest is cut off before suffixes are sorted.
+    """
+    right = reach([s[a:] for s, a in zip(strings, anchor, strict=True)], group, width)
+    left = reach([s[:a][::-1] for s, a in zip(strings, anchor, strict=True)], group, width)
+    out = [np.zeros(max(0, len(s) - width + 1), bool) for s in strings]
+    live = np.flatnonzero(left + right >= width)
+    if len(live):
+        begin = [anchor[i] - int(left[i]) for i in live]
+        found = repeated_starts([strings[i][b : anchor[i] + int(right[i])] for i, b in zip(live, begin, strict=True)], width)
+        for i, b, mark in zip(live, begin, found, strict=True):
+            out[i][b : b + len(mark)] = mark
+    return out
