@@ -13,7 +13,7 @@ import uuid
 import numpy as np
 
 _ONE = np.uint64(1)
-_SAMPLE = 5  # a position is kept for every 32nd one and zero
+_BLOCK = 4  # words of high bits for which the ones and zeros before them are kept
 
 
 def write_arrays(path: str, arrays: dict[str, np.ndarray], **facts) -> None:
@@ -35,7 +35,7 @@ def write_arrays(path: str, arrays: dict[str, np.ndarray], **facts) -> None:
 
 
 def map_arrays(path: str) -> tuple[dict[str, np.ndarray], dict]:
-    raw = np.memmap(path, np.uint8, "r")
+    raw = np.memmap(path, np.uint8, "r").view(np.ndarray)  # still mapped; plain arrays slice faster
     n = int.from_bytes(raw[:8].tobytes(), "little")
     head = json.loads(raw[8 : 8 + n].tobytes())
     base = -(-(8 + n) // 64) * 64
@@ -49,7 +49,7 @@ def build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     bits = max(0, (universe // max(1, n)).bit_length() - 1)
     top = (universe - 1 >> bits) if universe else 0
     high = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
-    size = n + top + 1
+    size = n + top + 1  # every number's one, and a zero after the numbers of each value of the high bits
     flags = np.zeros(-(-size // 64) * 64, np.uint8)
     flags[high] = 1
     words = np.packbits(flags, bitorder="little").view(np.uint64)
@@ -61,9 +61,11 @@ def build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
         np.bitwise_or.at(low, word, part << shift)
         over = np.flatnonzero(shift + np.uint64(bits) > 64)
         np.bitwise_or.at(low, word[over] + 1, part[over] >> (np.uint64(64) - shift[over]))
-    zeros = np.flatnonzero(flags[:size] == 0)
-    step = 1 << _SAMPLE
-    return {"low": low, "high": np.r_[words, np.zeros(1, np.uint64)], "ones": high[::step].astype(np.int64), "zeros": zeros[::step].astype(np.int64), "meta": np.array([n, bits, top], np.int64)}
+    words = np.r_[words, np.zeros(-len(words) % _BLOCK, np.uint64)]
+    ones = np.r_[0, np.cumsum(np.bitwise_count(words).reshape(-1, _BLOCK).sum(axis=1))]
+    zeros = np.arange(len(ones)) * (64 * _BLOCK) - ones
+    small = np.int32 if len(words) * 64 < 1 << 31 else np.int64
+    return {"low": low, "high": words, "ones": ones.astype(small), "zeros": zeros.astype(small), "meta": np.array([n, bits, top], np.int64)}
 
 
 class EliasFano:
@@ -72,21 +74,17 @@ class EliasFano:
         self.n, self.bits, self.top = (int(x) for x in arrays[prefix + "meta"])
         self.mask = np.uint64((1 << self.bits) - 1)
 
-    def _select(self, k: np.ndarray, samples: np.ndarray, flip: np.uint64) -> np.ndarray:
+    def _select(self, k: np.ndarray, before: np.ndarray, flip: np.uint64) -> np.ndarray:
         """Position of the k-th (from 0) bit that is one, or with ``flip`` of all ones, zero."""
-        at = samples[k >> _SAMPLE]
-        left = k & ((1 << _SAMPLE) - 1)
-        word = at >> 6
-        w = (self.high[word] ^ flip) & (np.uint64(0xFFFFFFFFFFFFFFFF) << (at & 63).astype(np.uint64))
-        count = np.bitwise_count(w).astype(np.int64)
-        go = np.flatnonzero(left >= count)
-        while len(go):
-            left[go] -= count[go]
-            word[go] += 1
-            w[go] = self.high[word[go]] ^ flip
-            count[go] = np.bitwise_count(w[go])
-            go = go[left[go] >= count[go]]
-        pos = word << 6
+        block = np.searchsorted(before, k, "right") - 1
+        left = k - before[block]
+        w = self.high[(block * _BLOCK)[:, None] + np.arange(_BLOCK)] ^ flip
+        upto = np.cumsum(np.bitwise_count(w), axis=1, dtype=np.int16)
+        inside = (upto <= left[:, None]).sum(axis=1)
+        rows = np.arange(len(k))
+        left = left - np.where(inside > 0, upto[rows, inside - 1], 0)
+        pos = (block * _BLOCK + inside) << 6
+        w = w[rows, inside]
         for width in (32, 16, 8, 4, 2, 1):
             c = np.bitwise_count(w & np.uint64((1 << width) - 1)).astype(np.int64)
             up = left >= c
@@ -108,28 +106,46 @@ class EliasFano:
         """The numbers at places ``i``."""
         if not len(i):
             return np.zeros(0, np.uint64)
-        pos = self._select(i.copy(), self.ones, np.uint64(0))
+        pos = self._select(i, self.ones, np.uint64(0))
         return ((pos - i).astype(np.uint64) << np.uint64(self.bits)) | self._low(i)
 
     def find(self, x: np.ndarray) -> np.ndarray:
-        """Place of each number, -1 where it isn't there: successor search within the numbers of equal high bits."""
+        """Place of each number, -1 where it isn't there.
+
+        Numbers of equal high bits stand together; the first of them are looked at one by one, and
+        where there are many the rest is searched by halves.
+        """
         out = np.full(len(x), -1, np.int64)
         h = (x >> np.uint64(self.bits)).astype(np.int64)
         live = np.flatnonzero(h <= self.top)
         if not len(live) or not self.n:
             return out
         h = h[live]
+        want = x[live] & self.mask
+        every = np.uint64(0xFFFFFFFFFFFFFFFF)
         pos = np.zeros(len(h), np.int64)
         later = np.flatnonzero(h > 0)
-        pos[later] = self._select(h[later] - 1, self.zeros, np.uint64(0xFFFFFFFFFFFFFFFF)) + 1
-        i = pos - h
-        want = x[live] & self.mask
+        pos[later] = self._select(h[later] - 1, self.zeros, every) + 1
+        lo = pos - h
+        for _ in range(3):
+            on = np.flatnonzero((self.high[pos >> 6] >> (pos & 63).astype(np.uint64)) & _ONE)
+            live, pos, lo, want, h = live[on], pos[on], lo[on], want[on], h[on]
+            got = self._low(lo)
+            hit = got == want
+            out[live[hit]] = lo[hit]
+            go = np.flatnonzero(got < want)
+            live, pos, lo, want, h = live[go], pos[go] + 1, lo[go] + 1, want[go], h[go]
+            if not len(live):
+                return out
+        hi = self._select(h, self.zeros, every) - h
         while len(live):
-            on = (self.high[pos >> 6] >> (pos & 63).astype(np.uint64)) & _ONE == 1
-            live, pos, i, want = live[on], pos[on], i[on], want[on]
-            got = self._low(i)
+            go = np.flatnonzero(lo < hi)
+            live, lo, hi, want = live[go], lo[go], hi[go], want[go]
+            mid = (lo + hi) >> 1
+            got = self._low(mid)
             hit = got == want
-            out[live[hit]] = i[hit]
-            go = got < want
-            live, pos, i, want = live[go], pos[go] + 1, i[go] + 1, want[go]
+            out[live[hit]] = mid[hit]
+            less = got < want
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+            lo = np.where(hit, hi, lo)
         return out
