@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, lm, mixing, ngram_join, packing, quality, repeats, toxicity
+from . import ann, embedding_dedup, lm, mixing, ngram_join, packing, quality, repeats, toxicity, training_order
 from .shared import crc_mod
 
 
@@ -54,6 +54,10 @@ FROM p
 """
 
 
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.materialise_order(_table(spark, sf_dir, "documents"))
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -87,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_mixing": op2_mixing,
         "op3_quality": op3_quality,
+        "op4_training_order": op4_training_order,
         "op5_ann": op5_ann,
         "op6_ngram_join": op6_ngram_join,
         "op7_packing": op7_packing,
