@@ -128,8 +128,21 @@ def near_duplicates(documents: DataFrame, params: JoinParams = JoinParams(), id_
 
     ``n_links`` counts the other rows of similarity at or above the threshold, copies included;
     ``component_id`` is the smallest id that is reachable over links; ``kept`` marks the row that
-    stands for its group (of repeated rows with that id all are marked). Null ids are allowed and sort first.
+    stands for its group (of repeated equal rows all are marked). Null ids are allowed and sort first.
     """
+    return _flagged(documents, params, id_col, text_col).select(F.col("id").alias(id_col), "n_links", "component_id", "kept")
+
+
+def drop_near_duplicates(documents: DataFrame, params: JoinParams = JoinParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, with all columns of ``documents``; rows equal in id and text count as one."""
+    stay = _flagged(documents, params, id_col, text_col).where("kept").select(F.col("id").alias("_id"), F.col("th").alias("_kept")).distinct()
+    docs = documents.withColumn("_th", F.xxhash64(text_or_empty(text_col)))
+    joined = docs.join(stay, docs[id_col].eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_kept")), "left_semi")
+    return joined.dropDuplicates([id_col, "_th"]).select(*documents.columns)
+
+
+def _flagged(documents: DataFrame, params: JoinParams, id_col: str, text_col: str) -> DataFrame:
+    """``id, th`` (hash of the text), ``n_links, component_id, kept`` for each row."""
     bands, rows = choose_bands(params.threshold, params.recall, params.most_hashes)
     n, threshold = params.n, params.threshold
     docs = documents.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
@@ -193,13 +206,14 @@ def near_duplicates(documents: DataFrame, params: JoinParams = JoinParams(), id_
     groups = connected_components(found.select(F.col("fp").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "fp")
     links = found.groupBy("fp").agg(F.sum("links").alias("links"))
     info = classes.select("fp", "rep", "copies").join(links, "fp", "left").join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    heads = info.groupBy("component").agg(F.min(F.struct(F.col("rep.id").alias("id"), F.col("fp"))).alias("head"))
+    heads = info.groupBy("component").agg(F.min(F.struct(F.col("rep.id").alias("id"), F.col("fp"), F.col("rep.th").alias("th"))).alias("head"))
     info = info.join(heads, "component").select("fp", "head", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"))
-    out = signed.select("id", "fp").join(info, "fp", "left")
+    out = signed.select("id", "th", "fp").join(info, "fp", "left")
     own = F.col("fp").isNull()
     return out.select(
-        F.col("id").alias(id_col),
+        "id",
+        "th",
         F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
         F.when(own, F.col("id")).otherwise(F.col("head.id")).alias("component_id"),
-        (own | (F.col("id").eqNullSafe(F.col("head.id")) & (F.col("fp") == F.col("head.fp")))).alias("kept"),
+        (own | (F.col("id").eqNullSafe(F.col("head.id")) & (F.col("fp") == F.col("head.fp")) & (F.col("th") == F.col("head.th")))).alias("kept"),
     )

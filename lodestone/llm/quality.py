@@ -197,14 +197,17 @@ def score_quality(documents: DataFrame, model: bytes | None, carry: list[str], t
     in ``carry`` are not read, so clashing names do no harm.
     """
     blob = documents.sparkSession.sparkContext.broadcast(model)
-    kept = documents.select(*carry, F.col(text_col).cast("string").alias("_text"))
-    out = ", ".join([*(f"`{c}` {t}" for c, t in kept.dtypes[:-1]), "score double"])
+    # a text that is carried anyway goes to Python once
+    extra = [] if text_col in carry else [F.col(text_col).cast("string").alias("_text")]
+    kept = documents.select(*carry, *extra)
+    at, n = (len(carry), len(carry)) if extra else (carry.index(text_col), len(carry))
+    out = ", ".join([*(f"`{c}` {t}" for c, t in kept.dtypes[:n]), "score double"])
 
     def run(batches):
         score = Scorer(blob.value)
         for b in batches:
-            buf, off = tk.utf8(b.column(b.num_columns - 1))
+            buf, off = tk.utf8(b.column(at))
             got = [score(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) for lo, hi in tk.slices(off)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(got) if got else np.zeros(0))], names=[*carry, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(np.concatenate(got) if got else np.zeros(0))], names=[*carry, "score"])
 
     return kept.mapInArrow(run, out).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

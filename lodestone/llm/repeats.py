@@ -295,7 +295,7 @@ def without_repeats(documents: DataFrame, params: RepeatParams = RepeatParams(),
     def decode(b):
         return b.map(lambda v: bytes(v).decode(errors="ignore"))
 
-    out = cut.withColumn(text_col, F.when(F.col("n_removed") > 0, decode("kept")).otherwise(F.decode("kept", F.lit("utf-8"))))
+    out = cut.withColumn(text_col, F.when(F.col("n_removed") > 0, decode("kept")).otherwise(F.decode("kept", "utf-8")))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length(text_col).cast(dict(documents.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return out.select(*columns)
