@@ -68,6 +68,23 @@ def build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     return {"low": low, "high": words, "ones": ones.astype(small), "zeros": zeros.astype(small), "meta": np.array([n, bits, top], np.int64)}
 
 
+#: Position of the k-th one of a byte, at 8 * byte + k.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.int64).reshape(-1)
+_EACH = np.uint64(0x0101010101010101)
+
+
+def _select_in_word(w: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Position of the k-th one of each word: sums over its bytes side by side, then a table for the byte."""
+    u = np.uint64
+    x = w - ((w >> u(1)) & u(0x5555555555555555))
+    x = (x & u(0x3333333333333333)) + ((x >> u(2)) & u(0x3333333333333333))
+    upto = ((x + (x >> u(4))) & u(0x0F0F0F0F0F0F0F0F)) * _EACH
+    full = ((k * _EACH | u(0x8080808080808080)) - upto) & u(0x8080808080808080)
+    shift = np.bitwise_count(full).astype(np.uint64) << u(3)
+    rest = k - ((upto << u(8)) >> shift & u(255))
+    return shift.astype(np.int64) + _IN_BYTE[((w >> shift & u(255)) << u(3) | rest).astype(np.int64)]
+
+
 class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray], prefix: str = ""):
         self.low, self.high, self.ones, self.zeros = (arrays[prefix + k] for k in ("low", "high", "ones", "zeros"))
@@ -78,20 +95,15 @@ class EliasFano:
         """Position of the k-th (from 0) bit that is one, or with ``flip`` of all ones, zero."""
         block = np.searchsorted(before, k, "right") - 1
         left = k - before[block]
-        w = self.high[(block * _BLOCK)[:, None] + np.arange(_BLOCK)] ^ flip
-        upto = np.cumsum(np.bitwise_count(w), axis=1, dtype=np.int16)
-        inside = (upto <= left[:, None]).sum(axis=1)
-        rows = np.arange(len(k))
-        left = left - np.where(inside > 0, upto[rows, inside - 1], 0)
-        pos = (block * _BLOCK + inside) << 6
-        w = w[rows, inside]
-        for width in (32, 16, 8, 4, 2, 1):
-            c = np.bitwise_count(w & np.uint64((1 << width) - 1)).astype(np.int64)
-            up = left >= c
-            left -= np.where(up, c, 0)
-            w = np.where(up, w >> np.uint64(width), w)
-            pos += np.where(up, width, 0)
-        return pos
+        word = block * _BLOCK
+        w = self.high[word] ^ flip
+        for _ in range(_BLOCK - 1):
+            count = np.bitwise_count(w).astype(np.int64)
+            on = left >= count
+            left -= count * on
+            word += on
+            w = self.high[word] ^ flip
+        return (word << 6) + _select_in_word(w, left.astype(np.uint64))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:

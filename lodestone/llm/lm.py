@@ -94,7 +94,7 @@ def _merged(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         counts.append(_unpacked(c, np.uint32, n))
     key, count = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
     del keys, counts
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key, count = key[order], count[order]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     return key[first], np.add.reduceat(count, first)
@@ -150,7 +150,8 @@ class Level:
         return self.open[s]
 
     def _by_shard(self, shard: np.ndarray):
-        order = np.argsort(shard, kind="stable")
+        sorted_ = len(shard) < 2 or bool((shard[1:] >= shard[:-1]).all())
+        order = np.arange(len(shard)) if sorted_ else np.argsort(shard, kind="stable")
         cut = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0, True]) if len(shard) else []
         for a, b in zip(cut, cut[1:], strict=False):
             s = int(shard[order[a]])
@@ -190,37 +191,42 @@ class Model:
         self.level2 = Level(t.folder, "l2", t.bounds2, t.bases2)
         self.level3 = Level(t.folder, "l3", t.bounds3, t.bases3) if t.bounds3 is not None else None
 
-    def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Id (-1: unknown) and count of each token."""
+    def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct ids (-1: unknown; the beginning of a text last) with their counts, and the place of each token among them."""
         own, back = np.unique(hashes, return_inverse=True)
         place, count = self.level1.find(own, "count")
-        return place[back], count[back]
+        return np.r_[place, self.t.words], np.r_[count, self.t.documents], back
+
+    @staticmethod
+    def contexts(back: np.ndarray, first: np.ndarray, beginning: int) -> np.ndarray:
+        """The place, among the distinct ids, of the token before each token."""
+        out = np.r_[0, back[:-1]]
+        out[first] = beginning
+        return out
 
     def key2(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         return v.astype(np.uint64) * np.uint64(self.width) + w.astype(np.uint64)
 
-    def pairs(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of pairs of ids (-1: unknown): place in level 2 (-1: absent), code, and place relative to the first child of ``v``."""
-        place, code, rel = np.full(len(v), -1, np.int64), np.zeros(len(v), np.int64), np.full(len(v), -1, np.int64)
+    def starts2(self, ident: np.ndarray) -> np.ndarray:
+        """Where the children of each id begin in level 2; of unknown ids, 0."""
+        out = np.zeros(len(ident), np.int64)
+        at = np.flatnonzero(ident >= 0)
+        out[at] = self.level2.start(ident[at], self.key2(ident[at], np.zeros(len(at), np.int64)))
+        return out
+
+    def pairs(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs of ids (-1: unknown): place in level 2 (-1: absent) and code."""
+        place, code = np.full(len(v), -1, np.int64), np.zeros(len(v), np.int64)
         at = np.flatnonzero((v >= 0) & (w >= 0))
         if len(at):
             keys, back = np.unique(self.key2(v[at], w[at]), return_inverse=True)
             p, c = self.level2.find(keys)
-            r = p.copy()
-            there = np.flatnonzero(p >= 0)
-            parents, whose = np.unique((keys[there] // np.uint64(self.width)).astype(np.int64), return_inverse=True)
-            r[there] -= self.level2.start(parents, self.key2(parents, np.zeros(len(parents), np.int64)))[whose]
-            place[at], code[at], rel[at] = p[back], c[back], r[back]
-        return place, code, rel
+            place[at], code[at] = p[back], c[back]
+        return place, code
 
     def key3(self, node: np.ndarray, rel: np.ndarray) -> np.ndarray:
         return (node.astype(np.uint64) << np.uint64(self.t.degree_bits)) | rel.astype(np.uint64)
 
-    def successors2(self, v: np.ndarray) -> np.ndarray:
-        own, back = np.unique(v, return_inverse=True)
-        zero = np.zeros(len(own), np.int64)
-        return (self.level2.start(own + 1, self.key2(own + 1, zero)) - self.level2.start(own, self.key2(own, zero)))[back]
-
     def successors3(self, node: np.ndarray) -> np.ndarray:
         own, back = np.unique(node, return_inverse=True)
         zero = np.zeros(len(own), np.int64)
@@ -229,21 +235,22 @@ class Model:
     def score(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of a stream of texts' tokens (``first`` marks where a text begins): known, base log10 and model log10 of each."""
         t, d = self.t, self.t.discount
-        ident, count = self.ids(hashes)
+        own, often1, back = self.ids(hashes)
+        before1 = self.contexts(back, first, len(own) - 1)
+        ident, count = own[back], often1[back]
         known = ident >= 0
         p = (count + 1) / (t.tokens + t.words + 1)
         base = np.log10(p)
-        context = np.r_[np.int64(-1), ident[:-1]]
-        context[first] = t.words
-        total = np.r_[np.int64(0), count[:-1]].astype(float)
-        total[first] = t.documents
-        place, code, rel = self.pairs(context, ident)
+        context, total = own[before1], often1[before1].astype(float)
+        place, code = self.pairs(context, ident)
+        begin = self.starts2(own)
+        follow = self.starts2(np.where(own >= 0, own + 1, -1)) - begin
         seen = np.flatnonzero((context >= 0) & (total > 0))
         p2 = p.copy()
-        if len(seen):
-            p2[seen] = DECODED[code[seen]] + d * self.successors2(context[seen]) / total[seen] * p[seen]
+        p2[seen] = DECODED[code[seen]] + d * follow[before1[seen]] / total[seen] * p[seen]
         if self.level3 is None:
             return known, base, np.log10(p2)
+        rel = np.where(place >= 0, place - begin[before1], -1)
         # the pair before each token: its place, and its count from its code
         before = np.r_[np.int64(-1), place[:-1]]
         before[first] = -1
@@ -347,10 +354,8 @@ def build_trie(documents: DataFrame, training: Column, params: LmParams = LmPara
         m, c = Model(trie), Counter(bounds2)
         for b in batches:
             for _, _, h, first, _ in _streams(b.column(0)):
-                ident = m.ids(h)[0]
-                before = np.r_[np.int64(0), ident[:-1]]
-                before[first] = words
-                yield from c.add(m.key2(before, ident))
+                own, _, back = m.ids(h)
+                yield from c.add(m.key2(own[m.contexts(back, first, len(own) - 1)], own[back]))
         yield from c.flush()
 
     def write_pairs(batches):
@@ -402,14 +407,13 @@ def build_trie(documents: DataFrame, training: Column, params: LmParams = LmPara
         m, c = Model(trie2), Counter(bounds3)
         for b in batches:
             for _, _, h, first, _ in _streams(b.column(0)):
-                ident = m.ids(h)[0]
-                before = np.r_[np.int64(0), ident[:-1]]
-                before[first] = words
-                place, _, rel = m.pairs(before, ident)
+                own, _, back = m.ids(h)
+                before = m.contexts(back, first, len(own) - 1)
+                place, _ = m.pairs(own[before], own[back])
                 node = np.r_[np.int64(-1), place[:-1]]
                 node[first] = -1
                 at = np.flatnonzero(node >= 0)
-                yield from c.add(m.key3(node[at], rel[at]))
+                yield from c.add(m.key3(node[at], place[at] - m.starts2(own)[before[at]]))
         yield from c.flush()
 
     def write_triples(batches):
