@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .collide import key_groups
 from .embedding_dedup import usable
-from .shared import materialise
+from .shared import materialise, tidy
 
 
 @dataclass(frozen=True)
@@ -201,13 +201,13 @@ def nearest(vectors: DataFrame, is_query: Column, params: AnnParams = AnnParams(
 
         return run
 
-    postings = distinct.select("node", "v", "ids").mapInArrow(assign(False), "list bigint, node bigint, v array<double>, ids array<bigint>")
+    postings = distinct.select("node", "v", "ids").mapInArrow(tidy(assign(False)), "list bigint, node bigint, v array<double>, ids array<bigint>")
     postings = materialise(postings, "postings")
     sizes = postings.groupBy("list").agg(F.count("*").alias("n"))
     asked = materialise(rows.where("q").select("node", "v").distinct(), "asked")
 
     def searched(asked: DataFrame, all_lists: bool) -> DataFrame:
-        probes = materialise(asked.select("node", "v").mapInArrow(assign(True, all_lists), "list bigint, node bigint, v array<double>"), "probes")
+        probes = materialise(asked.select("node", "v").mapInArrow(tidy(assign(True, all_lists)), "list bigint, node bigint, v array<double>"), "probes")
         # one row a list: at most ``most_lists``, and one for each rare dimension
         plan = sizes.join(probes.groupBy("list").agg(F.count("*").alias("m")), "list").select("list", F.ceil(F.col("n") / p.block).alias("blocks"), F.ceil(F.col("m") / p.block_queries).alias("parts"))
         own = postings.join(plan, "list").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), "blocks")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
@@ -270,8 +270,8 @@ def nearest(vectors: DataFrame, is_query: Column, params: AnnParams = AnnParams(
                     yield pa.RecordBatch.from_arrays([pa.array([t.column("node")[at[0]].as_py()]), v.slice(at[0], 1), pa.array([[c for _, c in flat]], pa.list_(pa.int64())), pa.array([[-s for s, _ in flat]], pa.list_(pa.float64()))], names=["node", "v", "ids", "scores"])
 
         keys = ["list", "block", "part"]
-        hits = both.repartition(*keys).sortWithinPartitions(*keys, "kind").mapInArrow(scan, "node bigint, v array<double>, ids array<bigint>, scores array<double>")
-        return hits.repartition("node").sortWithinPartitions("node").mapInArrow(merge, "node bigint, v array<double>, ids array<bigint>, scores array<double>")
+        hits = both.repartition(*keys).sortWithinPartitions(*keys, "kind").mapInArrow(tidy(scan), "node bigint, v array<double>, ids array<bigint>, scores array<double>")
+        return hits.repartition("node").sortWithinPartitions("node").mapInArrow(tidy(merge), "node bigint, v array<double>, ids array<bigint>, scores array<double>")
 
     found = materialise(searched(asked, False), "found")
     if lists > 1:

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from .shared import tidy
 
 BLOCK = 512
 #: Groups of more items than this skip the search for canonical partners; all of their items go on.
@@ -75,7 +76,7 @@ def with_partner(keyed: DataFrame, item: str, canonical: Callable[[np.ndarray, n
                 yield from t.filter(pa.array(hit)).to_batches()
 
     rows = keyed.select(*columns).repartition("key").sortWithinPartitions("key")
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(tidy(run), rows.schema)
 
 
 def signatures(column, width: int) -> np.ndarray:
@@ -135,4 +136,4 @@ def compare_blocks(members: DataFrame, item: str, width: int, canonical: Callabl
                 yield pa.RecordBatch.from_arrays([pa.array([items[i] for i in at], pa.binary()), pa.array(total[at].astype(np.int64)), pa.array([items[root[i]] for i in at], pa.binary())], names=[item, "links", "root"])
 
     keys = ["key", "_lo", "_hi"]
-    return m.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"{item} binary, links bigint, root binary")
+    return m.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(run), f"{item} binary, links bigint, root binary")

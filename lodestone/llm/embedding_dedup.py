@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .collide import colliding, compare_blocks, with_partner
-from .shared import connected_components, materialise
+from .shared import connected_components, materialise, tidy
 
 TABLES = tuple(combinations(range(8), 2))
 
@@ -129,14 +129,14 @@ def near_duplicates(vectors: DataFrame, params: ItqParams = ItqParams(), id_col:
             sig = pa.array([c.tobytes() for c in own.reshape(-1, 1)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(len(TABLES), dtype=np.int32), n)), b.column(0).take(pick), sig.take(pick)], names=["key", "pos", "node", "signature"])
 
-    keyed = materialise(classes.select("node", "label", "v").mapInArrow(table_keys, "key bigint, pos int, node binary, signature binary"), "keyed")
+    keyed = materialise(classes.select("node", "label", "v").mapInArrow(tidy(table_keys), "key bigint, pos int, node binary, signature binary"), "keyed")
     wanted = materialise(with_partner(colliding(keyed), "node", first_table, "signature", 1), "wanted")
 
     def payload(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.array(v, np.float64).tobytes() for v in b.column(2).to_pylist()], pa.binary())], names=["node", "copies", "payload"])
 
-    packed = classes.select("node", "copies", "v").join(wanted.select("node").distinct(), "node", "left_semi").mapInArrow(payload, "node binary, copies bigint, payload binary")
+    packed = classes.select("node", "copies", "v").join(wanted.select("node").distinct(), "node", "left_semi").mapInArrow(tidy(payload), "node binary, copies bigint, payload binary")
     members = wanted.join(packed, "node").select("key", "pos", "node", "signature", "copies", "payload")
     found = materialise(compare_blocks(members, "node", 1, first_table, lambda p: near_vectors(p, threshold)), "links")
     groups = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "node")

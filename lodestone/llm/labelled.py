@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from .shared import tidy
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, training: Column, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,5 +44,5 @@ def train_in_one_task(sample: DataFrame, fit) -> bytes | None:
 
             yield pa.RecordBatch.from_pydict({"model": pa.array([fit([r[1] for r in rows], [r[2] for r in rows])], pa.binary())})
 
-    got = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    got = sample.repartition(1).mapInArrow(tidy(run), "model binary").collect()
     return bytes(got[0]["model"]) if got else None

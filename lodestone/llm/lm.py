@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .collide import key_groups
 from .eliasfano import EliasFano, build, map_arrays, write_arrays
-from .shared import scratch_path, text_or_empty
+from .shared import scratch_path, text_or_empty, tidy
 
 END = tk.mix(np.array([0xE17D], np.uint64))[0]
 #: Texts are taken in slices of this many bytes; longer slices repeat more words and search more cheaply.
@@ -330,7 +330,7 @@ def build_trie(documents: DataFrame, training: Column, params: LmParams = LmPara
     def dealt(counted: DataFrame) -> DataFrame:
         return counted.repartition("shard").sortWithinPartitions("shard")
 
-    facts = {r["s"]: r for r in dealt(texts.mapInArrow(count_words, _COUNTED)).mapInArrow(write_words, "s bigint, n bigint, tokens bigint, ends bigint, cuts array<bigint>, heavy array<bigint>, load array<bigint>").collect()}
+    facts = {r["s"]: r for r in dealt(texts.mapInArrow(tidy(count_words), _COUNTED)).mapInArrow(tidy(write_words), "s bigint, n bigint, tokens bigint, ends bigint, cuts array<bigint>, heavy array<bigint>, load array<bigint>").collect()}
     bases = np.r_[0, np.cumsum([facts[s]["n"] if s in facts else 0 for s in range(ranges)])]
     words, tokens, docs = int(bases[-1]), sum(r["tokens"] for r in facts.values()), sum(r["ends"] for r in facts.values())
     width = words + 1
@@ -378,7 +378,7 @@ def build_trie(documents: DataFrame, training: Column, params: LmParams = LmPara
             degree = np.diff(begin)
             yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([len(keys)]), pa.array([lo]), pa.array([hi]), pa.array([int(degree[0])]), pa.array([int(degree[-1])]), pa.array([int(degree.max())]), pa.array([np.flatnonzero(np.diff(step, prepend=0) > 0) + 1], pa.list_(pa.int64())), pa.array([heavy], pa.list_(pa.int64())), pa.array([ahead[heavy]], pa.list_(pa.int64()))], names=["s", "n", "lo", "hi", "dlo", "dhi", "dmax", "cuts", "heavy", "load"])
 
-    facts = {r["s"]: r for r in dealt(texts.mapInArrow(count_pairs, _COUNTED)).mapInArrow(write_pairs, "s bigint, n bigint, lo bigint, hi bigint, dlo bigint, dhi bigint, dmax bigint, cuts array<bigint>, heavy array<bigint>, load array<bigint>").collect()} if words else {}
+    facts = {r["s"]: r for r in dealt(texts.mapInArrow(tidy(count_pairs), _COUNTED)).mapInArrow(tidy(write_pairs), "s bigint, n bigint, lo bigint, hi bigint, dlo bigint, dhi bigint, dmax bigint, cuts array<bigint>, heavy array<bigint>, load array<bigint>").collect()} if words else {}
     bases2 = np.r_[0, np.cumsum([facts[s]["n"] if s in facts else 0 for s in range(len(bounds2) + 1)])]
     # a parent whose children lie in several shards is the first or last of each
     edge: dict[int, int] = {}
@@ -430,7 +430,7 @@ def build_trie(documents: DataFrame, training: Column, params: LmParams = LmPara
             write_arrays(f"{folder}/l3-{s}", {**{f"k_{k}": v for k, v in build(keys, universe).items()}, **{f"p_{k}": v for k, v in build(begin, len(keys) + 1).items()}, "code": encode_probability((counts - d) / total)}, parent=lo)
             yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([len(keys)])], names=["s", "n"])
 
-    facts3 = {r["s"]: r["n"] for r in dealt(texts.mapInArrow(count_triples, _COUNTED)).mapInArrow(write_triples, "s bigint, n bigint").collect()}
+    facts3 = {r["s"]: r["n"] for r in dealt(texts.mapInArrow(tidy(count_triples), _COUNTED)).mapInArrow(tidy(write_triples), "s bigint, n bigint").collect()}
     bases3 = np.r_[0, np.cumsum([facts3.get(s, 0) for s in range(len(bounds3) + 1)])]
     return Trie(folder, tokens, words, docs, d, trie.vocabulary, bounds2, bases2, bits, bounds3, bases3)
 
@@ -477,4 +477,4 @@ def score_texts(documents: DataFrame, trie: Trie, carry: list[str], text_col: st
                     c.append(np.add.reduceat(x, first) if len(first) else x[:0])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(np.concatenate(c) if c else np.zeros(0, np.int64 if i < 2 else float)) for i, c in enumerate(cols)]], names=[*carry, "n_tokens", "n_known", "base_score", "score"])
 
-    return kept.mapInArrow(run, out)
+    return kept.mapInArrow(tidy(run), out)

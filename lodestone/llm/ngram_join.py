@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .collide import colliding, compare_blocks, with_partner
-from .shared import connected_components, materialise, text_or_empty
+from .shared import connected_components, materialise, text_or_empty, tidy
 
 
 @dataclass(frozen=True)
@@ -178,7 +178,7 @@ def _flagged(documents: DataFrame, params: JoinParams, id_col: str, text_col: st
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())], names=["id", "th", "fp", "signature"])
 
     kind = dict(docs.dtypes)["id"]
-    signed = materialise(docs.select("id", "th", "text").mapInArrow(sign, f"id {kind}, th bigint, fp binary, signature binary"), "signed")
+    signed = materialise(docs.select("id", "th", "text").mapInArrow(tidy(sign), f"id {kind}, th bigint, fp binary, signature binary"), "signed")
     classes = materialise(signed.where("fp is not null").groupBy("fp").agg(F.min(F.struct("id", "th")).alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature")), "classes")
 
     @F.pandas_udf("array<bigint>")
@@ -200,7 +200,7 @@ def _flagged(documents: DataFrame, params: JoinParams, id_col: str, text_col: st
                 sets = [s for s in sets if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([print_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "payload"])
 
-    sets = texts.mapInArrow(payloads, "fp binary, payload binary").groupBy("fp").agg(F.first("payload").alias("payload"))
+    sets = texts.mapInArrow(tidy(payloads), "fp binary, payload binary").groupBy("fp").agg(F.first("payload").alias("payload"))
     members = wanted.join(classes.select("fp", "copies"), "fp").join(sets, "fp").select("key", "pos", "fp", "signature", "copies", "payload")
     found = materialise(compare_blocks(members, "fp", bands, first_common, lambda p: near_sets(p, threshold)), "links")
     groups = connected_components(found.select(F.col("fp").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "fp")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, text_or_empty
+from .shared import materialise, text_or_empty, tidy
 from .tokenizing import encoder
 
 
@@ -129,7 +129,7 @@ def tokenized_pieces(documents: DataFrame, carry: list[str], capacity: int = 102
                     arrays.append(pa.array(ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(arrays, names=[f[0] for f in fields])
 
-    return kept.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in fields))
+    return kept.mapInArrow(tidy(run), ", ".join(f"`{c}` {t}" for c, t in fields))
 
 
 def assign_sequences(pieces: DataFrame, capacity: int = 1024, order: tuple[str, ...] = ("doc_id", "piece", "ids_crc32")) -> DataFrame:

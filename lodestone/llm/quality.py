@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .labelled import labelled_sample, train_in_one_task
+from .shared import bound_batches, tidy
 
 
 @dataclass(frozen=True)
@@ -196,6 +197,7 @@ def score_quality(documents: DataFrame, model: bytes | None, carry: list[str], t
     model every score is 0. Repeated rows stay, each scored alike; columns of the input that are not
     in ``carry`` are not read, so clashing names do no harm.
     """
+    bound_batches(documents.sparkSession)
     blob = documents.sparkSession.sparkContext.broadcast(model)
     # a text that is carried anyway goes to Python once
     extra = [] if text_col in carry else [F.col(text_col).cast("string").alias("_text")]
@@ -210,4 +212,4 @@ def score_quality(documents: DataFrame, model: bytes | None, carry: list[str], t
             got = [score(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) for lo, hi in tk.slices(off)]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(np.concatenate(got) if got else np.zeros(0))], names=[*carry, "score"])
 
-    return kept.mapInArrow(run, out).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return kept.mapInArrow(tidy(run), out).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

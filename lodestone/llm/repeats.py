@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .collide import key_groups
-from .shared import materialise, text_or_empty
+from .shared import materialise, text_or_empty, tidy
 from .suffixes import repeated_around
 
 _STEP = 1 << 20
@@ -138,7 +138,7 @@ def repeated_spans(docs: DataFrame, p: RepeatParams) -> DataFrame:
                     pick = pa.array(r + rlo)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), pa.array(f.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(lo + shift), pa.array(hi + shift), pa.array(at - lo)], names=["id", "th", "f", "whole", "lo", "hi", "rel"])
 
-    runs = materialise(docs.select("id", "th", "text").mapInArrow(scan, f"id {kind}, th bigint, f bigint, whole bigint, lo bigint, hi bigint, rel bigint"), "runs")
+    runs = materialise(docs.select("id", "th", "text").mapInArrow(tidy(scan), f"id {kind}, th bigint, f bigint, whole bigint, lo bigint, hi bigint, rel bigint"), "runs")
     often = runs.groupBy("f").agg(F.count("*").alias("n"), F.min("whole").alias("w0"), F.max("whole").alias("w1")).where("n > 1").select("f", (F.col("w0") == F.col("w1")).alias("alike"))
     shared = materialise(runs.join(often, "f"), "shared")
     mixed = shared.where("not alike")
@@ -167,7 +167,7 @@ def repeated_spans(docs: DataFrame, p: RepeatParams) -> DataFrame:
                     names=["id", "th", "f", "whole", "n", "subs", "lo", "hi", "rel", "bytes"],
                 )
 
-    strings = joined.mapInArrow(cut, f"id {kind}, th bigint, f bigint, whole bigint, n bigint, subs bigint, lo bigint, hi bigint, rel bigint, bytes binary")
+    strings = joined.mapInArrow(tidy(cut), f"id {kind}, th bigint, f bigint, whole bigint, n bigint, subs bigint, lo bigint, hi bigint, rel bigint, bytes binary")
     # shard of an anchor; an anchor of too many runs has shards of its own, numbered below zero
     shard = F.when(F.col("subs") > 1, F.lit(-1) - F.pmod(F.xxhash64("f", F.pmod(F.xxhash64("whole"), "subs")), F.lit(1 << 40))).otherwise(F.pmod(F.xxhash64("f"), F.lit(shards)))
     strings = materialise(strings.select(shard.cast("long").alias("shard"), "f", "id", "th", "n", "lo", "hi", "rel", "bytes"), "strings")
@@ -192,7 +192,7 @@ def repeated_spans(docs: DataFrame, p: RepeatParams) -> DataFrame:
             yield from windows_of(t, repeated_around(t.column("bytes").to_pylist(), t.column("f").to_pylist(), t.column("rel").to_pylist(), p.width))
 
     parts = strings.repartition("shard").sortWithinPartitions("shard")
-    found = found.union(parts.mapInArrow(search, f"id {kind}, th bigint, lo bigint, hi bigint"))
+    found = found.union(parts.mapInArrow(tidy(search), f"id {kind}, th bigint, lo bigint, hi bigint"))
     hot = strings.where("shard < 0")
     if hot.isEmpty():
         return found
@@ -226,8 +226,8 @@ def repeated_spans(docs: DataFrame, p: RepeatParams) -> DataFrame:
                 if len(common):
                     yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([common.tobytes()], pa.binary())], names=["shard", "keys"])
 
-    handed = hot.repartition("shard").sortWithinPartitions("shard").mapInArrow(hand_on, "f bigint, range bigint, shard bigint, keys binary")
-    common = handed.repartition("f", "range").sortWithinPartitions("f", "range").mapInArrow(merge, "shard bigint, keys binary")
+    handed = hot.repartition("shard").sortWithinPartitions("shard").mapInArrow(tidy(hand_on), "f bigint, range bigint, shard bigint, keys binary")
+    common = handed.repartition("f", "range").sortWithinPartitions("f", "range").mapInArrow(tidy(merge), "shard bigint, keys binary")
     common = common.groupBy("shard").agg(F.collect_list("keys").alias("keys"))
 
     def mark(batches):
@@ -238,7 +238,7 @@ def repeated_spans(docs: DataFrame, p: RepeatParams) -> DataFrame:
                 yield from windows_of(t, [np.isin(w, keys) for w in window_keys(t.column("bytes").to_pylist(), t.column("f").to_pylist())])
 
     # each sub-shard's common keys are at most ``ranges`` lists of keys of its own windows
-    again = hot.join(common, "shard").select("f", "id", "th", "n", "lo", "hi", "bytes", "keys").mapInArrow(mark, f"id {kind}, th bigint, lo bigint, hi bigint")
+    again = hot.join(common, "shard").select("f", "id", "th", "n", "lo", "hi", "bytes", "keys").mapInArrow(tidy(mark), f"id {kind}, th bigint, lo bigint, hi bigint")
     return found.union(again)
 
 
@@ -279,7 +279,7 @@ def cut_repeats(documents: DataFrame, carry: list[str], params: RepeatParams = R
                 yield pa.RecordBatch.from_arrays([*[c.slice(lo, 512) for c in b.columns[:-2]], pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], names=[*carry, "n_bytes", "n_removed", "n_spans", "kept"])
 
     out = ", ".join([*(f"`{c}` {types[c]}" for c in carry), "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"])
-    return both.mapInArrow(run, out)
+    return both.mapInArrow(tidy(run), out)
 
 
 def without_repeats(documents: DataFrame, params: RepeatParams = RepeatParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

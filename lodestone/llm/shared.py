@@ -47,11 +47,37 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage: a lost executor costs no recomputation beyond the stage that runs.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold at most 16 MB, where the session has the default of 64 MB: texts are long, and tasks share memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, "16m")
+
+
+def tidy(run):
+    """``run`` for ``mapInArrow``, after which the worker gives freed memory back; it lives on beside the next task's JVM memory."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass
+
+    return wrapped
+
+
 def crc_mod(column: str, n: int) -> Column:
     """``crc32`` of a column's text form, modulo ``n``; a null column counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

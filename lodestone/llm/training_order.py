@@ -22,6 +22,7 @@ import math
 import os
 import uuid
 import zlib
+from array import array
 from dataclasses import dataclass
 from urllib.parse import urlparse
 
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .shared import scratch_path, text_or_empty
+from .shared import scratch_path, text_or_empty, tidy
 from .tokenizing import encoder
 
 
@@ -98,7 +99,7 @@ def materialise_order(documents: DataFrame, folder: str | None = None, params: O
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "n": pa.array([n], pa.int64())})
 
     # one number for each partition of the input
-    counts = {r["part"]: r["n"] for r in kept.mapInArrow(count, "part bigint, n bigint").collect()}
+    counts = {r["part"]: r["n"] for r in kept.mapInArrow(tidy(count), "part bigint, n bigint").collect()}
     base, total = {}, 0
     for part in sorted(counts):
         base[part] = total
@@ -117,7 +118,7 @@ def materialise_order(documents: DataFrame, folder: str | None = None, params: O
                 part = b.slice(lo, 256)
                 rows, seq, size, crc, data = [], [], [], [], []
                 for k, text in enumerate(part.column(1)):
-                    ids = np.array([*encode(text.as_py()), p.eos], "<u4")
+                    ids = np.frombuffer(array("I", encode(text.as_py()) + [p.eos]), "<u4")
                     if p.id_bytes == 2 and ids.max() > 0xFFFF:
                         raise ValueError("ids need four bytes")
                     for j in range(0, len(ids), p.length):
@@ -133,7 +134,7 @@ def materialise_order(documents: DataFrame, folder: str | None = None, params: O
 
     fields = f"`{id_col}` {kind}, sequence int, length bigint, ids_crc32 bigint, slot bigint, shard bigint"
     shards = max(1, -(-total // p.per_shard))
-    numbered = kept.mapInArrow(number, f"{fields}, data binary")
+    numbered = kept.mapInArrow(tidy(number), f"{fields}, data binary")
     # the shard is the partition: ranges of slots that are even by construction, without a sampling pass
     dealt = numbered.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot")
     stride = p.length * p.id_bytes
@@ -154,23 +155,22 @@ def materialise_order(documents: DataFrame, folder: str | None = None, params: O
         for b in batches:
             slots, data = b.column(4).to_numpy(), b.column(6)
             which = b.column(5).to_numpy()
-            for k in range(b.num_rows):
-                if which[k] != shard:
+            edges = [0, *(np.flatnonzero(np.diff(which)) + 1), b.num_rows]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if which[lo] != shard:
                     close()
-                    shard, at = int(which[k]), int(which[k]) * p.per_shard
+                    shard, at = int(which[lo]), int(which[lo]) * p.per_shard
                     name = f"{shard_path(root, shard)}.{uuid.uuid4().hex}"
                     out = open(name, "wb")  # noqa: SIM115
-                if slots[k] != at:
-                    raise RuntimeError(f"slot {at} is missing; the input changed between two readings")
-                piece = data[k].as_py()
-                out.write(piece)
-                out.write(pad[len(piece) :])
-                at += 1
+                if (slots[lo:hi] != np.arange(at, at + hi - lo)).any():
+                    raise RuntimeError(f"slots from {at} on are not complete; the input changed between two readings")
+                out.write(b"".join([x + pad[len(x) :] for x in data.slice(lo, hi - lo).to_pylist()]))
+                at += hi - lo
             held.append(pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(slots % p.per_shard * stride)], names=[*b.schema.names[:6], "byte_offset"]))
         close()
         yield from held
 
-    return dealt.mapInArrow(write, f"{fields}, byte_offset bigint")
+    return dealt.mapInArrow(tidy(write), f"{fields}, byte_offset bigint")
 
 
 class OrderReader:
