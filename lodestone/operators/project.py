@@ -34,6 +34,10 @@ def known_ids(components: DataFrame, externals: DataFrame) -> DataFrame:
     return components.where(~F.col("deleted")).select("id").union(externals.select("id")).distinct()
 
 
+def _matcher(regex: str):
+    return lambda p: p.rlike(regex)
+
+
 def subsystem_evidence(members: DataFrame, components: DataFrame) -> DataFrame:
     """``(subsystem, ord, id, matched_via)`` of ``members(subsystem, ord, member)``, each component by the first member that names it.
 
@@ -54,7 +58,7 @@ def subsystem_evidence(members: DataFrame, components: DataFrame) -> DataFrame:
     spark = members.sparkSession
     out = by_id.withColumn("ok", F.lit(True))
     if hits:
-        tests = F.array(*[F.when(F.exists("paths", lambda p, r=r: p.rlike(r)), F.struct(F.lit(s).alias("subsystem"), F.lit(o).cast("int").alias("ord"), F.lit(g).alias("matched_via"))) for s, o, g, r in hits])
+        tests = F.array(*[F.when(F.exists("paths", _matcher(r)), F.struct(F.lit(s).alias("subsystem"), F.lit(o).cast("int").alias("ord"), F.lit(g).alias("matched_via"))) for s, o, g, r in hits])
         found = live.select("id", F.explode(F.filter(tests, lambda t: t.isNotNull())).alias("t")).select("t.subsystem", "t.ord", "id", "t.matched_via")
         out = out.union(found.withColumn("ok", F.lit(True)))
         rows = spark.createDataFrame([(s, o, g) for s, o, g, _ in hits], "subsystem string, ord int, g string")

@@ -95,8 +95,8 @@ def closure(tree: DataFrame, max_depth: int = 64) -> DataFrame:
     known = settle(step)
     reach = 1
     while reach < max_depth:
-        far = known.alias("a").join(known.where(F.col("distance") == reach).alias("b"), F.col("a.id") == F.col("b.ancestor"))
-        more = settle(far.select(F.col("b.id").alias("id"), F.col("a.ancestor").alias("ancestor"), (F.col("a.distance") + F.col("b.distance")).alias("distance")))
+        near = known.where(F.col("distance") == reach).select(F.col("id").alias("low"), F.col("ancestor").alias("id"), F.col("distance").alias("first"))
+        more = settle(near.join(known, "id").select(F.col("low").alias("id"), "ancestor", (F.col("first") + F.col("distance")).alias("distance")))
         if more.isEmpty():
             return known
         if not more.where("id = ancestor").isEmpty():

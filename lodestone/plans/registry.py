@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    from . import text  # noqa: F401  registers
+    from . import structure, text  # noqa: F401  registers
 
     return dict(_queries)
 
