@@ -139,21 +139,21 @@ def repeated_spans(docs: DataFrame, p: RepeatParams) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), pa.array(f.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(lo + shift), pa.array(hi + shift), pa.array(at - lo)], names=["id", "th", "f", "whole", "lo", "hi", "rel"])
 
     runs = materialise(docs.select("id", "th", "text").mapInArrow(tidy(scan), f"id {kind}, th bigint, f bigint, whole bigint, lo bigint, hi bigint, rel bigint"), "runs")
-    often = runs.groupBy("f").agg(F.count("*").alias("n"), F.min("whole").alias("w0"), F.max("whole").alias("w1")).where("n > 1").select("f", (F.col("w0") == F.col("w1")).alias("alike"))
+    often = runs.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f")
     shared = materialise(runs.join(often, "f"), "shared")
-    mixed = shared.where("not alike")
-    kinds = materialise(mixed.groupBy("f", "whole").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "lo", "hi", "rel")).alias("rep")), "kinds")
+    kinds = materialise(shared.groupBy("f", "whole").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "lo", "hi", "rel")).alias("rep")), "kinds")
+    # runs that are equal throughout, of whatever number
     several = kinds.where("n > 1").select("f", "whole")
-    copies = shared.where("alike").select("id", "th", "lo", "hi").union(mixed.join(several, ["f", "whole"], "left_semi").select("id", "th", "lo", "hi"))
-    found = copies.select("id", "th", "lo", (F.col("hi") + p.width).alias("hi"))
+    found = shared.join(several, ["f", "whole"], "left_semi").select("id", "th", "lo", (F.col("hi") + p.width).alias("hi"))
 
-    # the strings of the other kinds, from one run of each
-    load = kinds.groupBy("f").agg(F.count("*").alias("kinds"))
-    total = kinds.agg(F.sum(F.col("rep.hi") - F.col("rep.lo") + p.width)).first()[0] or 0
+    # the strings of anchors with several kinds of runs, from one run of each kind
+    load = kinds.groupBy("f").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    mixed = kinds.join(load, "f")
+    total = mixed.agg(F.sum(F.col("rep.hi") - F.col("rep.lo") + p.width)).first()[0] or 0
     if not total:
         return found
     shards = max(1, -(-int(total) // p.shard_bytes))
-    wanted = kinds.join(load, "f").select("f", "whole", "n", F.ceil(F.col("kinds") / p.shard_runs).alias("subs"), "rep.*")
+    wanted = mixed.select("f", "whole", "n", F.ceil(F.col("kinds") / p.shard_runs).alias("subs"), "rep.*")
     lists = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("f", "whole", "n", "subs", "lo", "hi", "rel")).alias("runs"))
     joined = docs.alias("d").join(lists.alias("l"), F.col("d.id").eqNullSafe(F.col("l.id")) & (F.col("d.th") == F.col("l.th"))).select("d.id", "d.th", "d.text", "l.runs").dropDuplicates(["id", "th"])
 
