@@ -20,9 +20,9 @@ _CLOSURE = f"{_UP}, above AS (SELECT id, a1 AS ancestor, CAST(1 AS INTEGER) AS d
 
 
 @query(f"""WITH {B.TREE}, {_CLOSURE}, {B.TRADE},
-at AS (SELECT id AS node, id FROM tree UNION ALL SELECT id, ancestor FROM above),
-inn AS (SELECT a.id, count(*) AS internal FROM trade t JOIN at a ON a.node = t.src JOIN at b ON b.node = t.dst AND b.id = a.id GROUP BY a.id),
-ends AS (SELECT a.id, count(*) AS n FROM (SELECT src AS node FROM trade UNION ALL SELECT dst FROM trade) e JOIN at a ON a.node = e.node GROUP BY a.id),
+held AS (SELECT id AS node, id FROM tree UNION ALL SELECT id, ancestor FROM above),
+inn AS (SELECT a.id, count(*) AS internal FROM trade t JOIN held a ON a.node = t.src JOIN held b ON b.node = t.dst AND b.id = a.id GROUP BY a.id),
+ends AS (SELECT a.id, count(*) AS n FROM (SELECT src AS node FROM trade UNION ALL SELECT dst FROM trade) e JOIN held a ON a.node = e.node GROUP BY a.id),
 c AS (SELECT t.id, CAST(coalesce(internal, 0) AS BIGINT) AS internal, CAST(coalesce(n, 0) - 2 * coalesce(internal, 0) AS BIGINT) AS crossing FROM tree t LEFT JOIN inn ON inn.id = t.id LEFT JOIN ends ON ends.id = t.id)
 SELECT id, internal, crossing, CASE WHEN internal = 0 THEN CAST(0 AS DOUBLE) WHEN crossing = 0 THEN CAST('Infinity' AS DOUBLE) ELSE CAST(internal AS DOUBLE) / crossing END AS density FROM c""")
 def seam_density(spark: SparkSession, sf: str) -> DataFrame:
