@@ -78,7 +78,7 @@ def materialise_order(documents: DataFrame, folder: str | None = None, params: O
     """Write all texts' ids in training order; one row for each sequence.
 
     Columns: ``id_col, sequence`` (of its text, from 0), ``length`` (ids before the filling), ``ids_crc32`` (of these, as
-    unsigned 32-bit numbers), ``slot, shard, byte_offset``. A text is its ids and ``eos``; a null text is the empty
+    they are stored), ``slot, shard, byte_offset``. A text is its ids and ``eos``; a null text is the empty
     one. Repeated rows are texts of their own. The shards are written when the result is computed, before any
     of its rows appears; ``reader(folder)`` reads them. ``folder`` is a path or ``file:`` address.
     """
@@ -89,7 +89,8 @@ def materialise_order(documents: DataFrame, folder: str | None = None, params: O
     root, p = url.path, params
     kept = documents.select(id_col, text_or_empty(text_col).alias("_text"))
     kind = kept.dtypes[0][1]
-    dtype = {2: "<u2", 4: "<u4"}[p.id_bytes]
+    dtype, code = {2: ("<u2", "H"), 4: ("<u4", "I")}[p.id_bytes]
+    stride = p.length * p.id_bytes
 
     def count(batches):
         encode, n = encoder(tokenizer), 0
@@ -118,16 +119,16 @@ def materialise_order(documents: DataFrame, folder: str | None = None, params: O
                 part = b.slice(lo, 256)
                 rows, seq, size, crc, data = [], [], [], [], []
                 for k, text in enumerate(part.column(1)):
-                    ids = np.frombuffer(array("I", encode(text.as_py()) + [p.eos]), "<u4")
-                    if p.id_bytes == 2 and ids.max() > 0xFFFF:
-                        raise ValueError("ids need four bytes")
-                    for j in range(0, len(ids), p.length):
-                        piece = ids[j : j + p.length]
+                    ids = array(code, encode(text.as_py()))  # ids that don't fit raise an error
+                    ids.append(p.eos)
+                    raw = ids.tobytes()
+                    for j, at_byte in enumerate(range(0, len(raw), stride)):
+                        piece = raw[at_byte : at_byte + stride]
                         rows.append(k)
-                        seq.append(j // p.length)
-                        size.append(len(piece))
-                        crc.append(zlib.crc32(piece.tobytes()))
-                        data.append(piece.astype(dtype).tobytes())
+                        seq.append(j)
+                        size.append(len(piece) // p.id_bytes)
+                        crc.append(zlib.crc32(piece))
+                        data.append(piece)
                 slot = feistel(np.arange(at, at + len(rows)), total, p.key, p.rounds)
                 at += len(rows)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(seq, pa.int32()), pa.array(size, pa.int64()), pa.array(crc, pa.int64()), pa.array(slot), pa.array(slot // p.per_shard), pa.array(data, pa.binary())], names=[id_col, "sequence", "length", "ids_crc32", "slot", "shard", "data"])
@@ -137,7 +138,6 @@ def materialise_order(documents: DataFrame, folder: str | None = None, params: O
     numbered = kept.mapInArrow(tidy(number), f"{fields}, data binary")
     # the shard is the partition: ranges of slots that are even by construction, without a sampling pass
     dealt = numbered.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot")
-    stride = p.length * p.id_bytes
     pad = np.full(p.length, p.pad, dtype).tobytes()
 
     def write(batches):
