@@ -41,8 +41,8 @@ def shebangs(files: DataFrame, directory: str = "") -> DataFrame:
 
 
 def under(files: DataFrame, dirs: DataFrame, dir_col: str = "dir", itself: bool = True) -> DataFrame:
-    """Files paired with each of ``dirs`` that holds them: ancestors are exploded and joined by equality."""
-    spread = files.withColumn(dir_col, F.explode(P.ancestors(F.col("path"), itself)))
+    """Files paired with each of ``dirs`` that holds them, the empty root included: ancestors are exploded and joined by equality."""
+    spread = files.withColumn(dir_col, F.explode(F.concat(F.array(F.lit("")), P.ancestors(F.col("path"), itself))))
     return spread.join(dirs, dir_col)
 
 
@@ -52,7 +52,7 @@ def tree_sha(files: DataFrame, dirs: DataFrame, relative: bool = True) -> DataFr
     With ``relative``, paths are taken from the directory, so that moving it keeps the digest.
     """
     held = under(files, dirs, itself=False)
-    p = F.expr("substr(path, length(dir) + 2)") if relative else F.col("path")
+    p = F.expr("CASE WHEN dir = '' THEN path ELSE substr(path, length(dir) + 2) END") if relative else F.col("path")
     piece = F.concat(_little_endian(F.octet_length(p)), F.encode(p, "utf-8"), F.unhex(F.sha2("content", 256)))
     grouped = held.groupBy("dir").agg(F.array_sort(F.collect_list(F.struct(F.split(p, "/").alias("k"), piece.alias("v")))).alias("all"))
     return grouped.select("dir", F.sha2(F.aggregate("all", F.lit(b""), lambda a, x: F.concat(a, x["v"])), 256).alias("content_sha"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -11,17 +12,19 @@ _own: list = []
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """``df`` computed and stored in the shared checkpoint folder; a lost executor doesn't undo it.
+    """``df`` written as Parquet to the shared folder and read back; a lost executor doesn't undo it.
 
     The folder is ``spark.checkpoint.dir``; a session that has none, as in tests, gets a temporary one.
+    A written table has true sizes, while a checkpoint keeps estimates that grow with every join of a loop.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        found = sc.getConf().get("spark.checkpoint.dir", None)
-        if not found:
+    spark = df.sparkSession
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found:
+        if not _own:
             own = tempfile.TemporaryDirectory(prefix="lodestone-")
             _own.append(own)
             atexit.register(own.cleanup)
-            found = own.name
-        sc.setCheckpointDir(found)
-    return df.checkpoint(eager=True)
+        found = f"file://{_own[0].name}"
+    path = f"{found.rstrip('/')}/lodestone/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
