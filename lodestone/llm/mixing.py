@@ -106,4 +106,4 @@ def mix(documents: DataFrame, position_col: str = "position", text_col: str = "t
     if "n_chars" in columns:
         kind = dict(documents.dtypes)["n_chars"]
         out = out.withColumn("n_chars", F.when(part, F.length(text_col).cast(kind)).otherwise(F.col("n_chars")))
-    return out.withColumn(position_col, F.col("_c.position")).select(*columns, position_col).orderBy(position_col)
+    return out.withColumn(position_col, F.col("_c.position")).select(*columns, position_col).orderBy(position_col, *[c for c in columns if c != text_col][:1])

@@ -32,7 +32,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = mixing.place(_table(spark, sf_dir, "documents"), ["doc_id"])
     first = F.coalesce(F.get("copies", F.lit(0))["position"], F.lit(2.0))
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda n, c: n + c["words"])
-    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), first.alias("_p")).orderBy("_p").drop("_p")
+    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), first.alias("_p")).orderBy("_p", "doc_id").drop("_p")
 
 
 OP2_SQL = r"""
