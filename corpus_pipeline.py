@@ -16,7 +16,8 @@ from lodestone.llm.shared import crc_mod, materialise
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier rejects; it learns from the labelled rows of its training fold."""
     model = quality.quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), crc_mod("doc_id", 4) != 2)
-    return quality.score_quality(docs, model, docs.columns).where("predicted = 1").select(*docs.columns)
+    scored = quality.score_quality(docs, model, docs.columns, score_col="_score", predicted_col="_predicted")
+    return scored.where("_predicted = 1").select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +32,7 @@ def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each source's share, a row for each copy of a document, in training order."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs, position_col="_position").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -235,13 +235,15 @@ def nearest(vectors: DataFrame, is_query: Column, params: AnnParams = AnnParams(
                     y = _matrix(part.column("v").chunk(0))
                     s = (y @ x.T) / (np.sqrt((y * y).sum(axis=1))[:, None] * norm[None, :])
                     top = min(want, n)
-                    # all vectors that tie with the last place stay in, so that ids decide
-                    edge = np.partition(s, n - top, axis=1)[:, n - top]
+                    # a matrix product rounds by its shape, so scores are taken again row by row: one pair has one score
+                    # in all lists. What may tie with the last place stays in, so that ids decide
+                    edge = np.partition(s, n - top, axis=1)[:, n - top] - 1e-12
+                    length = np.sqrt((y * y).sum(axis=1))
                     got_ids, got_s = [], []
                     for i in range(len(s)):
                         at = np.flatnonzero(s[i] >= edge[i])
                         cand = table[at].reshape(-1)
-                        sc = np.repeat(s[i][at], width)
+                        sc = np.repeat((x[at] * y[i]).sum(axis=1) / (length[i] * norm[at]), width)
                         real = cand != np.iinfo(np.int64).max
                         cand, sc = cand[real], sc[real]
                         order = np.lexsort((cand, -sc))[:want]

@@ -49,45 +49,51 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3
     return held.withColumn("target", F.when(F.col("held"), F.col("top")).otherwise(F.col("w") * free)).select("skey", "rank", "target")
 
 
-def place(documents: DataFrame, carry: list[str], weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = 3.0, slopes: tuple[float, ...] = SLOPES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def place(documents: DataFrame, carry: list[str], **options) -> DataFrame:
     """``carry`` columns of each row, with ``size``, ``source_size``, ``target`` and ``copies``.
 
     ``copies`` is an array of ``(copy, words, position)``: the passes in which the mix takes the
     document, the words taken in each, and where in training (0 to 1). A null source is a source of
     its own, the last; a null text has no words. A document without words gets one copy of 0 words,
     which costs nothing. Repeated rows count as documents of their own. Input columns that are not in
-    ``carry`` are not read.
+    ``carry`` are not read. Options are those of ``_placed``.
     """
+    new = [F.col(f"_{c}").alias(c) for c in ("size", "source_size", "target", "copies")]
+    return _placed(documents, carry, **options).select(*[F.col("_d")[c].alias(c) for c in carry], *new)
+
+
+def _placed(documents: DataFrame, carry: list[str], weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = 3.0, slopes: tuple[float, ...] = SLOPES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``_d`` (the carried columns), ``_size, _source_size, _target, _copies``; inner names don't clash with carried ones."""
     rows = documents.count()
     buckets = max(1, math.ceil(math.sqrt(rows)))
     hashed = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     base = documents.select(
-        *[F.col(c) for c in carry],
-        word_count(text_or_empty(text_col)).alias("size"),
+        F.struct(*[F.col(c) for c in carry]).alias("_d"),
+        word_count(text_or_empty(text_col)).alias("_size"),
         F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string"))).alias("skey"),
         hashed.alias("_h"),
     )
     # bucket numbers rise with the hash: the leading 32 bits, scaled
     base = base.withColumn("_b", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(1 << 32)))
-    totals = base.groupBy("skey", "_b").agg(F.sum("size").alias("_n"))
+    totals = base.groupBy("skey", "_b").agg(F.sum("_size").alias("_n"))
     sources = totals.groupBy("skey").agg(F.sum("_n").alias("source_size"))
-    goal = sources.join(source_targets(sources, weights, cap), "skey")
+    goal = sources.join(source_targets(sources, weights, cap), "skey").withColumnsRenamed({"source_size": "_source_size", "target": "_target", "rank": "_rank"})
     along = Window.partitionBy("skey").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.withColumn("_s", F.coalesce(F.sum("_n").over(along), F.lit(0))).drop("_n").join(goal, "skey")
-    inside = Window.partitionBy("skey", "_b").orderBy("_h", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = base.withColumn("_i", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["skey", "_b"])
-    aim, slope = F.round("target").cast("long"), F.element_at(F.array(*[F.lit(float(a)) for a in slopes]), (F.pmod(F.col("rank") - 1, F.lit(len(slopes))) + 1).cast("int"))
+    inside = Window.partitionBy("skey", "_b").orderBy("_h", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = base.withColumn("_i", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(starts, ["skey", "_b"])
+    aim, slope = F.round("_target").cast("long"), F.element_at(F.array(*[F.lit(float(a)) for a in slopes]), (F.pmod(F.col("_rank") - 1, F.lit(len(slopes))) + 1).cast("int"))
 
     def copy(j: Column) -> Column:
-        begin = F.col("_s") + F.col("_i") + j.cast("long") * F.col("source_size")
-        words = F.greatest(F.lit(0), F.least(F.col("size"), aim - begin))
-        u = F.when(F.col("target") > 0, F.least(F.lit(1.0), begin / F.col("target"))).otherwise(0.0)
+        begin = F.col("_s") + F.col("_i") + j.cast("long") * F.col("_source_size")
+        words = F.greatest(F.lit(0), F.least(F.col("_size"), aim - begin))
+        u = F.when(F.col("_target") > 0, F.least(F.lit(1.0), begin / F.col("_target"))).otherwise(0.0)
         at = F.when(slope == 0, u).otherwise((slope - 1 + F.sqrt((1 - slope) * (1 - slope) + 4 * slope * u)) / (2 * slope))
         return F.struct(j.cast("int").alias("copy"), words.cast("long").alias("words"), at.alias("position"))
 
     passes = F.transform(F.sequence(F.lit(0), F.lit(max(0, math.ceil(cap) - 1))), copy)
-    kept = F.filter(passes, lambda c: (c["words"] > 0) | ((F.col("size") == 0) & (c["copy"] == 0)))
-    return placed.select(*carry, "size", "source_size", "target", kept.alias("copies"))
+    kept = F.filter(passes, lambda c: (c["words"] > 0) | ((F.col("_size") == 0) & (c["copy"] == 0)))
+    return placed.select("_d", "_size", "_source_size", "_target", kept.alias("_copies"))
 
 
 def mix(documents: DataFrame, position_col: str = "position", text_col: str = "text", **options) -> DataFrame:
@@ -97,13 +103,21 @@ def mix(documents: DataFrame, position_col: str = "position", text_col: str = "t
     ``n_chars``, where there is such a column, follows the text.
     """
     columns = documents.columns
-    one = place(documents, columns, text_col=text_col, **options).select(*columns, "size", F.explode("copies").alias("_c"))
-    pieces = F.split(F.col(text_col), _GAP, -1)
+    one = _placed(documents, columns, text_col=text_col, **options).select("_d", "_size", F.explode("_copies").alias("_c"))
+    text = F.col("_d")[text_col]
+    pieces = F.split(text, _GAP, -1)
     skip = F.when(F.element_at(pieces, 1).rlike(r"^[\x20\x09-\x0D]+$"), 1).otherwise(0)
     cut = F.regexp_replace(F.array_join(F.slice(pieces, F.lit(1), F.col("_c.words").cast("int") + skip), ""), r"[\x20\x09-\x0D]+$", "")
-    part = F.col("_c.words") < F.col("size")
-    out = one.withColumn(text_col, F.when(part, cut).otherwise(F.col(text_col)))
-    if "n_chars" in columns:
-        kind = dict(documents.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(part, F.length(text_col).cast(kind)).otherwise(F.col("n_chars")))
-    return out.withColumn(position_col, F.col("_c.position")).select(*columns, position_col).orderBy(position_col, *[c for c in columns if c != text_col][:1])
+    part = F.col("_c.words") < F.col("_size")
+    one = one.withColumn("_text", F.when(part, cut).otherwise(text))
+
+    def shown(c: str) -> Column:
+        if c == text_col:
+            return F.col("_text").alias(c)
+        own = F.col("_d")[c]
+        if c == "n_chars":
+            own = F.when(part, F.length("_text").cast(dict(documents.dtypes)[c])).otherwise(own)
+        return own.alias(c)
+
+    ties = [c for c in columns if c != text_col][:1]
+    return one.select(*[shown(c) for c in columns], F.col("_c.position").alias(position_col)).orderBy(position_col, *ties)

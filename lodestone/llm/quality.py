@@ -190,12 +190,12 @@ def quality_model(documents: DataFrame, labels: DataFrame, training: Column, par
     return train_in_one_task(labelled_sample(documents, labels, label, training, params.max_rows), lambda t, y: fit(t, y, params))
 
 
-def score_quality(documents: DataFrame, model: bytes | None, carry: list[str], threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+def score_quality(documents: DataFrame, model: bytes | None, carry: list[str], threshold: float = 0.7, text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
     """``carry`` columns of each row of ``documents``, with ``score`` (0 to 1) and ``predicted`` (score >= threshold).
 
     A null text is the empty text, which gets the network's answer for no words at all. Without a
     model every score is 0. Repeated rows stay, each scored alike; columns of the input that are not
-    in ``carry`` are not read, so clashing names do no harm.
+    in ``carry`` are not read, so clashing names do no harm; for carried ones the new columns can be renamed.
     """
     bound_batches(documents.sparkSession)
     blob = documents.sparkSession.sparkContext.broadcast(model)
@@ -203,13 +203,13 @@ def score_quality(documents: DataFrame, model: bytes | None, carry: list[str], t
     extra = [] if text_col in carry else [F.col(text_col).cast("string").alias("_text")]
     kept = documents.select(*carry, *extra)
     at, n = (len(carry), len(carry)) if extra else (carry.index(text_col), len(carry))
-    out = ", ".join([*(f"`{c}` {t}" for c, t in kept.dtypes[:n]), "score double"])
+    out = ", ".join([*(f"`{c}` {t}" for c, t in kept.dtypes[:n]), f"`{score_col}` double"])
 
     def run(batches):
         score = Scorer(blob.value)
         for b in batches:
             buf, off = tk.utf8(b.column(at))
             got = [score(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) for lo, hi in tk.slices(off)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(np.concatenate(got) if got else np.zeros(0))], names=[*carry, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(np.concatenate(got) if got else np.zeros(0))], names=[*carry, score_col])
 
-    return kept.mapInArrow(tidy(run), out).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return kept.mapInArrow(tidy(run), out).withColumn(predicted_col, (F.col(score_col) >= threshold).cast("int"))

@@ -242,16 +242,18 @@ def repeated_spans(docs: DataFrame, p: RepeatParams) -> DataFrame:
     return found.union(again)
 
 
-def cut_repeats(documents: DataFrame, carry: list[str], params: RepeatParams = RepeatParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``carry`` columns of each row with ``n_bytes, n_removed, n_spans`` and ``kept``, the bytes that stay.
+def cut_repeats(documents: DataFrame, carry: list[str], params: RepeatParams = RepeatParams(), id_col: str = "doc_id", text_col: str = "text", prefix: str = "", as_text: bool = False) -> DataFrame:
+    """``carry`` columns of each row with ``n_bytes, n_removed, n_spans`` and ``kept``, the bytes that stay; ``prefix`` sets their names apart.
+    With ``as_text``, ``kept`` is text; where a cut fell within a character, what is left of it is gone.
 
     A null text is the empty one. Repeated rows are documents of their own, so they lose all that is long enough.
     """
     docs = documents.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     spans = repeated_spans(docs, params).groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    base = documents.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"), *[F.col(c) for c in carry]).withColumn("_th", F.xxhash64("_text"))
-    both = base.join(spans, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th")), "left").select(*carry, "_text", "spans")
+    base = documents.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"), F.struct(*[F.col(c) for c in carry]).alias("_d")).withColumn("_th", F.xxhash64("_text"))
+    both = base.join(spans, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th")), "left").select(*[F.col("_d")[c].alias(c) for c in carry], "_text", "spans")
     types = dict(documents.dtypes)
+    new = [prefix + c for c in ("n_bytes", "n_removed", "n_spans", "kept")]
 
     def run(batches):
         for b in batches:
@@ -276,9 +278,9 @@ def cut_repeats(documents: DataFrame, carry: list[str], params: RepeatParams = R
                     gone.append(r)
                     count.append(m)
                     kept.append(b"".join(rest))
-                yield pa.RecordBatch.from_arrays([*[c.slice(lo, 512) for c in b.columns[:-2]], pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], names=[*carry, "n_bytes", "n_removed", "n_spans", "kept"])
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, 512) for c in b.columns[:-2]], pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array([x.decode(errors="ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], names=[*carry, *new])
 
-    out = ", ".join([*(f"`{c}` {types[c]}" for c in carry), "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"])
+    out = ", ".join([*(f"`{c}` {types[c]}" for c in carry), *(f"`{c}` {t}" for c, t in zip(new, ("bigint", "bigint", "bigint", "string" if as_text else "binary"), strict=True))])
     return both.mapInArrow(tidy(run), out)
 
 
@@ -289,14 +291,8 @@ def without_repeats(documents: DataFrame, params: RepeatParams = RepeatParams(),
     """
     columns = documents.columns
     others = [c for c in columns if c != text_col]
-    cut = cut_repeats(documents, others, params, id_col, text_col)
-
-    @F.pandas_udf("string")
-    def decode(b):
-        return b.map(lambda v: bytes(v).decode(errors="ignore"))
-
-    out = cut.withColumn(text_col, F.when(F.col("n_removed") > 0, decode("kept")).otherwise(F.decode("kept", "utf-8")))
+    out = cut_repeats(documents, others, params, id_col, text_col, "_", as_text=True).withColumnRenamed("_kept", text_col)
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length(text_col).cast(dict(documents.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length(text_col).cast(dict(documents.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return out.select(*columns)
 

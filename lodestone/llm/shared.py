@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     bound_batches(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    # the job's shuffle files go once the driver has collected its plan
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
