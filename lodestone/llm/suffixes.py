@@ -19,7 +19,7 @@ class Shard:
         self.text[inside] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int16) + 1
         self.inside = inside
         #: the end mark of the string that each position belongs to
-        self.end = np.repeat(self.start + size, size + 1)
+        self.end = np.repeat((self.start + size).astype(np.int32), size + 1)
 
 
 def suffix_array(shard: Shard) -> np.ndarray:
@@ -31,18 +31,21 @@ def suffix_array(shard: Shard) -> np.ndarray:
     n = len(shard.text)
     if n == 0:
         return np.zeros(0, np.int64)
+    # places fit 32 bits: a shard is a few megabytes
+    places = np.arange(n, dtype=np.int32)
     key = np.zeros(n, np.int64)
-    padded = np.concatenate([shard.text, np.zeros(7, np.int16)]).astype(np.int64)
-    left = shard.end - np.arange(n)
+    left = shard.end - places
     for k in range(7):
-        key = key * 512 + np.where(k <= left, padded[k : k + n], 0)
-    sa = np.argsort(key, kind="stable")
+        key *= 512
+        key[: n - k] += np.where(left[: n - k] >= k, shard.text[k:], 0)
+    sa = np.argsort(key, kind="stable").astype(np.int32)
     key = key[sa]
     # suffixes that reach an end mark already differ by their string, in which order the sort left them
     head = np.r_[True, key[1:] != key[:-1]] | (left[sa] < 7)
-    rank = np.empty(n, np.int64)
-    rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    tied = np.flatnonzero(~(head & np.r_[head[1:], True]))
+    del key, left
+    rank = np.empty(n, np.int32)
+    rank[sa] = np.maximum.accumulate(np.where(head, places, 0))
+    tied = places[~(head & np.r_[head[1:], True])]
     h = 7
     while len(tied):
         at = sa[tied]
@@ -51,7 +54,7 @@ def suffix_array(shard: Shard) -> np.ndarray:
         sa[tied] = at[order]
         group, nxt = group[order], nxt[order]
         head = np.r_[True, (group[1:] != group[:-1]) | (nxt[1:] != nxt[:-1])]
-        rank[sa[tied]] = np.maximum.accumulate(np.where(head, tied, 0))
+        rank[sa[tied]] = np.maximum.accumulate(np.where(head, tied, 0).astype(np.int32))
         tied = tied[~(head & np.r_[head[1:], True])]
         h *= 2
     return sa
@@ -64,7 +67,7 @@ def common_prefixes(shard: Shard, sa: np.ndarray, place: np.ndarray, cap: int) -
     step. All strings of the shard are walked abreast, one position of each at a time.
     """
     n = len(shard.text)
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     if n == 0:
         return out
     order = np.argsort(-shard.size, kind="stable")
@@ -94,8 +97,8 @@ def repeated_starts(strings: list[bytes], width: int) -> list[np.ndarray]:
     """For each string, which of its window starts (``width`` bytes each) begin a window that also starts elsewhere in the shard."""
     shard = Shard(strings)
     sa = suffix_array(shard)
-    place = np.empty(len(sa), np.int64)
-    place[sa] = np.arange(len(sa))
+    place = np.empty(len(sa), np.int32)
+    place[sa] = np.arange(len(sa), dtype=np.int32)
     lcp = common_prefixes(shard, sa, place, width)
     same = lcp >= width
     hit = same | np.r_[same[1:], False] if len(same) else same
