@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .shared import scratch_path, text_or_empty, tidy
-from .tokenizing import encoder
+from .tokenizing import TokenCounter, encoder
 
 
 @dataclass(frozen=True)
@@ -93,10 +93,9 @@ def materialise_order(documents: DataFrame, folder: str | None = None, params: O
     stride = p.length * p.id_bytes
 
     def count(batches):
-        encode, n = encoder(tokenizer), 0
+        tokens, n = TokenCounter(encoder(tokenizer)), 0
         for b in batches:
-            for text in b.column(1):
-                n += -(-(len(encode(text.as_py())) + 1) // p.length)
+            n += int((-(-(tokens(b.column(1)) + 1) // p.length)).sum())
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "n": pa.array([n], pa.int64())})
 
     # one number for each partition of the input

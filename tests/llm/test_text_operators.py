@@ -8,13 +8,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import lm, mixing, ngram_join, packing, quality, repeats, toxicity, training_order
 from lodestone.llm.eliasfano import EliasFano, build
 from lodestone.llm.suffixes import repeated_starts
-from lodestone.llm.tokenizing import encoder
+from lodestone.llm.tokenizing import TokenCounter, encoder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -199,6 +200,15 @@ def test_fast_ids_equal_the_library():
         assert e(t) == e.slow.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_counting_equals_encoding():
+    e, r = encoder(None), random.Random(4)
+    parts = [" ", "  ", "\n", "\t", "a", "the", "é", "1", "!", "<|endoftext|>", "'s", "中", "\r\n", "\x0b", "\x85", "x y", "🙂", " ", "\u2003", "\x1c", " word", " other"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(5000)] + [None, "", " ", *[row[1] for row in corpus()]]
+    got = TokenCounter(e)(pa.array(texts))
+    assert got.tolist() == [len(e.slow.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert TokenCounter(e)(pa.array([], pa.string())).tolist() == []
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 100, 1025, 20_000])
 def test_feistel_is_a_permutation(n):
     got = training_order.feistel(np.arange(n), n, 99)
