@@ -3,12 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame
 
 _own: list = []
+_written: list[str] = []
+
+
+@atexit.register
+def _drop() -> None:
+    """Settled tables go when this process ends; in stores other than file systems they stay for the folder's own clean-up."""
+    for path in _written:
+        if urlparse(path).scheme in ("", "file"):
+            shutil.rmtree(urlparse(path).path, ignore_errors=True)
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -26,5 +37,6 @@ def settle(df: DataFrame) -> DataFrame:
             atexit.register(own.cleanup)
         found = f"file://{_own[0].name}"
     path = f"{found.rstrip('/')}/lodestone/settled-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
