@@ -24,11 +24,11 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, trainin
     return docs.join(F.broadcast(picked), "_id").select("text", "y")
 
 
-def train_in_one_task(sample: DataFrame, fit) -> bytes | None:
-    """Run ``fit(texts: list[bytes], labels: list[int]) -> bytes`` on the whole (bounded) sample in one executor task.
+def train_in_one_task(sample: DataFrame, fit, max_bytes: int) -> bytes | None:
+    """Run ``fit(texts: list[bytes], labels: list[int]) -> bytes`` on the (bounded) sample in one executor task.
 
     Returns the fitted model, None if there are no rows. Rows are put in an order that depends on
-    their content only, so that runs agree.
+    their content only, so that runs agree; of them, as many as ``max_bytes`` of text allow are held and used.
     """
 
     def run(batches):
@@ -38,7 +38,14 @@ def train_in_one_task(sample: DataFrame, fit) -> bytes | None:
         for b in batches:
             texts, ys = b.column(0).to_pylist(), b.column(1).to_pylist()
             rows += [(xxhash.xxh3_64_intdigest(t or ""), (t or "").encode(), y) for t, y in zip(texts, ys, strict=True)]
-        rows.sort()
+            rows.sort()
+            # what falls out now would fall out at the end too
+            held = 0
+            for k, row in enumerate(rows):
+                held += len(row[1])
+                if k and held > max_bytes:
+                    del rows[k:]
+                    break
         if rows:
             import pyarrow as pa
 

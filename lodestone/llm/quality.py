@@ -128,10 +128,8 @@ def _forward(x: np.ndarray, m: dict) -> np.ndarray:
 
 
 def fit(texts: list[bytes], labels: list[int], p: QualityParams) -> bytes:
-    """Word vectors, network and temperature from texts in the given order; texts beyond ``max_bytes`` are left out."""
-    total = np.cumsum([len(t) for t in texts])
-    n = max(1, int(np.searchsorted(total, p.max_bytes, "right")))
-    texts, y = texts[:n], np.array(labels[:n], np.float32)
+    """Word vectors, network and temperature from texts in the given order."""
+    n, y = len(texts), np.array(labels, np.float32)
     vectors = context_vectors(texts, p)
     x = np.concatenate([pooled(np.frombuffer(t, np.uint8), np.array([0, len(t)]), vectors, p.bucket_bits) for t in texts])
     rng = np.random.Generator(np.random.PCG64(5))
@@ -187,7 +185,7 @@ class Scorer:
 
 def quality_model(documents: DataFrame, labels: DataFrame, training: Column, params: QualityParams = QualityParams(), label: str = "quality") -> bytes | None:
     """Fit on the labelled rows for which ``training`` (a condition on ``labels``) holds; None without such rows."""
-    return train_in_one_task(labelled_sample(documents, labels, label, training, params.max_rows), lambda t, y: fit(t, y, params))
+    return train_in_one_task(labelled_sample(documents, labels, label, training, params.max_rows), lambda t, y: fit(t, y, params), params.max_bytes)
 
 
 def score_quality(documents: DataFrame, model: bytes | None, carry: list[str], threshold: float = 0.7, text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:

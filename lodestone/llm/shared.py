@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import gc
+import shutil
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_dirs: list = []
+_scratch: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,14 +35,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder wherever it is stored."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    """A new folder for intermediate tables and files; it goes when this process ends."""
+    path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+@atexit.register
+def _drop_scratch() -> None:
+    for path in _scratch:
+        url = urlparse(path)
+        if url.scheme in ("", "file"):
+            shutil.rmtree(url.path, ignore_errors=True)
+        elif (spark := SparkSession.getActiveSession()) is not None:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -52,12 +52,9 @@ def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(texts: list[bytes], labels: list[int], p: FtrlParams) -> bytes:
-    """Train on texts in the given order; texts beyond ``max_bytes`` in all are left out."""
-    docs, ys, seen = [], [], 0
+    """Train on texts in the given order."""
+    docs, ys = [], []
     for t, y in zip(texts, labels, strict=True):
-        seen += len(t)
-        if docs and seen > p.max_bytes:
-            break
         buf = np.frombuffer(t.decode().lower().encode(), np.uint8)
         docs.append(np.unique(features(buf, np.array([0, len(buf)]))[0]))
         ys.append(y)
@@ -128,7 +125,7 @@ class Scorer:
 
 def toxicity_model(documents: DataFrame, labels: DataFrame, training: Column, params: FtrlParams = FtrlParams(), label: str = "toxic") -> bytes | None:
     """Fit on the labelled rows for which ``training`` (a condition on ``labels``) holds; None without such rows."""
-    return train_in_one_task(labelled_sample(documents, labels, label, training, params.max_rows), lambda t, y: fit(t, y, params))
+    return train_in_one_task(labelled_sample(documents, labels, label, training, params.max_rows), lambda t, y: fit(t, y, params), params.max_bytes)
 
 
 def score_toxicity(documents: DataFrame, model: bytes | None, carry: list[str], threshold: float = 0.5, text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
