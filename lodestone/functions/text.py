@@ -104,3 +104,32 @@ def provider_of(model_id: Column) -> Column:
 
 def model_of(model_id: Column) -> Column:
     return F.regexp_replace(model_id, "^[^/]*/", "")
+
+
+# Which field of a tool's input says what it works on.
+TOOL_FIELDS = {"Read": "file_path", "Edit": "file_path", "Write": "file_path", "Grep": "pattern", "Glob": "pattern", "Bash": "command", "Task": "subagent_type"}
+
+
+def tool_summary(tool: Column, input_json: Column) -> Column:
+    """What a tool call works on; empty for unknown tools and inputs that don't fit."""
+    out = F.lit("")
+    for name, field in TOOL_FIELDS.items():
+        out = F.when(tool == name, F.coalesce(F.get_json_object(input_json, f"$.{field}"), F.lit(""))).otherwise(out)
+    return out
+
+
+def shell_summary(command: Column) -> Column:
+    """The command inside a login shell's wrapper, without its quotes."""
+    inner = F.trim(F.regexp_extract(F.trim(command), r"(?s)^/bin/zsh -lc (.*)$", 1))
+    bare = F.when(inner.rlike("""(?s)^".*"$|^'.*'$""") & (F.length(inner) > 1), F.regexp_replace(inner, """(?s)^["'](.*)["']$""", "$1")).otherwise(inner)
+    return F.when(F.startswith(F.trim(command), F.lit("/bin/zsh -lc ")), bare).otherwise(F.trim(command))
+
+
+def provider_text(body: Column) -> Column:
+    """The answer in a provider's response body, of either common form, without a code fence."""
+    return strip_fence(F.coalesce(F.get_json_object(body, "$.content[0].text"), F.get_json_object(body, "$.choices[0].message.content")))
+
+
+def status_line(name: Column, summary: Column, failed: Column, width: int) -> Column:
+    """One line about an agent's step, cut to a width, with a mark for a failure."""
+    return F.concat(F.when(failed, F.lit("✗ ")).otherwise(F.lit("")), name, F.when(summary == "", F.lit("")).otherwise(F.concat(F.lit(" "), clip(summary, width))))
