@@ -41,6 +41,8 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPREAD = np.random.Generator(np.random.PCG64(77)).integers(0, 1 << 64, 256, dtype=np.uint64)
 _powers: dict[int, np.ndarray] = {}
+#: An anchor carries the hashes of at most so many repeated kinds of runs; beyond, runs are joined with them.
+_FEW = 64
 
 
 @dataclass(frozen=True)
@@ -139,16 +141,19 @@ def repeated_spans(docs: DataFrame, p: RepeatParams) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), pa.array(f.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(lo + shift), pa.array(hi + shift), pa.array(at - lo)], names=["id", "th", "f", "whole", "lo", "hi", "rel"])
 
     runs = materialise(docs.select("id", "th", "text").mapInArrow(tidy(scan), f"id {kind}, th bigint, f bigint, whole bigint, lo bigint, hi bigint, rel bigint"), "runs")
-    often = runs.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f")
-    shared = materialise(runs.join(often, "f"), "shared")
-    kinds = materialise(shared.groupBy("f", "whole").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "lo", "hi", "rel")).alias("rep")), "kinds")
-    # runs that are equal throughout, of whatever number
+    # of each anchor: how many kinds of runs, and which kinds occur more than once; where these are few, they travel with the anchor
+    kinds = materialise(runs.groupBy("f", "whole").agg(F.count("*").alias("n")), "kinds")
+    by_anchor = kinds.groupBy("f").agg(F.sum("n").alias("runs"), F.count("*").alias("kinds"), F.count_if(F.col("n") > 1).alias("several")).where("runs > 1").drop("runs")
+    by_anchor = materialise(by_anchor, "anchors")
     several = kinds.where("n > 1").select("f", "whole")
-    found = shared.join(several, ["f", "whole"], "left_semi").select("id", "th", "lo", (F.col("hi") + p.width).alias("hi"))
+    few = several.join(by_anchor.where(F.col("several").between(1, _FEW)).select("f"), "f").groupBy("f").agg(F.collect_list("whole").alias("wholes"))
+    known = F.when(F.col("several") == 0, F.lit(False)).when(F.col("several") <= _FEW, F.array_contains("wholes", F.col("whole")))
+    shared = materialise(runs.join(by_anchor.join(few, "f", "left"), "f").withColumn("again", known).drop("wholes", "several"), "shared")
+    # runs that are equal throughout to others, of whatever number
+    found = shared.where("again").union(shared.where("again is null").join(several, ["f", "whole"], "left_semi").select(*shared.columns)).select("id", "th", "lo", (F.col("hi") + p.width).alias("hi"))
 
     # the strings of anchors with several kinds of runs, from one run of each kind
-    load = kinds.groupBy("f").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    mixed = kinds.join(load, "f")
+    mixed = materialise(shared.where("kinds > 1").groupBy("f", "whole").agg(F.count("*").alias("n"), F.max("kinds").alias("kinds"), F.min(F.struct("id", "th", "lo", "hi", "rel")).alias("rep")), "mixed")
     total = mixed.agg(F.sum(F.col("rep.hi") - F.col("rep.lo") + p.width)).first()[0] or 0
     if not total:
         return found
