@@ -126,7 +126,7 @@ def _parts(off: np.ndarray, width: int) -> Iterator[tuple[int, int, int, int]]:
 
 
 def repeated_spans(docs: DataFrame, p: RepeatParams) -> DataFrame:
-    """``(id, th, lo, hi)``: byte spans of repeated windows of ``docs(id, th, text)``; spans may overlap."""
+    """``(id, th, los, size)``: spans of ``size`` bytes from each of ``los``, of repeated windows of ``docs(id, th, text)``; spans may overlap."""
     kind = dict(docs.dtypes)["id"]
 
     def scan(batches):
@@ -136,13 +136,21 @@ def repeated_spans(docs: DataFrame, p: RepeatParams) -> DataFrame:
                 edges = np.clip(off[rlo : rhi + 1] - blo, 0, bhi - blo)
                 r, lo, hi, at, f, whole = anchors(buf[blo:bhi], edges, p.width, p.gram)
                 if len(r):
-                    shift = blo - off[rlo + r]
-                    pick = pa.array(r + rlo)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), pa.array(f.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(lo + shift), pa.array(hi + shift), pa.array(at - lo)], names=["id", "th", "f", "whole", "lo", "hi", "rel"])
-
-    runs = materialise(docs.select("id", "th", "text").mapInArrow(tidy(scan), f"id {kind}, th bigint, f bigint, whole bigint, lo bigint, hi bigint, rel bigint"), "runs")
+                    # runs that repeat within the part of a document, as in periodic text, travel as one row
+                    order = np.lexsort((lo, whole, f, r))
+                    r, lo, hi, at, f, whole = (x[order] for x in (r, lo, hi, at, f, whole))
+                    first = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (f[1:] != f[:-1]) | (whole[1:] != whole[:-1])])
+                    starts = lo + (blo - off[rlo + r])
+                    pick = pa.array(r[first] + rlo)
+                    lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(r)], pa.int32()), pa.array(starts))
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).take(pick), b.column(1).take(pick), pa.array(f[first].view(np.int64)), pa.array(whole[first].view(np.int64)), pa.array(np.diff(np.r_[first, len(r)])), pa.array(starts[first]), pa.array((hi - lo)[first] + p.width), pa.array((at - lo)[first]), lists],
+                        names=["id", "th", "f", "whole", "times", "lo", "size", "rel", "los"],
+                    )
+
+    runs = materialise(docs.select("id", "th", "text").mapInArrow(tidy(scan), f"id {kind}, th bigint, f bigint, whole bigint, times bigint, lo bigint, size bigint, rel bigint, los array<bigint>"), "runs")
     # of each anchor: how many kinds of runs, and which kinds occur more than once; where these are few, they travel with the anchor
-    kinds = materialise(runs.groupBy("f", "whole").agg(F.count("*").alias("n")), "kinds")
+    kinds = materialise(runs.groupBy("f", "whole").agg(F.sum("times").alias("n")), "kinds")
     by_anchor = kinds.groupBy("f").agg(F.sum("n").alias("runs"), F.count("*").alias("kinds"), F.count_if(F.col("n") > 1).alias("several")).where("runs > 1").drop("runs")
     by_anchor = materialise(by_anchor, "anchors")
     several = kinds.where("n > 1").select("f", "whole")
@@ -150,16 +158,16 @@ def repeated_spans(docs: DataFrame, p: RepeatParams) -> DataFrame:
     known = F.when(F.col("several") == 0, F.lit(False)).when(F.col("several") <= _FEW, F.array_contains("wholes", F.col("whole")))
     shared = materialise(runs.join(by_anchor.join(few, "f", "left"), "f").withColumn("again", known).drop("wholes", "several"), "shared")
     # runs that are equal throughout to others, of whatever number
-    found = shared.where("again").union(shared.where("again is null").join(several, ["f", "whole"], "left_semi").select(*shared.columns)).select("id", "th", "lo", (F.col("hi") + p.width).alias("hi"))
+    found = shared.where("again").union(shared.where("again is null").join(several, ["f", "whole"], "left_semi").select(*shared.columns)).select("id", "th", "los", "size")
 
     # the strings of anchors with several kinds of runs, from one run of each kind
-    mixed = materialise(shared.where("kinds > 1").groupBy("f", "whole").agg(F.count("*").alias("n"), F.max("kinds").alias("kinds"), F.min(F.struct("id", "th", "lo", "hi", "rel")).alias("rep")), "mixed")
-    total = mixed.agg(F.sum(F.col("rep.hi") - F.col("rep.lo") + p.width)).first()[0] or 0
+    mixed = materialise(shared.where("kinds > 1").groupBy("f", "whole").agg(F.sum("times").alias("n"), F.max("kinds").alias("kinds"), F.min(F.struct("id", "th", "lo", "size", "rel")).alias("rep")), "mixed")
+    total = mixed.agg(F.sum("rep.size")).first()[0] or 0
     if not total:
         return found
     shards = max(1, -(-int(total) // p.shard_bytes))
     wanted = mixed.select("f", "whole", "n", F.ceil(F.col("kinds") / p.shard_runs).alias("subs"), "rep.*")
-    lists = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("f", "whole", "n", "subs", "lo", "hi", "rel")).alias("runs"))
+    lists = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("f", "whole", "n", "subs", "lo", "size", "rel")).alias("runs"))
     joined = docs.alias("d").join(lists.alias("l"), F.col("d.id").eqNullSafe(F.col("l.id")) & (F.col("d.th") == F.col("l.th"))).select("d.id", "d.th", "d.text", "l.runs").dropDuplicates(["id", "th"])
 
     def cut(batches):
@@ -168,14 +176,14 @@ def repeated_spans(docs: DataFrame, p: RepeatParams) -> DataFrame:
                 data = b.column(2)[k].as_py().encode()
                 got = b.column(3)[k].as_py()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b.column(0)[k]] * len(got), b.schema.field(0).type), pa.array([b.column(1)[k].as_py()] * len(got), pa.int64()), *[pa.array([g[c] for g in got], pa.int64()) for c in ("f", "whole", "n", "subs", "lo", "hi", "rel")], pa.array([data[g["lo"] : g["hi"] + p.width] for g in got], pa.binary())],
-                    names=["id", "th", "f", "whole", "n", "subs", "lo", "hi", "rel", "bytes"],
+                    [pa.array([b.column(0)[k]] * len(got), b.schema.field(0).type), pa.array([b.column(1)[k].as_py()] * len(got), pa.int64()), *[pa.array([g[c] for g in got], pa.int64()) for c in ("f", "whole", "n", "subs", "lo", "rel")], pa.array([data[g["lo"] : g["lo"] + g["size"]] for g in got], pa.binary())],
+                    names=["id", "th", "f", "whole", "n", "subs", "lo", "rel", "bytes"],
                 )
 
-    strings = joined.mapInArrow(tidy(cut), f"id {kind}, th bigint, f bigint, whole bigint, n bigint, subs bigint, lo bigint, hi bigint, rel bigint, bytes binary")
+    strings = joined.mapInArrow(tidy(cut), f"id {kind}, th bigint, f bigint, whole bigint, n bigint, subs bigint, lo bigint, rel bigint, bytes binary")
     # shard of an anchor; an anchor of too many runs has shards of its own, numbered below zero
     shard = F.when(F.col("subs") > 1, F.lit(-1) - F.pmod(F.xxhash64("f", F.pmod(F.xxhash64("whole"), "subs")), F.lit(1 << 40))).otherwise(F.pmod(F.xxhash64("f"), F.lit(shards)))
-    strings = materialise(strings.select(shard.cast("long").alias("shard"), "f", "id", "th", "n", "lo", "hi", "rel", "bytes"), "strings")
+    strings = materialise(strings.select(shard.cast("long").alias("shard"), "f", "id", "th", "n", "lo", "rel", "bytes"), "strings")
 
     def windows_of(t: pa.Table, where: list[np.ndarray]):
         """Spans (of single runs) for the window starts that are marked."""
@@ -187,9 +195,9 @@ def repeated_spans(docs: DataFrame, p: RepeatParams) -> DataFrame:
             edge = np.flatnonzero(np.diff(np.r_[False, mark, False].astype(np.int8)))
             rows += [i] * (len(edge) // 2)
             a += (edge[::2] + lo[i]).tolist()
-            z += (edge[1::2] - 1 + lo[i] + p.width).tolist()
+            z += (edge[1::2] - 1 - edge[::2] + p.width).tolist()
         pick = pa.array(rows, pa.int64())
-        for part in pa.table([t.column("id").take(pick), t.column("th").take(pick), pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["id", "th", "lo", "hi"]).to_batches():
+        for part in pa.table([t.column("id").take(pick), t.column("th").take(pick), pa.array([[x] for x in a], pa.list_(pa.int64())), pa.array(z, pa.int64())], names=["id", "th", "los", "size"]).to_batches():
             yield part
 
     def search(batches):
@@ -197,7 +205,7 @@ def repeated_spans(docs: DataFrame, p: RepeatParams) -> DataFrame:
             yield from windows_of(t, repeated_around(t.column("bytes").to_pylist(), t.column("f").to_pylist(), t.column("rel").to_pylist(), p.width))
 
     parts = strings.repartition("shard").sortWithinPartitions("shard")
-    found = found.union(parts.mapInArrow(tidy(search), f"id {kind}, th bigint, lo bigint, hi bigint"))
+    found = found.union(parts.mapInArrow(tidy(search), f"id {kind}, th bigint, los array<bigint>, size bigint"))
     hot = strings.where("shard < 0")
     if hot.isEmpty():
         return found
@@ -243,7 +251,7 @@ def repeated_spans(docs: DataFrame, p: RepeatParams) -> DataFrame:
                 yield from windows_of(t, [np.isin(w, keys) for w in window_keys(t.column("bytes").to_pylist(), t.column("f").to_pylist())])
 
     # each sub-shard's common keys are at most ``ranges`` lists of keys of its own windows
-    again = hot.join(common, "shard").select("f", "id", "th", "n", "lo", "hi", "bytes", "keys").mapInArrow(tidy(mark), f"id {kind}, th bigint, lo bigint, hi bigint")
+    again = hot.join(common, "shard").select("f", "id", "th", "n", "lo", "bytes", "keys").mapInArrow(tidy(mark), f"id {kind}, th bigint, los array<bigint>, size bigint")
     return found.union(again)
 
 
@@ -254,7 +262,7 @@ def cut_repeats(documents: DataFrame, carry: list[str], params: RepeatParams = R
     A null text is the empty one. Repeated rows are documents of their own, so they lose all that is long enough.
     """
     docs = documents.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
-    spans = repeated_spans(docs, params).groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = repeated_spans(docs, params).groupBy("id", "th").agg(F.collect_list(F.struct("los", "size")).alias("spans"))
     base = documents.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"), F.struct(*[F.col(c) for c in carry]).alias("_d")).withColumn("_th", F.xxhash64("_text"))
     both = base.join(spans, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th")), "left").select(*[F.col("_d")[c].alias(c) for c in carry], "_text", "spans")
     types = dict(documents.dtypes)
@@ -269,7 +277,7 @@ def cut_repeats(documents: DataFrame, carry: list[str], params: RepeatParams = R
                     data = (texts[k].as_py() or "").encode()
                     rest, at, m, r = [], 0, 0, 0
                     end = -1
-                    for s in sorted((x["lo"], x["hi"]) for x in spans[k].as_py() or ()):
+                    for s in sorted({(lo_, lo_ + x["size"]) for x in spans[k].as_py() or () for lo_ in x["los"]}):
                         if s[0] > end:
                             m += 1
                             rest.append(data[at : s[0]])
