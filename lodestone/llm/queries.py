@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, lm, mixing, ngram_join, packing, quality, repeats, toxicity, training_order
+from . import ann, embedding_dedup, lm, mixing, ngram_join, packing, quality, repeats, stages, toxicity, training_order
 from .shared import crc_mod
 
 
@@ -89,7 +88,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "pipeline": corpus_pipeline.run,
+        "pipeline": stages.run,
         "op1_toxicity": op1_toxicity,
         "op2_mixing": op2_mixing,
         "op3_quality": op3_quality,
@@ -104,4 +103,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op2_mixing": OP2_SQL}

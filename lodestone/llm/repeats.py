@@ -1,23 +1,23 @@
-"""Removal of repeated passages: every byte covered by a ``width``-byte string that also starts elsewhere.
+"""Removal of repeated passages: everything covered by a string of ``width`` symbols that also starts elsewhere.
 
-Per-shard suffix arrays decide which windows repeat; the steps around them keep the shards small and
-independent of each other.
+Symbols are bytes or words. Suffix arrays of shards decide which windows repeat; the steps around them
+keep the shards small and independent of each other.
 
-1. Each window of ``width`` bytes has an anchor: the position of the least ``gram``-byte hash within it,
+1. Each window of ``width`` symbols has an anchor: the position of the least ``gram``-symbol hash within it,
    the leftmost of equals. Equal windows have equal anchor strings at equal offsets. Consecutive windows with one
-   anchor form a run; it is described by the anchor's hash and a hash of all bytes that its windows cover.
-2. Anchors that occur once in the corpus can't hold a repeated window. Where all runs of an anchor, or
-   at least two of them, are equal throughout, their windows repeat; this settles exact copies of
-   any number without comparing texts.
-3. The runs left have an anchor that others share with other surroundings. One string of each such
-   run goes to the shard of its anchor. What it shares there with no other string is cut off; a suffix array (Larsson-Sadakane) and
-   common prefixes (Kasai) tell which of its windows start elsewhere in the shard.
-4. An anchor with more runs than a shard takes is dealt to several shards. Each hands on the sorted
-   keys of its distinct windows, cut into ranges; the ranges of all shards are merged by binary search, and the keys
-   found in several shards go back to them.
+   anchor form a run. Anchors that occur once in the corpus can't hold a repeated window.
+2. Runs of one anchor with one 128-bit digest of all that their windows cover are of one kind. Of a kind
+   with several runs, two go to a shard; neighbouring runs that pair the same two places travel as one
+   passage, so that nothing is sent twice. There a suffix array (Larsson-Sadakane) and common
+   prefixes (Kasai) tell whether their windows start elsewhere; the other runs of a kind follow the two.
+3. Of an anchor with several kinds, one string of each kind goes to the shard of the anchor. What it
+   shares there with no other string is cut off; suffix array and common prefixes tell the repeated windows.
+4. An anchor with more kinds than a shard takes is dealt to several shards. Each hands on the sorted keys of
+   its distinct windows, cut into as many ranges as the anchor has shards; a range's lists are merged by
+   binary search, and the keys found in several shards go back to them.
 
 Matches never cross documents; strings are judged on the input. A document is taken in steps of about a
-megabyte, so its length doesn't bound what it needs of memory.
+million symbols, so its length doesn't bound what a step needs of memory. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,13 +27,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .collide import key_groups
-from .shared import materialise, text_or_empty, tidy
-from .suffixes import repeated_around
+from .shared import discard, materialise, text_or_empty, tidy
+from .suffixes import repeated_around, repeated_starts
 
 _STEP = 1 << 20
 #: An odd base and its inverse modulo 2**64 make hashes of equal strings equal wherever they stand.
@@ -41,18 +43,23 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPREAD = np.random.Generator(np.random.PCG64(77)).integers(0, 1 << 64, 256, dtype=np.uint64)
 _powers: dict[int, np.ndarray] = {}
-#: An anchor carries the hashes of at most so many repeated kinds of runs; beyond, runs are joined with them.
+#: An anchor carries the digests of at most so many repeated kinds of runs; beyond, runs are joined with them.
 _FEW = 64
 
 
 @dataclass(frozen=True)
 class RepeatParams:
-    """``shard_bytes`` and ``shard_runs`` bound what one suffix array takes."""
+    """``unit`` is "byte" or "word"; ``width`` and ``gram`` count such symbols.
+
+    ``shard_bytes`` and ``shard_runs`` bound what one suffix array takes, ``passage`` how many symbols travel as one string.
+    """
 
     width: int = 400
     gram: int = 64
+    unit: str = "byte"
     shard_bytes: int = 2 << 20
     shard_runs: int = 3000
+    passage: int = 4096
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -64,30 +71,40 @@ def _power(base: int, n: int) -> np.ndarray:
 
 
 class Hashes:
-    """Hashes of any substring of a buffer, in constant time each."""
+    """Hashes of any substring of a buffer of symbols (bytes, or 64-bit hashes of words), in constant time each."""
 
-    def __init__(self, buf: np.ndarray):
-        self.n = len(buf)
-        self.sum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_SPREAD[buf] * _power(_BASE, self.n), dtype=np.uint64)])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return tk.mix((self.sum[end] - self.sum[start]) * _power(_INVERSE, self.n + 1)[start] + (end - start).astype(np.uint64))
+    def __init__(self, symbols: np.ndarray):
+        self.n = len(symbols)
+        values = _SPREAD[symbols] if symbols.dtype == np.uint8 else symbols
+        self.sum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * _power(_BASE, self.n), dtype=np.uint64)])
 
     def grams(self, k: int) -> np.ndarray:
         m = max(0, self.n - k + 1)
         return tk.mix((self.sum[k : k + m] - self.sum[:m]) * _power(_INVERSE, m))
 
 
-def anchors(buf: np.ndarray, off: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows: row, first and last start, anchor position (all within ``buf``), anchor hash, hash of all bytes."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    n = len(buf)
+def symbols_of(column, unit: str) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of a text column and each row's offset among them."""
+    buf, off = tk.utf8(column)
+    if unit == "byte":
+        return buf, off
+    hashes, sizes = [], []
+    for lo, hi in tk.slices(off):
+        h, row = tk.words(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], lower=False)
+        hashes.append(h)
+        sizes.append(np.bincount(row, minlength=hi - lo))
+    return np.concatenate([np.zeros(0, np.uint64), *hashes]), np.r_[0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))].astype(np.int64)
+
+
+def anchors(symbols: np.ndarray, off: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows: row, first and last start, anchor position (all within ``symbols``), anchor hash, digest of all they cover [runs, 2]."""
+    n = len(symbols)
+    none = (*(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64)), np.zeros((0, 2), np.int64))
     if n < width:
         return none
-    hashes = Hashes(buf)
     bits = max(1, int(n).bit_length())
     low = np.uint64((1 << bits) - 1)
-    g = hashes.grams(gram)
+    g = Hashes(symbols).grams(gram)
     ranked = (g & ~low) | np.arange(len(g), dtype=np.uint64)
     # least value in each span of grams: the end of one block and the beginning of the next cover any span
     span = width - gram + 1
@@ -109,8 +126,10 @@ def anchors(buf: np.ndarray, off: np.ndarray, width: int, gram: int) -> tuple[np
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(at)] - 1
     lo, hi, p = at[first], at[last], a[first]
-    whole = tk.pair(hashes.of(lo, hi + width), (p - lo).astype(np.uint64))
-    return r[first], lo, hi, p, g[p], whole
+    data = memoryview(np.ascontiguousarray(symbols)).cast("B")
+    unit = symbols.itemsize
+    digest = b"".join([xxhash.xxh3_128_digest(data[s:e], seed=k) for s, e, k in zip((lo * unit).tolist(), ((hi + width) * unit).tolist(), (p - lo).tolist(), strict=True)])
+    return r[first], lo, hi, p, g[p], np.frombuffer(digest, np.int64).reshape(-1, 2)
 
 
 def _parts(off: np.ndarray, width: int) -> Iterator[tuple[int, int, int, int]]:
@@ -125,65 +144,134 @@ def _parts(off: np.ndarray, width: int) -> Iterator[tuple[int, int, int, int]]:
             yield lo, hi, int(off[lo]), int(off[hi])
 
 
+def _strings(t: pa.Table, unit: str) -> list[np.ndarray]:
+    """The strings of a shard: bytes, or for words their ranks within the shard."""
+    if unit == "byte":
+        return [np.frombuffer(x, np.uint8) for x in t.column("symbols").to_pylist()]
+    words = [np.frombuffer(x, np.uint64) for x in t.column("symbols").to_pylist()]
+    ranks = np.unique(np.concatenate(words), return_inverse=True)[1].astype(np.uint32)
+    return np.split(ranks, np.cumsum([len(w) for w in words])[:-1])
+
+
+def _spans(ids: pa.Array, ths: pa.Array, at: list[int], a: list[int], size: list[int]) -> Iterator[pa.RecordBatch]:
+    pick = pa.array(at, pa.int64())
+    yield from pa.table([ids.take(pick), ths.take(pick), pa.array([[x] for x in a], pa.list_(pa.int64())), pa.array(size, pa.int64())], names=["id", "th", "los", "size"]).to_batches()
+
+
+def _passages(role: np.ndarray, other: np.ndarray, shift: np.ndarray, lo: np.ndarray, follow: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-last run of each passage: sorted runs that pair the same two places one after another, split about every ``most`` symbols.
+
+    ``follow`` is where a run's successor begins. Both places split alike.
+    """
+    if not len(role):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    apart = (role[1:] != role[:-1]) | (other[1:] != other[:-1]) | (shift[1:] != shift[:-1]) | (lo[1:] != follow[:-1])
+    head = np.flatnonzero(np.r_[True, apart])
+    piece = (lo - np.repeat(lo[head], np.diff(np.r_[head, len(role)]))) // most
+    head = np.flatnonzero(np.r_[True, apart | (piece[1:] != piece[:-1])])
+    return head, np.r_[head[1:], len(role)]
+
+
 def repeated_spans(docs: DataFrame, p: RepeatParams) -> DataFrame:
-    """``(id, th, los, size)``: spans of ``size`` bytes from each of ``los``, of repeated windows of ``docs(id, th, text)``; spans may overlap."""
+    """``(id, th, los, size)``: spans of ``size`` symbols from each of ``los``, of repeated windows of ``docs(id, th, text)``; spans may overlap."""
     kind = dict(docs.dtypes)["id"]
+    spans = f"id {kind}, th bigint, los array<bigint>, size bigint"
+    width, unit = p.width, p.unit
 
     def scan(batches):
         for b in batches:
-            buf, off = tk.utf8(b.column(2))
-            for rlo, rhi, blo, bhi in _parts(off, p.width):
+            sym, off = symbols_of(b.column(2), unit)
+            for rlo, rhi, blo, bhi in _parts(off, width):
                 edges = np.clip(off[rlo : rhi + 1] - blo, 0, bhi - blo)
-                r, lo, hi, at, f, whole = anchors(buf[blo:bhi], edges, p.width, p.gram)
+                r, lo, hi, at, f, w = anchors(sym[blo:bhi], edges, width, p.gram)
                 if len(r):
                     # runs that repeat within the part of a document, as in periodic text, travel as one row
-                    order = np.lexsort((lo, whole, f, r))
-                    r, lo, hi, at, f, whole = (x[order] for x in (r, lo, hi, at, f, whole))
-                    first = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (f[1:] != f[:-1]) | (whole[1:] != whole[:-1])])
+                    order = np.lexsort((lo, w[:, 1], w[:, 0], f, r))
+                    r, lo, hi, at, f, w = (x[order] for x in (r, lo, hi, at, f, w))
+                    first = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (f[1:] != f[:-1]) | (w[1:] != w[:-1]).any(axis=1)])
                     starts = lo + (blo - off[rlo + r])
                     pick = pa.array(r[first] + rlo)
                     lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(r)], pa.int32()), pa.array(starts))
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(pick), b.column(1).take(pick), pa.array(f[first].view(np.int64)), pa.array(whole[first].view(np.int64)), pa.array(np.diff(np.r_[first, len(r)])), pa.array(starts[first]), pa.array((hi - lo)[first] + p.width), pa.array((at - lo)[first]), lists],
-                        names=["id", "th", "f", "whole", "times", "lo", "size", "rel", "los"],
+                        [b.column(0).take(pick), b.column(1).take(pick), pa.array(f[first].view(np.int64)), *(pa.array(np.ascontiguousarray(w[first, k])) for k in (0, 1)), pa.array((hi - lo)[first] + width), pa.array((at - lo)[first]), lists],
+                        names=["id", "th", "f", "w1", "w2", "size", "rel", "los"],
                     )
 
-    runs = materialise(docs.select("id", "th", "text").mapInArrow(tidy(scan), f"id {kind}, th bigint, f bigint, whole bigint, times bigint, lo bigint, size bigint, rel bigint, los array<bigint>"), "runs")
-    # of each anchor: how many kinds of runs, and which kinds occur more than once; where these are few, they travel with the anchor
-    kinds = materialise(runs.groupBy("f", "whole").agg(F.sum("times").alias("n")), "kinds")
-    by_anchor = kinds.groupBy("f").agg(F.sum("n").alias("runs"), F.count("*").alias("kinds"), F.count_if(F.col("n") > 1).alias("several")).where("runs > 1").drop("runs")
-    by_anchor = materialise(by_anchor, "anchors")
-    several = kinds.where("n > 1").select("f", "whole")
-    few = several.join(by_anchor.where(F.col("several").between(1, _FEW)).select("f"), "f").groupBy("f").agg(F.collect_list("whole").alias("wholes"))
-    known = F.when(F.col("several") == 0, F.lit(False)).when(F.col("several") <= _FEW, F.array_contains("wholes", F.col("whole")))
-    shared = materialise(runs.join(by_anchor.join(few, "f", "left"), "f").withColumn("again", known).drop("wholes", "several"), "shared")
-    # runs that are equal throughout to others, of whatever number
-    found = shared.where("again").union(shared.where("again is null").join(several, ["f", "whole"], "left_semi").select(*shared.columns)).select("id", "th", "los", "size")
-
-    # the strings of anchors with several kinds of runs, from one run of each kind
-    mixed = materialise(shared.where("kinds > 1").groupBy("f", "whole").agg(F.sum("times").alias("n"), F.max("kinds").alias("kinds"), F.min(F.struct("id", "th", "lo", "size", "rel")).alias("rep")), "mixed")
-    total = mixed.agg(F.sum("rep.size")).first()[0] or 0
+    runs = materialise(docs.select("id", "th", "text").mapInArrow(tidy(scan), f"id {kind}, th bigint, f bigint, w1 bigint, w2 bigint, size bigint, rel bigint, los array<bigint>"), "runs")
+    # kinds of runs of the anchors that occur more than once: how many runs, the first and the last of them
+    place = lambda lo: F.struct("id", "th", lo.alias("lo"), "size", "rel")
+    every = runs.groupBy("f", "w1", "w2").agg(F.sum(F.size("los")).alias("n"), F.min(place(F.element_at("los", 1))).alias("one"), F.max(place(F.element_at("los", -1))).alias("two"))
+    often = runs.groupBy("f").agg(F.sum(F.size("los")).alias("_n")).where("_n > 1").select("f")
+    kinds = materialise(every.join(often, "f", "left_semi"), "kinds")
+    several = kinds.groupBy("f").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    total, both = kinds.agg(F.sum("one.size"), F.sum(F.when(F.col("n") > 1, F.col("one.size") - width + 1))).first()
     if not total:
-        return found
-    shards = max(1, -(-int(total) // p.shard_bytes))
-    wanted = mixed.select("f", "whole", "n", F.ceil(F.col("kinds") / p.shard_runs).alias("subs"), "rep.*")
-    lists = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("f", "whole", "n", "subs", "lo", "size", "rel")).alias("runs"))
+        return runs.select("id", "th", "los", "size").limit(0)
+    symbol = 1 if unit == "byte" else 8
+    shards = max(1, -(-int(total) * symbol // p.shard_bytes))
+    pair_shards = max(1, -(-int(both or 0) * 3 * symbol // p.shard_bytes))
+
+    # what each document hands to the shards: its runs that stand for a kind, and those that prove that a kind repeats
+    alone = kinds.join(several, "f").select(F.col("one.*"), F.lit(0).alias("role"), "f", "w1", "w2", "n", F.ceil(F.col("kinds") / p.shard_runs).alias("subs"), F.lit(None).cast("long").alias("other"), F.lit(None).cast("long").alias("other_lo"))
+    twice = kinds.where("n > 1")
+
+    def proof(own: str, other: str, role: int) -> DataFrame:
+        return twice.select(F.col(f"{own}.*"), F.lit(role).alias("role"), "f", "w1", "w2", "n", F.lit(1).cast("long").alias("subs"), F.xxhash64(f"{other}.id", f"{other}.th").alias("other"), F.col(f"{other}.lo").alias("other_lo"))
+
+    fields = ("role", "other", "lo", "other_lo", "f", "w1", "w2", "n", "subs", "size", "rel")
+    wanted = alone.unionByName(proof("one", "two", 1)).unionByName(proof("two", "one", 2))
+    lists = wanted.groupBy("id", "th").agg(F.collect_list(F.struct(*fields)).alias("runs"))
     joined = docs.alias("d").join(lists.alias("l"), F.col("d.id").eqNullSafe(F.col("l.id")) & (F.col("d.th") == F.col("l.th"))).select("d.id", "d.th", "d.text", "l.runs").dropDuplicates(["id", "th"])
 
     def cut(batches):
         for b in batches:
             for k in range(b.num_rows):
-                data = b.column(2)[k].as_py().encode()
-                got = b.column(3)[k].as_py()
+                sym, _ = symbols_of(b.column(2).slice(k, 1), unit)
+                c = {name: x.to_numpy(zero_copy_only=False) for name, x in zip(fields, b.column(3).slice(k, 1).flatten().flatten(), strict=True)}
+                end = c["lo"] + c["size"]
+                single = np.flatnonzero(c["role"] == 0)
+                pair = np.flatnonzero(c["role"] > 0)
+                shift = c["other_lo"] - c["lo"]
+                pair = pair[np.lexsort((c["lo"][pair], shift[pair], c["other"][pair], c["role"][pair]))]
+                head, tail = _passages(c["role"][pair], c["other"][pair], shift[pair], c["lo"][pair], end[pair] - width + 1, p.passage)
+                first, last = np.r_[single, pair[head]].astype(np.int64), np.r_[single, pair[tail - 1]].astype(np.int64)
+                members = [[]] * len(single) + [pair[a:z] if c["role"][pair[a]] == 1 else [] for a, z in zip(head, tail, strict=True)]
+                m = len(first)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b.column(0)[k]] * len(got), b.schema.field(0).type), pa.array([b.column(1)[k].as_py()] * len(got), pa.int64()), *[pa.array([g[c] for g in got], pa.int64()) for c in ("f", "whole", "n", "subs", "lo", "rel")], pa.array([data[g["lo"] : g["lo"] + g["size"]] for g in got], pa.binary())],
-                    names=["id", "th", "f", "whole", "n", "subs", "lo", "rel", "bytes"],
+                    [pa.array([b.column(0)[k]] * m, b.schema.field(0).type), pa.array([b.column(1)[k].as_py()] * m, pa.int64()), *(pa.array(c[name][first], pa.int64()) for name in ("role", "f", "w1", "n", "subs", "lo", "rel")), pa.array([sym[a:z].tobytes() for a, z in zip(c["lo"][first], end[last], strict=True)], pa.binary()), *(pa.array([value[x].tolist() if len(x) else [] for x in members], pa.list_(pa.int64())) for value in (c["f"], c["w1"], c["w2"], c["lo"], end))],
+                    names=["id", "th", "role", "f", "w1", "n", "subs", "lo", "rel", "symbols", "fs", "w1s", "w2s", "los", "ends"],
                 )
 
-    strings = joined.mapInArrow(tidy(cut), f"id {kind}, th bigint, f bigint, whole bigint, n bigint, subs bigint, lo bigint, rel bigint, bytes binary")
-    # shard of an anchor; an anchor of too many runs has shards of its own, numbered below zero
-    shard = F.when(F.col("subs") > 1, F.lit(-1) - F.pmod(F.xxhash64("f", F.pmod(F.xxhash64("whole"), "subs")), F.lit(1 << 40))).otherwise(F.pmod(F.xxhash64("f"), F.lit(shards)))
-    strings = materialise(strings.select(shard.cast("long").alias("shard"), "f", "id", "th", "n", "lo", "rel", "bytes"), "strings")
+    lists_of = ", ".join(f"{x} array<bigint>" for x in ("fs", "w1s", "w2s", "los", "ends"))
+    strings = joined.mapInArrow(tidy(cut), f"id {kind}, th bigint, role bigint, f bigint, w1 bigint, n bigint, subs bigint, lo bigint, rel bigint, symbols binary, {lists_of}")
+    # the shard of an anchor or of a passage's first run; an anchor of too many kinds has shards of its own, numbered below zero
+    own = F.when(F.col("role") > 0, F.lit(shards) + F.pmod(F.xxhash64("f", "w1"), F.lit(pair_shards)))
+    own = own.when(F.col("subs") > 1, F.lit(-1) - F.pmod(F.xxhash64("f", F.pmod(F.xxhash64("w1"), "subs")), F.lit(1 << 62))).otherwise(F.pmod(F.xxhash64("f"), F.lit(shards)))
+    strings = materialise(strings.withColumn("shard", own.cast("long")).drop("role", "w1"), "strings")
+    singles = strings.where(f"shard < {shards}").select("shard", "f", "id", "th", "n", "subs", "lo", "rel", "symbols")
+
+    def prove(batches):
+        """The kinds whose windows all start elsewhere in the shard."""
+        for t in key_groups(batches, 1):
+            marks = repeated_starts(_strings(t, unit), width)
+            got = [[], [], []]
+            for i, (lo, los, ends) in enumerate(zip(*(t.column(x).to_pylist() for x in ("lo", "los", "ends")), strict=True)):
+                ok = [k for k, (a, z) in enumerate(zip(los, ends, strict=True)) if marks[i][a - lo : z - lo - width + 1].all()]
+                for x, name in zip(got, ("fs", "w1s", "w2s"), strict=True):
+                    values = t.column(name)[i].as_py()
+                    x += [values[k] for k in ok]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in got], names=["f", "w1", "w2"])
+
+    passages = strings.where(f"shard >= {shards}").select("shard", "lo", "symbols", "fs", "w1s", "w2s", "los", "ends")
+    proven = passages.repartition("shard").sortWithinPartitions("shard").mapInArrow(tidy(prove), "f bigint, w1 bigint, w2 bigint")
+    proven = materialise(proven.distinct(), "proven")
+    discard(kinds)
+    # all runs of the proven kinds; where an anchor has few of these, they travel with it
+    by_anchor = proven.groupBy("f").agg(F.count("*").alias("several"))
+    few = proven.join(by_anchor.where(F.col("several") <= _FEW), "f").groupBy("f").agg(F.collect_list(F.struct("w1", "w2")).alias("kinds"))
+    with_few = runs.join(few, "f").where(F.array_contains("kinds", F.struct("w1", "w2"))).select("id", "th", "los", "size")
+    many = proven.join(by_anchor.where(F.col("several") > _FEW), "f", "left_semi")
+    found = with_few.union(runs.join(many, ["f", "w1", "w2"], "left_semi").select("id", "th", "los", "size"))
 
     def windows_of(t: pa.Table, where: list[np.ndarray]):
         """Spans (of single runs) for the window starts that are marked."""
@@ -195,74 +283,90 @@ def repeated_spans(docs: DataFrame, p: RepeatParams) -> DataFrame:
             edge = np.flatnonzero(np.diff(np.r_[False, mark, False].astype(np.int8)))
             rows += [i] * (len(edge) // 2)
             a += (edge[::2] + lo[i]).tolist()
-            z += (edge[1::2] - 1 - edge[::2] + p.width).tolist()
-        pick = pa.array(rows, pa.int64())
-        for part in pa.table([t.column("id").take(pick), t.column("th").take(pick), pa.array([[x] for x in a], pa.list_(pa.int64())), pa.array(z, pa.int64())], names=["id", "th", "los", "size"]).to_batches():
-            yield part
+            z += (edge[1::2] - 1 - edge[::2] + width).tolist()
+        yield from _spans(t.column("id"), t.column("th"), rows, a, z)
 
     def search(batches):
         for t in key_groups(batches, 1):
-            yield from windows_of(t, repeated_around(t.column("bytes").to_pylist(), t.column("f").to_pylist(), t.column("rel").to_pylist(), p.width))
+            yield from windows_of(t, repeated_around(_strings(t, unit), t.column("f").to_pylist(), t.column("rel").to_pylist(), width))
 
-    parts = strings.repartition("shard").sortWithinPartitions("shard")
-    found = found.union(parts.mapInArrow(tidy(search), f"id {kind}, th bigint, los array<bigint>, size bigint"))
-    hot = strings.where("shard < 0")
+    parts = singles.repartition("shard").sortWithinPartitions("shard")
+    found = found.union(parts.mapInArrow(tidy(search), spans))
+    hot = singles.where("shard < 0")
     if hot.isEmpty():
         return found
 
     # across the shards of one anchor: sorted window keys, cut into ranges and merged by binary search
-    ranges = 16  # of the 64-bit keys, by their leading four bits
-
-    def window_keys(strings: list[bytes], f: list[int]) -> list[np.ndarray]:
-        buf = np.frombuffer(b"".join(strings), np.uint8)
+    def window_keys(t: pa.Table) -> list[np.ndarray]:
+        strings = [np.frombuffer(x, np.uint8 if unit == "byte" else np.uint64) for x in t.column("symbols").to_pylist()]
         size = np.array([len(s) for s in strings])
         at = np.cumsum(size) - size
-        every = Hashes(buf).grams(p.width)
-        return [tk.pair(every[a : a + n - p.width + 1], np.full(n - p.width + 1, np.int64(x)).view(np.uint64)) for a, n, x in zip(at, size, f, strict=True)]
+        grams = Hashes(np.concatenate(strings)).grams(width)
+        return [grams[a : a + n - width + 1] for a, n in zip(at, size, strict=True)]
 
     def hand_on(batches):
         for t in key_groups(batches, 1):
-            keys = np.unique(np.concatenate(window_keys(t.column("bytes").to_pylist(), t.column("f").to_pylist())))
-            cuts = np.r_[np.searchsorted(keys, np.arange(ranges, dtype=np.uint64) << np.uint64(60)), len(keys)]
-            shard = t.column("shard")[0].as_py()
-            f = t.column("f")[0].as_py()
-            for k in range(ranges):
-                if cuts[k] < cuts[k + 1]:
-                    yield pa.RecordBatch.from_arrays([pa.array([f]), pa.array([k]), pa.array([shard]), pa.array([keys[cuts[k] : cuts[k + 1]].tobytes()], pa.binary())], names=["f", "range", "shard", "keys"])
+            keys = np.unique(np.concatenate(window_keys(t)))
+            ranges = t.column("subs")[0].as_py()
+            cuts = np.searchsorted(keys, np.array([(k << 64) // ranges for k in range(ranges)], np.uint64))
+            cuts = np.r_[cuts, len(keys)]
+            f, shard = t.column("f")[0].as_py(), t.column("shard")[0].as_py()
+            for k in np.flatnonzero(np.diff(cuts)):
+                yield pa.RecordBatch.from_arrays([pa.array([f]), pa.array([k]), pa.array([shard]), pa.array([keys[cuts[k] : cuts[k + 1]].tobytes()], pa.binary())], names=["f", "range", "shard", "keys"])
 
     def merge(batches):
         for t in key_groups(batches, 2):
             lists = [np.frombuffer(x, np.uint64) for x in t.column("keys").to_pylist()]
-            every = np.sort(np.concatenate(lists))
+            all_keys = np.sort(np.concatenate(lists))
             for shard, own in zip(t.column("shard").to_pylist(), lists, strict=True):
-                common = own[np.searchsorted(every, own, "right") - np.searchsorted(every, own, "left") > 1]
+                common = own[np.searchsorted(all_keys, own, "right") - np.searchsorted(all_keys, own, "left") > 1]
                 if len(common):
                     yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([common.tobytes()], pa.binary())], names=["shard", "keys"])
 
+    def mark(batches):
+        """Each shard's strings, after the rows (of no ``subs``) that hold the keys it shares."""
+        for t in key_groups(batches, 1):
+            keys = t.filter(pc.equal(t.column("subs"), 0))
+            if keys.num_rows and keys.num_rows < t.num_rows:
+                shared = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in keys.column("symbols").to_pylist()]))
+                own = t.filter(pc.greater(t.column("subs"), 0))
+                yield from windows_of(own, [np.isin(w, shared) for w in window_keys(own)])
+
     handed = hot.repartition("shard").sortWithinPartitions("shard").mapInArrow(tidy(hand_on), "f bigint, range bigint, shard bigint, keys binary")
     common = handed.repartition("f", "range").sortWithinPartitions("f", "range").mapInArrow(tidy(merge), "shard bigint, keys binary")
-    common = common.groupBy("shard").agg(F.collect_list("keys").alias("keys"))
+    common = common.select("shard", F.lit(0).cast("long").alias("subs"), F.col("keys").alias("symbols"))
+    again = hot.unionByName(common, allowMissingColumns=True).repartition("shard").sortWithinPartitions("shard")
+    return found.union(again.mapInArrow(tidy(mark), spans))
 
-    def mark(batches):
-        for b in batches:
-            for k in range(b.num_rows):
-                t = pa.Table.from_batches([b.slice(k, 1)])
-                keys = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in b.column("keys")[k].as_py()]))
-                yield from windows_of(t, [np.isin(w, keys) for w in window_keys(t.column("bytes").to_pylist(), t.column("f").to_pylist())])
 
-    # each sub-shard's common keys are at most ``ranges`` lists of keys of its own windows
-    again = hot.join(common, "shard").select("f", "id", "th", "n", "lo", "bytes", "keys").mapInArrow(tidy(mark), f"id {kind}, th bigint, los array<bigint>, size bigint")
-    return found.union(again)
+def word_edges(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a text begins and ends, in bytes."""
+    start, end, _ = tk.runs(~tk.SPACE[np.frombuffer(data, np.uint8)], np.array([0, len(data)]))
+    return start, end
+
+
+def _merged(spans: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+    return out
 
 
 def cut_repeats(documents: DataFrame, carry: list[str], params: RepeatParams = RepeatParams(), id_col: str = "doc_id", text_col: str = "text", prefix: str = "", as_text: bool = False) -> DataFrame:
     """``carry`` columns of each row with ``n_bytes, n_removed, n_spans`` and ``kept``, the bytes that stay; ``prefix`` sets their names apart.
     With ``as_text``, ``kept`` is text; where a cut fell within a character, what is left of it is gone.
 
-    A null text is the empty one. Repeated rows are documents of their own, so they lose all that is long enough.
+    Spans of words are cut from the first byte of the first to the last byte of the last. A null text is the empty
+    one, of which nothing is cut; null ids are allowed. Repeated rows are documents of their own, so
+    they lose all that is long enough. An empty table gives no rows. A carried column must not have
+    the name of a new one (``prefix`` avoids that); other columns are not read. A text of any length
+    is held whole by one task, its windows are taken in steps.
     """
     docs = documents.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
-    spans = repeated_spans(docs, params).groupBy("id", "th").agg(F.collect_list(F.struct("los", "size")).alias("spans"))
+    spans = materialise(repeated_spans(docs, params).groupBy("id", "th").agg(F.collect_list(F.struct("los", "size")).alias("spans")), "spans")
     base = documents.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"), F.struct(*[F.col(c) for c in carry]).alias("_d")).withColumn("_th", F.xxhash64("_text"))
     both = base.join(spans, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th")), "left").select(*[F.col("_d")[c].alias(c) for c in carry], "_text", "spans")
     types = dict(documents.dtypes)
@@ -275,22 +379,15 @@ def cut_repeats(documents: DataFrame, carry: list[str], params: RepeatParams = R
                 size, gone, count, kept = [], [], [], []
                 for k in range(lo, min(b.num_rows, lo + 512)):
                     data = (texts[k].as_py() or "").encode()
-                    rest, at, m, r = [], 0, 0, 0
-                    end = -1
-                    for s in sorted({(lo_, lo_ + x["size"]) for x in spans[k].as_py() or () for lo_ in x["los"]}):
-                        if s[0] > end:
-                            m += 1
-                            rest.append(data[at : s[0]])
-                            r += s[1] - s[0]
-                        elif s[1] > end:
-                            r += s[1] - end
-                        end = max(end, s[1])
-                        at = end
-                    rest.append(data[at:])
+                    cuts = _merged({(a, a + x["size"]) for x in spans[k].as_py() or () for a in x["los"]})
+                    if cuts and params.unit == "word":
+                        begin, end = word_edges(data)
+                        cuts = [(int(begin[a]), int(end[z - 1])) for a, z in cuts]
+                    edges = [0, *(x for c in cuts for x in c), len(data)]
                     size.append(len(data))
-                    gone.append(r)
-                    count.append(m)
-                    kept.append(b"".join(rest))
+                    gone.append(sum(z - a for a, z in cuts))
+                    count.append(len(cuts))
+                    kept.append(b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)))
                 yield pa.RecordBatch.from_arrays([*[c.slice(lo, 512) for c in b.columns[:-2]], pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array([x.decode(errors="ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], names=[*carry, *new])
 
     out = ", ".join([*(f"`{c}` {types[c]}" for c in carry), *(f"`{c}` {t}" for c, t in zip(new, ("bigint", "bigint", "bigint", "string" if as_text else "binary"), strict=True))])

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import tempfile
 import uuid
+import weakref
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,15 +19,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _own_dirs: list = []
 _scratch: list[str] = []
+_written: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or where unset a temporary one.
 
-    The temporary folder serves single-machine sessions such as tests; a cluster names its own.
+    The temporary folder serves single-machine sessions such as tests; a cluster must name its own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         if not _own_dirs:
             own = tempfile.TemporaryDirectory(prefix="lodestone-")
             _own_dirs.append(own)
@@ -41,15 +46,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _drop(path: str) -> None:
+    url = urlparse(path)
+    if url.scheme in ("", "file"):
+        shutil.rmtree(url.path, ignore_errors=True)
+    elif (spark := SparkSession.getActiveSession()) is not None:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @atexit.register
 def _drop_scratch() -> None:
     for path in _scratch:
-        url = urlparse(path)
-        if url.scheme in ("", "file"):
-            shutil.rmtree(url.path, ignore_errors=True)
-        elif (spark := SparkSession.getActiveSession()) is not None:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _drop(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote, once all that was computed from them is written too."""
+    for t in tables:
+        if (path := _written.pop(t, None)) is not None:
+            _drop(path)
+            _scratch.remove(path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -60,11 +77,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     bound_batches(spark)
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     # the job's shuffle files go once the driver has collected its plan
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -123,6 +142,7 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
         small = large.join(low2, "v").select(F.col("m").alias("v"), F.col("r").alias("m")).where("v <> m")
         nxt = materialise(small.union(low2.select("v", F.col("r").alias("m"))).distinct(), name)
         now = nxt.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
+        discard(cur)
         cur = nxt
         if now == before:
             break

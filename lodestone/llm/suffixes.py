@@ -1,4 +1,7 @@
-"""Suffix arrays in numpy: Larsson-Sadakane refinement, Kasai common prefixes, repeated windows."""
+"""Suffix arrays in numpy: Larsson-Sadakane refinement, Kasai common prefixes, repeated windows.
+
+Strings are arrays of symbols: bytes (uint8), or ranks of words (uint32).
+"""
 
 from __future__ import annotations
 
@@ -6,18 +9,18 @@ import numpy as np
 
 
 class Shard:
-    """Strings laid out one after another, each followed by an end mark that sorts before any byte."""
+    """Strings laid out one after another, each followed by an end mark that sorts before any symbol."""
 
-    def __init__(self, strings: list[bytes]):
+    def __init__(self, strings: list[np.ndarray]):
         size = np.array([len(s) for s in strings], np.int64)
         self.start = np.cumsum(size + 1) - (size + 1)
         self.size = size
         n = int(size.sum() + len(size))
-        self.text = np.zeros(n, np.int16)
+        symbols = np.concatenate(strings) if len(strings) else np.zeros(0, np.uint8)
+        self.text = np.zeros(n, np.int16 if symbols.dtype == np.uint8 else np.int32)
         inside = np.ones(n, bool)
         inside[self.start + size] = False
-        self.text[inside] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int16) + 1
-        self.inside = inside
+        self.text[inside] = symbols.astype(self.text.dtype) + 1
         #: the end mark of the string that each position belongs to
         self.end = np.repeat((self.start + size).astype(np.int32), size + 1)
 
@@ -25,35 +28,40 @@ class Shard:
 def suffix_array(shard: Shard) -> np.ndarray:
     """All suffixes of the shard's strings in order; where one string ends, the earlier string sorts first.
 
-    Suffixes are first ranked by seven symbols. Each refinement sorts only the groups that still tie,
-    by the rank of the suffix that starts ``h`` further on, which doubles the sorted length.
+    Suffixes are first ranked by as many symbols as fit 63 bits. Each refinement sorts only the groups that still
+    tie, by the rank of the suffix that starts ``h`` further on, which doubles the sorted length.
     """
     n = len(shard.text)
     if n == 0:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     # places fit 32 bits: a shard is a few megabytes
     places = np.arange(n, dtype=np.int32)
+    bits = max(1, int(shard.text.max()).bit_length())
+    h = 63 // bits
     key = np.zeros(n, np.int64)
     left = shard.end - places
-    for k in range(7):
-        key *= 512
-        key[: n - k] += np.where(left[: n - k] >= k, shard.text[k:], 0)
-    sa = np.argsort(key, kind="stable").astype(np.int32)
+    for k in range(h):
+        key <<= bits
+        if k < n:
+            key[: n - k] += np.where(left[: n - k] >= k, shard.text[k:], 0)
+    sa = np.argsort(key).astype(np.int32)
     key = key[sa]
-    # suffixes that reach an end mark already differ by their string, in which order the sort left them
-    head = np.r_[True, key[1:] != key[:-1]] | (left[sa] < 7)
+    # suffixes that reach an end mark differ by their string; they are few, and only they share a key
+    short = np.flatnonzero(left[sa] < h)
+    sa[short] = sa[short][np.lexsort((sa[short], key[short]))]
+    head = np.r_[True, key[1:] != key[:-1]] | (left[sa] < h)
     del key, left
     rank = np.empty(n, np.int32)
     rank[sa] = np.maximum.accumulate(np.where(head, places, 0))
     tied = places[~(head & np.r_[head[1:], True])]
-    h = 7
     while len(tied):
         at = sa[tied]
-        group, nxt = rank[at], rank[at + h]
-        order = np.lexsort((nxt, group))
+        # one number of the group's rank and the rank further on sorts faster than two keys
+        both = (rank[at].astype(np.int64) << 32) | rank[at + h]
+        order = np.argsort(both)
         sa[tied] = at[order]
-        group, nxt = group[order], nxt[order]
-        head = np.r_[True, (group[1:] != group[:-1]) | (nxt[1:] != nxt[:-1])]
+        both = both[order]
+        head = np.r_[True, both[1:] != both[:-1]]
         rank[sa[tied]] = np.maximum.accumulate(np.where(head, tied, 0).astype(np.int32))
         tied = tied[~(head & np.r_[head[1:], True])]
         h *= 2
@@ -63,7 +71,7 @@ def suffix_array(shard: Shard) -> np.ndarray:
 def common_prefixes(shard: Shard, sa: np.ndarray, place: np.ndarray, cap: int) -> np.ndarray:
     """Kasai: for each suffix (by place in ``sa``) the length, up to ``cap``, that it shares with the one before.
 
-    Kasai's walk goes through a text from left to right and loses at most one byte of the common prefix a
+    Kasai's walk goes through a text from left to right and loses at most one symbol of the common prefix a
     step. All strings of the shard are walked abreast, one position of each at a time.
     """
     n = len(shard.text)
@@ -93,8 +101,8 @@ def common_prefixes(shard: Shard, sa: np.ndarray, place: np.ndarray, cap: int) -
     return out
 
 
-def repeated_starts(strings: list[bytes], width: int) -> list[np.ndarray]:
-    """For each string, which of its window starts (``width`` bytes each) begin a window that also starts elsewhere in the shard."""
+def repeated_starts(strings: list[np.ndarray], width: int) -> list[np.ndarray]:
+    """For each string, which of its window starts (``width`` symbols each) begin a window that also starts elsewhere in the shard."""
     shard = Shard(strings)
     sa = suffix_array(shard)
     place = np.empty(len(sa), np.int32)
@@ -107,20 +115,24 @@ def repeated_starts(strings: list[bytes], width: int) -> list[np.ndarray]:
     return [found[a : a + max(0, n - width + 1)] for a, n in zip(shard.start, shard.size, strict=True)]
 
 
-def reach(parts: list[bytes], group: list[int], most: int) -> np.ndarray:
-    """For each string the longest prefix, up to ``most``, that it shares with another of its group.
+def reach(parts: list[np.ndarray], group: list[int], most: int) -> np.ndarray:
+    """For each string the longest prefix, up to ``most`` symbols, that it shares with another of its group.
 
     Among sorted strings the neighbours share the longest prefixes.
     """
     out = np.zeros(len(parts), np.int64)
-    order = sorted(range(len(parts)), key=lambda i: (group[i], parts[i]))
+    if not len(parts):
+        return out
+    unit = 1 if parts[0].dtype == np.uint8 else 4
+    data = [p[:most].tobytes() if unit == 1 else p[:most].astype(">u4").tobytes() for p in parts]
+    order = sorted(range(len(parts)), key=lambda i: (group[i], data[i]))
     for lo in range(0, len(order), 2048):
         at = order[lo : lo + 2049]
-        grid = np.zeros((len(at), most), np.uint8)
-        size = np.array([min(most, len(parts[i])) for i in at])
-        grid[np.arange(most) < size[:, None]] = np.frombuffer(b"".join(parts[i][:most] for i in at), np.uint8)
+        size = np.array([len(data[i]) for i in at])
+        grid = np.zeros((len(at), most * unit), np.uint8)
+        grid[np.arange(most * unit) < size[:, None]] = np.frombuffer(b"".join(data[i] for i in at), np.uint8)
         differ = np.concatenate([grid[1:] != grid[:-1], np.ones((len(at) - 1, 1), bool)], axis=1)
-        shared = np.minimum(differ.argmax(axis=1), np.minimum(size[1:], size[:-1]))
+        shared = np.minimum(differ.argmax(axis=1), np.minimum(size[1:], size[:-1])) // unit
         g = np.array([group[i] for i in at])
         shared[g[1:] != g[:-1]] = 0
         at = np.array(at)
@@ -129,7 +141,7 @@ def reach(parts: list[bytes], group: list[int], most: int) -> np.ndarray:
     return out
 
 
-def repeated_around(strings: list[bytes], group: list[int], anchor: list[int], width: int) -> list[np.ndarray]:
+def repeated_around(strings: list[np.ndarray], group: list[int], anchor: list[int], width: int) -> list[np.ndarray]:
     """As ``repeated_starts``, for windows over an anchor: ``anchor`` is its offset, and equal windows have it at equal offsets in strings of one ``group``.
 
     What a string shares with any other of its group on either side of the anchor bounds where its

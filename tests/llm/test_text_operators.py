@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import lm, mixing, ngram_join, packing, quality, repeats, toxicity, training_order
 from lodestone.llm.eliasfano import EliasFano, build
-from lodestone.llm.suffixes import repeated_starts
+from lodestone.llm.suffixes import Shard, repeated_starts, suffix_array
 from lodestone.llm.tokenizing import TokenCounter, encoder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -285,18 +285,25 @@ def test_bands_reach_the_recall():
         assert 1 - (1 - 0.8**r) ** b >= recall and b * r <= 128
 
 
-@pytest.mark.parametrize("width", [4, 9, 40])
-def test_suffix_arrays(width):
+@pytest.mark.parametrize("width", [1, 4, 9, 40])
+@pytest.mark.parametrize("kind", [np.uint8, np.uint32])
+def test_suffix_arrays(width, kind):
     r = random.Random(width)
-    for _ in range(25):
+    for k in range(40):
         letters = r.choice([b"ab", b"abc", bytes(range(256))])
-        base = bytes(r.choice(letters) for _ in range(r.randint(1, 600)))
-        strings = []
-        for _ in range(r.randint(1, 6)):
+        base = bytes(r.choice(letters) for _ in range(k if k < 9 else r.randint(1, 600)))
+        strings = [base] if k < 9 else []
+        for _ in range(r.randint(0 if k < 9 else 1, 6)):
             a = r.randint(0, len(base))
             strings.append(bytes(r.choice(letters) for _ in range(r.randint(0, 9))) + base[a : r.randint(a, len(base))])
+        shard = Shard([np.frombuffer(s, np.uint8).astype(kind) for s in strings])
+        order = suffix_array(shard)
+        ends = [s[k:] + bytes() for s in strings for k in range(len(s) + 1)]
+        owner = [i for i, s in enumerate(strings) for _ in range(len(s) + 1)]
+        assert [(ends[p], owner[p]) for p in order] == sorted(zip(ends, owner, strict=True))
         seen = Counter(s[k : k + width] for s in strings for k in range(len(s) - width + 1))
-        assert [list(map(bool, g)) for g in repeated_starts(strings, width)] == [[seen[s[k : k + width]] > 1 for k in range(len(s) - width + 1)] for s in strings]
+        got = repeated_starts([np.frombuffer(s, np.uint8).astype(kind) for s in strings], width)
+        assert [list(map(bool, g)) for g in got] == [[seen[s[k : k + width]] > 1 for k in range(len(s) - width + 1)] for s in strings]
 
 
 def cut_by_force(rows, width):
@@ -313,10 +320,11 @@ def cut_by_force(rows, width):
     return out
 
 
-@pytest.mark.parametrize(("width", "gram", "runs", "step"), [(400, 64, 3000, 1 << 20), (60, 16, 2, 1 << 20), (60, 16, 3000, 1000)])
-def test_repeats(spark, docs, empty, width, gram, runs, step, monkeypatch):
+@pytest.mark.parametrize(("width", "gram", "runs", "step", "few", "passage"), [(400, 64, 3000, 1 << 20, 64, 4096), (60, 16, 2, 1 << 20, 0, 4096), (60, 16, 3000, 1000, 1, 100)])
+def test_repeats(spark, docs, empty, width, gram, runs, step, few, passage, monkeypatch):
     monkeypatch.setattr(repeats, "_STEP", step)
-    p = repeats.RepeatParams(width=width, gram=gram, shard_runs=runs)
+    monkeypatch.setattr(repeats, "_FEW", few)
+    p = repeats.RepeatParams(width=width, gram=gram, shard_runs=runs, passage=passage)
     got = repeats.cut_repeats(docs, ["doc_id", "score"], p).collect()
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in got) == cut_by_force(corpus(), width)
     if step > 1000:
@@ -325,6 +333,30 @@ def test_repeats(spark, docs, empty, width, gram, runs, step, monkeypatch):
         assert clean.columns == docs.columns and clean.count() == docs.count()
 
 
+def cut_words_by_force(rows, width):
+    """Texts without the words that a string of ``width`` words covers which also starts elsewhere, with the space inside such runs."""
+    places = [(i, t or "", list(re.finditer(r"[^\x20\x09-\x0D]+", t or ""))) for i, t in rows]
+    seen = Counter(tuple(m.group() for m in ms[k : k + width]) for _, _, ms in places for k in range(len(ms) - width + 1))
+    out = Counter()
+    for i, t, ms in places:
+        gone = np.zeros(len(ms), bool)
+        for k in range(len(ms) - width + 1):
+            if seen[tuple(m.group() for m in ms[k : k + width])] > 1:
+                gone[k : k + width] = True
+        edge = np.flatnonzero(np.diff(np.r_[0, gone.astype(int), 0]))
+        for a, z in reversed(list(zip(edge[::2], edge[1::2], strict=True))):
+            t = t[: ms[a].start()] + t[ms[z - 1].end() :]
+        out[i, t] += 1
+    return out
+
+
+@pytest.mark.parametrize(("width", "gram", "runs"), [(50, 8, 3000), (12, 3, 2)])
+def test_repeats_of_words(spark, docs, width, gram, runs):
+    p = repeats.RepeatParams(width=width, gram=gram, unit="word", shard_runs=runs)
+    got = repeats.without_repeats(docs, p).collect()
+    assert Counter((r["doc_id"], r["text"] or "") for r in got) == cut_words_by_force([(r[0], r[1]) for r in corpus()], width)
+
+
 def test_elias_fano():
     r = np.random.default_rng(0)
     for n, top in [(0, 10), (1, 1), (1000, 1000), (1000, 5), (5000, 1 << 40), (3000, 1 << 20)]:
@@ -384,7 +416,7 @@ def test_language_model(spark, docs, empty, order, shard):
 
 
 def test_pipeline_columns_and_effects(spark, tmp_path):
-    import corpus_pipeline as C
+    from lodestone.llm import stages as C
 
     texts, labels = labelled(spark, junk, n=200)
     folder = str(tmp_path)
