@@ -1,62 +1,5 @@
-"""From raw documents to packed training sequences, in five stages.
+"""From raw documents to packed training sequences, in five stages: see ``lodestone/llm/stages.py``."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-``documents``. Their results are written as Parquet and read again, so that a lost executor costs no more than
-the stage that runs.
-"""
+from lodestone.llm.stages import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from lodestone.llm import mixing, ngram_join, packing, quality, repeats
-from lodestone.llm.shared import crc_mod, materialise
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the quality classifier rejects; it learns from the labelled rows of its training fold."""
-    model = quality.quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), crc_mod("doc_id", 4) != 2)
-    scored = quality.score_quality(docs, model, docs.columns, score_col="_score", predicted_col="_predicted")
-    return scored.where("_predicted = 1").select(*docs.columns)
-
-
-def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least id of each group of near-duplicates."""
-    return ngram_join.drop_near_duplicates(docs)
-
-
-def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages of 400 bytes and more that also start elsewhere from the texts; all documents stay."""
-    return repeats.without_repeats(docs)
-
-
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each source's share, a row for each copy of a document, in training order."""
-    return mixing.mix(docs, position_col="_position").select(*docs.columns)
-
-
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the texts' token ids into sequences; a row for each piece."""
-    return packing.pack(docs)
-
-
-STAGES = [
-    ("quality classifier", quality_stage),
-    ("n-gram Jaccard join", near_duplicate_stage),
-    ("suffix-array dedup", repeat_stage),
-    ("mixing to target weights", mixing_stage),
-    ("best-fit packing", packing_stage),
-]
-
-#: SQL can't express the stages; tests hold them against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialise(docs, "stage")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
