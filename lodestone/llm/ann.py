@@ -25,12 +25,13 @@ from .shared import materialise, tidy
 
 @dataclass(frozen=True)
 class AnnParams:
-    """``sample`` bounds the vectors of the fit and ``most_lists`` the centroids, which are broadcast."""
+    """``sample_bytes`` bounds the vectors of the fit (at least ``sample``, and eight a list, if there are so many) and ``most_lists`` the centroids, which are broadcast."""
 
     k: int = 5
     sample: int = 20_000
+    sample_bytes: int = 96 << 20
     list_size: int = 400
-    most_lists: int = 4096
+    most_lists: int = 16_384
     replicas: int = 4
     closure: float = 1.10
     recall: float = 0.985
@@ -84,6 +85,10 @@ class CentroidGraph:
         links[:, near + 1 :] = rng.integers(0, n, (n, 3))
         self.links = links
 
+    def rows_at_once(self) -> int:
+        """How many vectors to search for at a time, so that their distances take a bounded space."""
+        return max(32, min(1000, 4_000_000 // len(self.c)))
+
     def search(self, x: np.ndarray, ratio: float, least: int) -> np.ndarray:
         """Distances [len(x), n] from unit vectors to the centroids met; infinite where the search didn't come.
 
@@ -130,15 +135,18 @@ def calibrated_ratio(x: np.ndarray, graph: CentroidGraph, p: AnnParams) -> float
     if n == 1 or len(x) <= p.k:
         return 1.0
     pick = np.random.Generator(np.random.PCG64(3)).permutation(len(x))[:400]
-    held = np.zeros((len(x), n), bool)
-    for lo in range(0, len(x), 2000):
-        row, c = lists_of(graph.search(x[lo : lo + 2000], 1.0, p.replicas), p.closure, p.replicas)
-        held[lo + row, c] = True
     sims = x[pick] @ x.T
     sims[np.arange(len(pick)), pick] = -np.inf
     top = np.argpartition(-sims, p.k - 1, axis=1)[:, : p.k]
+    # the lists of the neighbours
+    own, back = np.unique(top, return_inverse=True)
+    held = np.zeros((len(own), n), bool)
+    step = graph.rows_at_once()
+    for lo in range(0, len(own), step):
+        row, c = lists_of(graph.search(x[own[lo : lo + step]], 1.0, p.replicas), p.closure, p.replicas)
+        held[lo + row, c] = True
     d = np.sqrt(np.maximum(0, 2 - 2 * x[pick] @ graph.c.T))
-    need = np.where(held[top], d[:, None, :], np.inf).min(axis=2) / np.maximum(1e-9, d.min(axis=1))[:, None]
+    need = np.stack([np.where(held[at], d, np.inf).min(axis=1) for at in back.reshape(top.shape).T], axis=1) / np.maximum(1e-9, d.min(axis=1))[:, None]
     return float(np.quantile(need, p.recall)) + 1e-6
 
 
@@ -151,7 +159,10 @@ def nearest(vectors: DataFrame, is_query: Column, params: AnnParams = AnnParams(
     """``query_id, rank, id_col, score``: for each row for which ``is_query`` holds, its nearest other rows by cosine.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, neither do null ids;
-    vectors of different dimensions aren't neighbours. Ties go to the smaller id. With few rows all are searched.
+    vectors of different dimensions aren't neighbours. Ties go to the smaller id. With few rows all are searched;
+    an empty table, or one without queries, gives no rows. Repeated rows of one id are rows of their own: each is
+    asked, and the others are its neighbours. Other columns are not read, so their names don't matter.
+    Up to ``most_lists`` times ``list_size`` vectors lists keep their length; beyond, they grow and are dealt to more tasks.
     """
     p = params
     spark = vectors.sparkSession
@@ -166,9 +177,12 @@ def nearest(vectors: DataFrame, is_query: Column, params: AnnParams = AnnParams(
         return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
     dims = {r["d"]: r["n"] for r in distinct.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
     main = max(dims, key=lambda d: (dims[d], d))
-    sample = np.array([r["v"] for r in distinct.where(F.size("v") == main).orderBy("node").select("v").limit(p.sample).collect()])
-    sample /= np.linalg.norm(sample / np.abs(sample).max(axis=1, keepdims=True), axis=1, keepdims=True) * np.abs(sample).max(axis=1, keepdims=True)
-    lists = max(1, min(p.most_lists, dims[main] // p.list_size, len(sample) // 8))
+    lists = max(1, min(p.most_lists, dims[main] // p.list_size))
+    most = max(1, min(max(p.sample, 8 * lists), p.sample_bytes // (8 * main)))
+    sample = _matrix(distinct.where(F.size("v") == main).orderBy("node").select("v").limit(most).toArrow().column(0).combine_chunks())
+    sample = sample / np.abs(sample).max(axis=1, keepdims=True)
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    lists = max(1, min(lists, len(sample) // 8))
     graph = CentroidGraph(balanced_centroids(sample, lists), p.degree)
     ratio = calibrated_ratio(sample, graph, p)
     shared = spark.sparkContext.broadcast((graph, ratio, main))
@@ -183,8 +197,9 @@ def nearest(vectors: DataFrame, is_query: Column, params: AnnParams = AnnParams(
             for b in batches:
                 size = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
                 row, lst = np.flatnonzero(size != main), -size[size != main].astype(np.int64)
-                for lo in range(0, b.num_rows, 1000):
-                    at = lo + np.flatnonzero(size[lo : lo + 1000] == main)
+                step = graph.rows_at_once()
+                for lo in range(0, b.num_rows, step):
+                    at = lo + np.flatnonzero(size[lo : lo + step] == main)
                     if not len(at):
                         continue
                     x = unit(_matrix(b.column(1).take(pa.array(at))))

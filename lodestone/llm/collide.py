@@ -3,7 +3,8 @@
 Near-duplicate search ends alike for texts and vectors: each item stands under several keys, and
 items that meet under a key are compared exactly. A pair may meet under several keys, so each pair has
 one *canonical* key, a function of the two items' signatures; only there is it counted. Groups of any
-size are cut into blocks, and each pair of blocks goes to a task of its own. What leaves a
+size are cut into blocks of bounded rows and bytes, and each pair of blocks goes to a task of its own; no task
+gathers a group. What leaves a
 group is linear in its items: for every item, how many it links with, and the least item that it
 reaches within the block pair.
 """
@@ -18,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from .shared import tidy
 
-BLOCK = 512
-#: Groups of more items than this skip the search for canonical partners; all of their items go on.
+BLOCK = 1024
+BLOCK_BYTES = 8 << 20
+#: Groups of more items than this skip the search for canonical partners; all of their items go on, straight from the shuffle.
 FLAG_MOST = 2048
 
 
@@ -44,24 +46,21 @@ def key_groups(batches, n_keys: int) -> Iterator[pa.Table]:
 
 
 def colliding(keyed: DataFrame) -> DataFrame:
-    """Rows of ``keyed`` whose ``key`` has at least two rows."""
-    shared = keyed.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
-    return keyed.join(shared, "key", "left_semi")
+    """Rows of ``keyed`` whose ``key`` has at least two rows, with their number ``n``."""
+    return keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
 
 
 def with_partner(keyed: DataFrame, item: str, canonical: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], signature: str, width: int) -> DataFrame:
-    """Rows ``(key, pos, item, signature)`` that have a canonical partner under their key.
+    """Rows ``(key, pos, item, signature)`` that have a canonical partner under their key; ``keyed`` has their number ``n``.
 
     ``canonical(a, b, pos)`` tells for signature matrices [n, width] and [m, width] which pairs belong to
-    key position ``pos``. Groups beyond ``FLAG_MOST`` go on whole, which changes no result.
+    key position ``pos``. Only groups of up to ``FLAG_MOST`` rows meet in a worker; larger ones go on whole,
+    which changes no result.
     """
     columns = ["key", "pos", item, signature]
 
     def run(batches):
         for t in key_groups(batches, 1):
-            if t.num_rows > FLAG_MOST:
-                yield from t.to_batches()
-                continue
             if t.num_rows < 2:
                 continue
             t = t.combine_chunks()
@@ -75,8 +74,9 @@ def with_partner(keyed: DataFrame, item: str, canonical: Callable[[np.ndarray, n
             if hit.any():
                 yield from t.filter(pa.array(hit)).to_batches()
 
-    rows = keyed.select(*columns).repartition("key").sortWithinPartitions("key")
-    return rows.mapInArrow(tidy(run), rows.schema)
+    small = keyed.where(F.col("n") <= FLAG_MOST).select(*columns)
+    met = small.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), small.schema)
+    return met.union(keyed.where(F.col("n") > FLAG_MOST).select(*columns))
 
 
 def signatures(column, width: int) -> np.ndarray:
@@ -98,15 +98,17 @@ def components_of(link: np.ndarray) -> np.ndarray:
         label = new
 
 
-def compare_blocks(members: DataFrame, item: str, width: int, canonical: Callable, linked: Callable[[list], np.ndarray], block: int = BLOCK) -> DataFrame:
+def compare_blocks(members: DataFrame, item: str, width: int, canonical: Callable, linked: Callable[[list], np.ndarray], block: int | None = None) -> DataFrame:
     """``(item, links, root)`` for items with a link.
 
     ``members``: ``key, pos, item, signature, copies, payload``. ``linked(payloads)`` gives the symmetric
     boolean matrix of which payloads are near each other. ``links`` is the sum of the partners'
-    ``copies`` over the pairs counted here; an item may have several rows, to be summed up.
+    ``copies`` over the pairs counted here; an item may have several rows, to be summed up. All pairs of a
+    group are compared, since all of their links count; blocks bound what a task holds of it.
     """
-    large = members.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > block)
-    m = members.join(large, "key", "left").withColumn("_nb", F.coalesce(F.ceil(F.col("_n") / block), F.lit(1)))
+    blocks = F.greatest(F.ceil(F.count("*") / (block or BLOCK)), F.ceil(F.sum(F.octet_length("payload")) / BLOCK_BYTES))
+    large = members.groupBy("key").agg(blocks.alias("_nb")).where(F.col("_nb") > 1)
+    m = members.join(large, "key", "left").withColumn("_nb", F.coalesce("_nb", F.lit(1)))
     m = m.withColumn("_my", F.pmod(F.xxhash64(item), "_nb")).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1)))
     m = m.select("key", F.least("_my", "_other").alias("_lo"), F.greatest("_my", "_other").alias("_hi"), F.col("_my").alias("_side"), "pos", item, "signature", "copies", "payload")
 

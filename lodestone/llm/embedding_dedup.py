@@ -1,11 +1,11 @@
 """Embedding near-duplicates: iterative quantisation, multi-index Hamming tables, exact reranking.
 
 A rotation is learnt on a bounded sample so that the signs of rotated unit vectors make balanced binary
-codes (alternating between codes and the orthogonal Procrustes solution). A code of 64 bits is
-cut into eight bytes; each pair of bytes is a table, so two codes that differ in at most six bits
-surely meet in one of the 28 tables, and at cosine 0.98 two vectors meet in some table with a
-probability of about 0.99. Vectors that meet are compared by their original components in double
-precision. A pair is counted in the first table in which it meets.
+codes (alternating between codes and the orthogonal Procrustes solution). A code is cut into chunks; each pair of
+chunks is a table, so two codes that agree in two chunks surely meet. The number of vectors decides the chunks'
+width, so that buckets don't grow with it; with eight chunks of eight bits, twelve of twelve or sixteen of sixteen, two
+vectors at cosine 0.98 meet in some table with a probability of about 0.99. Vectors that meet are compared by their
+original components in double precision. A pair is counted in the first table in which it meets.
 
 Only vectors of one label and one dimension are compared. Equal vectors of one label form a class
 from the start.
@@ -23,18 +23,29 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .collide import colliding, compare_blocks, with_partner
-from .shared import connected_components, materialise, tidy
-
-TABLES = tuple(combinations(range(8), 2))
-
+from .shared import connected_components, discard, materialise, tidy
 
 @dataclass(frozen=True)
 class ItqParams:
-    """``sample`` bounds the vectors on which the rotation is learnt; all vectors are coded."""
+    """``sample`` and ``sample_bytes`` bound the vectors on which the rotation is learnt; all vectors are coded.
+
+    ``shape``: chunks and bits of a chunk; chosen by the number of vectors where it isn't given.
+    """
 
     threshold: float = 0.98
     sample: int = 10_000
+    sample_bytes: int = 64 << 20
     rounds: int = 30
+    shape: tuple[int, int] | None = None
+
+
+def code_shape(vectors: int) -> tuple[int, int]:
+    """Chunks and bits of a chunk for so many vectors: two chunks tell a few hundred vectors a bucket apart at most."""
+    return (8, 8) if vectors <= 1 << 24 else (12, 12) if vectors <= 1 << 32 else (16, 16)
+
+
+def tables_of(chunks: int) -> list[tuple[int, int]]:
+    return list(combinations(range(chunks), 2))
 
 
 def usable(column: str) -> Column:
@@ -44,15 +55,15 @@ def usable(column: str) -> Column:
     return F.coalesce(v.isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def learn_rotation(x: np.ndarray, rounds: int) -> np.ndarray:
-    """Orthogonal map [dim, 64] whose signs are balanced codes of unit vectors.
+def learn_rotation(x: np.ndarray, rounds: int, total: int = 64) -> np.ndarray:
+    """Orthogonal maps [dim, total], of up to 64 directions each, whose signs are balanced codes of unit vectors.
 
-    Beyond 64 dimensions the leading principal directions are kept; below, independent rotations fill the code.
+    The leading principal directions are kept; where these are fewer than ``total``, independent rotations fill the code.
     """
     d = x.shape[1]
     rng = np.random.Generator(np.random.PCG64(64))
     vt = np.linalg.eigh(x.T @ x)[1][:, ::-1].T
-    parts, left = [], 64
+    parts, left = [], total
     while left > 0:
         keep = min(d, left, 64)
         base = vt[:keep].T
@@ -66,26 +77,37 @@ def learn_rotation(x: np.ndarray, rounds: int) -> np.ndarray:
     return np.concatenate(parts, axis=1)
 
 
-def codes(x: np.ndarray, rotation: np.ndarray) -> np.ndarray:
-    return np.packbits(x @ rotation >= 0, axis=1).view(np.uint64).reshape(-1)
+def codes(x: np.ndarray, rotation: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """Chunks [len(x), chunks] of each vector's code."""
+    signs = (x @ rotation >= 0).reshape(len(x), *shape)
+    return (signs @ (1 << np.arange(shape[1]))).astype(np.uint16)
 
 
-def first_table(a: np.ndarray, b: np.ndarray, pos: int) -> np.ndarray:
-    """Pairs of codes whose first two equal bytes are those of table ``pos``."""
-    i, j = TABLES[pos]
-    x = (a[:, None, 0] ^ b[None, :, 0]).view(np.uint64)
-    same = [(x >> np.uint64(8 * k)) & np.uint64(255) == 0 for k in range(j + 1)]
-    ok = same[i] & same[j]
+def first_table(a: np.ndarray, b: np.ndarray, pos: int, tables: list[tuple[int, int]]) -> np.ndarray:
+    """Pairs of codes whose first two equal chunks are those of table ``pos``."""
+    i, j = tables[pos]
+    a, b = np.ascontiguousarray(a).view(np.uint16), np.ascontiguousarray(b).view(np.uint16)
+    ok = (a[:, None, i] == b[None, :, i]) & (a[:, None, j] == b[None, :, j])
     for k in range(j):
         if k != i:
-            ok &= ~same[k]
+            ok &= a[:, None, k] != b[None, :, k]
     return ok
 
 
 def near_vectors(payloads: list[bytes], threshold: float) -> np.ndarray:
+    """Which vectors have at least the threshold's cosine.
+
+    A matrix product rounds by its shape, so pairs on the edge are taken again one by one: a pair links in all blocks or in none.
+    """
     x = np.frombuffer(b"".join(payloads), np.float64).reshape(len(payloads), -1)
     norm = np.sqrt((x * x).sum(axis=1))
-    return (x @ x.T) / (norm[:, None] * norm[None, :]) >= threshold
+    cosine = (x @ x.T) / (norm[:, None] * norm[None, :])
+    near = cosine >= threshold
+    i, j = np.nonzero(np.abs(cosine - threshold) < 1e-9)
+    for lo in range(0, len(i), 4096):
+        a, b = i[lo : lo + 4096], j[lo : lo + 4096]
+        near[a, b] = (x[a] * x[b]).sum(axis=1) / (norm[a] * norm[b]) >= threshold
+    return near
 
 
 def near_duplicates(vectors: DataFrame, params: ItqParams = ItqParams(), id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -93,7 +115,10 @@ def near_duplicates(vectors: DataFrame, params: ItqParams = ItqParams(), id_col:
 
     Rows whose vector can't take part (null, empty, zero, null or non-finite components) or whose label
     is null link with nothing and are components of their own. ``n_links`` counts rows; ``component_id``
-    is the smallest id reachable over links.
+    is the smallest id reachable over links. Repeated rows and equal vectors of one label link with each
+    other; of repeated ids all rows are marked as kept if one is. Null ids are left aside when the smallest is
+    chosen; a component of nothing else has a null id and is kept. An empty table gives no rows. Other columns are not read, so their
+    names don't matter.
     """
     threshold = params.threshold
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -102,35 +127,46 @@ def near_duplicates(vectors: DataFrame, params: ItqParams = ItqParams(), id_col:
     signed = materialise(rows.select("id", "label", "v", F.when(good, node).alias("node")), "vectors")
     classes = materialise(signed.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("label").cast("string").alias("label"), F.first("v").alias("v")), "classes")
 
-    sample = [np.array(r["v"]) for r in classes.orderBy("node").select("v").limit(params.sample).collect()]
-    dims = [len(s) for s in sample]
-    main = max(set(dims), key=dims.count) if dims else 0
-    x = np.stack([s for s in sample if len(s) == main]) if main else np.zeros((0, 1))
-    rotation = learn_rotation(x / np.linalg.norm(x, axis=1, keepdims=True), params.rounds) if main else None
+    dims = {r["d"]: r["n"] for r in classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
+    main = max(dims, key=lambda d: (dims[d], d)) if dims else 0
+    chunks, bits = params.shape or code_shape(sum(dims.values()))
+    tables = tables_of(chunks)
+    rotation = None
+    if main:
+        most = max(1, min(params.sample, params.sample_bytes // (8 * main)))
+        drawn = classes.where(F.size("v") == main).orderBy("node").select("v").limit(most).toArrow().column(0).combine_chunks()
+        x = drawn.flatten().to_numpy(zero_copy_only=False).reshape(-1, main)
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        rotation = learn_rotation(x / np.linalg.norm(x, axis=1, keepdims=True), params.rounds, chunks * bits)
     shared = vectors.sparkSession.sparkContext.broadcast((main, rotation))
+    words = chunks // 4
+
+    def canonical(a: np.ndarray, b: np.ndarray, pos: int) -> np.ndarray:
+        return first_table(a, b, pos, tables)
 
     def table_keys(batches):
         main, rotation = shared.value
         maps = {main: rotation}
         for b in batches:
             vs = [np.array(v, np.float64) for v in b.column(2).to_pylist()]
-            own = np.empty(len(vs), np.uint64)
+            raw = np.empty((len(vs), chunks), np.uint16)
             for d in sorted({len(v) for v in vs}):
                 at = [i for i, v in enumerate(vs) if len(v) == d]
                 if d not in maps:  # a rare dimension: a seeded rotation without learning
-                    maps[d] = learn_rotation(np.eye(d), 0)
+                    maps[d] = learn_rotation(np.eye(d), 0, chunks * bits)
                 y = np.stack([vs[i] for i in at])
-                own[at] = codes(y / np.abs(y).max(axis=1, keepdims=True), maps[d])
+                raw[at] = codes(y / np.abs(y).max(axis=1, keepdims=True), maps[d], (chunks, bits))
             salt = np.array([hash_label(s) for s in b.column(1).to_pylist()], np.uint64) ^ np.array([len(v) for v in vs], np.uint64)
-            raw = own.view(np.uint8).reshape(-1, 8).astype(np.uint64)
-            key = np.stack([tk.pair(tk.mix(salt + np.uint64(t)), raw[:, i] * np.uint64(256) + raw[:, j]) for t, (i, j) in enumerate(TABLES)], axis=1)
+            wide = raw.astype(np.uint64)
+            key = np.stack([tk.pair(tk.mix(salt + np.uint64(t)), wide[:, i] * np.uint64(65536) + wide[:, j]) for t, (i, j) in enumerate(tables)], axis=1)
             n = len(vs)
-            pick = pa.array(np.repeat(np.arange(n), len(TABLES)))
-            sig = pa.array([c.tobytes() for c in own.reshape(-1, 1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(len(TABLES), dtype=np.int32), n)), b.column(0).take(pick), sig.take(pick)], names=["key", "pos", "node", "signature"])
+            pick = pa.array(np.repeat(np.arange(n), len(tables)))
+            sig = pa.array([c.tobytes() for c in raw], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(len(tables), dtype=np.int32), n)), b.column(0).take(pick), sig.take(pick)], names=["key", "pos", "node", "signature"])
 
     keyed = materialise(classes.select("node", "label", "v").mapInArrow(tidy(table_keys), "key bigint, pos int, node binary, signature binary"), "keyed")
-    wanted = materialise(with_partner(colliding(keyed), "node", first_table, "signature", 1), "wanted")
+    wanted = materialise(with_partner(colliding(keyed), "node", canonical, "signature", words), "wanted")
+    discard(keyed)
 
     def payload(batches):
         for b in batches:
@@ -138,7 +174,8 @@ def near_duplicates(vectors: DataFrame, params: ItqParams = ItqParams(), id_col:
 
     packed = classes.select("node", "copies", "v").join(wanted.select("node").distinct(), "node", "left_semi").mapInArrow(tidy(payload), "node binary, copies bigint, payload binary")
     members = wanted.join(packed, "node").select("key", "pos", "node", "signature", "copies", "payload")
-    found = materialise(compare_blocks(members, "node", 1, first_table, lambda p: near_vectors(p, threshold)), "links")
+    found = materialise(compare_blocks(members, "node", words, canonical, lambda p: near_vectors(p, threshold)), "links")
+    discard(wanted)
     groups = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "node")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     info = classes.select("node", "rep", "copies").join(links, "node", "left").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))

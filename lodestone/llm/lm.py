@@ -4,7 +4,8 @@ Level 1 is the sorted sequence of the training tokens' hashes; a token's place i
 sequence of (context id, token id), level 3 that of (place of the pair before, place of the last token
 among the successors of the middle one): ids relative to their context, which are small. Every level is cut into
 shards of bounded size by key ranges; a level's shard holds its sequence, the monotone pointers to
-where each parent's children begin, and an 8-bit code of each n-gram's discounted probability. Shards
+where each parent's children begin, and a 16-bit code of each n-gram's discounted probability (steps of
+10 ** -0.0005, so the logarithm of a stored probability is off by 0.00025 at most); level 2 holds the counts too. Shards
 are files in the shared folder, written whole or not at all, and memory-mapped by whoever searches them, so a
 model may outgrow any memory.
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .collide import key_groups
 from .eliasfano import EliasFano, build, map_arrays, write_arrays
-from .shared import scratch_path, text_or_empty, tidy
+from .shared import free_name, scratch_path, text_or_empty, tidy, without_names
 
 END = tk.mix(np.array([0xE17D], np.uint64))[0]
 #: Texts are taken in slices of this many bytes; longer slices repeat more words and search more cheaply.
@@ -100,16 +101,31 @@ def _merged(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.add.reduceat(count, first)
 
 
-# ---- 8-bit codes of probabilities
+# ---- codes of probabilities, and counts
+
+_STEP = 0.0005
 
 
 def encode_probability(p: np.ndarray) -> np.ndarray:
-    """Codes 1 to 255 for steps of 10 ** -0.03 from 1 down; 0 is no probability at all."""
+    """Codes 1 to 65535 for steps of 10 ** -0.0005 from 1 down to 10 ** -32; 0 is no probability at all."""
     with np.errstate(divide="ignore"):
-        return np.where(p > 0, np.clip(np.rint(-np.log10(p) / 0.03) + 1, 1, 255), 0).astype(np.uint8)
+        return np.where(p > 0, np.clip(np.rint(-np.log10(p) / _STEP) + 1, 1, 65535), 0).astype(np.uint16)
+
+
+DECODED = np.r_[0.0, 10.0 ** (-_STEP * np.arange(65535))]
 
 
-DECODED = np.r_[0.0, 10.0 ** (-0.03 * np.arange(255))]
+def count_arrays(counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Exact counts, a byte each; those that a byte can't hold stand beside them with their places."""
+    large = np.flatnonzero(counts >= 255)
+    return {"few": np.minimum(counts, 255).astype(np.uint8), "many_at": large, "many": counts[large].astype(np.int64)}
+
+
+def read_counts(arrays: dict[str, np.ndarray], i: np.ndarray) -> np.ndarray:
+    out = arrays["few"][i].astype(np.int64)
+    at = np.flatnonzero(out == 255)
+    out[at] = arrays["many"][np.searchsorted(arrays["many_at"], i[at])]
+    return out
 
 
 # ---- the trie
@@ -158,16 +174,17 @@ class Level:
             if self.bases[s + 1] > self.bases[s]:
                 yield s, order[a:b]
 
-    def find(self, keys: np.ndarray, payload: str = "code") -> tuple[np.ndarray, np.ndarray]:
-        """Place in the level (-1: absent) and payload of each key."""
-        place, got = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+    def find(self, keys: np.ndarray, *payloads) -> tuple[np.ndarray, ...]:
+        """Place in the level (-1: absent) of each key, and payloads: names of arrays, or functions of a shard's arrays and places in it."""
+        place, got = np.full(len(keys), -1, np.int64), [np.zeros(len(keys), np.int64) for _ in payloads]
         for s, at in self._by_shard(np.searchsorted(self.bounds, keys, "right")):
             arrays, _, seq, _ = self.shard(s)
             i = seq.find(keys[at])
             hit = i >= 0
             place[at[hit]] = i[hit] + self.bases[s]
-            got[at[hit]] = arrays[payload][i[hit]]
-        return place, got
+            for out, what in zip(got, payloads, strict=True):
+                out[at[hit]] = what(arrays, i[hit]) if callable(what) else arrays[what][i[hit]]
+        return place, *got
 
     def start(self, parent: np.ndarray, key: np.ndarray) -> np.ndarray:
         """Place of the first child of each parent; ``key`` is the least key that a child may have."""
@@ -214,15 +231,15 @@ class Model:
         out[at] = self.level2.start(ident[at], self.key2(ident[at], np.zeros(len(at), np.int64)))
         return out
 
-    def pairs(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of pairs of ids (-1: unknown): place in level 2 (-1: absent) and code."""
-        place, code = np.full(len(v), -1, np.int64), np.zeros(len(v), np.int64)
+    def pairs(self, v: np.ndarray, w: np.ndarray, *payloads) -> tuple[np.ndarray, ...]:
+        """Of pairs of ids (-1: unknown): place in level 2 (-1: absent) and payloads."""
+        out = [np.full(len(v), -1, np.int64), *(np.zeros(len(v), np.int64) for _ in payloads)]
         at = np.flatnonzero((v >= 0) & (w >= 0))
         if len(at):
             keys, back = np.unique(self.key2(v[at], w[at]), return_inverse=True)
-            p, c = self.level2.find(keys)
-            place[at], code[at] = p[back], c[back]
-        return place, code
+            for x, got in zip(out, self.level2.find(keys, *payloads), strict=True):
+                x[at] = got[back]
+        return tuple(out)
 
     def key3(self, node: np.ndarray, rel: np.ndarray) -> np.ndarray:
         return (node.astype(np.uint64) << np.uint64(self.t.degree_bits)) | rel.astype(np.uint64)
@@ -242,7 +259,7 @@ class Model:
         p = (count + 1) / (t.tokens + t.words + 1)
         base = np.log10(p)
         context, total = own[before1], often1[before1].astype(float)
-        place, code = self.pairs(context, ident)
+        place, code, pair_count = self.pairs(context, ident, "code", read_counts)
         begin = self.starts2(own)
         follow = self.starts2(np.where(own >= 0, own + 1, -1)) - begin
         seen = np.flatnonzero((context >= 0) & (total > 0))
@@ -251,17 +268,17 @@ class Model:
         if self.level3 is None:
             return known, base, np.log10(p2)
         rel = np.where(place >= 0, place - begin[before1], -1)
-        # the pair before each token: its place, and its count from its code
+        # the pair before each token: its place and its count
         before = np.r_[np.int64(-1), place[:-1]]
         before[first] = -1
-        often = np.r_[0.0, np.rint(DECODED[code[:-1]] * total[:-1] + d)]
+        often = np.r_[0, pair_count[:-1]]
         seen = np.flatnonzero((before >= 0) & (often > 0))
         p3 = p2.copy()
         if len(seen):
             alpha = np.zeros(len(seen))
             inner = np.flatnonzero(rel[seen] >= 0)
             keys, back = np.unique(self.key3(before[seen[inner]], rel[seen[inner]]), return_inverse=True)
-            _, c3 = self.level3.find(keys)
+            _, c3 = self.level3.find(keys, "code")
             alpha[inner] = DECODED[c3[back]]
             p3[seen] = alpha + np.minimum(1.0, d * self.successors3(before[seen]) / often[seen]) * p2[seen]
         return known, base, np.log10(p3)
@@ -371,7 +388,7 @@ def build_trie(documents: DataFrame, training: Column, params: LmParams = LmPara
             words_only = own < words
             total[words_only] = _counts_of(m.level1, own[words_only])
             alpha = (counts - d) / total[np.searchsorted(own, parent)]
-            write_arrays(f"{folder}/l2-{s}", {**{f"k_{k}": v for k, v in build(keys, width * width).items()}, **{f"p_{k}": v for k, v in build(begin, len(keys) + 1).items()}, "code": encode_probability(alpha)}, parent=lo)
+            write_arrays(f"{folder}/l2-{s}", {**{f"k_{k}": v for k, v in build(keys, width * width).items()}, **{f"p_{k}": v for k, v in build(begin, len(keys) + 1).items()}, "code": encode_probability(alpha), **count_arrays(counts)}, parent=lo)
             ahead = counts.copy()
             step = np.cumsum(ahead) // most
             heavy = np.flatnonzero(ahead > most)
@@ -409,7 +426,7 @@ def build_trie(documents: DataFrame, training: Column, params: LmParams = LmPara
             for _, _, h, first, _ in _streams(b.column(0)):
                 own, _, back = m.ids(h)
                 before = m.contexts(back, first, len(own) - 1)
-                place, _ = m.pairs(own[before], own[back])
+                (place,) = m.pairs(own[before], own[back])
                 node = np.r_[np.int64(-1), place[:-1]]
                 node[first] = -1
                 at = np.flatnonzero(node >= 0)
@@ -444,15 +461,10 @@ def _counts_of(level1: Level, ident: np.ndarray) -> np.ndarray:
 
 
 def _pair_counts(m: Model, place: np.ndarray) -> np.ndarray:
-    """Counts of pairs by their places, from their codes."""
-    out = np.zeros(len(place))
+    """Counts of pairs by their places."""
+    out = np.zeros(len(place), np.int64)
     for s, at in m.level2._by_shard(np.searchsorted(m.level2.bases, place, "right") - 1):
-        arrays, _, seq, _ = m.level2.shard(s)
-        i = place[at] - m.level2.bases[s]
-        v = (seq.access(i) // np.uint64(m.width)).astype(np.int64)
-        total = np.full(len(v), float(m.t.documents))
-        total[v < m.t.words] = _counts_of(m.level1, v[v < m.t.words])
-        out[at] = np.rint(DECODED[arrays["code"][i]] * total + m.t.discount)
+        out[at] = read_counts(m.level2.shard(s)[0], place[at] - m.level2.bases[s])
     return out
 
 
@@ -460,10 +472,13 @@ def score_texts(documents: DataFrame, trie: Trie, carry: list[str], text_col: st
     """``carry`` columns of each row with ``n_tokens, n_known, base_score, score`` of its whole text.
 
     A null text is the empty text, whose one token is the end. With no training text every token has
-    probability 1 in both scores.
+    probability 1 in both scores. Equal texts have equal scores, repeated rows are scored each for itself, and an
+    empty table gives no rows. A text of any length is scored whole. Columns beyond ``carry`` aren't read; a new
+    column takes the place of a carried one of its name.
     """
+    carry = without_names(carry, ["n_tokens", "n_known", "base_score", "score"])
     shared = documents.sparkSession.sparkContext.broadcast(trie)
-    kept = documents.select(*carry, text_or_empty(text_col).alias("_text"))
+    kept = documents.select(*carry, text_or_empty(text_col).alias(free_name("_text", carry)))
     out = ", ".join([*(f"`{c}` {t}" for c, t in kept.dtypes[:-1]), "n_tokens bigint, n_known bigint, base_score double, score double"])
 
     def run(batches):

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, text_or_empty
+from .shared import WORD, materialise, text_or_empty, without_names
 
 SLOPES = (-0.5, 0.0, 0.5)
 _GAP = r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
@@ -49,20 +49,22 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3
     return held.withColumn("target", F.when(F.col("held"), F.col("top")).otherwise(F.col("w") * free)).select("skey", "rank", "target")
 
 
-def place(documents: DataFrame, carry: list[str], **options) -> DataFrame:
+def place(documents: DataFrame, carry: list[str], text_col: str = "text", **options) -> DataFrame:
     """``carry`` columns of each row, with ``size``, ``source_size``, ``target`` and ``copies``.
 
     ``copies`` is an array of ``(copy, words, position)``: the passes in which the mix takes the
     document, the words taken in each, and where in training (0 to 1). A null source is a source of
     its own, the last; a null text has no words. A document without words gets one copy of 0 words,
     which costs nothing. Repeated rows count as documents of their own. Input columns that are not in
-    ``carry`` are not read. Options are those of ``_placed``.
+    ``carry`` are not read; a new column takes the place of a carried one of its name. An empty table gives no rows. Texts are read once: what is needed of them is
+    written as a narrow table. Options are those of ``_placed``.
     """
-    new = [F.col(f"_{c}").alias(c) for c in ("size", "source_size", "target", "copies")]
-    return _placed(documents, carry, **options).select(*[F.col("_d")[c].alias(c) for c in carry], *new)
+    names = ["size", "source_size", "target", "copies"]
+    new, carry = [F.col(f"_{c}").alias(c) for c in names], without_names(carry, names)
+    return _placed(documents, carry, narrow=text_col not in carry, text_col=text_col, **options).select(*[F.col("_d")[c].alias(c) for c in carry], *new)
 
 
-def _placed(documents: DataFrame, carry: list[str], weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = 3.0, slopes: tuple[float, ...] = SLOPES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def _placed(documents: DataFrame, carry: list[str], weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = 3.0, slopes: tuple[float, ...] = SLOPES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", narrow: bool = False) -> DataFrame:
     """``_d`` (the carried columns), ``_size, _source_size, _target, _copies``; inner names don't clash with carried ones."""
     rows = documents.count()
     buckets = max(1, math.ceil(math.sqrt(rows)))
@@ -75,7 +77,10 @@ def _placed(documents: DataFrame, carry: list[str], weights: tuple[float, ...] =
     )
     # bucket numbers rise with the hash: the leading 32 bits, scaled
     base = base.withColumn("_b", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(1 << 32)))
-    totals = base.groupBy("skey", "_b").agg(F.sum("_size").alias("_n"))
+    if narrow:
+        base = materialise(base, "sizes")
+    # where rows carry their text, it is read once for the totals and once for the rows
+    totals = materialise(base.groupBy("skey", "_b").agg(F.sum("_size").alias("_n")), "totals")
     sources = totals.groupBy("skey").agg(F.sum("_n").alias("source_size"))
     goal = sources.join(source_targets(sources, weights, cap), "skey").withColumnsRenamed({"source_size": "_source_size", "target": "_target", "rank": "_rank"})
     along = Window.partitionBy("skey").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,9 +105,10 @@ def mix(documents: DataFrame, position_col: str = "position", text_col: str = "t
     """The mix itself: a row for each copy taken, with all columns of ``documents`` and its position, range-sorted by position.
 
     The copy that reaches its source's target within a document is cut after its last word taken;
-    ``n_chars``, where there is such a column, follows the text.
+    ``n_chars``, where there is such a column, follows the text. The position takes the place of a column of its
+    name. An empty table gives no rows.
     """
-    columns = documents.columns
+    columns = without_names(documents.columns, [position_col])
     one = _placed(documents, columns, text_col=text_col, **options).select("_d", "_size", F.explode("_copies").alias("_c"))
     text = F.col("_d")[text_col]
     pieces = F.split(text, _GAP, -1)

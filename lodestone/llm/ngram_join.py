@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .collide import colliding, compare_blocks, with_partner
-from .shared import connected_components, materialise, text_or_empty, tidy
+from .shared import connected_components, discard, materialise, text_or_empty, tidy
 
 
 @dataclass(frozen=True)
@@ -129,16 +129,22 @@ def near_duplicates(documents: DataFrame, params: JoinParams = JoinParams(), id_
     ``n_links`` counts the other rows of similarity at or above the threshold, copies included;
     ``component_id`` is the smallest id that is reachable over links; ``kept`` marks the row that
     stands for its group (of repeated equal rows all are marked). Null ids are allowed and sort first.
+    An empty table gives no rows. Other columns are not read, so their names don't matter. A text of any length
+    is compared whole; one task holds its set of n-grams.
     """
     return _flagged(documents, params, id_col, text_col).select(F.col("id").alias(id_col), "n_links", "component_id", "kept")
 
 
 def drop_near_duplicates(documents: DataFrame, params: JoinParams = JoinParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of near-duplicates, with all columns of ``documents``; rows equal in id and text count as one."""
+    """One row of each group of near-duplicates, with all columns of ``documents``; rows equal in id and text count as one.
+
+    Null texts are empty ones, which are near nothing and stay. An empty table gives no rows.
+    """
     stay = _flagged(documents, params, id_col, text_col).where("kept").select(F.col("id").alias("_id"), F.col("th").alias("_kept")).distinct()
-    docs = documents.withColumn("_th", F.xxhash64(text_or_empty(text_col)))
-    joined = docs.join(stay, docs[id_col].eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_kept")), "left_semi")
-    return joined.dropDuplicates([id_col, "_th"]).select(*documents.columns)
+    # all columns travel as one, so that their names don't matter
+    docs = documents.select(F.struct(*documents.columns).alias("_d"), F.col(id_col).alias("_i"), F.xxhash64(text_or_empty(text_col)).alias("_h"))
+    joined = docs.join(stay, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_kept")), "left_semi")
+    return joined.dropDuplicates(["_i", "_h"]).select("_d.*")
 
 
 def _flagged(documents: DataFrame, params: JoinParams, id_col: str, text_col: str) -> DataFrame:
@@ -203,6 +209,7 @@ def _flagged(documents: DataFrame, params: JoinParams, id_col: str, text_col: st
     sets = texts.mapInArrow(tidy(payloads), "fp binary, payload binary").groupBy("fp").agg(F.first("payload").alias("payload"))
     members = wanted.join(classes.select("fp", "copies"), "fp").join(sets, "fp").select("key", "pos", "fp", "signature", "copies", "payload")
     found = materialise(compare_blocks(members, "fp", bands, first_common, lambda p: near_sets(p, threshold)), "links")
+    discard(wanted)
     groups = connected_components(found.select(F.col("fp").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "fp")
     links = found.groupBy("fp").agg(F.sum("links").alias("links"))
     info = classes.select("fp", "rep", "copies").join(links, "fp", "left").join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .labelled import labelled_sample, train_in_one_task
-from .shared import bound_batches, tidy
+from .shared import bound_batches, free_name, tidy, without_names
 
 
 @dataclass(frozen=True)
@@ -193,12 +193,13 @@ def score_quality(documents: DataFrame, model: bytes | None, carry: list[str], t
 
     A null text is the empty text, which gets the network's answer for no words at all. Without a
     model every score is 0. Repeated rows stay, each scored alike; columns of the input that are not
-    in ``carry`` are not read, so clashing names do no harm; for carried ones the new columns can be renamed.
+    in ``carry`` are not read. A new column takes the place of a carried one of its name, unless it is renamed. An empty table gives no rows.
     """
     bound_batches(documents.sparkSession)
+    carry = without_names(carry, [score_col, predicted_col])
     blob = documents.sparkSession.sparkContext.broadcast(model)
     # a text that is carried anyway goes to Python once
-    extra = [] if text_col in carry else [F.col(text_col).cast("string").alias("_text")]
+    extra = [] if text_col in carry else [F.col(text_col).cast("string").alias(free_name("_text", carry))]
     kept = documents.select(*carry, *extra)
     at, n = (len(carry), len(carry)) if extra else (carry.index(text_col), len(carry))
     out = ", ".join([*(f"`{c}` {t}" for c, t in kept.dtypes[:n]), f"`{score_col}` double"])

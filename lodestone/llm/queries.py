@@ -74,7 +74,8 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     trie = lm.build_trie(docs, crc_mod("doc_id", 7) != 2)
     scored = lm.score_texts(docs, trie, ["doc_id"])
-    return scored.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(trie.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    each = [(F.col(c) / F.col("n_tokens")).alias(f"{c}_per_token") for c in ("base_score", "score")]
+    return scored.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(trie.tokens).cast("long").alias("train_tokens"), "base_score", "score", *each)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .collide import key_groups
-from .shared import discard, materialise, text_or_empty, tidy
+from .shared import discard, free_name, materialise, text_or_empty, tidy, without_names
 from .suffixes import repeated_around, repeated_starts
 
 _STEP = 1 << 20
@@ -361,16 +361,17 @@ def cut_repeats(documents: DataFrame, carry: list[str], params: RepeatParams = R
 
     Spans of words are cut from the first byte of the first to the last byte of the last. A null text is the empty
     one, of which nothing is cut; null ids are allowed. Repeated rows are documents of their own, so
-    they lose all that is long enough. An empty table gives no rows. A carried column must not have
-    the name of a new one (``prefix`` avoids that); other columns are not read. A text of any length
+    they lose all that is long enough. An empty table gives no rows. A new column takes
+    the place of a carried one of its name (``prefix`` avoids that); other columns are not read. A text of any length
     is held whole by one task, its windows are taken in steps.
     """
+    new = [prefix + c for c in ("n_bytes", "n_removed", "n_spans", "kept")]
+    carry = without_names(carry, new)
     docs = documents.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     spans = materialise(repeated_spans(docs, params).groupBy("id", "th").agg(F.collect_list(F.struct("los", "size")).alias("spans")), "spans")
     base = documents.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"), F.struct(*[F.col(c) for c in carry]).alias("_d")).withColumn("_th", F.xxhash64("_text"))
-    both = base.join(spans, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th")), "left").select(*[F.col("_d")[c].alias(c) for c in carry], "_text", "spans")
+    both = base.join(spans, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th")), "left").select(*[F.col("_d")[c].alias(c) for c in carry], F.col("_text").alias(free_name("_text", carry)), F.col("spans").alias(free_name("spans", carry)))
     types = dict(documents.dtypes)
-    new = [prefix + c for c in ("n_bytes", "n_removed", "n_spans", "kept")]
 
     def run(batches):
         for b in batches:
@@ -401,8 +402,11 @@ def without_repeats(documents: DataFrame, params: RepeatParams = RepeatParams(),
     """
     columns = documents.columns
     others = [c for c in columns if c != text_col]
-    out = cut_repeats(documents, others, params, id_col, text_col, "_", as_text=True).withColumnRenamed("_kept", text_col)
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in others):
+        prefix += "_"
+    out = cut_repeats(documents, others, params, id_col, text_col, prefix, as_text=True).withColumnRenamed(f"{prefix}kept", text_col)
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length(text_col).cast(dict(documents.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(f"{prefix}n_removed") > 0, F.length(text_col).cast(dict(documents.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return out.select(*columns)
 

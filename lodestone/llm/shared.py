@@ -116,6 +116,20 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def free_name(base: str, *taken: list[str]) -> str:
+    """``base``, with underscores after it until no column of ``taken`` has that name (in any case)."""
+    used = {c.lower() for names in taken for c in names}
+    while base.lower() in used:
+        base += "_"
+    return base
+
+
+def without_names(columns: list[str], new: list[str]) -> list[str]:
+    """Columns to carry, less those whose name a new column takes."""
+    off = {c.lower() for c in new}
+    return [c for c in columns if c.lower() not in off]
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

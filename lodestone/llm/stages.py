@@ -9,9 +9,10 @@ passes through all stages, and columns beyond those of ``documents`` are carried
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import mixing, ngram_join, packing, quality, repeats
-from .shared import crc_mod, discard, materialise
+from .shared import crc_mod, discard, free_name, materialise
 
 #: Passages of this many words and more that also start elsewhere are cut.
 PASSAGES = repeats.RepeatParams(width=50, gram=8, unit="word")
@@ -20,12 +21,14 @@ PASSAGES = repeats.RepeatParams(width=50, gram=8, unit="word")
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier rejects; it learns from the labelled rows of its training fold.
 
-    Empty texts are scored like others, by the text's lack of words. Without usable labels, all documents stay
-    whose score reaches the classifier's bar (see ``quality.quality_model``). Repeated rows are judged alike.
+    Empty texts are scored like others, by their lack of words. Repeated rows are judged alike. Without a usable
+    label there is no model and no ground to reject anything: all documents stay.
     """
     model = quality.quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), crc_mod("doc_id", 4) != 2)
-    scored = quality.score_quality(docs, model, docs.columns, score_col="_score", predicted_col="_predicted")
-    return scored.where("_predicted = 1").select(*docs.columns)
+    if model is None:
+        return docs
+    scored = quality.score_quality(docs, model, docs.columns, score_col=free_name("_score", docs.columns), predicted_col=(own := free_name("_predicted", docs.columns)))
+    return scored.where(F.col(own) == 1).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +46,7 @@ def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each source's share, a row for each copy of a document, in training order; documents without words are taken once."""
-    return mixing.mix(docs, position_col="_position").select(*docs.columns)
+    return mixing.mix(docs, position_col=free_name("_position", docs.columns)).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

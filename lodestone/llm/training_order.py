@@ -80,7 +80,10 @@ def materialise_order(documents: DataFrame, folder: str | None = None, params: O
     Columns: ``id_col, sequence`` (of its text, from 0), ``length`` (ids before the filling), ``ids_crc32`` (of these, as
     they are stored), ``slot, shard, byte_offset``. A text is its ids and ``eos``; a null text is the empty
     one. Repeated rows are texts of their own. The shards are written when the result is computed, before any
-    of its rows appears; ``reader(folder)`` reads them. ``folder`` is a path or ``file:`` address.
+    of its rows appears; ``reader(folder)`` reads them. ``folder`` is a path or ``file:`` address. Ties can't
+    arise: every sequence has a number of its own, by its place in the input. Columns other than the id and the
+    text are not read, so their names don't matter. An empty table gives no rows and no shard. A text of any
+    length is tokenised whole by one task.
     """
     spark = documents.sparkSession
     url = urlparse(folder or scratch_path(spark, "order"))

@@ -49,13 +49,16 @@ def links_by_force(data):
     return out
 
 
-@pytest.mark.parametrize("block", [512, 3])
-def test_embedding_dedup(spark, block, monkeypatch):
+@pytest.mark.parametrize(("block", "shape"), [(512, None), (3, None), (512, (12, 12)), (512, (16, 16))])
+def test_embedding_dedup(spark, block, shape, monkeypatch):
     from lodestone.llm import collide
 
-    monkeypatch.setattr(collide.compare_blocks, "__defaults__", (block,))
+    monkeypatch.setattr(collide, "BLOCK", block)
+    monkeypatch.setattr(collide, "FLAG_MOST", block)
     data = rows()
-    got = embedding_dedup.near_duplicates(spark.createDataFrame(data, SCHEMA)).collect()
+    # columns of the names that the result has, and inner names, don't disturb
+    table = spark.createDataFrame(data, SCHEMA).withColumns({c: F.lit(7) for c in ("n_links", "kept", "node", "key", "_n")})
+    got = embedding_dedup.near_duplicates(table, embedding_dedup.ItqParams(shape=shape)).collect()
     want = links_by_force(data)
     have = Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in got)
     assert sum((have & want).values()) >= 0.99 * len(data)
@@ -70,19 +73,38 @@ def test_codes_are_balanced():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     r = embedding_dedup.learn_rotation(x, 20)
     assert np.allclose(r.T @ r, np.eye(64), atol=1e-8)
-    bits = np.unpackbits(embedding_dedup.codes(x, r).view(np.uint8).reshape(-1, 8), axis=1)
-    assert np.abs(bits.mean(axis=0) - 0.5).max() < 0.1
+    assert np.abs((x @ r >= 0).mean(axis=0) - 0.5).max() < 0.1
+    chunks = embedding_dedup.codes(x, r, (8, 8))
+    assert chunks.shape == (2000, 8) and chunks.max() < 256
     for d in (3, 40, 100):
         assert embedding_dedup.learn_rotation(np.eye(d), 0).shape == (d, 64)
+        assert embedding_dedup.learn_rotation(np.eye(d), 0, 144).shape == (d, 144)
 
 
-def test_canonical_table_is_unique():
+@pytest.mark.parametrize("shape", [(8, 8), (12, 12), (16, 16)])
+def test_tables_meet_at_the_threshold(shape):
+    """Vectors at cosine 0.98 meet in some table, nearly always, whatever the shape; each pair has one first table."""
     r = np.random.default_rng(2)
-    a = r.integers(0, 1 << 63, (30, 1), dtype=np.uint64)
-    b = a.copy()
-    b[:, 0] ^= np.uint64(0xFF) << (r.integers(0, 8, 30, dtype=np.uint64) * np.uint64(8))
-    hits = sum(np.diag(embedding_dedup.first_table(a, b, t)).astype(int) for t in range(len(embedding_dedup.TABLES)))
-    assert (hits == 1).all()
+    x = r.normal(size=(1500, 64))
+    y = r.normal(size=x.shape)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    z = 0.98 * x + np.sqrt(1 - 0.98**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    turn = embedding_dedup.learn_rotation(x, 10, shape[0] * shape[1])
+    a, b = (np.ascontiguousarray(embedding_dedup.codes(v, turn, shape)) for v in (x, z))
+    tables = embedding_dedup.tables_of(shape[0])
+    hits = sum(np.diag(embedding_dedup.first_table(a, b, t, tables)).astype(int) for t in range(len(tables)))
+    assert hits.max() == 1 and hits.mean() > 0.975
+
+
+def test_links_on_the_edge_do_not_depend_on_the_block():
+    x = np.random.default_rng(3).normal(size=(40, 64))
+    payloads = [v.tobytes() for v in x]
+    i, j = 3, 17
+    edge = float((x[i] * x[j]).sum() / (np.sqrt((x[i] * x[i]).sum()) * np.sqrt((x[j] * x[j]).sum())))
+    for at in ([i, j], list(range(40)), [0, i, 5, j, 9]):
+        near = embedding_dedup.near_vectors([payloads[k] for k in at], edge)
+        assert near[at.index(i), at.index(j)] and near[at.index(j), at.index(i)]
 
 
 def nearest_by_force(data, query, k=5):
@@ -108,6 +130,14 @@ def test_small_tables_are_exact(spark):
     assert ann.nearest(spark.createDataFrame([], SCHEMA), F.lit(True)).count() == 0
 
 
+def test_repeated_rows_and_clashing_names(spark):
+    """Each row of a repeated id is asked, and the other rows of that id are its neighbours."""
+    data = [(50, [1.0, 0.0], 0, 0.5), (50, [1.0, 0.0], 0, 0.5), (50, [0.0, 1.0], 0, 0.5), (1, [1.0, 0.1], 0, 0.5)]
+    table = spark.createDataFrame(data, SCHEMA).withColumns({c: F.lit(1) for c in ("query_id", "rank", "node", "list", "ids")})
+    got = ann.nearest(table, F.col("vec_id") % 50 == 0).collect()
+    assert Counter((r["query_id"], r["rank"], r["vec_id"]) for r in got) == Counter({(50, 1, 50): 2, (50, 2, 1): 2, (50, 3, 50): 3, (50, 1, 1): 1, (50, 2, 50): 1})
+
+
 def test_recall_over_lists(spark):
     r = np.random.default_rng(5)
     x = r.normal(size=(3000, 32)).astype(np.float32)
