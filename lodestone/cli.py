@@ -29,6 +29,7 @@ def main(argv: list[str] | None = None) -> int:
     i.add_argument("--dry-run", action="store_true")
     i.add_argument("--no-overrides", action="store_true")
     i.add_argument("--no-gitignore", action="store_true")
+    i.add_argument("--quiet", action="store_true", help="don't tell what happens")
     n = sub.add_parser("init", help="write template files that aren't there")
     n.add_argument("folder")
     v = sub.add_parser("validate", help="check authored overrides")
@@ -46,10 +47,11 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "validate":
         return validate(spark, a.folder)
     from .plans.index import Options, index
+    from .respond.progress import Narrator, Silent
 
     root = os.path.realpath(a.root)
     try:
-        r = index(spark, root, a.out or os.path.join(root, ".lodestone"), options=Options(a.max_depth, a.budget, a.dry_run, not a.no_overrides, not a.no_gitignore))
+        r = index(spark, root, a.out or os.path.join(root, ".lodestone"), options=Options(a.max_depth, a.budget, a.dry_run, not a.no_overrides, not a.no_gitignore), progress=Silent() if a.quiet else Narrator())
     except BudgetExceeded as e:
         print(e, file=sys.stderr)
         return 2

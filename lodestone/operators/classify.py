@@ -24,13 +24,13 @@ def rules(cargo: Column, package: Column, pyproject: Column, git_root: Column, h
     run = ["build", "runtime"]
     no = lambda c: ~F.coalesce(c, F.lit(False))
     return [
-        ("cargo-workspace", cargo["has_workspace"], answer("workspace", "rust", "cargo", ["build"], ["Cargo.toml:[workspace]"], "Cargo.toml declares a [workspace] section.")),
-        ("cargo-bin", cargo["has_bin"], answer("rust-cli", "rust", "cargo", run, ["Cargo.toml:[[bin]]"], "Cargo.toml declares a [[bin]] section.")),
-        ("cargo-lib", cargo["has_lib"], answer("rust-library", "rust", "cargo", run, ["Cargo.toml:[lib]"], "Cargo.toml declares a [lib] section with no [[bin]].")),
-        ("package-json-bin", package["has_bin"], answer("node-cli", "javascript", "npm", run, ["package.json:bin"], "package.json declares a `bin` field.")),
-        ("package-json-library", package["has_main"] | package["has_exports"], answer("node-library", "javascript", "npm", run, ["package.json:main|exports"], "package.json declares `main` or `exports` with no `bin`.")),
-        ("pyproject-toml", pyproject, answer("python-library", "python", "pyproject", run, ["pyproject.toml"], "pyproject.toml present.")),
-        ("bare-git-no-manifests", git_root & no(has_manifest) & no(near_readme), answer("non-component", None, None, [], [".git"], "Directory has a .git marker but no manifests and no README declaring purpose.", boundary=False)),
+        ("cargo-workspace", cargo["has_workspace"], answer("workspace", "rust", "cargo", ["build"], ["Cargo.toml:[workspace]"], "a crate manifest that gathers other crates")),
+        ("cargo-bin", cargo["has_bin"], answer("rust-cli", "rust", "cargo", run, ["Cargo.toml:[[bin]]"], "a crate manifest that builds a program")),
+        ("cargo-lib", cargo["has_lib"], answer("rust-library", "rust", "cargo", run, ["Cargo.toml:[lib]"], "a crate manifest that builds a library and no program")),
+        ("package-json-bin", package["has_bin"], answer("node-cli", "javascript", "npm", run, ["package.json:bin"], "a package that installs a command")),
+        ("package-json-library", package["has_main"] | package["has_exports"], answer("node-library", "javascript", "npm", run, ["package.json:main|exports"], "a package with an entry point and no command")),
+        ("pyproject-toml", pyproject, answer("python-library", "python", "pyproject", run, ["pyproject.toml"], "a Python project file")),
+        ("bare-git-no-manifests", git_root & no(has_manifest) & no(near_readme), answer("non-component", None, None, [], [".git"], "a bare repository root: neither manifest nor readme says what it is", boundary=False)),
     ]
 
 
@@ -73,7 +73,7 @@ def by_pins(dirs: DataFrame, pins: DataFrame, additions: DataFrame | None = None
         F.array_sort(F.collect_set(F.concat(F.lit("pin:"), "field"))).alias("fields"), F.coalesce(F.max((F.col("field") == "suppress") & (F.col("variant") == "suppress")), F.lit(False)).alias("off"),
     )
     kind = F.when(F.col("kind").isin(*vocab.KINDS), F.col("kind")).otherwise("non-component")
-    values = (kind, F.col("language"), F.col("build_system"), F.array().cast("array<string>"), F.col("role"), F.lit("strong"), F.col("fields"), F.lit("human pin"), ~F.col("off"))
+    values = (kind, F.col("language"), F.col("build_system"), F.array().cast("array<string>"), F.col("role"), F.lit("strong"), F.col("fields"), F.lit("set by hand"), ~F.col("off"))
     made = shaped.select("key", F.struct(*[v.alias(n) for v, n in zip(values, FIELDS, strict=True)]).alias("pin"))
     hit = pin_keys(dirs, additions).join(made, "key")
     return hit.groupBy("dir").agg(F.min_by("pin", "prio").alias("pin"))

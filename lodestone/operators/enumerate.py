@@ -116,3 +116,8 @@ def read_budgeted(requests: DataFrame, budget: int = 1 << 20, cap: int = 64 << 1
     before = F.coalesce(F.sum(want).over(w), F.lit(0))
     granted = F.greatest(F.lit(0), F.least(want, F.lit(budget) - before))
     return requests.withColumn("granted", granted.cast("long")).withColumn("truncated", F.col("granted") < F.col("size"))
+
+
+def by_path(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The files of ``wanted(path)``; paths that aren't there give nothing. One or a few paths reach the scan as a filter through the join's key."""
+    return files.join(wanted.select("path").distinct(), "path", "left_semi")

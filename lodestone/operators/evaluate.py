@@ -126,3 +126,10 @@ def summary(results: DataFrame) -> DataFrame:
     n = F.count("*").cast("string")
     failed = F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("name"))))
     return results.agg(F.when(F.size(failed) == 0, F.concat(n, F.lit("/"), n, F.lit(" passed"))).otherwise(F.concat(F.lit("failed: "), F.array_join(failed, ", "))).alias("summary"))
+
+
+def kinds_in_use(used: DataFrame, vocabulary: tuple[str, ...]) -> DataFrame:
+    """``(kind, state)``: each kind of ``used(kind)`` or of the vocabulary is ``in use``, ``unused`` or ``unknown``."""
+    listed = used.sparkSession.createDataFrame([(k,) for k in vocabulary], "kind string")
+    both = used.select("kind").where("kind is not null").distinct().withColumn("u", F.lit(True)).join(listed.withColumn("v", F.lit(True)), "kind", "full_outer")
+    return both.select("kind", F.when(F.col("u") & F.col("v"), "in use").when(F.col("v"), "unused").otherwise("unknown").alias("state"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .settle import settle
+from .tree import lines
 
 
 def edge_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -16,17 +18,62 @@ def edge_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").distinct().join(outs, "node", "left").join(ins, "node", "left").select("node", zero("out_degree"), zero("in_degree"))
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def _tarjan(edges: pd.DataFrame) -> pd.DataFrame:
+    """Strongly connected groups of two nodes and more among a bounded number of edges, by Tarjan's walk with a stack of its own."""
+    out: dict = {}
+    for a, b in zip(edges["src"].tolist(), edges["dst"].tolist(), strict=True):
+        out.setdefault(a, []).append(b)
+    index: dict = {}
+    low: dict = {}
+    open_: list = []
+    inside: set = set()
+    found = []
+    for root in out:
+        if root in index:
+            continue
+        walk = [(root, iter(out[root]))]
+        index[root] = low[root] = len(index)
+        open_.append(root)
+        inside.add(root)
+        while walk:
+            node, rest = walk[-1]
+            step = next((n for n in rest if n not in index or n in inside), None)
+            if step is None:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[node])
+                if low[node] == index[node]:
+                    group = [open_.pop()]
+                    while group[-1] != node:
+                        group.append(open_.pop())
+                    inside.difference_update(group)
+                    if len(group) > 1:
+                        found += [(min(group), n) for n in group]
+            elif step in index:
+                low[node] = min(low[node], index[step])
+            else:
+                index[step] = low[step] = len(index)
+                open_.append(step)
+                inside.add(step)
+                walk.append((step, iter(out.get(step, ()))))
+    return pd.DataFrame(found, columns=["component", "node"])
+
+
+def strong_components(edges: DataFrame, max_rounds: int = 1000, small: int = 200_000) -> DataFrame:
     """``(component, node)`` of the strongly connected groups of two nodes and more, named by their least node.
 
     Forward colouring: each node takes the least name that reaches it. Within a colour, what reaches
-    the node of that name forms a group. Groups are taken out and the rest is coloured anew.
+    the node of that name forms a group. Groups are taken out and the rest is coloured anew. As soon as at
+    most ``small`` edges are left, one task finishes them by Tarjan's exact walk; the result is the same.
     """
     spark = edges.sparkSession
     live = settle(edges.select("src", "dst").where("src <> dst").distinct())
     kind = live.schema["src"].dataType.simpleString()
     found = spark.createDataFrame([], f"component {kind}, node {kind}")
     for _ in range(max_rounds):
+        if live.count() <= small:
+            rest = live.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(lambda pdf: _tarjan(pdf), found.schema)
+            return found.union(rest)
         # nodes without a way in or out are groups of their own
         while True:
             kept = settle(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
@@ -91,13 +138,20 @@ def ratio(outside: Column, inside: Column) -> Column:
 def seam_density(tree: DataFrame, above: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, internal, crossing, density)`` for every node of ``tree(id)``; ``above`` is its closure.
 
-    An edge is internal to each node at or above both of its ends, and crosses each at or above one.
+    An edge is internal to each node at or above both of its ends, and crosses each at or above one. It is
+    internal to the lowest node above both ends and to all above that: so ends and lowest nodes are counted a
+    node, and the counts are added up along the closure. Edges meet the tree twice, whatever its depth.
     """
-    at = tree.select("id", F.col("id").alias("node")).union(above.select(F.col("ancestor").alias("id"), F.col("id").alias("node")))
-    ends = edges.withColumn("eid", F.monotonically_increasing_id()) if "eid" not in edges.columns else edges
-    ends = ends.select("eid", F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(0).alias("side")), F.struct(F.col("dst").alias("node"), F.lit(1).alias("side")))).alias("e")).select("eid", "e.*")
-    hit = ends.join(at, "node").groupBy("id", "eid").agg(F.countDistinct("side").alias("sides"))
-    counted = hit.groupBy("id").agg(F.count_if(F.col("sides") == 2).alias("internal"), F.count_if(F.col("sides") == 1).alias("crossing"))
+    line = lines(above, tree)
+    pairs = edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    met = pairs.join(line.select(F.col("id").alias("src"), F.col("line").alias("a")), "src", "left").join(line.select(F.col("id").alias("dst"), F.col("line").alias("b")), "dst", "left")
+    common = F.array_intersect("a", "b")
+    met = met.select("n", F.when(F.col("a").isNotNull(), F.col("src")).alias("src"), F.when(F.col("b").isNotNull(), F.col("dst")).alias("dst"), F.when(F.size(common) > 0, F.element_at(common, -1)).alias("low"))
+    one = met.select("n", F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("end")), F.struct(F.col("dst").alias("node"), F.lit(1).alias("end")), F.struct(F.col("low").alias("node"), F.lit(0).alias("end")))).alias("x")).where("x.node is not null")
+    own = one.groupBy("x.node").agg(F.sum(F.col("n") * F.col("x.end")).alias("ends"), F.sum(F.col("n") * (1 - F.col("x.end"))).alias("inside"))
+    own = own.join(tree.select(F.col("id").alias("node")), "node")
+    spread = own.select(F.col("node").alias("id"), "ends", "inside").union(above.join(own.withColumnRenamed("node", "id"), "id").select(F.col("ancestor").alias("id"), "ends", "inside"))
+    counted = spread.groupBy("id").agg(F.sum("inside").alias("internal"), (F.sum("ends") - 2 * F.sum("inside")).alias("crossing"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     out = tree.select("id").join(counted, "id", "left").select("id", zero("internal").alias("internal"), zero("crossing").alias("crossing"))
     return out.withColumn("density", ratio(F.col("crossing"), F.col("internal")))

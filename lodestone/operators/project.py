@@ -88,14 +88,14 @@ def unresolved_members(members: DataFrame, components: DataFrame) -> DataFrame:
 
 def validate_pins(pins: DataFrame) -> DataFrame:
     """``(severity, pin_key, field, message, suggestion)`` of pins with unknown fields or kinds."""
-    unknown = pins.where(~F.col("field").isin(*vocab.PIN_FIELDS)).select(F.lit("warning").alias("severity"), F.col("key").alias("pin_key"), "field", F.concat(F.lit("unknown pin field `"), "field", F.lit("` will be ignored by the engine")).alias("message"), F.lit(None).cast("string").alias("suggestion"))
+    unknown = pins.where(~F.col("field").isin(*vocab.PIN_FIELDS)).select(F.lit("warning").alias("severity"), F.col("key").alias("pin_key"), "field", F.concat(F.lit("no such pin field: "), "field", F.lit("; it has no effect")).alias("message"), F.lit(None).cast("string").alias("suggestion"))
     kinds = pins.where((F.col("field") == "kind") & (F.col("variant") == "value") & ~F.col("value").isin(*vocab.KINDS))
-    text = F.concat(F.lit("kind value `"), "value", F.lit("` is not in the canonical vocabulary; L3 would silently classify this component as `non-component`"))
+    text = F.concat(F.lit("no such kind: "), "value", F.lit("; the component would count as none"))
     return unknown.union(kinds.select(F.lit("error"), "key", F.lit("kind"), text, kind_suggestion(F.col("value"))))
 
 
 def validate_additions(additions: DataFrame) -> DataFrame:
-    text = F.concat(F.lit("addition `"), "id", F.lit("` has kind `"), "kind", F.lit("` which is not in the canonical vocabulary"))
+    text = F.concat(F.lit("added component "), "id", F.lit(" is of no known kind: "), "kind")
     return additions.where(~F.col("kind").isin(*vocab.KINDS)).select(F.lit("error").alias("severity"), F.col("id").alias("pin_key"), F.lit("kind").alias("field"), text.alias("message"), kind_suggestion(F.col("kind")).alias("suggestion"))
 
 
@@ -103,15 +103,15 @@ def validate_subsystems(subs: DataFrame) -> DataFrame:
     """Repeated ids and empty member lists of ``subs(ord, id, members)``."""
     none = F.lit(None).cast("string")
     rn = F.row_number().over(Window.partitionBy("id").orderBy("ord"))
-    again = subs.withColumn("rn", rn).where("rn > 1").select(F.lit("error").alias("severity"), F.col("id").alias("pin_key"), none.alias("field"), F.concat(F.lit("duplicate subsystem id '"), "id", F.lit("'")).alias("message"), none.alias("suggestion"))
-    empty = subs.where(F.size("members") == 0).select(F.lit("error"), "id", F.lit("members"), F.concat(F.lit("subsystem '"), "id", F.lit("' has empty members; remove the entry or add at least one glob/id")), none)
+    again = subs.withColumn("rn", rn).where("rn > 1").select(F.lit("error").alias("severity"), F.col("id").alias("pin_key"), none.alias("field"), F.concat(F.lit("subsystem "), "id", F.lit(" is listed twice")).alias("message"), none.alias("suggestion"))
+    empty = subs.where(F.size("members") == 0).select(F.lit("error"), "id", F.lit("members"), F.concat(F.lit("subsystem "), "id", F.lit(" lists no members")), none)
     return again.union(empty)
 
 
 def report_lines(issues: DataFrame) -> DataFrame:
     """One line of text for each issue."""
-    where = F.concat(F.lit(" at pins["), "pin_key", F.lit("]"), F.coalesce(F.concat(F.lit("."), "field"), F.lit("")))
-    hint = F.coalesce(F.concat(F.lit("\n    suggestion: use `"), "suggestion", F.lit("` instead")), F.lit(""))
+    where = F.concat(F.lit(" in pin "), "pin_key", F.coalesce(F.concat(F.lit(" / "), "field"), F.lit("")))
+    hint = F.coalesce(F.concat(F.lit(" (did you mean "), "suggestion", F.lit("?)")), F.lit(""))
     return issues.select(F.concat(F.lit("  "), "severity", F.coalesce(where, F.lit("")), F.lit(": "), "message", hint).alias("line"))
 
 

@@ -55,9 +55,9 @@ def subcarve(subdirs: DataFrame, verdicts: DataFrame, hints: DataFrame | None =
     carve = F.col("accepted") > 0
     text = F.concat_ws(
         "; ",
-        F.concat(F.lit("L3 verdicts across "), (F.col("accepted") + F.col("rejected")).cast("string"), F.lit(" immediate sub-dir(s): "), F.col("accepted").cast("string"), F.lit(" component(s), "), F.col("rejected").cast("string"), F.lit(" non-component(s)")),
-        F.when(carve, F.concat(F.lit("kept: "), F.array_join("kept", ", "))),
-        F.when(F.coalesce("hint", F.lit(False)) & ~carve, F.lit("note: modularity_hint suggested a partition but no sub-dir verdict was a boundary")),
+        F.concat(F.lit("of "), (F.col("accepted") + F.col("rejected")).cast("string"), F.lit(" directories below, "), F.col("accepted").cast("string"), F.lit(" are components and "), F.col("rejected").cast("string"), F.lit(" are not")),
+        F.when(carve, F.concat(F.lit("carved out "), F.array_join("kept", ", "))),
+        F.when(F.coalesce("hint", F.lit(False)) & ~carve, F.lit("its edges fall into two parts, but no directory below is a boundary")),
     )
     return out.select("id", carve.alias("carve"), "accepted", "rejected", "kept", text.alias("rationale"))
 
@@ -67,14 +67,21 @@ def merge_back_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.union(new.join(old, ["id", "sub_dir"], "left_anti").select(*old.columns)).distinct()
 
 
-def fixedpoint(step: Callable[[DataFrame], DataFrame], start: DataFrame, max_rounds: int = 8) -> tuple[DataFrame, int]:
+def fixedpoint(step: Callable[[DataFrame], DataFrame], start: DataFrame, max_rounds: int = 8, hooks=None) -> tuple[DataFrame, int]:
     """Carve until no pair ``(id, sub_dir)`` is new: the set and the rounds that added something.
 
     ``step`` gives the pairs proposed with the current set. More than ``max_rounds`` productive rounds is an error.
+    ``hooks`` may have ``before(round)`` and ``after(round, new)``, called on the driver.
     """
     known, rounds = settle(start), 0
+    tried = 0
     while True:
+        tried += 1
+        if hooks is not None:
+            hooks.before(tried)
         new = settle(step(known).select(*known.columns).join(known, known.columns, "left_anti").distinct())
+        if hooks is not None:
+            hooks.after(tried, new)
         if new.isEmpty():
             return known, rounds
         rounds += 1

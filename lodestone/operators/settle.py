@@ -3,23 +3,38 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+import weakref
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame
 
 _own: list = []
 _written: list[str] = []
+_paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def _remove(path: str) -> None:
+    """In stores other than file systems tables stay for the folder's own clean-up."""
+    if urlparse(path).scheme in ("", "file"):
+        shutil.rmtree(urlparse(path).path, ignore_errors=True)
 
 
 @atexit.register
 def _drop() -> None:
-    """Settled tables go when this process ends; in stores other than file systems they stay for the folder's own clean-up."""
     for path in _written:
-        if urlparse(path).scheme in ("", "file"):
-            shutil.rmtree(urlparse(path).path, ignore_errors=True)
+        _remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables before this process ends, once all that was computed from them is written too."""
+    for t in tables:
+        if (path := _paths.pop(t, None)) is not None:
+            _remove(path)
+            _written.remove(path)
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -31,6 +46,8 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         if not _own:
             own = tempfile.TemporaryDirectory(prefix="lodestone-")
             _own.append(own)
@@ -39,4 +56,6 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{found.rstrip('/')}/lodestone/settled-{uuid.uuid4().hex}"
     _written.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from .settle import settle
+from .settle import discard, settle
 
 
 def nearest_ancestor(dirs: DataFrame, confirmed: DataFrame) -> DataFrame:
@@ -43,30 +43,51 @@ def allocate_in_group(parent: str | None, dirs: list[str], slugs: list[str], tak
     return out
 
 
-def allocate_ids(nodes: DataFrame, taken: DataFrame | None = None, max_depth: int = 256) -> DataFrame:
-    """``(dir, id, parent_id)`` for ``nodes(dir, parent_dir, depth, slug)``, level by level from the top.
+def _full_paths(rows: DataFrame) -> DataFrame:
+    """``(dir, id, parent_id)`` from ``rows(dir, above, segment)``: segments joined along the chain of ``above``, doubling the distance a round."""
+    known = settle(rows.select("dir", F.col("above").alias("up"), F.col("segment").alias("path")))
+    while not (open_ := known.where("up is not null")).isEmpty():
+        far = known.select(F.col("dir").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"))
+        more = open_.join(far, "up").select("dir", F.col("next").alias("up"), F.concat_ws("/", "head", "path").alias("path"))
+        nxt = settle(known.where("up is null").union(more))
+        discard(known)
+        known = nxt
+    ids = known.select("dir", F.col("path").alias("id"))
+    return rows.select("dir", "above").join(ids, "dir").join(ids.select(F.col("dir").alias("above"), F.col("id").alias("parent_id")), "above", "left").select("dir", "id", "parent_id")
 
-    Ids of different parents can't clash, so each level's groups are independent; a group is one
-    directory's direct components.
+
+def allocate_ids(nodes: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """``(dir, id, parent_id)`` for ``nodes(dir, parent_dir, depth, slug)``, at any depth.
+
+    Ids of different parents can't clash, so the groups, each one directory's direct components, are
+    independent: a group fixes the last segments of its ids, and these are joined along the parents. Ids in
+    ``taken`` bar segments below the parent they name; as long as that changes the ids of parents, the
+    groups are tried again. The top settles first, so the rounds are at most the levels at which a taken id lies, and one.
     """
-    spark = nodes.sparkSession
-    done = spark.createDataFrame([], "dir string, id string, parent_id string")
-    used = taken.select("id") if taken is not None else spark.createDataFrame([], "id string")
-    levels = [r["depth"] for r in nodes.select("depth").distinct().orderBy("depth").limit(max_depth).collect()]
+    known = nodes.select(F.col("dir").alias("parent_dir"), F.lit(True).alias("_known")).distinct()
+    base = settle(nodes.join(known, "parent_dir", "left").select("dir", "slug", F.when(F.col("_known"), F.col("parent_dir")).alias("above")))
+    group = F.when(F.col("above").isNull(), F.lit("top")).otherwise(F.concat(F.lit("in "), "above"))
+    own = base.select(group.alias("grp"), "dir", "slug")
+    bars = taken.select(P.parent(F.col("id")).alias("parent_id"), P.basename(F.col("id")).alias("dir")) if taken is not None else None
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent = pdf["parent_id"].iloc[0]
-        own = pdf[pdf["slug"].notna()].sort_values("dir")
-        ids = allocate_in_group(parent or None, own["dir"].tolist(), own["slug"].tolist(), set(pdf.loc[pdf["slug"].isna(), "dir"]))
-        return pd.DataFrame({"dir": own["dir"].tolist(), "id": ids, "parent_id": parent or None})
-
-    for level in levels:
-        at = nodes.where(F.col("depth") == level).join(done.select(F.col("dir").alias("parent_dir"), F.col("id").alias("parent_id")), "parent_dir", "left").select("dir", "slug", F.coalesce("parent_id", F.lit("")).alias("parent_id"))
-        old = used.select(F.col("id").alias("dir"), F.lit(None).cast("string").alias("slug"), P.parent(F.col("id")).alias("parent_id"))
-        old = old.join(at.select("parent_id").distinct(), "parent_id", "left_semi").select("dir", "slug", "parent_id")
-        got = at.union(old).groupBy("parent_id").applyInPandas(assign, "dir string, id string, parent_id string")
-        done = settle(done.union(got))
-    return done
+        mine = pdf[pdf["slug"].notna()].sort_values("dir")
+        barred = set(pdf.loc[pdf["slug"].isna(), "dir"])
+        return pd.DataFrame({"dir": mine["dir"].tolist(), "segment": allocate_in_group(None, mine["dir"].tolist(), mine["slug"].tolist(), barred)})
+
+    ids = None
+    while True:
+        rows = own
+        if bars is not None:
+            at = bars.where("parent_id = ''").select(F.lit("top").alias("grp"), "dir")
+            if ids is not None:
+                at = at.union(bars.join(ids.select(F.col("id").alias("parent_id"), F.concat(F.lit("in "), "dir").alias("grp")), "parent_id").select("grp", "dir"))
+            rows = own.union(at.join(own.select("grp").distinct(), "grp", "left_semi").select("grp", "dir", F.lit(None).cast("string").alias("slug")))
+        segments = rows.groupBy("grp").applyInPandas(assign, "dir string, segment string")
+        new = settle(_full_paths(settle(base.join(segments, "dir").select("dir", "above", "segment"))))
+        if bars is None or (ids is not None and new.join(ids, ["dir", "id"], "left_anti").isEmpty()):
+            return new
+        ids = new
 
 
 def match_renames(prior: DataFrame, live: DataFrame) -> DataFrame:
@@ -86,15 +107,14 @@ def tombstones(prior: DataFrame, kept: DataFrame) -> DataFrame:
     return prior.where(~F.col("deleted")).join(kept.select("id"), "id", "left_anti").withColumn("deleted", F.lit(True))
 
 
-def closure(tree: DataFrame, max_depth: int = 64) -> DataFrame:
-    """``(id, ancestor, distance)`` for every node of ``tree(id, parent)`` and every node above it.
+def closure(tree: DataFrame) -> DataFrame:
+    """``(id, ancestor, distance)`` for every node of ``tree(id, parent)`` and every node above it, at any depth.
 
-    Doubles the distance covered in each round. A chain beyond ``2 ** 6`` links or a cycle raises an error.
+    Doubles the distance covered in each round. A cycle raises an error.
     """
-    step = tree.where("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
-    known = settle(step)
+    known = settle(tree.where("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")))
     reach = 1
-    while reach < max_depth:
+    while True:
         near = known.where(F.col("distance") == reach).select(F.col("id").alias("low"), F.col("ancestor").alias("id"), F.col("distance").alias("first"))
         more = settle(near.join(known, "id").select(F.col("low").alias("id"), "ancestor", (F.col("first") + F.col("distance")).alias("distance")))
         if more.isEmpty():
@@ -103,7 +123,6 @@ def closure(tree: DataFrame, max_depth: int = 64) -> DataFrame:
             raise ValueError("the parents form a cycle")
         known = settle(known.union(more))
         reach *= 2
-    raise ValueError("the tree is too deep")
 
 
 def depths(tree: DataFrame, above: DataFrame | None = None) -> DataFrame:
@@ -112,19 +131,41 @@ def depths(tree: DataFrame, above: DataFrame | None = None) -> DataFrame:
     return tree.select("id").join(above.groupBy("id").agg(F.max("distance").alias("depth")), "id", "left").select("id", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
-def on_cycles(tree: DataFrame, rounds: int = 64) -> DataFrame:
-    """Ids whose parent chain never ends: what is left after taking away, again and again, nodes whose parent is settled."""
+def on_cycles(tree: DataFrame) -> DataFrame:
+    """Ids whose parent chain never ends, at any depth.
+
+    Every node looks twice as far up in each round; those whose chain has ended go. A chain that ends later has
+    nodes near its end, so when none goes in a round, no other ever will.
+    """
     nodes = tree.select("id", "parent")
-    open_ = settle(nodes.join(nodes.select(F.col("id").alias("parent")), "parent", "left_semi").select("id", "parent"))
-    for _ in range(rounds):
-        nxt = settle(open_.join(open_.select(F.col("id").alias("parent")), "parent", "left_semi").select("id", "parent"))
-        if nxt.count() == open_.count():
+    live = settle(nodes.join(nodes.select(F.col("id").alias("parent")), "parent", "left_semi").select("id", F.col("parent").alias("up")))
+    count = live.count()
+    while count:
+        nxt = settle(live.join(live.select(F.col("id").alias("up"), F.col("up").alias("next")), "up").select("id", F.col("next").alias("up")))
+        discard(live)
+        live, before = nxt, count
+        if (count := live.count()) == before:
             break
-        open_ = nxt
-    return open_.select("id")
+    return live.select("id")
+
+
+def lines(above: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(id, line)`` of ``nodes(id)``: the ids from the root down to the node itself; ``above`` is the closure."""
+    line = above.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "ancestor"))), lambda x: x["ancestor"]).alias("up"))
+    return nodes.select("id").join(line, "id", "left").select("id", F.concat(F.coalesce("up", F.array().cast(line.schema["up"].dataType)), F.array("id")).alias("line"))
 
 
 def suppress_children(tree: DataFrame, pins: DataFrame) -> DataFrame:
     """``tree`` without the ids that a live component's pin suppresses; ``pins(key, children)``."""
     live = pins.join(tree.select(F.col("id").alias("key")), "key", "left_semi")
     return tree.join(live.select(F.explode("children").alias("id")).distinct(), "id", "left_anti")
+
+
+def children(tree: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(parent, id)``: the direct components below each of ``ids(id)``."""
+    return tree.where("parent is not null").join(ids.select(F.col("id").alias("parent")).distinct(), "parent", "left_semi").select("parent", "id")
+
+
+def segments(components: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(id, path)``: the path segments of each of ``ids(id)``; ``components(id, paths)``. Unknown ids give none."""
+    return components.join(ids.select("id").distinct(), "id", "left_semi").select("id", F.explode("paths").alias("path"))

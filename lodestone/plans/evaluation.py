@@ -120,12 +120,6 @@ def inv_git_rationale(spark: SparkSession, sf: str) -> DataFrame:
     return V.missing_git_rationale(c, g)
 
 
-@query("SELECT 'failed: overlap, participants' AS summary")
-def invariant_summary(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [("coverage", True), ("participants", False), ("overlap", False), ("termination", True)]
-    return V.summary(spark.createDataFrame(rows, "name string, passed boolean"))
-
-
 _REQ = "req AS (SELECT DISTINCT lang AS prompt, '{\"a\":\"' || source || '\",\"n\":' || CAST(n_chars % 50 AS VARCHAR) || '}' AS inputs, doc_id FROM documents)"
 _CACHE = "cached AS (SELECT DISTINCT r.prompt, r.inputs FROM req r JOIN labels l ON l.doc_id = r.doc_id)"
 
@@ -172,12 +166,6 @@ def prompt_render(spark: SparkSession, sf: str) -> DataFrame:
     return n.mapInPandas(run, "id int, prompt string")
 
 
-@query("SELECT 'missing' AS side, 'BETA' AS name UNION ALL SELECT 'unused', 'GAMMA'")
-def template_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    missing, unused = R.coverage("{{ALPHA}} {{BETA}}", {"ALPHA", "GAMMA", "SHA"}, {"SHA"})
-    return spark.createDataFrame([("missing", x) for x in sorted(missing)] + [("unused", x) for x in sorted(unused)], "side string, name string")
-
-
 _LINE = """CASE role WHEN 'assistant' THEN '{"type":"result","is_error":' || CASE WHEN turn % 2 = 0 THEN 'true' ELSE 'false' END || ',"result":"t' || CAST(turn AS VARCHAR(20)) || '"}' WHEN 'user' THEN '{"type":"user","result":"no"}' ELSE 'not json' END"""
 
 

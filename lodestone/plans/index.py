@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import os
+import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from ..functions import paths as P
 from ..operators import candidates as C
@@ -21,6 +23,7 @@ from ..operators import tree as T
 from ..operators.settle import settle
 from ..respond import cache as M
 from ..respond.core import Budget, BudgetExceeded, Canned, Responder
+from ..respond.progress import Finished, Phase, Progress, Rounds, Silent, Started, Surface
 from ..sources import files as FS
 from ..sources import tables as S
 
@@ -49,24 +52,35 @@ class Result:
 class Ask:
     """Answers requests through the cache; what is missing goes to the responder under one budget."""
 
-    def __init__(self, spark: SparkSession, responder: Responder, cache: DataFrame, budget: Budget):
-        self.spark, self.responder, self.cache, self.budget = spark, responder, cache, budget
-        self.calls = self.errors = 0
+    def __init__(self, spark: SparkSession, responder: Responder, cache: DataFrame, budget: Budget, progress: Progress):
+        self.spark, self.responder, self.budget, self.progress = spark, responder, budget, progress
+        self.store = M.ResponseCache(cache, settle)
+        self.by_prompt: dict[str, int] = {}
+
+    @property
+    def cache(self) -> DataFrame:
+        return self.store.entries
 
     def __call__(self, requests: DataFrame) -> DataFrame:
         """``requests(key, prompt, inputs)`` to ``(key, response)``; failed ones are missing. Running out of budget is an error."""
         asked = M.keyed(requests, self.responder)
-        missing = settle(M.misses(asked, self.cache))
-        n = missing.count()
-        if n:
-            got = settle(M.answer_within(missing, self.responder, self.budget))
-            self.calls += n
-            bad = [r["error"] for r in got.where("response is null").select("error").collect()]
-            self.errors += len(bad)
-            if any(e.startswith("BudgetExceeded") for e in bad):
+        missing = settle(self.store.missing(asked))
+        if n := missing.count():
+            done = 0
+
+            def told(prompt: str, inputs: str, ok: bool) -> None:
+                nonlocal done
+                done += 1
+                self.by_prompt[prompt] = self.by_prompt.get(prompt, 0) + ok
+                if prompt == "surface":
+                    what = json.loads(inputs)
+                    self.progress.on_event(Surface(what["COMPONENT_ID"], max(what["PATH_SEGMENTS"] or [""], key=len), done, n))
+
+            got = settle(M.answer_within(missing, self.responder, self.budget, told=told))
+            self.store.record(got)
+            if not got.where(F.startswith("error", F.lit("BudgetExceeded"))).isEmpty():
                 raise BudgetExceeded("the token budget is used up")
-            self.cache = settle(self.cache.union(got.where("response is not null").drop("error")))
-        return requests.join(M.hits(asked, self.cache).select("prompt", "inputs", "response"), ["prompt", "inputs"]).select("key", "response")
+        return requests.join(self.store.found(asked).select("prompt", "inputs", "response"), ["prompt", "inputs"]).select("key", "response")
 
 
 def _inputs(**columns):
@@ -74,12 +88,19 @@ def _inputs(**columns):
     return F.to_json(F.struct(*[c.alias(k) for k, c in sorted(columns.items())]), {"ignoreNullFields": "false"})
 
 
+def _sorted(c: Column, kind: DataType) -> Column:
+    """A column with the fields of all structs within in the order of their names."""
+    if isinstance(kind, StructType):
+        return F.when(c.isNotNull(), F.struct(*[_sorted(c[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]))
+    return F.transform(c, lambda x: _sorted(x, kind.elementType)) if isinstance(kind, ArrayType) else c
+
+
 def classify(files: DataFrame, dirs: DataFrame, pins: DataFrame, additions: DataFrame, ask: Ask) -> DataFrame:
     """``dir, source, answer, manifests, headings`` of all candidates."""
     bundled = settle(K.classify_by_rules(C.bundles(files, dirs), files))
     pinned = settle(K.by_pins(dirs, pins, additions))
     left = K.undecided(bundled, pinned)
-    req = left.select(F.col("dir").alias("key"), F.lit("classify").alias("prompt"), _inputs(DIR_RELATIVE=F.col("dir"), RATIONALE_BUNDLE=F.struct(F.col("headings"), F.col("is_git_root"), F.col("manifests"), F.col("shebangs"))).alias("inputs"))
+    req = left.select(F.col("dir").alias("key"), F.lit("classify").alias("prompt"), _inputs(DIR_RELATIVE=F.col("dir"), RATIONALE_BUNDLE=F.struct(*[_sorted(F.col(c), left.schema[c].dataType).alias(c) for c in ("headings", "is_git_root", "manifests", "shebangs")])).alias("inputs"))
     answers = ask(req).select(F.col("key").alias("dir"), K.parse_answer(F.col("response")).alias("model"))
     return K.cascade(bundled, pinned, answers).join(bundled.select("dir", "manifests", "headings"), "dir")
 
@@ -131,12 +152,15 @@ def carve(files: DataFrame, components: DataFrame, classified: DataFrame, edges:
     return kept.select("id", F.explode("kept").alias("sub_dir"))
 
 
-def index(spark: SparkSession, root: str, out_dir: str, responder: Responder | None = None, options: Options = Options(), now: str | None = None) -> Result:
+def index(spark: SparkSession, root: str, out_dir: str, responder: Responder | None = None, options: Options = Options(), now: str | None = None, progress: Progress | None = None) -> Result:
     """Analyse the tree under ``root`` and write four YAML files and the response cache to ``out_dir``.
 
     A second run over an unchanged tree asks nothing and writes the same bytes. When the budget runs out, nothing but
-    the answers so far is written.
+    the answers so far is written. ``progress`` is told what happens.
     """
+    began, progress = time.monotonic(), progress or Silent()
+    progress.on_event(Started(root))
+    progress.on_event(Phase("seed"))
     responder = responder or Canned({})
     where = lambda n: os.path.join(out_dir, n)
     prior_file = S.load_yaml(where("components.yaml"), "components")
@@ -151,7 +175,7 @@ def index(spark: SparkSession, root: str, out_dir: str, responder: Responder | N
         raise ValueError(f"overrides: {errors}")
     files = settle(FS.with_text(FS.read_tree(spark, root, options.respect_gitignore, out_dir)))
     budget = Budget(options.budget)
-    ask = Ask(spark, responder, settle(S.load_cache(spark, where("response-cache.json"))), budget)
+    ask = Ask(spark, responder, settle(S.load_cache(spark, where("response-cache.json"))), budget, progress)
     add_dirs = additions.select(F.col("path_segments")[0]["path"].alias("dir")).where("dir is not null")
     state: dict = {}
 
@@ -177,10 +201,14 @@ def index(spark: SparkSession, root: str, out_dir: str, responder: Responder | N
         none = spark.createDataFrame([], "src string, dst string")
         return carve(files, components, verdicts, none, pins, options.max_depth)
 
-    back, rounds = R.fixedpoint(step, spark.createDataFrame([], "id string, sub_dir string"))
+    progress.on_event(Phase("fixedpoint"))
+    size = lambda: state["components"].where("not deleted").count() if "components" in state else 0
+    back, rounds = R.fixedpoint(step, spark.createDataFrame([], "id string, sub_dir string"), hooks=Rounds(progress, size))
     components = state["components"]
+    progress.on_event(Phase("project"))
     live = settle(components.where("not deleted"))
     surfaces = settle(ask(live.select(F.col("id").alias("key"), F.lit("surface").alias("prompt"), _inputs(COMPONENT_ID=F.col("id"), COMPONENT_KIND=F.col("kind"), CONTENT_SHAS=F.col("path_segments.content_sha"), PATH_SEGMENTS=F.col("path_segments.path")).alias("inputs"))).select(F.col("key").alias("id"), D.parse_surface(F.col("response")).alias("surface")))
+    progress.on_event(Phase("edges"))
     edges = settle(propose_edges(live, surfaces, ask))
     externals = settle(J.externals(J.npm_externals(files).unionByName(J.cargo_externals(files))).withColumn("homepage", F.lit(None).cast("string")).withColumn("url", F.lit(None).cast("string")))
     members = subs.select(F.col("id").alias("subsystem"), F.posexplode("members").alias("ord", "member"))
@@ -193,12 +221,13 @@ def index(spark: SparkSession, root: str, out_dir: str, responder: Responder | N
     found = subs.drop("members").join(J.subsystems(evidence).withColumnRenamed("subsystem", "id"), "id")
     seen = evidence.groupBy(F.col("subsystem").alias("id")).agg(F.array_sort(F.collect_list(F.struct("ord", "id", "matched_via"))).alias("e")).select("id", F.transform("e", lambda e: F.struct(e["id"].alias("id"), e["matched_via"].alias("matched_via"))).alias("member_evidence"))
     subsystems = found.join(seen, "id")
-    summary = {"components": live.count(), "externals": externals.count(), "edges": edges.count(), "calls": ask.calls, "errors": ask.errors, "tokens_used": budget.used, "token_budget": options.budget, "iterations": rounds, "written": not options.dry_run}
+    summary = {"components": live.count(), "externals": externals.count(), "edges": edges.count(), "calls": ask.store.calls, "errors": ask.store.errors, "tokens_used": budget.used, "token_budget": options.budget, "iterations": rounds, "written": not options.dry_run}
     result = Result(components, externals, edges, subsystems, ask.cache, summary)
     os.makedirs(out_dir, exist_ok=True)
     S.save_cache(ask.cache, where("response-cache.json"))
     if not options.dry_run:
         write_outputs(result, root, out_dir, now or S.utc_now())
+    progress.on_event(Finished(summary["components"], ask.store.calls, budget.used, options.budget, time.monotonic() - began, dict(ask.by_prompt)))
     return result
 
 

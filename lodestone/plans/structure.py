@@ -148,7 +148,7 @@ _ANSWER = """CASE CAST(event_id % 6 AS INT)
 
 @query("""SELECT event_id, CASE CAST(event_id % 6 AS INT) WHEN 0 THEN 'calls' WHEN 1 THEN 'depends-on' ELSE 'tests' END AS kind,
  CASE CAST(event_id % 6 AS INT) WHEN 0 THEN 'u' || CAST(user_id AS VARCHAR) || ',' || event_type WHEN 1 THEN event_type || ',u' || CAST(user_id AS VARCHAR) ELSE 'u' || CAST(user_id AS VARCHAR) || ',b' END AS pair,
- CASE WHEN event_id % 6 = 0 THEN 'strong' ELSE 'medium' END AS grade, CASE WHEN event_id % 6 = 3 THEN 'why' ELSE 'LLM did not supply a rationale' END AS rationale FROM events WHERE event_id % 6 IN (0, 1, 3)""")
+ CASE WHEN event_id % 6 = 0 THEN 'strong' ELSE 'medium' END AS grade, CASE WHEN event_id % 6 = 3 THEN 'why' ELSE 'no reason given' END AS rationale FROM events WHERE event_id % 6 IN (0, 1, 3)""")
 def parse_edges(spark: SparkSession, sf: str) -> DataFrame:
     e = B.table(spark, sf, "events").select("event_id", F.explode(D.parse_edges(F.expr(_ANSWER))).alias("e"))
     return e.select("event_id", "e.kind", F.array_join("e.participants", ",").alias("pair"), F.col("e.evidence_grade").alias("grade"), "e.rationale")
@@ -249,7 +249,7 @@ def immediate_subdirs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {B.PATHS}, {_SUBS}, v AS (SELECT id, sub_dir, sub_dir LIKE '%/en' OR sub_dir LIKE '%/fr' AS yes FROM sub WHERE NOT (id LIKE 'm.%' AND sub_dir LIKE '%/de')),
 g AS (SELECT id, sum(CASE WHEN yes THEN 1 ELSE 0 END) AS a, sum(CASE WHEN yes THEN 0 ELSE 1 END) AS r, string_agg(CASE WHEN yes THEN sub_dir END, ',' ORDER BY sub_dir) AS kept, string_agg(CASE WHEN yes THEN sub_dir END, ', ' ORDER BY sub_dir) AS kept2 FROM v GROUP BY id)
-SELECT id, a > 0 AS carve, CAST(a AS BIGINT) AS accepted, CAST(r AS BIGINT) AS rejected, coalesce(kept, '') AS kept, 'L3 verdicts across ' || CAST(a + r AS VARCHAR) || ' immediate sub-dir(s): ' || CAST(a AS VARCHAR) || ' component(s), ' || CAST(r AS VARCHAR) || ' non-component(s)' || CASE WHEN a > 0 THEN '; kept: ' || kept2 ELSE '' END AS rationale FROM g""")
+SELECT id, a > 0 AS carve, CAST(a AS BIGINT) AS accepted, CAST(r AS BIGINT) AS rejected, coalesce(kept, '') AS kept, 'of ' || CAST(a + r AS VARCHAR) || ' directories below, ' || CAST(a AS VARCHAR) || ' are components and ' || CAST(r AS VARCHAR) || ' are not' || CASE WHEN a > 0 THEN '; carved out ' || kept2 ELSE '' END AS rationale FROM g""")
 def subcarve_reduce(spark: SparkSession, sf: str) -> DataFrame:
     subs = _subdirs(spark, sf)
     off = subs.select("id").distinct().where(F.startswith("id", F.lit("m."))).withColumn("name", F.lit("DE"))
@@ -321,12 +321,12 @@ def subsystem_bad_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT * FROM (VALUES
- ('warning', 'a', 'colour', 'unknown pin field `colour` will be ignored by the engine', NULL),
- ('error', 'b', 'kind', 'kind value `rust-binary` is not in the canonical vocabulary; L3 would silently classify this component as `non-component`', 'rust-cli'),
- ('error', 'c', 'kind', 'kind value `blob` is not in the canonical vocabulary; L3 would silently classify this component as `non-component`', NULL),
- ('error', 'x', 'kind', 'addition `x` has kind `dmg` which is not in the canonical vocabulary', 'installer'),
- ('error', 's', NULL, 'duplicate subsystem id ''s''', NULL),
- ('error', 't', 'members', 'subsystem ''t'' has empty members; remove the entry or add at least one glob/id', NULL)) v(severity, pin_key, field, message, suggestion)""")
+ ('warning', 'a', 'colour', 'no such pin field: colour; it has no effect', NULL),
+ ('error', 'b', 'kind', 'no such kind: rust-binary; the component would count as none', 'rust-cli'),
+ ('error', 'c', 'kind', 'no such kind: blob; the component would count as none', NULL),
+ ('error', 'x', 'kind', 'added component x is of no known kind: dmg', 'installer'),
+ ('error', 's', NULL, 'subsystem s is listed twice', NULL),
+ ('error', 't', 'members', 'subsystem t lists no members', NULL)) v(severity, pin_key, field, message, suggestion)""")
 def validate_overrides(spark: SparkSession, sf: str) -> DataFrame:
     pins = spark.createDataFrame([("a", "colour", "value", "red"), ("b", "kind", "value", "rust-binary"), ("c", "kind", "value", "blob"), ("d", "kind", "value", "service"), ("e", "suppress", "suppress", None)], "key string, field string, variant string, value string")
     adds = spark.createDataFrame([("x", "dmg"), ("y", "website")], "id string, kind string")

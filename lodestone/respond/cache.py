@@ -51,11 +51,11 @@ def answer_all(missing: DataFrame, responder: Responder) -> DataFrame:
     return missing.mapInPandas(run, SCHEMA + ", error string")
 
 
-def answer_within(missing: DataFrame, responder: Responder, budget: Budget, persist: Callable[[DataFrame], None] | None = None, batch: int = 64) -> DataFrame:
+def answer_within(missing: DataFrame, responder: Responder, budget: Budget, persist: Callable[[DataFrame], None] | None = None, batch: int = 64, told: Callable[[str, str, bool], None] | None = None) -> DataFrame:
     """Call the responder under a token budget, in key order on the driver.
 
     The budget decides call by call, so this is sequential by nature; requests stream to the driver
-    partition by partition. ``persist`` gets each batch of answers.
+    partition by partition. ``persist`` gets each batch of answers, ``told`` each request's prompt and inputs and whether it was answered.
     """
     spark, rows, out = missing.sparkSession, [], []
     for r in missing.orderBy(*KEY).toLocalIterator():
@@ -68,6 +68,8 @@ def answer_within(missing: DataFrame, responder: Responder, budget: Budget, pers
         except Exception as e:
             answer, error = None, f"{type(e).__name__}: {e}"
         rows.append((*[r[k] for k in KEY], answer, error))
+        if told is not None:
+            told(r["prompt"], r["inputs"], error is None)
         if len(rows) >= batch:
             out.append(_store(spark, rows, persist))
             rows = []
@@ -89,6 +91,46 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+class ResponseCache:
+    """A table of answers by key, with counters of what had to be asked.
+
+    ``calls`` counts the answers that a responder gave, ``errors`` the requests that failed; both
+    since the beginning or the last ``clear``. ``settle`` writes a table, so that the cache's plan doesn't grow.
+    """
+
+    def __init__(self, entries: DataFrame, settle: Callable[[DataFrame], DataFrame] = lambda df: df):
+        self.entries, self.settle = entries.select(*KEY, "response"), settle
+        self.calls = self.errors = 0
+
+    def missing(self, asked: DataFrame) -> DataFrame:
+        return misses(asked, self.entries)
+
+    def found(self, asked: DataFrame) -> DataFrame:
+        return hits(asked, self.entries)
+
+    def record(self, answers: DataFrame) -> int:
+        """Take in ``answers`` (keys, ``response``, ``error``) and count them; the number of failed ones."""
+        n = answers.agg(F.count("response").alias("ok"), F.count_if(F.col("response").isNull()).alias("bad")).first()
+        self.calls += n["ok"]
+        self.errors += n["bad"]
+        if n["ok"]:
+            self.seed(answers.where("response is not null"))
+        return n["bad"]
+
+    def seed(self, entries: DataFrame) -> None:
+        """Put in answers without a call; a key that is there already gets the new answer."""
+        new = entries.select(*KEY, "response").dropDuplicates(list(KEY))
+        self.entries = self.settle(misses(self.entries, new).union(new))
+
+    def clear(self) -> None:
+        self.entries = self.entries.where("1 = 0")
+        self.calls = self.errors = 0
+
+    def snapshot(self) -> DataFrame:
+        """All entries, in key order."""
+        return self.entries.orderBy(*KEY)
+
+
 def greedy_charges(requests: DataFrame, limit: int) -> DataFrame:
     """``(session, seq, cost, accepted, used)``: charges of each session in order; one that goes over is rejected and leaves the count.
 

@@ -73,4 +73,4 @@ def test_init_and_validate(spark, tmp_path, capsys):
     (tmp_path / "components.overrides.yaml").write_text("schema_version: 1\npins: {a: {kind: {value: rust-binary}, hue: {value: red}}}\n")
     assert validate(spark, str(tmp_path)) == 1
     said = capsys.readouterr().out
-    assert "use `rust-cli` instead" in said and "(1 error(s), 1 warning(s))" in said
+    assert "did you mean rust-cli?" in said and "(1 error(s), 1 warning(s))" in said
