@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from .shared import tidy
 
-BLOCK = 1024
+BLOCK = 512
 BLOCK_BYTES = 8 << 20
 #: Groups of more items than this skip the search for canonical partners; all of their items go on, straight from the shuffle.
 FLAG_MOST = 2048

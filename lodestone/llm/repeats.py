@@ -16,7 +16,7 @@ keep the shards small and independent of each other.
    its distinct windows, cut into as many ranges as the anchor has shards; a range's lists are merged by
    binary search, and the keys found in several shards go back to them.
 
-Matches never cross documents; strings are judged on the input. A document is taken in steps of about a
+Matches never cross documents; strings are judged on the input. A document is taken in steps of about half a
 million symbols, so its length doesn't bound what a step needs of memory. Words are told apart by 64-bit hashes.
 """
 
@@ -37,7 +37,7 @@ from .collide import key_groups
 from .shared import discard, free_name, materialise, text_or_empty, tidy, without_names
 from .suffixes import repeated_around, repeated_starts
 
-_STEP = 1 << 20
+_STEP = 1 << 19
 #: An odd base and its inverse modulo 2**64 make hashes of equal strings equal wherever they stand.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -59,7 +59,7 @@ class RepeatParams:
     unit: str = "byte"
     shard_bytes: int = 2 << 20
     shard_runs: int = 3000
-    passage: int = 4096
+    passage: int = 1024
 
 
 def _power(base: int, n: int) -> np.ndarray:

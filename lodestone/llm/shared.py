@@ -87,10 +87,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Let Arrow batches hold at most 8 MB, where the session has the default of 64 MB: texts are long, and tasks share memory."""
+    """Let Arrow batches hold at most 4 MB, where the session has the default of 64 MB: texts are long, and tasks share memory."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key) == "67108864b":
-        spark.conf.set(key, "8m")
+        spark.conf.set(key, "4m")
 
 
 def tidy(run):
