@@ -17,7 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from .shared import tidy
+
+from .shared import materialise, tidy
 
 BLOCK = 512
 BLOCK_BYTES = 8 << 20
@@ -45,9 +46,14 @@ def key_groups(batches, n_keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(parts)
 
 
-def colliding(keyed: DataFrame) -> DataFrame:
-    """Rows of ``keyed`` whose ``key`` has at least two rows, with their number ``n``."""
-    return keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+def colliding(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``keyed`` whose ``key`` has at least two rows, with their number ``n``; and the written table of these numbers.
+
+    A written table has a known size: while it is small, rows meet it where they are, and beyond, the join's
+    skewed partitions can be split, which they can't beside an aggregation.
+    """
+    shared = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    return keyed.join(shared, "key"), shared
 
 
 def with_partner(keyed: DataFrame, item: str, canonical: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], signature: str, width: int) -> DataFrame:

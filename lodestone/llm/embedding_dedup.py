@@ -165,8 +165,9 @@ def near_duplicates(vectors: DataFrame, params: ItqParams = ItqParams(), id_col:
             yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(len(tables), dtype=np.int32), n)), b.column(0).take(pick), sig.take(pick)], names=["key", "pos", "node", "signature"])
 
     keyed = materialise(classes.select("node", "label", "v").mapInArrow(tidy(table_keys), "key bigint, pos int, node binary, signature binary"), "keyed")
-    wanted = materialise(with_partner(colliding(keyed), "node", canonical, "signature", words), "wanted")
-    discard(keyed)
+    met, counts = colliding(keyed)
+    wanted = materialise(with_partner(met, "node", canonical, "signature", words), "wanted")
+    discard(keyed, counts)
 
     def payload(batches):
         for b in batches:

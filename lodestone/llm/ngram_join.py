@@ -192,10 +192,11 @@ def _flagged(documents: DataFrame, params: JoinParams, id_col: str, text_col: st
         return s.map(lambda v: np.frombuffer(v, np.int64))
 
     keyed = classes.select("fp", "signature", F.posexplode(band_keys("signature")).alias("pos", "key"))
-    slim = colliding(keyed.select("key", "pos", "fp"))
+    slim, counts = colliding(keyed.select("key", "pos", "fp"))
     met = slim.join(classes.select("fp", "signature"), "fp")
     wanted = materialise(with_partner(met, "fp", first_common, "signature", bands), "wanted")
 
+    discard(counts)
     # n-gram sets of the classes that met, from one text of each
     reps = wanted.select("fp").distinct().join(classes, "fp").select(F.col("rep.id").alias("rid"), F.col("rep.th").alias("rth"))
     texts = docs.join(reps, docs["id"].eqNullSafe(F.col("rid")) & (docs["th"] == F.col("rth")), "left_semi").select("text")

@@ -74,7 +74,8 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     trie = lm.build_trie(docs, crc_mod("doc_id", 7) != 2)
     scored = lm.score_texts(docs, trie, ["doc_id"])
-    each = [(F.col(c) / F.col("n_tokens")).alias(f"{c}_per_token") for c in ("base_score", "score")]
+    # texts of any length compare by their mean; the gain over single words tells how well the text's sequence is known
+    each = [(F.col("score") / F.col("n_tokens")).alias("score_per_token"), ((F.col("score") - F.col("base_score")) / F.col("n_tokens")).alias("gain_per_token")]
     return scored.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(trie.tokens).cast("long").alias("train_tokens"), "base_score", "score", *each)
 
 

@@ -172,8 +172,11 @@ def _passages(role: np.ndarray, other: np.ndarray, shift: np.ndarray, lo: np.nda
     return head, np.r_[head[1:], len(role)]
 
 
-def repeated_spans(docs: DataFrame, p: RepeatParams) -> DataFrame:
-    """``(id, th, los, size)``: spans of ``size`` symbols from each of ``los``, of repeated windows of ``docs(id, th, text)``; spans may overlap."""
+def repeated_spans(docs: DataFrame, p: RepeatParams) -> tuple[DataFrame, list[DataFrame]]:
+    """``(id, th, los, size)``: spans of ``size`` symbols from each of ``los``, of repeated windows of ``docs(id, th, text)``; spans may overlap.
+
+    Beside them the written tables that they are read from, to be discarded once the spans are written.
+    """
     kind = dict(docs.dtypes)["id"]
     spans = f"id {kind}, th bigint, los array<bigint>, size bigint"
     width, unit = p.width, p.unit
@@ -206,7 +209,7 @@ def repeated_spans(docs: DataFrame, p: RepeatParams) -> DataFrame:
     several = kinds.groupBy("f").agg(F.count("*").alias("kinds")).where("kinds > 1")
     total, both = kinds.agg(F.sum("one.size"), F.sum(F.when(F.col("n") > 1, F.col("one.size") - width + 1))).first()
     if not total:
-        return runs.select("id", "th", "los", "size").limit(0)
+        return runs.select("id", "th", "los", "size").limit(0), [runs, kinds]
     symbol = 1 if unit == "byte" else 8
     shards = max(1, -(-int(total) * symbol // p.shard_bytes))
     pair_shards = max(1, -(-int(both or 0) * 3 * symbol // p.shard_bytes))
@@ -294,7 +297,7 @@ def repeated_spans(docs: DataFrame, p: RepeatParams) -> DataFrame:
     found = found.union(parts.mapInArrow(tidy(search), spans))
     hot = singles.where("shard < 0")
     if hot.isEmpty():
-        return found
+        return found, [runs, strings, proven]
 
     # across the shards of one anchor: sorted window keys, cut into ranges and merged by binary search
     def window_keys(t: pa.Table) -> list[np.ndarray]:
@@ -336,7 +339,7 @@ def repeated_spans(docs: DataFrame, p: RepeatParams) -> DataFrame:
     common = handed.repartition("f", "range").sortWithinPartitions("f", "range").mapInArrow(tidy(merge), "shard bigint, keys binary")
     common = common.select("shard", F.lit(0).cast("long").alias("subs"), F.col("keys").alias("symbols"))
     again = hot.unionByName(common, allowMissingColumns=True).repartition("shard").sortWithinPartitions("shard")
-    return found.union(again.mapInArrow(tidy(mark), spans))
+    return found.union(again.mapInArrow(tidy(mark), spans)), [runs, strings, proven]
 
 
 def word_edges(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -368,7 +371,9 @@ def cut_repeats(documents: DataFrame, carry: list[str], params: RepeatParams = R
     new = [prefix + c for c in ("n_bytes", "n_removed", "n_spans", "kept")]
     carry = without_names(carry, new)
     docs = documents.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
-    spans = materialise(repeated_spans(docs, params).groupBy("id", "th").agg(F.collect_list(F.struct("los", "size")).alias("spans")), "spans")
+    found, tables = repeated_spans(docs, params)
+    spans = materialise(found.groupBy("id", "th").agg(F.collect_list(F.struct("los", "size")).alias("spans")), "spans")
+    discard(*tables)
     base = documents.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"), F.struct(*[F.col(c) for c in carry]).alias("_d")).withColumn("_th", F.xxhash64("_text"))
     both = base.join(spans, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th")), "left").select(*[F.col("_d")[c].alias(c) for c in carry], F.col("_text").alias(free_name("_text", carry)), F.col("spans").alias(free_name("spans", carry)))
     types = dict(documents.dtypes)
