@@ -110,23 +110,26 @@ def strong_components(edges: DataFrame, max_rounds: int = 1000, small: int = 200
 def maximal_cliques(edges: DataFrame, least: int = 3) -> DataFrame:
     """``members`` (sorted) of every maximal clique of at least ``least`` nodes, edges taken both ways.
 
-    Cliques grow by one larger node a level. A row carries the common neighbours that may still join
+    Nodes stand in the order of their degree, so that few stand after a node among its neighbours. Cliques
+    grow by one later node a level. A row carries the common neighbours that may still join
     and all common neighbours; a clique without any is maximal. No step compares cliques with each other.
     """
     both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
-    near = settle(both.groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_set("dst")).alias("nbrs")))
+    degree = settle(both.groupBy("src").agg(F.count("*").alias("d")))
+    placed = both.join(degree, "src").join(degree.select(F.col("src").alias("dst"), F.col("d").alias("dd")), "dst")
+    near = settle(placed.groupBy(F.struct("d", F.col("src").alias("n")).alias("node")).agg(F.array_sort(F.collect_set(F.struct(F.col("dd").alias("d"), F.col("dst").alias("n")))).alias("nbrs")))
     level = near.select(F.array("node").alias("members"), F.filter("nbrs", lambda x: x > F.col("node")).alias("later"), F.col("nbrs").alias("common"))
-    out = None
+    names = F.array_sort(F.transform("members", lambda m: m["n"])).alias("members")
+    out = near.where("1 = 0").select(F.array("node").alias("members")).select(names)
     size = 1
     while True:
         if size >= least:
-            done = level.where(F.size("common") == 0).select("members")
-            out = done if out is None else out.union(done)
+            out = out.union(level.where(F.size("common") == 0).select(names))
         grown = level.withColumn("w", F.explode("later")).join(near.withColumnRenamed("node", "w"), "w")
         level = settle(grown.select(F.concat("members", F.array("w")).alias("members"), F.filter(F.array_intersect("later", "nbrs"), lambda x: x > F.col("w")).alias("later"), F.array_intersect("common", "nbrs").alias("common")))
         size += 1
         if level.isEmpty():
-            return out if out is not None else near.select(F.array("node").alias("members")).where("1 = 0")
+            return out
 
 
 def ratio(outside: Column, inside: Column) -> Column:

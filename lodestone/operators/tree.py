@@ -121,7 +121,9 @@ def closure(tree: DataFrame) -> DataFrame:
             return known
         if not more.where("id = ancestor").isEmpty():
             raise ValueError("the parents form a cycle")
-        known = settle(known.union(more))
+        both = settle(known.union(more))
+        discard(known, more)
+        known = both
         reach *= 2
 
 
@@ -161,6 +163,11 @@ def suppress_children(tree: DataFrame, pins: DataFrame) -> DataFrame:
     return tree.join(live.select(F.explode("children").alias("id")).distinct(), "id", "left_anti")
 
 
+def with_additions(rows: DataFrame, additions: DataFrame, suppressed: DataFrame) -> DataFrame:
+    """``rows`` and the authored ``additions``, of the same columns, whose ids aren't ``suppressed(id)``."""
+    return rows.unionByName(additions.join(suppressed.select("id").distinct(), "id", "left_anti").select(*rows.columns))
+
+
 def children(tree: DataFrame, ids: DataFrame) -> DataFrame:
     """``(parent, id)``: the direct components below each of ``ids(id)``."""
     return tree.where("parent is not null").join(ids.select(F.col("id").alias("parent")).distinct(), "parent", "left_semi").select("parent", "id")

@@ -130,7 +130,7 @@ def build_tree(files: DataFrame, classified: DataFrame, additions: DataFrame, pr
         F.coalesce(anchors, F.array().cast("array<struct<path:string,heading:string>>")).alias("doc_anchors"), a["evidence_grade"].alias("evidence_grade"), a["evidence_fields"].alias("evidence_fields"), a["rationale"].alias("rationale"), F.lit(False).alias("deleted"),
     )
     off = pins.where("variant = 'suppress'").select(F.col("key").alias("id"))
-    rows = settle(rows.unionByName(additions.join(off, "id", "left_anti").withColumn("deleted", F.lit(False)).select(*rows.columns)))
+    rows = settle(T.with_additions(rows, additions.withColumn("deleted", F.lit(False)), off))
     rows = settle(T.suppress_children(rows, pins.where("variant = 'suppress_children'").select("key", "children")).select(*rows.columns))
     if not T.on_cycles(rows.select("id", "parent")).isEmpty():
         raise ValueError("the components' parents form a cycle")

@@ -18,7 +18,7 @@ from ..operators import project as J
 from ..operators import tree as T
 from ..respond import cache as C
 from ..respond import templates as R
-from ..respond.core import Fingerprint
+from ..respond.core import PROMPTS, Canned, Fingerprint, Router, template_sha
 from . import bindings as B
 from .registry import query
 
@@ -186,3 +186,84 @@ def invariant_summary(spark: SparkSession, sf: str) -> DataFrame:
     debt = B.table(spark, sf, "customer").where("c_acctbal < -900").select(F.col("c_nationkey").alias("n_nationkey")).distinct().withColumn("debt", F.lit(True))
     n = B.table(spark, sf, "nation").join(debt, "n_nationkey", "left")
     return V.summary(n.select(F.col("n_name").alias("name"), F.col("debt").isNull().alias("passed")))
+
+
+_TOOLS = """CASE CAST(turn % 4 AS INT) WHEN 0 THEN 'Read' WHEN 1 THEN 'Grep' WHEN 2 THEN 'Dance' ELSE 'Bash' END"""
+_INPUT = """CASE WHEN turn % 5 = 0 THEN 'no json' ELSE '{"file_path":"f' || CAST(turn AS VARCHAR(20)) || '","pattern":"' || role || '","command":"/bin/zsh -lc ls"}' END"""
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN '' ELSE CASE CAST(turn % 4 AS INT) WHEN 0 THEN 'f' || CAST(turn AS VARCHAR) WHEN 1 THEN role WHEN 2 THEN '' ELSE '/bin/zsh -lc ls' END END AS about, 'say ' || CAST(turn AS VARCHAR) AS command FROM conversations""")
+def tool_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """What tool calls work on, and a shell's command without its wrapper."""
+    c = B.table(spark, sf, "conversations")
+    shell = F.concat(F.when(F.col("turn") % 2 == 0, F.lit('/bin/zsh -lc "say ')).otherwise(F.lit("say ")), F.col("turn").cast("string"), F.when(F.col("turn") % 2 == 0, F.lit('"')).otherwise(F.lit(" ")))
+    return c.select("conv_id", "turn", X.tool_summary(F.expr(_TOOLS), F.expr(_INPUT)).alias("about"), X.shell_summary(shell).alias("command"))
+
+
+@query("""SELECT n_nationkey AS id, CASE WHEN n_regionkey % 2 = 0 THEN n_name || ' ' ELSE '' END AS head, CASE WHEN n_regionkey % 2 = 0 THEN ' rest' ELSE n_name || ' rest' END AS tail, CASE WHEN n_regionkey % 2 = 0 THEN 2 ELSE 1 END AS blocks FROM nation""")
+def prompt_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Prompts split at their boundary, and the blocks that are sent; every other region's have no boundary."""
+
+    def run(batches) -> Iterator:
+        for pdf in batches:
+            texts = [f"{n} {R.BOUNDARY} rest" if k % 2 == 0 else f"{n} rest" for n, k in zip(pdf["n_name"], pdf["n_regionkey"], strict=True)]
+            parts = [R.split_at_boundary(t) for t in texts]
+            yield pdf[["id"]].assign(head=[h for h, _ in parts], tail=[t for _, t in parts], blocks=[len(R.request_body(t)) for t in texts])
+
+    n = B.table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), "n_name", "n_regionkey")
+    return n.mapInPandas(run, "id int, head string, tail string, blocks int")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'missing role' WHEN 2 THEN 'expected object' ELSE 'missing kind,missing role' END AS problems FROM part""")
+def response_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers against a schema that asks for an object with a kind and a role."""
+    schema = {"type": "object", "required": ["kind", "role"]}
+
+    def run(batches) -> Iterator:
+        for pdf in batches:
+            values = [({"kind": k, "role": 1}, {"kind": k}, [k], {"other": k})[k % 4] for k in pdf["p_partkey"].tolist()]
+            yield pdf.assign(problems=[",".join(R.problems(v, schema)) for v in values])
+
+    return B.table(spark, sf, "part").select("p_partkey").mapInPandas(run, "p_partkey int, problems string")
+
+
+@query("SELECT n_nationkey AS id, sha256(CAST(n_name AS BLOB) || '\\x00'::BLOB || CAST(CAST(n_regionkey AS VARCHAR) AS BLOB) || '\\x00'::BLOB) AS sha FROM nation")
+def template_shas(spark: SparkSession, sf: str) -> DataFrame:
+    """Digest of a template's name and body, for each nation's name and region."""
+
+    def run(batches) -> Iterator:
+        for pdf in batches:
+            yield pdf[["id"]].assign(sha=[template_sha([(n, str(k))]) for n, k in zip(pdf["n_name"], pdf["n_regionkey"], strict=True)])
+
+    return B.table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), "n_name", "n_regionkey").mapInPandas(run, "id int, sha string")
+
+
+@query("WITH req AS (SELECT DISTINCT lang AS prompt, coalesce(source, '') AS a FROM documents) SELECT prompt, '{\"a\":\"' || a || '\"}' AS inputs FROM req ORDER BY prompt, inputs LIMIT 10")
+def cache_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The first ten entries of a cache, in the order in which it is stored."""
+    d = B.table(spark, sf, "documents").select(F.col("lang").alias("prompt"), F.concat(F.lit('{"a":"'), F.coalesce("source", F.lit("")), F.lit('"}')).alias("inputs"))
+    store = C.ResponseCache(C.keyed(d, _Picky()).withColumn("response", F.lit("{}")))
+    return store.snapshot().select("prompt", "inputs").limit(10)
+
+
+@query("""SELECT event_id, CASE CAST(event_id % 4 AS INT) WHEN 0 THEN 'small' WHEN 2 THEN 'large' ELSE 'plain' END AS model FROM events""")
+def provider_dispatch(spark: SparkSession, sf: str) -> DataFrame:
+    """Which model each request goes to, by its prompt."""
+
+    def run(batches) -> Iterator:
+        named = lambda m: Canned({}, Fingerprint("t", "o", m, "1"))
+        router = Router({"classify": named("small"), "edges": named("large")}, named("plain"))
+        for pdf in batches:
+            yield pdf.assign(model=[router.of(PROMPTS[k % 4]).fingerprint().model_id for k in pdf["event_id"].tolist()])
+
+    return B.table(spark, sf, "events").select("event_id").mapInPandas(run, "event_id long, model string")
+
+
+@query(f"WITH {B.TREE} SELECT id, false AS added FROM tree WHERE id NOT IN ('n1') UNION ALL SELECT 'extra', true")
+def live_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Components with authored additions; what a pin suppresses isn't added, and components below a pin's list go."""
+    t = B.tree(spark, sf).withColumn("added", F.lit(False))
+    extra = spark.createDataFrame([("extra", None, True), ("off", None, True)], "id string, parent string, added boolean")
+    off = spark.createDataFrame([("off",)], "id string")
+    lists = spark.createDataFrame([("r1", ["n1", "nobody"])], "key string, children array<string>")
+    return T.suppress_children(T.with_additions(t, extra, off), lists).select("id", "added")
