@@ -68,47 +68,49 @@ def suffix_array(shard: Shard) -> np.ndarray:
     return sa
 
 
-def common_prefixes(shard: Shard, sa: np.ndarray, place: np.ndarray, cap: int) -> np.ndarray:
+def common_prefixes(shard: Shard, sa: np.ndarray, cap: int) -> np.ndarray:
     """Kasai: for each suffix (by place in ``sa``) the length, up to ``cap``, that it shares with the one before.
 
     Kasai's walk goes through a text from left to right and loses at most one symbol of the common prefix a
     step. All strings of the shard are walked abreast, one position of each at a time.
     """
-    n = len(shard.text)
-    out = np.zeros(n, np.int32)
+    n, strings = len(shard.text), len(shard.size)
     if n == 0:
-        return out
+        return np.zeros(0, np.int32)
+    # every end mark gets a symbol of its own, so no comparison runs past the end of a string
+    text = shard.text.astype(np.int32)
+    text[shard.start + shard.size] = -1 - np.arange(strings)
+    # end marks sort first, so every suffix that is looked at has one before it
+    before = np.zeros(n, np.int32)
+    before[sa[1:]] = sa[:-1]
     order = np.argsort(-shard.size, kind="stable")
-    start, size = shard.start[order], shard.size[order]
-    held = np.zeros(len(start), np.int64)
+    start, size = shard.start[order].astype(np.int32), shard.size[order]
+    held = np.zeros(strings, np.int32)
+    out = np.zeros(n, np.int32)
     many = np.searchsorted(-size, -np.arange(int(size.max()) + 1), "left")  # strings longer than t
     for t in range(int(size.max())):
         m = int(many[t])
-        pos = start[:m] + t
-        where = place[pos]
-        before = sa[np.maximum(where - 1, 0)]
-        h = np.where(where > 0, np.maximum(held[:m] - 1, 0), 0)
-        live = np.flatnonzero((where > 0) & (h < cap))
+        pos = start[:m] + np.int32(t)
+        prior = before[pos]
+        h = np.maximum(held[:m] - 1, 0)
+        same = text[pos + h] == text[prior + h]
+        h += same
+        live = np.flatnonzero(same & (h < cap))
         while len(live):
-            a, b = pos[live] + h[live], before[live] + h[live]
-            ok = (a < shard.end[pos[live]]) & (b < shard.end[before[live]])
-            ok &= shard.text[np.minimum(a, n - 1)] == shard.text[np.minimum(b, n - 1)]
-            live = live[ok]
+            at = h[live]
+            live = live[text[pos[live] + at] == text[prior[live] + at]]
             h[live] += 1
             live = live[h[live] < cap]
         held[:m] = h
-        out[where] = h
-    return out
+        out[pos] = h
+    return out[sa]
 
 
 def repeated_starts(strings: list[np.ndarray], width: int) -> list[np.ndarray]:
     """For each string, which of its window starts (``width`` symbols each) begin a window that also starts elsewhere in the shard."""
     shard = Shard(strings)
     sa = suffix_array(shard)
-    place = np.empty(len(sa), np.int32)
-    place[sa] = np.arange(len(sa), dtype=np.int32)
-    lcp = common_prefixes(shard, sa, place, width)
-    same = lcp >= width
+    same = common_prefixes(shard, sa, width) >= width
     hit = same | np.r_[same[1:], False] if len(same) else same
     found = np.zeros(len(sa), bool)
     found[sa[hit]] = True
