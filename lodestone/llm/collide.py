@@ -23,7 +23,7 @@ from .shared import materialise, tidy
 BLOCK = 512
 BLOCK_BYTES = 8 << 20
 #: Groups of more items than this skip the search for canonical partners; all of their items go on, straight from the shuffle.
-FLAG_MOST = 2048
+FLAG_MOST = 512
 
 
 def key_groups(batches, n_keys: int) -> Iterator[pa.Table]:
@@ -113,7 +113,8 @@ def compare_blocks(members: DataFrame, item: str, width: int, canonical: Callabl
     group are compared, since all of their links count; blocks bound what a task holds of it.
     """
     blocks = F.greatest(F.ceil(F.count("*") / (block or BLOCK)), F.ceil(F.sum(F.octet_length("payload")) / BLOCK_BYTES))
-    large = members.groupBy("key").agg(blocks.alias("_nb")).where(F.col("_nb") > 1)
+    # a written table of the few large groups; beside an aggregation the join's skewed partitions couldn't be split
+    large = materialise(members.groupBy("key").agg(blocks.alias("_nb")).where(F.col("_nb") > 1), "large")
     m = members.join(large, "key", "left").withColumn("_nb", F.coalesce("_nb", F.lit(1)))
     m = m.withColumn("_my", F.pmod(F.xxhash64(item), "_nb")).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1)))
     m = m.select("key", F.least("_my", "_other").alias("_lo"), F.greatest("_my", "_other").alias("_hi"), F.col("_my").alias("_side"), "pos", item, "signature", "copies", "payload")

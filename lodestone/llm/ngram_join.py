@@ -207,10 +207,10 @@ def _flagged(documents: DataFrame, params: JoinParams, id_col: str, text_col: st
                 sets = [s for s in sets if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([print_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "payload"])
 
-    sets = texts.mapInArrow(tidy(payloads), "fp binary, payload binary").groupBy("fp").agg(F.first("payload").alias("payload"))
+    sets = materialise(texts.mapInArrow(tidy(payloads), "fp binary, payload binary").groupBy("fp").agg(F.first("payload").alias("payload")), "sets")
     members = wanted.join(classes.select("fp", "copies"), "fp").join(sets, "fp").select("key", "pos", "fp", "signature", "copies", "payload")
     found = materialise(compare_blocks(members, "fp", bands, first_common, lambda p: near_sets(p, threshold)), "links")
-    discard(wanted)
+    discard(wanted, sets)
     groups = connected_components(found.select(F.col("fp").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "fp")
     links = found.groupBy("fp").agg(F.sum("links").alias("links"))
     info = classes.select("fp", "rep", "copies").join(links, "fp", "left").join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
