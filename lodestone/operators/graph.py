@@ -48,7 +48,8 @@ def _tarjan(edges: pd.DataFrame) -> pd.DataFrame:
                         group.append(open_.pop())
                     inside.difference_update(group)
                     if len(group) > 1:
-                        found += [(min(group), n) for n in group]
+                        least = min(group)
+                        found += [(least, n) for n in group]
             elif step in index:
                 low[node] = min(low[node], index[step])
             else:

@@ -227,7 +227,7 @@ def response_problems(spark: SparkSession, sf: str) -> DataFrame:
     return B.table(spark, sf, "part").select("p_partkey").mapInPandas(run, "p_partkey int, problems string")
 
 
-@query("SELECT n_nationkey AS id, sha256(CAST(n_name AS BLOB) || '\\x00'::BLOB || CAST(CAST(n_regionkey AS VARCHAR) AS BLOB) || '\\x00'::BLOB) AS sha FROM nation")
+@query("SELECT n_nationkey AS id, sha256(CAST(n_name AS BLOB) || '\\x00'::BLOB || CAST(CAST(n_regionkey AS VARCHAR) AS BLOB)) AS sha FROM nation")
 def template_shas(spark: SparkSession, sf: str) -> DataFrame:
     """Digest of a template's name and body, for each nation's name and region."""
 
