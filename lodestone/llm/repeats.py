@@ -272,9 +272,12 @@ def repeated_spans(docs: DataFrame, p: RepeatParams) -> tuple[DataFrame, list[Da
     # all runs of the proven kinds; where an anchor has few of these, they travel with it
     by_anchor = proven.groupBy("f").agg(F.count("*").alias("several"))
     few = proven.join(by_anchor.where(F.col("several") <= _FEW), "f").groupBy("f").agg(F.collect_list(F.struct("w1", "w2")).alias("kinds"))
-    with_few = runs.join(few, "f").where(F.array_contains("kinds", F.struct("w1", "w2"))).select("id", "th", "los", "size")
-    many = proven.join(by_anchor.where(F.col("several") > _FEW), "f", "left_semi")
-    found = with_few.union(runs.join(many, ["f", "w1", "w2"], "left_semi").select("id", "th", "los", "size"))
+    found = runs.join(few, "f").where(F.array_contains("kinds", F.struct("w1", "w2"))).select("id", "th", "los", "size")
+    crowded = materialise(by_anchor.where(F.col("several") > _FEW).select("f"), "crowded")
+    if not crowded.isEmpty():
+        # these anchors are not many, so runs of others drop out where they are
+        many = proven.join(crowded, "f", "left_semi")
+        found = found.union(runs.join(crowded, "f", "left_semi").join(many, ["f", "w1", "w2"], "left_semi").select("id", "th", "los", "size"))
 
     def windows_of(t: pa.Table, where: list[np.ndarray]):
         """Spans (of single runs) for the window starts that are marked."""
@@ -297,7 +300,7 @@ def repeated_spans(docs: DataFrame, p: RepeatParams) -> tuple[DataFrame, list[Da
     found = found.union(parts.mapInArrow(tidy(search), spans))
     hot = singles.where("shard < 0")
     if hot.isEmpty():
-        return found, [runs, strings, proven]
+        return found, [runs, strings, proven, crowded]
 
     # across the shards of one anchor: sorted window keys, cut into ranges and merged by binary search
     def window_keys(t: pa.Table) -> list[np.ndarray]:
@@ -339,7 +342,7 @@ def repeated_spans(docs: DataFrame, p: RepeatParams) -> tuple[DataFrame, list[Da
     common = handed.repartition("f", "range").sortWithinPartitions("f", "range").mapInArrow(tidy(merge), "shard bigint, keys binary")
     common = common.select("shard", F.lit(0).cast("long").alias("subs"), F.col("keys").alias("symbols"))
     again = hot.unionByName(common, allowMissingColumns=True).repartition("shard").sortWithinPartitions("shard")
-    return found.union(again.mapInArrow(tidy(mark), spans)), [runs, strings, proven]
+    return found.union(again.mapInArrow(tidy(mark), spans)), [runs, strings, proven, crowded]
 
 
 def word_edges(data: bytes) -> tuple[np.ndarray, np.ndarray]:
