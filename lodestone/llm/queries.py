@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, divergence, embedding_dedup, fingerprints, lm, mixing, ngram_join, packing, quality, repeats, stages, toxicity, training_order
+from . import alignment, ann, divergence, embedding_dedup, fingerprints, lm, mixing, ngram_join, packing, quality, repeats, stages, toxicity, training_order
 from .shared import crc_mod
 
 
@@ -120,6 +120,10 @@ def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.beside_next(_table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.agreement(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": stages.run,
@@ -135,6 +139,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_suffix_dedup": op10_suffix_dedup,
         "op11_divergence": op11_divergence,
         "op12_fingerprints": op12_fingerprints,
+        "op13_alignment": op13_alignment,
     }
 
 
