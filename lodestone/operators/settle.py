@@ -10,7 +10,7 @@ import uuid
 import weakref
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list = []
 _written: list[str] = []
@@ -18,9 +18,11 @@ _paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def _remove(path: str) -> None:
-    """In stores other than file systems tables stay for the folder's own clean-up."""
     if urlparse(path).scheme in ("", "file"):
         shutil.rmtree(urlparse(path).path, ignore_errors=True)
+    elif (spark := SparkSession.getActiveSession()) is not None:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
@@ -29,6 +31,25 @@ def _drop() -> None:
         _remove(path)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a local session that has none, as in tests, gets a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        if not _own:
+            own = tempfile.TemporaryDirectory(prefix="lodestone-")
+            _own.append(own)
+            atexit.register(own.cleanup)
+        found = f"file://{_own[0].name}"
+    return found.rstrip("/")
+
+
+def forget_folder(path: str) -> None:
+    """Delete a folder of files beside the tables."""
+    _remove(path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete settled tables before this process ends, once all that was computed from them is written too."""
     for t in tables:
@@ -40,22 +61,12 @@ def discard(*tables: DataFrame) -> None:
 def settle(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back; a lost executor doesn't undo it.
 
-    The folder is ``spark.checkpoint.dir``; a session that has none, as in tests, gets a temporary one.
-    A written table has true sizes, while a checkpoint keeps estimates that grow with every join of a loop.
+    The folder is that of ``shared_folder``. A written table has true sizes, while a checkpoint keeps estimates that
+    grow with every join of a loop.
     """
-    spark = df.sparkSession
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        if not _own:
-            own = tempfile.TemporaryDirectory(prefix="lodestone-")
-            _own.append(own)
-            atexit.register(own.cleanup)
-        found = f"file://{_own[0].name}"
-    path = f"{found.rstrip('/')}/lodestone/settled-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/lodestone/settled-{uuid.uuid4().hex}"
     _written.append(path)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out

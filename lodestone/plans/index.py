@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +23,7 @@ from ..operators import recurse as R
 from ..operators import tree as T
 from ..operators.settle import settle
 from ..respond import cache as M
-from ..respond.core import Budget, BudgetExceeded, Canned, Responder
+from ..respond.core import Budget, BudgetExceeded, Canned, Responder, SetupError
 from ..respond.progress import Finished, Phase, Progress, Rounds, Silent, Started, Surface
 from ..sources import files as FS
 from ..sources import tables as S
@@ -30,13 +31,17 @@ from ..sources import tables as S
 
 @dataclass
 class Options:
-    """``budget`` None: as many tokens as it takes. ``overrides`` False: authored pins, additions and subsystems are ignored."""
+    """``budget`` None: as many tokens as it takes. ``overrides`` False: authored pins, additions and subsystems are ignored.
+
+    ``parallel``: calls at a time, by default as many as the session has slots.
+    """
 
     max_depth: int = 8
     budget: int | None = None
     dry_run: bool = False
     overrides: bool = True
     respect_gitignore: bool = True
+    parallel: int | None = None
 
 
 @dataclass
@@ -50,10 +55,13 @@ class Result:
 
 
 class Ask:
-    """Answers requests through the cache; what is missing goes to the responder under one budget."""
+    """Answers requests through the cache; what is missing goes to the responder, in executors and under one budget.
+
+    ``keep`` is given the cache before a run ends for want of tokens or of a responder that works.
+    """
 
-    def __init__(self, spark: SparkSession, responder: Responder, cache: DataFrame, budget: Budget, progress: Progress):
-        self.spark, self.responder, self.budget, self.progress = spark, responder, budget, progress
+    def __init__(self, spark: SparkSession, responder: Responder, cache: DataFrame, budget: Budget, progress: Progress, parallel: int | None = None, keep: Callable[[DataFrame], None] | None = None):
+        self.spark, self.responder, self.budget, self.progress, self.parallel, self.keep = spark, responder, budget, progress, parallel, keep
         self.store = M.ResponseCache(cache, settle)
         self.by_prompt: dict[str, int] = {}
 
@@ -76,13 +84,24 @@ class Ask:
                     what = json.loads(inputs)
                     self.progress.on_event(Surface(what["COMPONENT_ID"], max(what["PATH_SEGMENTS"] or [""], key=len), done, n))
 
-            got = settle(M.answer_within(missing, self.responder, self.budget, told=told))
+            listened = prompt_events(self.progress)
+            got = settle(M.answer_within(missing, self.responder, self.budget, parallel=self.parallel, told=told if listened else None))
+            if not listened:
+                self.by_prompt |= {r["prompt"]: self.by_prompt.get(r["prompt"], 0) + r["n"] for r in got.groupBy("prompt").agg(F.count("response").alias("n")).collect()}
             self.store.record(got)
-            if not got.where(F.startswith("error", F.lit("BudgetExceeded"))).isEmpty():
-                raise BudgetExceeded("the token budget is used up")
+            for kind, what in (("SetupError", SetupError), ("BudgetExceeded", BudgetExceeded)):
+                if (lost := got.where(F.startswith("error", F.lit(f"{kind}:"))).first()) is not None:
+                    if self.keep is not None:
+                        self.keep(self.cache)
+                    raise what(lost["error"].removeprefix(f"{kind}: "))
         return requests.join(self.store.found(asked).select("prompt", "inputs", "response"), ["prompt", "inputs"]).select("key", "response")
 
 
+def prompt_events(progress: Progress) -> bool:
+    """Whether anyone listens, so that each request has to be told on the driver."""
+    return not isinstance(progress, Silent)
+
+
 def _inputs(**columns):
     """Key-sorted JSON with nulls kept, as cache keys need it."""
     return F.to_json(F.struct(*[c.alias(k) for k, c in sorted(columns.items())]), {"ignoreNullFields": "false"})
@@ -175,7 +194,12 @@ def index(spark: SparkSession, root: str, out_dir: str, responder: Responder | N
         raise ValueError(f"overrides: {errors}")
     files = settle(FS.with_text(FS.read_tree(spark, root, options.respect_gitignore, out_dir)))
     budget = Budget(options.budget)
-    ask = Ask(spark, responder, settle(S.load_cache(spark, where("response-cache.json"))), budget, progress)
+
+    def keep(cache: DataFrame) -> None:
+        os.makedirs(out_dir, exist_ok=True)
+        S.save_cache(cache, where("response-cache.json"))
+
+    ask = Ask(spark, responder, settle(S.load_cache(spark, where("response-cache.json"))), budget, progress, options.parallel, keep)
     add_dirs = additions.select(F.col("path_segments")[0]["path"].alias("dir")).where("dir is not null")
     state: dict = {}
 
@@ -223,8 +247,7 @@ def index(spark: SparkSession, root: str, out_dir: str, responder: Responder | N
     subsystems = found.join(seen, "id")
     summary = {"components": live.count(), "externals": externals.count(), "edges": edges.count(), "calls": ask.store.calls, "errors": ask.store.errors, "tokens_used": budget.used, "token_budget": options.budget, "iterations": rounds, "written": not options.dry_run}
     result = Result(components, externals, edges, subsystems, ask.cache, summary)
-    os.makedirs(out_dir, exist_ok=True)
-    S.save_cache(ask.cache, where("response-cache.json"))
+    keep(ask.cache)
     if not options.dry_run:
         write_outputs(result, root, out_dir, now or S.utc_now())
     progress.on_event(Finished(summary["components"], ask.store.calls, budget.used, options.budget, time.monotonic() - began, dict(ask.by_prompt)))

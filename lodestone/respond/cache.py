@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .core import Budget, BudgetExceeded, Responder, canonical_json, estimate
+from ..operators.settle import settle
+from .core import Budget, BudgetExceeded, Responder, canonical_json
+from .leases import answer_leased
 
 KEY = ("template_sha", "ontology_sha", "model_id", "backend_version", "prompt", "inputs")
 SCHEMA = ", ".join(f"{k} string" for k in (*KEY, "response"))
@@ -51,54 +53,20 @@ def answer_all(missing: DataFrame, responder: Responder) -> DataFrame:
     return missing.mapInPandas(run, SCHEMA + ", error string")
 
 
-def answer_within(missing: DataFrame, responder: Responder, budget: Budget, persist: Callable[[DataFrame], None] | None = None, batch: int = 64, told: Callable[[str, str, bool], None] | None = None) -> DataFrame:
-    """Call the responder under a token budget, in key order on the driver.
-
-    The budget decides call by call, so this is sequential by nature; requests stream to the driver
-    partition by partition. ``persist`` gets each batch of answers, ``told`` each request's prompt and inputs and whether it was answered.
-    """
-    spark, rows, out = missing.sparkSession, [], []
-    for r in missing.orderBy(*KEY).toLocalIterator():
-        answer, error = None, None
-        try:
-            answer = canonical_json(responder.call(r["prompt"], json.loads(r["inputs"])))
-            budget.charge(estimate(r["inputs"], answer))
-        except BudgetExceeded as e:
-            answer, error = None, f"BudgetExceeded: {e}"
-        except Exception as e:
-            answer, error = None, f"{type(e).__name__}: {e}"
-        rows.append((*[r[k] for k in KEY], answer, error))
-        if told is not None:
-            told(r["prompt"], r["inputs"], error is None)
-        if len(rows) >= batch:
-            out.append(_store(spark, rows, persist))
-            rows = []
-    out.append(_store(spark, rows, persist))
-    return out[0] if len(out) == 1 else _union(out)
-
-
-def _store(spark, rows, persist):
-    df = spark.createDataFrame(rows, SCHEMA + ", error string")
-    if persist is not None and rows:
-        persist(df.where("response is not null").drop("error"))
-    return df
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+def answer_within(missing: DataFrame, responder: Responder, budget: Budget, **options) -> DataFrame:
+    """Call the responder in executors under a token budget; options are those of ``answer_leased``."""
+    return answer_leased(missing, KEY, responder, budget, **options)
 
 
 class ResponseCache:
     """A table of answers by key, with counters of what had to be asked.
 
     ``calls`` counts the answers that a responder gave, ``errors`` the requests that failed; both
-    since the beginning or the last ``clear``. ``settle`` writes a table, so that the cache's plan doesn't grow.
+    since the beginning or the last ``clear``. ``settle`` writes a table, so that the cache's plan doesn't grow and answers
+    that a plan would ask for are asked for once.
     """
 
-    def __init__(self, entries: DataFrame, settle: Callable[[DataFrame], DataFrame] = lambda df: df):
+    def __init__(self, entries: DataFrame, settle: Callable[[DataFrame], DataFrame] = settle):
         self.entries, self.settle = entries.select(*KEY, "response"), settle
         self.calls = self.errors = 0
 
@@ -110,6 +78,7 @@ class ResponseCache:
 
     def record(self, answers: DataFrame) -> int:
         """Take in ``answers`` (keys, ``response``, ``error``) and count them; the number of failed ones."""
+        answers = self.settle(answers)
         n = answers.agg(F.count("response").alias("ok"), F.count_if(F.col("response").isNull()).alias("bad")).first()
         self.calls += n["ok"]
         self.errors += n["bad"]
