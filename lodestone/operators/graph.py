@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .settle import settle
+from .settle import discard, settle
 from .tree import lines
 
 
@@ -108,29 +108,117 @@ def strong_components(edges: DataFrame, max_rounds: int = 1000, small: int = 200
     raise RuntimeError("strong components did not settle")
 
 
+def peeled(both: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """``(node, layer)``: in each layer the nodes whose degree among those left is at most twice the mean.
+
+    More than half of the nodes left go in a layer, so the layers are logarithmic in number, and a node has at most four
+    times the graph's degeneracy of neighbours in its own layer and later ones. ``both``: each edge both ways.
+    """
+    live, layers = both, None
+    for layer in range(max_rounds):
+        degree = settle(live.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("d")))
+        mean = degree.agg(F.avg("d")).first()[0]
+        if mean is None:
+            empty = degree.select("node", F.lit(0).alias("layer"))
+            return layers if layers is not None else empty
+        gone = degree.where(F.col("d") <= 2 * mean)
+        own = gone.select("node", F.lit(layer).alias("layer"))
+        layers = own if layers is None else layers.union(own)
+        if degree.where(F.col("d") > 2 * mean).isEmpty():
+            return layers
+        rest = degree.where(F.col("d") > 2 * mean)
+        nxt = settle(live.join(rest.select(F.col("node").alias("src")), "src", "left_semi").join(rest.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
+        if live is not both:
+            discard(live)
+        # a node all of whose neighbours went has no edge left, but still a place
+        lone = settle(rest.select("node", F.lit(layer + 1).alias("layer")).join(nxt.select(F.col("src").alias("node")).distinct(), "node", "left_anti"))
+        layers, live = layers.union(lone), nxt
+    raise RuntimeError("the layers did not settle")
+
+
+def _branches(near: list[int], outer: list[int], least: int):
+    """Maximal cliques, as bit masks, among numbered nodes with these neighbours, that no mask of ``outer`` holds whole.
+
+    A branch takes a node that may still join; of all such nodes only those are tried that don't neighbour the pivot,
+    the node with most neighbours among them.
+    """
+    todo = [(0, (1 << len(near)) - 1, 0, outer)]
+    while todo:
+        members, open_, shut, outside = todo.pop()
+        if not open_:
+            if not shut and not outside and members.bit_count() >= least:
+                yield members
+            continue
+        if members.bit_count() + open_.bit_count() < least:
+            continue
+        best, most, rest = 0, -1, open_ | shut
+        while rest:
+            low = rest & -rest
+            rest ^= low
+            if (n := (near[low.bit_length() - 1] & open_).bit_count()) > most:
+                best, most = near[low.bit_length() - 1], n
+        for mask in outside:
+            if (n := (mask & open_).bit_count()) > most:
+                best, most = mask, n
+        rest = open_ & ~best
+        while rest:
+            low = rest & -rest
+            rest ^= low
+            own = near[low.bit_length() - 1]
+            todo.append((members | low, open_ & own, shut & own, [m for m in outside if m & low]))
+            open_ ^= low
+            shut |= low
+
+
 def maximal_cliques(edges: DataFrame, least: int = 3) -> DataFrame:
     """``members`` (sorted) of every maximal clique of at least ``least`` nodes, edges taken both ways.
 
-    Nodes stand in the order of their degree, so that few stand after a node among its neighbours. Cliques
-    grow by one later node a level. A row carries the common neighbours that may still join
-    and all common neighbours; a clique without any is maximal. No step compares cliques with each other.
+    Nodes stand in layers of their degree, so that a node has few later neighbours, at most four times the degeneracy. A clique is
+    found at its first node: its other members are among that node's later neighbours. What an edge's ends have in common there is
+    looked up once; it tells the later end's neighbours within the earlier one's branch, and which later neighbours of the
+    later end an earlier node bars from being maximal without it. A node's branch is one row, with the distinct
+    sets of barring neighbours only, and grows with a pivot, so that no part of a clique is a row of its own.
     """
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
-    degree = settle(both.groupBy("src").agg(F.count("*").alias("d")))
-    placed = both.join(degree, "src").join(degree.select(F.col("src").alias("dst"), F.col("d").alias("dd")), "dst")
-    near = settle(placed.groupBy(F.struct("d", F.col("src").alias("n")).alias("node")).agg(F.array_sort(F.collect_set(F.struct(F.col("dd").alias("d"), F.col("dst").alias("n")))).alias("nbrs")))
-    level = near.select(F.array("node").alias("members"), F.filter("nbrs", lambda x: x > F.col("node")).alias("later"), F.col("nbrs").alias("common"))
-    names = F.array_sort(F.transform("members", lambda m: m["n"])).alias("members")
-    out = near.where("1 = 0").select(F.array("node").alias("members")).select(names)
-    size = 1
-    while True:
-        if size >= least:
-            out = out.union(level.where(F.size("common") == 0).select(names))
-        grown = level.withColumn("w", F.explode("later")).join(near.withColumnRenamed("node", "w"), "w")
-        level = settle(grown.select(F.concat("members", F.array("w")).alias("members"), F.filter(F.array_intersect("later", "nbrs"), lambda x: x > F.col("w")).alias("later"), F.array_intersect("common", "nbrs").alias("common")))
-        size += 1
-        if level.isEmpty():
-            return out
+    both = settle(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
+    layer = settle(peeled(both))
+    key = lambda n, k: F.struct(F.col(k).alias("k"), F.col(n).alias("n"))
+    placed = both.join(layer.select(F.col("node").alias("src"), F.col("layer").alias("ks")), "src").join(layer.select(F.col("node").alias("dst"), F.col("layer").alias("kd")), "dst")
+    later = settle(placed.select(key("src", "ks").alias("a"), key("dst", "kd").alias("b")).where("a < b"))
+    near = settle(later.groupBy("a").agg(F.array_sort(F.collect_list("b")).alias("p")))
+    common = later.join(near, "a").join(near.select(F.col("a").alias("b"), F.col("p").alias("q")), "b", "left")
+    common = settle(common.select("a", "b", F.coalesce(F.array_intersect("p", "q"), F.slice("p", 1, 0)).alias("i")))
+    inner = common.where(F.size("i") > 0).groupBy("a").agg(F.collect_list(F.struct("b", "i")).alias("inner"))
+    barring = common.where(F.size("i") > 0).select(F.col("b").alias("a"), "i").distinct().groupBy("a").agg(F.collect_list("i").alias("outer"))
+    rows = near.where(F.size("p") >= least - 1).join(inner, "a", "left").join(barring, "a", "left")
+    names = lambda c: F.transform(c, lambda x: x["n"])
+    rows = rows.select(F.col("a.n").alias("a"), names("p").alias("p"), F.transform("inner", lambda x: F.struct(x["b"]["n"].alias("b"), names(x["i"]).alias("i"))).alias("inner"), F.transform("outer", names).alias("outer"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = []
+            for a, p, own, outer in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                place = {n: k for k, n in enumerate(p)}
+                adj = [0] * len(p)
+                for x in own or ():
+                    k = place[x["b"]]
+                    for n in x["i"]:
+                        adj[k] |= 1 << place[n]
+                        adj[place[n]] |= 1 << k
+                for mask in _branches(adj, [sum(1 << place[n] for n in m) for m in outer or ()], max(least - 1, 1)):
+                    found.append(sorted([a, *(n for k, n in enumerate(p) if mask >> k & 1)]))
+                    if len(found) == 4096:
+                        yield pa.RecordBatch.from_arrays([pa.array(found, kind)], names=["members"])
+                        found = []
+            yield pa.RecordBatch.from_arrays([pa.array(found, kind)], names=["members"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(rows.schema["p"].dataType)
+    out = settle(rows.mapInArrow(run, f"members {rows.schema['p'].dataType.simpleString()}"))
+    discard(both, layer, later, near, common)
+    return out
 
 
 def ratio(outside: Column, inside: Column) -> Column:
