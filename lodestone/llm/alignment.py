@@ -26,13 +26,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, ShortType, StructField, StructType
 
-from . import textkit as tk
-from .shared import bound_batches, discard, materialise, text_or_empty, tidy, without_names
+from .shared import bound_batches, discard, free_name, materialise, text_or_empty, tidy, without_names
 from .tokenizing import _BLANK, _byte_letters, default_path, encoder
 
-#: Words that a worker remembers, and tokens of both sides that a task aligns.
-WORDS_KEPT, TOKENS_A_TASK = 1 << 19, 3_000_000
+#: Words that a worker remembers, and words that are encoded at once.
+WORDS_KEPT, WORDS_AT_ONCE = 1 << 18, 1 << 11
+#: Bytes of text that a task aligns; beyond so many tasks they grow, and their sorts go to disk.
+BYTES_A_TASK, MOST_TASKS = 2 << 20, 50_000
 #: Pairs of ids that are broadcast, with 24 bytes each; more are joined by shuffling.
 MOST_BROADCAST = 1 << 20
 _loaded: dict[tuple[str, str], Pair] = {}
@@ -62,14 +64,20 @@ class Pair:
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        probe = ["a b", "x  y\n z", "Hello there, world's end\nof 12 lines", "é 中文 🙂 ok"]
+        probe = ["a b", "Hello there, world's end of\n12 lines", "é 中文 🙂 ok"]
         self.by_words = self.fast is not None and not any("▁" in p.lstrip("▁") for p in pieces)
-        self.by_words = self.by_words and all(self.b.encode(p) == [i for w in p.split(" ") for i in self.b.encode(w)] for p in probe[:1] + probe[2:])
+        self.by_words = self.by_words and all(self.b.encode(p) == [i for w in p.split(" ") for i in self.b.encode(w)] for p in probe)
+        self.begins = np.array([p.startswith("▁") for p in pieces])
+        self.sizes = tuple(np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.data = tuple(np.frombuffer(b"".join(x), np.uint8) for x in (self.a_bytes, self.b_bytes))
+        #: What is taken off ids, so that two bytes hold them.
+        self.shift = 1 << 15 if max(map(len, self.sizes)) <= 1 << 16 else 0
         self._forget()
 
     def _forget(self) -> None:
         self.slot: dict[str, int] = {}
-        self.ids, self.ends, self.fine = (array("i"), array("i")), (array("q", [0]), array("q", [0])), array("b")
+        none = np.zeros(0, np.int32)
+        self.ids, self.size, self.fine = (none, none), (none, none), np.zeros(0, bool)
 
     def plain(self, text: str) -> list[int]:
         """A's ids of a text; the strings of special tokens are ordinary text."""
@@ -89,23 +97,61 @@ class Pair:
             out.append((a, b, b"".join([self.a_bytes[i] for i in a]) == own and b"".join([self.b_bytes[i] for i in b]) == own))
         return out
 
+    def _bytes(self, side: int, ids: np.ndarray) -> np.ndarray:
+        size = self.sizes[side][ids]
+        start = np.cumsum(self.sizes[side]) - self.sizes[side]
+        return self.data[side][np.repeat(start[ids] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+
+    def _words(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray] | None:
+        """Each side's ids and their number for every word, and whether the bytes are right; nothing if words can't be told apart."""
+        (tab,) = self.fast.encode_ordinary("\t")
+        ids, size, fine = [], [], np.ones(len(words), bool)
+        joined = np.frombuffer(array("I", self.plain(" " + "\t ".join(words))), np.uint32).astype(np.int32)
+        marks = np.flatnonzero(joined == tab)
+        if len(marks) != len(words) - 1:
+            return None
+        size.append((np.diff(np.r_[-1, marks, len(joined)]) - 1).astype(np.int32))
+        ids.append(np.delete(joined, marks))
+        parts = self.b.encode([" ".join(words[k : k + WORDS_AT_ONCE]) for k in range(0, len(words), WORDS_AT_ONCE)], num_threads=1)
+        ids.append(np.concatenate([np.array(p, np.int32) for p in parts]))
+        starts = np.flatnonzero(self.begins[ids[1]])
+        if len(starts) != len(words) or starts[0] != 0:
+            return None
+        size.append(np.diff(np.r_[starts, len(ids[1])]).astype(np.int32))
+        own = np.frombuffer((" " + " ".join(words)).encode(), np.uint8)
+        length = np.array([len(w.encode()) + 1 for w in words])
+        first = np.cumsum(length) - length
+        for side in (0, 1):
+            got = np.add.reduceat(self.sizes[side][ids[side]], np.cumsum(size[side]) - size[side])
+            if (got != length).any():
+                return None
+            fine &= np.add.reduceat(self._bytes(side, ids[side]) != own, first) == 0
+        return ids, size, fine
+
     def _learn(self, words: list[str]) -> np.ndarray:
         new = [w for w in words if w not in self.slot]
-        for w, (a, b, fine) in zip(new, self.both(new), strict=True):
-            self.slot[w] = len(self.slot)
-            for side, got in enumerate((a, b)):
-                self.ids[side].extend(got)
-                self.ends[side].append(len(self.ids[side]))
-            self.fine.append(fine)
-        return np.array([self.slot[w] for w in words], np.int64)
-
-    def __call__(self, column: pa.Array) -> list[pa.Array]:
-        """Both sides' ids of each text, as arrays of lists; none for a text that takes no part."""
+        odd = pc.match_substring_regex(pa.array(new, pa.string()), f"\t|▁|^$|^{_BLANK}|{_BLANK}$").to_numpy(zero_copy_only=False) if new else np.zeros(0, bool)
+        even = [w for w, o in zip(new, odd, strict=True) if not o]
+        found = self._words(even) if even else None
+        rest = [w for w, o in zip(new, odd, strict=True) if o or found is None]
+        for group, known in ((even if found is not None else [], found), (rest, None)):
+            if not group:
+                continue
+            if known is None:
+                each = self.both(group)
+                known = [np.array([i for x in each for i in x[side]], np.int32) for side in (0, 1)], [np.array([len(x[side]) for x in each], np.int32) for side in (0, 1)], np.array([x[2] for x in each])
+            self.slot.update(zip(group, range(len(self.slot), len(self.slot) + len(group)), strict=True))
+            self.ids, self.size = (tuple(np.concatenate(x) for x in zip(old, more, strict=True)) for old, more in ((self.ids, known[0]), (self.size, known[1])))
+            self.fine = np.concatenate([self.fine, known[2]])
+        return np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+
+    def __call__(self, column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Both sides' ids of all texts, and where each text's begin; none for a text that takes no part."""
         column = column.cast(pa.large_string()).fill_null("")
         n = len(column)
         empty = pc.equal(column, "")
         if self.by_words:
-            odd = pc.or_(pc.match_substring(column, "  "), pc.match_substring_regex(column, f" {_BLANK}|^ |^{_BLANK}"))
+            odd = pc.or_(pc.match_substring(column, "  "), pc.match_substring_regex(column, f" {_BLANK}|^ | $|^{_BLANK}"))
             at = np.flatnonzero(~pc.or_(odd, empty).to_numpy(zero_copy_only=False))
         else:
             at = np.zeros(0, np.int64)
@@ -121,14 +167,14 @@ class Pair:
             if len(self.slot) + len(coded.dictionary) > WORDS_KEPT:
                 self._forget()
             slot = self._learn(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-            bad[at] = np.minimum.reduceat(np.array(self.fine)[slot], first) == 0
+            bad[at] = np.add.reduceat((~self.fine)[slot].astype(np.int64), first) > 0
         for side in (0, 1):
             lists = {int(k): x[side] for k, x in zip(whole, got, strict=True)}
             if len(at):
-                ends, ids = np.array(self.ends[side]), np.array(self.ids[side], np.int32)
-                size = np.diff(ends)[slot]
+                size = self.size[side][slot].astype(np.int64)
+                start = (np.cumsum(self.size[side]) - self.size[side])[slot]
                 before = np.cumsum(size) - size
-                flat = ids[np.repeat(ends[slot] - before, size) + np.arange(int(size.sum()))]
+                flat = self.ids[side][np.repeat(start - before, size) + np.arange(int(size.sum()))]
                 counts[side][at] = np.add.reduceat(size, first)
             else:
                 flat = np.zeros(0, np.int32)
@@ -145,7 +191,7 @@ class Pair:
             if bad.any():
                 flat = flat[np.repeat(~bad, counts[side])]
                 off = np.r_[0, np.cumsum(np.where(bad, 0, counts[side]))]
-            flats.append(pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat, pa.int32())))
+            flats.append((flat, off))
         return flats
 
 
@@ -158,30 +204,52 @@ def pair(a_path: str | None, b_path: str | None) -> Pair:
 
 
 def encoded(documents: DataFrame, carry: list[str], a_path: str | None = None, b_path: str | None = None, text_col: str = "text") -> DataFrame:
-    """``carry`` columns of each row with ``a`` and ``b``, the ids of both sides; they take the place of carried columns of their names."""
+    """``carry`` columns of each row with ``n_a`` and ``ids``: A's ids and, from place ``n_a`` on, B's, less ``Pair.shift``.
+
+    So they take two bytes each where the vocabularies allow. ``unpacked`` gives both sides. New columns take the place of carried ones.
+    """
     bound_batches(documents.sparkSession)
-    carry = without_names(carry, ["a", "b"])
-    kept = documents.select(*carry, text_or_empty(text_col))
-    schema = kept.drop(kept.columns[-1]) if kept.columns[-1] not in carry else kept.select(*kept.columns[:-1])
-    schema = schema.withColumn("a", F.array().cast("array<int>")).withColumn("b", F.array().cast("array<int>")).schema
+    carry = without_names(carry, ["n_a", "ids"])
+    kept = documents.select(*carry, text_or_empty(text_col).alias(free_name("_text", carry)))
+    shift = pair(a_path, b_path).shift
+    kind, arrow = (ShortType(), pa.int16()) if shift else (IntegerType(), pa.int32())
+    schema = StructType([*kept.schema.fields[:-1], StructField("n_a", IntegerType(), False), StructField("ids", ArrayType(kind, False), False)])
 
     def run(batches):
         encode = pair(a_path, b_path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *encode(batch.column(batch.num_columns - 1))], names=[*batch.schema.names[:-1], "a", "b"])
+            (a, a_off), (b, b_off) = encode(batch.column(batch.num_columns - 1))
+            n_a, off = np.diff(a_off), a_off + b_off
+            flat = np.empty(len(a) + len(b), np.int32)
+            flat[np.repeat(b_off[:-1], n_a) + np.arange(len(a))] = a
+            flat[np.repeat(a_off[1:], np.diff(b_off)) + np.arange(len(b))] = b
+            ids = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array((flat - shift).astype(arrow.to_pandas_dtype())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n_a, pa.int32()), ids], names=schema.names)
+
+    return kept.mapInArrow(tidy(run), schema)
 
-    return kept.mapInArrow(run, schema)
+
+def unpacked(tokens: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
+    """``tokens`` with ``a`` and ``b``, the ids of both sides, in place of ``n_a`` and ``ids``."""
+    shift = pair(a_path, b_path).shift
+    whole = lambda c: F.transform(c, lambda x: x.cast("int") + shift)
+    return tokens.withColumns({"a": whole(_side("a")), "b": whole(_side("b"))}).drop("n_a", "ids")
+
+
+def _side(side: str):
+    return F.slice("ids", F.lit(1), F.col("n_a")) if side == "a" else F.slice("ids", F.col("n_a") + 1, F.size("ids") - F.col("n_a"))
 
 
 def lengths(spark: SparkSession, a_path: str | None = None, b_path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(id, n)`` of both vocabularies: a token's bytes. As many rows as the files have entries."""
+    """``(id, n)`` of both vocabularies: a token's bytes, its id less the shift. As many rows as the files have entries."""
     one = pair(a_path, b_path)
-    return tuple(spark.createDataFrame(pa.table({"id": pa.array(range(len(x)), pa.int32()), "n": pa.array([len(t) for t in x], pa.int32())})) for x in (one.a_bytes, one.b_bytes))
+    kind = pa.int16() if one.shift else pa.int32()
+    return tuple(spark.createDataFrame(pa.table({"id": pa.array(np.arange(len(x)) - one.shift, kind), "n": pa.array(x, pa.int32())})) for x in one.sizes)
 
 
 @contextmanager
-def _joins_within(spark: SparkSession):
-    """Rows dealt out by document stay where they are for a join on document and end."""
+def joins_within(spark: SparkSession):
+    """Rows dealt out by document stay where they are for a join on document and end, in plans that run within."""
     key = "spark.sql.requireAllClusterKeysForCoPartition"
     before = spark.conf.get(key, "true")
     spark.conf.set(key, "false")
@@ -191,32 +259,33 @@ def _joins_within(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def token_ends(tokens: DataFrame, side: str, sizes: DataFrame, tasks: int) -> DataFrame:
-    """``(_k, end, pos, id)`` of every token of a side (column ``a`` or ``b``): where it ends, in bytes from the document's start."""
-    dealt = tokens.select("_k", side).repartition(tasks, "_k").sortWithinPartitions("_k")
-    each = dealt.select("_k", F.posexplode(side).alias("pos", "id")).join(F.broadcast(sizes), "id")
-    return each.select("_k", F.sum("n").over(Window.partitionBy("_k").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("end"), "pos", "id")
+def token_ends(dealt: DataFrame, side: str, sizes: DataFrame) -> DataFrame:
+    """``(_k, end, pos)`` of every token of a side (``a`` or ``b``): where it ends, in bytes from the document's start.
+
+    Rows come dealt out by document and sorted by it, so that sorts of tokens find them in order.
+    """
+    # the outer form keeps filters out of the exchange below, which all readers share
+    each = dealt.select("_k", F.posexplode_outer(_side(side)).alias("pos", "id")).where("pos is not null").join(F.broadcast(sizes), "id")
+    return each.select("_k", F.sum("n").over(Window.partitionBy("_k").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("end"), "pos")
 
 
-def align(tokens: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
-    """``tokens`` (a written table: a unique ``_k``, ``a``, ``b``, any others) with ``cut_a`` and ``cut_b``.
+def align(tokens: DataFrame, tasks: int, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
+    """``tokens`` (of ``encoded``, with a unique ``_k`` that isn't null) with ``cut_a`` and ``cut_b``, to be run within ``joins_within``.
 
-    Those are the positions of each group's last token on either side, in order; a row without tokens has none.
+    Those are the positions of each group's last token on either side, in order, so that a cut's place among them is the running
+    count of cuts; a row without tokens has none. Token arrays are shuffled once, by ``_k``: both sides' tokens, their
+    join, its grouping and the join of its result stay in the same tasks.
     """
-    spark = tokens.sparkSession
-    total = tokens.agg(F.sum(F.size("a").cast("long") + F.size("b"))).first()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TOKENS_A_TASK))
-    a, b = (token_ends(tokens, side, sizes, tasks).select("_k", "end", F.col("pos").alias(f"cut_{side}")) for side, sizes in zip("ab", lengths(spark, a_path, b_path), strict=True))
+    dealt = tokens.repartition(tasks, "_k").sortWithinPartitions("_k")
+    a, b = (token_ends(dealt, side, sizes).withColumnRenamed("pos", f"cut_{side}") for side, sizes in zip("ab", lengths(tokens.sparkSession, a_path, b_path), strict=True))
     # positions rise with the ends, so that each side's order is that of the cuts
     cuts = a.join(b.hint("merge"), ["_k", "end"]).groupBy("_k").agg(*[F.array_sort(F.collect_list(c)).alias(c) for c in ("cut_a", "cut_b")])
-    with _joins_within(spark):
-        cuts = materialise(cuts, "cuts")
     none = F.array().cast("array<int>")
-    return tokens.join(cuts, "_k", "left").withColumns({c: F.coalesce(c, none) for c in ("cut_a", "cut_b")})
+    return dealt.join(cuts.hint("merge"), "_k", "left").withColumns({c: F.coalesce(c, none) for c in ("cut_a", "cut_b")})
 
 
 def groups(aligned: DataFrame, carry: list[str]) -> DataFrame:
-    """``carry`` columns with ``group``, ``a_ids`` and ``b_ids`` for each group of each row of ``align``'s result."""
+    """``carry`` columns with ``group``, ``a_ids`` and ``b_ids`` for each group of each row of ``align``'s result, unpacked."""
 
     def own(side: str):
         last = F.get(f"cut_{side}", F.col("group"))
@@ -227,7 +296,7 @@ def groups(aligned: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def links(aligned: DataFrame, carry: list[str], kind: str = "end") -> DataFrame:
-    """``carry`` columns with ``a_pos, b_pos, a_id, b_id`` for each link of each row of ``align``'s result.
+    """``carry`` columns with ``a_pos, b_pos, a_id, b_id`` for each link of each row of ``align``'s result, unpacked.
 
     ``end``: the tokens that end together, one pair a group. ``group``: all pairs of a group, which a group of many
     tokens squares; the first is the one that bounds its rows by the tokens.
@@ -253,18 +322,23 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(), off - off[0]
 
 
-def summed_up(aligned: DataFrame, carry: list[str]) -> DataFrame:
-    """``carry`` columns with ``n_a, n_b, n_groups, groups_sha256`` and the links: ``pairs`` (A's id times 2^32 plus B's) and how ``often``."""
+def summed_up(aligned: DataFrame, carry: list[str], shift: int) -> DataFrame:
+    """``carry`` columns of ``align``'s result with ``n_a, n_b, n_groups, groups_sha256`` and the links: ``pairs`` (A's id times 2^32 plus B's) and how ``often``."""
     names = ["n_a", "n_b", "n_groups", "groups_sha256", "pairs", "often"]
-    kept = aligned.select(*carry, "a", "b", "cut_a", "cut_b")
+    kept = aligned.select(*carry, "n_a", "ids", "cut_a", "cut_b")
     fields = [*kept.dtypes[:-4], *zip(names, ("long", "long", "long", "string", "array<bigint>", "array<int>"), strict=True)]
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                sides = [_flat(part.column(part.num_columns - 4 + k)) for k in range(4)]
-                (a, a_off), (b, b_off), (cut_a, c_off), (cut_b, _) = sides
+                (ids, off), (cut_a, c_off), (cut_b, _) = (_flat(part.column(part.num_columns - 3 + k)) for k in range(3))
+                n_a = part.column(part.num_columns - 4).to_numpy()
+                a_off = np.r_[0, np.cumsum(n_a)]
+                b_off = off - a_off
+                ids = ids.astype(np.int64) + shift
+                of_a = np.arange(len(ids)) - np.repeat(off[:-1], np.diff(off)) < np.repeat(n_a, np.diff(off))
+                a, b = ids[of_a], ids[~of_a]
                 row = np.repeat(np.arange(part.num_rows), np.diff(c_off))
                 ends = [cut + off[row] for cut, off in ((cut_a, a_off), (cut_b, b_off))]
                 # a token's place among all: its group, A before B
@@ -280,7 +354,7 @@ def summed_up(aligned: DataFrame, carry: list[str]) -> DataFrame:
                 at = np.frombuffer(said.buffers()[1], np.int64)[said.offset : said.offset + len(said) + 1][a_off + b_off] if len(said) else np.zeros(part.num_rows + 1, np.int64)
                 data = memoryview(said.buffers()[2]) if len(said) else b""
                 digest = [hashlib.sha256(data[s:e]).hexdigest() if e > s else "" for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                key = (a[ends[0]].astype(np.int64) << 32) | b[ends[1]]
+                key = (a[ends[0]] << 32) | b[ends[1]]
                 found = [np.unique(key[s:e], return_counts=True) for s, e in zip(c_off[:-1], c_off[1:], strict=True)]
                 off = np.r_[0, np.cumsum([len(x) for x, _ in found])]
                 lists = [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *[x[k] for x in found]]), t)) for k, t in ((0, pa.int64()), (1, pa.int32()))]
@@ -301,17 +375,20 @@ def agreement(documents: DataFrame, carry: list[str], a_path: str | None = None,
 
     ``n_best`` counts the links whose pair no other pair of its B id outdoes in the corpus, ties included; ``count_sum`` adds
     up the links' counts. A text that takes no part has zeros and ''. Repeated rows are documents of their own, and an
-    empty table gives no rows. A new column takes the place of a carried one of its name; other columns aren't read.
+    empty table gives no rows. Rows are numbered as they are read, so ``documents`` must be a table that reads alike each time. A new column takes the place of a carried one of its name; other columns aren't read.
 
     A document is aligned in one task, whose sorts go to disk where memory ends. Counts of pairs are at most the
     product of the vocabularies; they are counted before they are broadcast, and beyond ``MOST_BROADCAST`` shuffled.
     """
     names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     carry = without_names(carry, names)
+    spark, shift = documents.sparkSession, pair(a_path, b_path).shift
+    total = documents.agg(F.sum(F.octet_length(text_or_empty(text_col)))).first()[0] or 0
+    tasks = min(MOST_TASKS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BYTES_A_TASK)))
     keyed = documents.select(F.monotonically_increasing_id().alias("_k"), F.struct(*carry).alias("_d"), F.col(text_col).alias("_text"))
-    tokens = materialise(encoded(keyed, ["_k", "_d"], a_path, b_path, "_text"), "tokens")
-    aligned = align(tokens, a_path, b_path)
-    summed = materialise(summed_up(aligned, ["_k", "_d"]), "summed")
+    aligned = align(encoded(keyed, ["_k", "_d"], a_path, b_path, "_text"), tasks, a_path, b_path)
+    with joins_within(spark):
+        summed = materialise(summed_up(aligned, ["_k", "_d"], shift), "summed")
     counts = materialise(pair_counts(summed), "pair-counts")
     known = F.broadcast(counts) if counts.count() <= MOST_BROADCAST else counts
     each = summed.select("_k", F.inline(F.arrays_zip("pairs", "often"))).join(known, F.col("pairs") == F.col("pair"))
@@ -319,5 +396,5 @@ def agreement(documents: DataFrame, carry: list[str], a_path: str | None = None,
     zero = F.lit(0).cast("long")
     out = summed.drop("pairs", "often").join(sums, "_k", "left")
     out = materialise(out.select(*[F.col("_d")[c].alias(c) for c in carry], "n_a", "n_b", "n_groups", *[F.coalesce(c, zero).alias(c) for c in ("n_links", "n_best", "count_sum")], "groups_sha256"), "agreement")
-    discard(tokens, summed, counts)
+    discard(summed, counts)
     return out
