@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from .settle import discard, settle
 from .tree import lines
 
+#: Nodes of a group that a bisection is sought for; the cuts are 2 to the power of the nodes.
+LEAST_CUT, MOST_CUT = 4, 12
+
 
 def edge_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(node, out_degree, in_degree)`` of every node, with or without edges."""
@@ -249,7 +252,7 @@ def seam_density(tree: DataFrame, above: DataFrame, edges: DataFrame) -> DataFra
     return out.withColumn("density", ratio(F.col("crossing"), F.col("internal")))
 
 
-def best_bisection(members: DataFrame, edges: DataFrame, least: int = 4, most: int = 12) -> DataFrame:
+def best_bisection(members: DataFrame, edges: DataFrame, least: int = LEAST_CUT, most: int = MOST_CUT) -> DataFrame:
     """``(grp, mask, cross_edges, total_edges, side_a, side_b)``: the cleanest cut of each group's inner edges.
 
     ``members(grp, node)``; groups of ``least`` to ``most`` nodes. Every cut with two nodes or more on each side is

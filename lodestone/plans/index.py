@@ -8,17 +8,15 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StructType
 
 from ..functions import paths as P
 from ..operators import candidates as C
 from ..operators import classify as K
 from ..operators import edges as D
-from ..operators import enumerate as E
-from ..operators import graph as G
 from ..operators import project as J
+from ..operators import propose as Q
 from ..operators import recurse as R
 from ..operators import tree as T
 from ..operators.settle import settle
@@ -27,13 +25,15 @@ from ..respond.core import Budget, BudgetExceeded, Canned, Responder, SetupError
 from ..respond.progress import Finished, Phase, Progress, Rounds, Silent, Started, Surface
 from ..sources import files as FS
 from ..sources import tables as S
+from .carve import Carving, surfaces
 
 
 @dataclass
 class Options:
     """``budget`` None: as many tokens as it takes. ``overrides`` False: authored pins, additions and subsystems are ignored.
 
-    ``parallel``: calls at a time, by default as many as the session has slots.
+    ``parallel``: calls at a time, by default as many as the session has slots. ``recarve``: earlier components are forgotten, so
+    that ids are given anew.
     """
 
     max_depth: int = 8
@@ -42,6 +42,7 @@ class Options:
     overrides: bool = True
     respect_gitignore: bool = True
     parallel: int | None = None
+    recarve: bool = False
 
 
 @dataclass
@@ -64,6 +65,7 @@ class Ask:
         self.spark, self.responder, self.budget, self.progress, self.parallel, self.keep = spark, responder, budget, progress, parallel, keep
         self.store = M.ResponseCache(cache, settle)
         self.by_prompt: dict[str, int] = {}
+        self.failed = spark.createDataFrame([], "prompt string, inputs string, error string")
 
     @property
     def cache(self) -> DataFrame:
@@ -89,6 +91,8 @@ class Ask:
             if not listened:
                 self.by_prompt |= {r["prompt"]: self.by_prompt.get(r["prompt"], 0) + r["n"] for r in got.groupBy("prompt").agg(F.count("response").alias("n")).collect()}
             self.store.record(got)
+            if not (bad := got.where("response is null")).isEmpty():
+                self.failed = self.failed.union(bad.select("prompt", "inputs", "error"))
             for kind, what in (("SetupError", SetupError), ("BudgetExceeded", BudgetExceeded)):
                 if (lost := got.where(F.startswith("error", F.lit(f"{kind}:"))).first()) is not None:
                     if self.keep is not None:
@@ -97,6 +101,13 @@ class Ask:
         return requests.join(self.store.found(asked).select("prompt", "inputs", "response"), ["prompt", "inputs"]).select("key", "response")
 
 
+    def with_errors(self, requests: DataFrame) -> DataFrame:
+        """``(key, response, error)`` of all requests."""
+        known = self(requests)
+        why = self.failed.groupBy("prompt", "inputs").agg(F.max("error").alias("error"))
+        return requests.join(known, "key", "left").join(why, ["prompt", "inputs"], "left").select("key", "response", "error")
+
+
 def prompt_events(progress: Progress) -> bool:
     """Whether anyone listens, so that each request has to be told on the driver."""
     return not isinstance(progress, Silent)
@@ -107,32 +118,24 @@ def _inputs(**columns):
     return F.to_json(F.struct(*[c.alias(k) for k, c in sorted(columns.items())]), {"ignoreNullFields": "false"})
 
 
-def _sorted(c: Column, kind: DataType) -> Column:
-    """A column with the fields of all structs within in the order of their names."""
-    if isinstance(kind, StructType):
-        return F.when(c.isNotNull(), F.struct(*[_sorted(c[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]))
-    return F.transform(c, lambda x: _sorted(x, kind.elementType)) if isinstance(kind, ArrayType) else c
-
-
 def classify(files: DataFrame, dirs: DataFrame, pins: DataFrame, additions: DataFrame, ask: Ask) -> DataFrame:
     """``dir, source, answer, manifests, headings`` of all candidates."""
     bundled = settle(K.classify_by_rules(C.bundles(files, dirs), files))
     pinned = settle(K.by_pins(dirs, pins, additions))
     left = K.undecided(bundled, pinned)
-    req = left.select(F.col("dir").alias("key"), F.lit("classify").alias("prompt"), _inputs(DIR_RELATIVE=F.col("dir"), RATIONALE_BUNDLE=F.struct(*[_sorted(F.col(c), left.schema[c].dataType).alias(c) for c in ("headings", "is_git_root", "manifests", "shebangs")])).alias("inputs"))
+    req = left.select(F.col("dir").alias("key"), F.lit("classify").alias("prompt"), _inputs(DIR_RELATIVE=F.col("dir"), RATIONALE_BUNDLE=F.struct(*[Q.by_name(F.col(c), left.schema[c].dataType).alias(c) for c in ("headings", "is_git_root", "manifests", "shebangs")])).alias("inputs"))
     answers = ask(req).select(F.col("key").alias("dir"), K.parse_answer(F.col("response")).alias("model"))
     return K.cascade(bundled, pinned, answers).join(bundled.select("dir", "manifests", "headings"), "dir")
 
 
-def build_tree(files: DataFrame, classified: DataFrame, additions: DataFrame, prior: DataFrame, pins: DataFrame) -> DataFrame:
-    """Components with ids, parents, digests; prior ones without a successor as tombstones."""
+def build_tree(classified: DataFrame, sha: DataFrame, nearest: DataFrame, additions: DataFrame, prior: DataFrame, pins: DataFrame) -> DataFrame:
+    """Components with ids and parents, from their directories' digests and nearest ancestors; prior ones without a successor as tombstones."""
     yes = classified.where("answer.is_boundary")
     own = settle(yes.select("dir", "answer", "manifests", "headings"))
-    sha = E.tree_sha(files, own.select("dir"))
-    up = T.nearest_ancestor(own.select("dir"), own.where("dir <> ''").select("dir")).withColumnRenamed("parent_dir", "found")
+    up = nearest.withColumnRenamed("parent_dir", "found")
     has_root = not own.where("dir = ''").isEmpty()
     parent = F.when(F.col("dir") == "", F.lit(None)).otherwise(F.coalesce("found", F.lit("" if has_root else None).cast("string")))
-    placed = settle(own.join(up, "dir").join(sha, "dir", "left").withColumn("parent_dir", parent).withColumn("depth", P.depth(F.col("dir"))).withColumn("slug", P.leaf_slug(F.col("dir"))))
+    placed = settle(own.join(up, "dir", "left").join(sha, "dir", "left").withColumn("parent_dir", parent).withColumn("depth", P.depth(F.col("dir"))).withColumn("slug", P.leaf_slug(F.col("dir"))))
     # equal content keeps its id, wherever it moved to
     live_prior = prior.where("not deleted").select("id", F.explode("path_segments.content_sha").alias("content_sha"))
     renamed = T.match_renames(live_prior, placed.where("content_sha is not null").select(F.col("dir").alias("key"), "content_sha")).where("state = 'matched'").select(F.col("live_key").alias("dir"), F.col("prior_id").alias("carried"))
@@ -156,21 +159,6 @@ def build_tree(files: DataFrame, classified: DataFrame, additions: DataFrame, pr
     return settle(rows.unionByName(T.tombstones(prior, rows).select(*rows.columns)))
 
 
-def carve(files: DataFrame, components: DataFrame, classified: DataFrame, edges: DataFrame, pins: DataFrame, max_depth: int) -> DataFrame:
-    """Pairs ``(id, sub_dir)`` that the policy and the sub-directories' classification propose."""
-    live = components.where("not deleted")
-    above = T.closure(live.select("id", "parent"))
-    depth = T.depths(live.select("id", "parent"), above)
-    hints = G.best_bisection(above.select(F.col("ancestor").alias("grp"), F.col("id").alias("node")), edges).select(F.col("grp").alias("id"))
-    verdict = live.join(depth, "id").join(hints.withColumn("hint", F.lit(True)), "id", "left").withColumn("v", R.policy(F.col("kind"), F.col("depth"), F.lit(max_depth), F.coalesce("hint", F.lit(False))))
-    owned = verdict.where("v <> 'stop'").select("id", F.explode("path_segments.path").alias("dir"))
-    subs = R.immediate_subdirs(files, owned)
-    names = pins.where("variant = 'suppress_children'").select(F.col("key").alias("id"), F.explode("children").alias("name"))
-    subs = R.without_suppressed(subs, names)
-    kept = R.subcarve(subs, classified.select("dir", "answer.kind", "answer.is_boundary")).where("carve")
-    return kept.select("id", F.explode("kept").alias("sub_dir"))
-
-
 def index(spark: SparkSession, root: str, out_dir: str, responder: Responder | None = None, options: Options = Options(), now: str | None = None, progress: Progress | None = None) -> Result:
     """Analyse the tree under ``root`` and write four YAML files and the response cache to ``out_dir``.
 
@@ -183,7 +171,7 @@ def index(spark: SparkSession, root: str, out_dir: str, responder: Responder | N
     responder = responder or Canned({})
     where = lambda n: os.path.join(out_dir, n)
     prior_file = S.load_yaml(where("components.yaml"), "components")
-    prior = settle(S.table(spark, prior_file.get("components", []), S.COMPONENT).na.fill(False, ["deleted"]))
+    prior = settle(S.table(spark, [] if options.recarve else prior_file.get("components", []), S.COMPONENT).na.fill(False, ["deleted"]))
     overrides = S.load_yaml(where("components.overrides.yaml"), "overrides") if options.overrides else {}
     pins = settle(S.pins_table(spark, overrides))
     additions = settle(S.table(spark, overrides.get("additions", []), S.COMPONENT))
@@ -201,39 +189,22 @@ def index(spark: SparkSession, root: str, out_dir: str, responder: Responder | N
 
     ask = Ask(spark, responder, settle(S.load_cache(spark, where("response-cache.json"))), budget, progress, options.parallel, keep)
     add_dirs = additions.select(F.col("path_segments")[0]["path"].alias("dir")).where("dir is not null")
-    state: dict = {}
-
-    def tree_with(back: DataFrame) -> DataFrame:
-        dirs = settle(C.candidate_dirs(files, add_dirs, back.select(F.col("sub_dir").alias("dir"))))
-        state["classified"] = settle(classify(files, dirs, pins, additions.select("id", F.col("path_segments")[0]["path"].alias("dir")), ask))
-        state["components"] = build_tree(files, state["classified"], additions, prior, pins)
-        return state["components"]
-
-    def step(back: DataFrame) -> DataFrame:
-        components = tree_with(back)
-        subdirs = R.immediate_subdirs(files, components.where("not deleted").select("id", F.explode("path_segments.path").alias("dir")))
-        known = state["classified"].select("dir")
-        extra = settle(subdirs.select(F.col("sub_dir").alias("dir")).distinct().join(known, "dir", "left_anti"))
-        # depth and kind decide first; only what they leave open is looked at
-        open_ = components.where("not deleted").withColumn("v", R.policy_by_kind(F.col("kind"))).where("v is null or v <> 'stop'")
-        verdicts = state["classified"].select("dir", "source", "answer")
-        if options.max_depth > 0 and not extra.isEmpty() and not open_.isEmpty():
-            more = classify(files, extra.join(R.immediate_subdirs(files, open_.select("id", F.explode("path_segments.path").alias("dir"))).select(F.col("sub_dir").alias("dir")).distinct(), "dir", "left_semi"), pins, additions.select("id", F.col("path_segments")[0]["path"].alias("dir")), ask)
-            verdicts = verdicts.union(more.select("dir", "source", "answer"))
-        if options.max_depth <= 0:
-            return spark.createDataFrame([], "id string, sub_dir string")
-        none = spark.createDataFrame([], "src string, dst string")
-        return carve(files, components, verdicts, none, pins, options.max_depth)
-
+    named = additions.select("id", F.col("path_segments")[0]["path"].alias("dir"))
+    carving = Carving(
+        files, add_dirs,
+        lambda some, dirs: classify(some, dirs, pins, named, ask),
+        lambda classified, sha, nearest: build_tree(classified, sha, nearest, additions, prior, pins),
+        pins, ask, options.max_depth,
+    )
     progress.on_event(Phase("fixedpoint"))
-    size = lambda: state["components"].where("not deleted").count() if "components" in state else 0
-    back, rounds = R.fixedpoint(step, spark.createDataFrame([], "id string, sub_dir string"), hooks=Rounds(progress, size))
-    components = state["components"]
+    size = lambda: carving.components.where("not deleted").count() if carving.components is not None else 0
+    _, rounds = R.fixedpoint(carving.step, spark.createDataFrame([], "id string, sub_dir string"), hooks=Rounds(progress, size))
+    components = carving.components
     progress.on_event(Phase("project"))
     live = settle(components.where("not deleted"))
-    surfaces = settle(ask(live.select(F.col("id").alias("key"), F.lit("surface").alias("prompt"), _inputs(COMPONENT_ID=F.col("id"), COMPONENT_KIND=F.col("kind"), CONTENT_SHAS=F.col("path_segments.content_sha"), PATH_SEGMENTS=F.col("path_segments.path")).alias("inputs"))).select(F.col("key").alias("id"), D.parse_surface(F.col("response")).alias("surface")))
+    told = settle(surfaces(live, pins, ask))
     progress.on_event(Phase("edges"))
-    edges = settle(propose_edges(live, surfaces, ask))
+    edges = settle(propose_edges(told, ask))
     externals = settle(J.externals(J.npm_externals(files).unionByName(J.cargo_externals(files))).withColumn("homepage", F.lit(None).cast("string")).withColumn("url", F.lit(None).cast("string")))
     members = subs.select(F.col("id").alias("subsystem"), F.posexplode("members").alias("ord", "member"))
     paths_of = components.select("id", "deleted", F.col("path_segments.path").alias("paths"))
@@ -245,7 +216,7 @@ def index(spark: SparkSession, root: str, out_dir: str, responder: Responder | N
     found = subs.drop("members").join(J.subsystems(evidence).withColumnRenamed("subsystem", "id"), "id")
     seen = evidence.groupBy(F.col("subsystem").alias("id")).agg(F.array_sort(F.collect_list(F.struct("ord", "id", "matched_via"))).alias("e")).select("id", F.transform("e", lambda e: F.struct(e["id"].alias("id"), e["matched_via"].alias("matched_via"))).alias("member_evidence"))
     subsystems = found.join(seen, "id")
-    summary = {"components": live.count(), "externals": externals.count(), "edges": edges.count(), "calls": ask.store.calls, "errors": ask.store.errors, "tokens_used": budget.used, "token_budget": options.budget, "iterations": rounds, "written": not options.dry_run}
+    summary = {"components": live.count(), "externals": externals.count(), "edges": edges.count(), "calls": ask.store.calls, "errors": ask.store.errors, "tokens_used": budget.used, "token_budget": options.budget, "iterations": rounds, "rounds": carving.rows, "written": not options.dry_run}
     result = Result(components, externals, edges, subsystems, ask.cache, summary)
     keep(ask.cache)
     if not options.dry_run:
@@ -254,16 +225,11 @@ def index(spark: SparkSession, root: str, out_dir: str, responder: Responder | N
     return result
 
 
-def propose_edges(live: DataFrame, surfaces: DataFrame, ask: Ask) -> DataFrame:
-    """All components' surfaces in one request; fewer than two components need none."""
-    spark = live.sparkSession
-    empty = spark.createDataFrame([], S.EDGE)
-    if live.limit(2).count() < 2:
-        return empty
-    rows = [json.loads(r["j"]) for r in live.select("id").join(surfaces, "id", "left").orderBy("id").select(F.to_json(F.struct("id", "surface")).alias("j")).collect()]
-    req = spark.createDataFrame([("edges", "edges", json.dumps({"SURFACE_RECORDS": rows}, sort_keys=True, separators=(",", ":"), ensure_ascii=False))], "key string, prompt string, inputs string")
-    raw = ask(req).select(F.posexplode(D.parse_edges(F.col("response"))).alias("ord", "e")).select("ord", "e.*")
-    return D.dedup(D.valid(D.canonical(raw))).drop("ord").select(*[f.split()[0] for f in S.EDGE.split(", ")])
+def propose_edges(told: DataFrame, ask: Ask) -> DataFrame:
+    """Edges among components of these surfaces: of one request where all fit, else of a request for each pack of blocks that share a token."""
+    asked = Q.records(Q.requests_for(told), told)
+    answers = ask(asked.select(F.col("request").alias("key"), F.lit("edges").alias("prompt"), "inputs"))
+    return Q.edges_of(answers.select(F.col("key").alias("request"), "response")).select(*[f.split()[0] for f in S.EDGE.split(", ")])
 
 
 def write_outputs(r: Result, root: str, out_dir: str, now: str) -> None:

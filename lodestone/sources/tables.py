@@ -50,11 +50,21 @@ def pins_table(spark: SparkSession, overrides: dict) -> DataFrame:
                 rows.append({"key": key, "field": name, "variant": "suppress"})
             elif name == "suppress_children":
                 rows.append({"key": key, "field": name, "variant": "suppress_children", "children": [str(x) for x in (v.get("suppress_children", v) if isinstance(v, dict) else v)]})
+            elif name == "surface":
+                rows.append({"key": key, "field": name, "variant": "value", "value": _as_json(v.get("value") if isinstance(v, dict) else v)})
             else:
                 rows.append({"key": key, "field": name, "variant": "value", "value": str(v.get("value") if isinstance(v, dict) else v)})
     return table(spark, rows, PIN)
 
 
+def _as_json(text: object) -> str:
+    """A record written as YAML, as JSON; text that can't be read stays as it is."""
+    try:
+        return json.dumps(yaml.safe_load(text) if isinstance(text, str) else text, ensure_ascii=False, default=str)
+    except yaml.YAMLError:
+        return str(text)
+
+
 def write_yaml(path: str, data: dict) -> None:
     """The file appears whole or not at all."""
     own = f"{path}.{uuid.uuid4().hex}"
