@@ -385,16 +385,18 @@ def agreement(documents: DataFrame, carry: list[str], a_path: str | None = None,
     spark, shift = documents.sparkSession, pair(a_path, b_path).shift
     total = documents.agg(F.sum(F.octet_length(text_or_empty(text_col)))).first()[0] or 0
     tasks = min(MOST_TASKS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BYTES_A_TASK)))
-    keyed = documents.select(F.monotonically_increasing_id().alias("_k"), F.struct(*carry).alias("_d"), F.col(text_col).alias("_text"))
-    aligned = align(encoded(keyed, ["_k", "_d"], a_path, b_path, "_text"), tasks, a_path, b_path)
+    # carried columns join at the end, so that all readers of the shuffled tokens read the same columns and share it
+    numbered = documents.withColumn(key := free_name("_k", documents.columns), F.monotonically_increasing_id())
+    aligned = align(encoded(numbered.select(F.col(key).alias("_k"), F.col(text_col).alias("_text")), ["_k"], a_path, b_path, "_text"), tasks, a_path, b_path)
     with joins_within(spark):
-        summed = materialise(summed_up(aligned, ["_k", "_d"], shift), "summed")
+        summed = materialise(summed_up(aligned, ["_k"], shift), "summed")
     counts = materialise(pair_counts(summed), "pair-counts")
     known = F.broadcast(counts) if counts.count() <= MOST_BROADCAST else counts
     each = summed.select("_k", F.inline(F.arrays_zip("pairs", "often"))).join(known, F.col("pairs") == F.col("pair"))
     sums = each.groupBy("_k").agg(F.sum("often").alias("n_links"), F.sum(F.when(F.col("best"), F.col("often")).otherwise(0)).alias("n_best"), F.sum(F.col("often") * F.col("count")).alias("count_sum"))
     zero = F.lit(0).cast("long")
-    out = summed.drop("pairs", "often").join(sums, "_k", "left")
+    own = numbered.select(F.col(key).alias("_k"), F.struct(*carry).alias("_d"))
+    out = own.join(summed.drop("pairs", "often"), "_k").join(sums, "_k", "left")
     out = materialise(out.select(*[F.col("_d")[c].alias(c) for c in carry], "n_a", "n_b", "n_groups", *[F.coalesce(c, zero).alias(c) for c in ("n_links", "n_best", "count_sum")], "groups_sha256"), "agreement")
     discard(summed, counts)
     return out
