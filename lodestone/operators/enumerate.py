@@ -49,19 +49,35 @@ def under(files: DataFrame, dirs: DataFrame, dir_col: str = "dir", itself: bool
 def tree_sha(files: DataFrame, dirs: DataFrame, relative: bool = True) -> DataFrame:
     """``(dir, content_sha)``: SHA-256 over every file's path length (8 bytes, little-endian), path and content digest, in path order.
 
-    With ``relative``, paths are taken from the directory, so that moving it keeps the digest.
+    With ``relative``, paths are taken from the directory, so that moving it keeps the digest. Contents are digested before
+    rows spread over the directories above; a directory's rows come sorted to one task, which carries nothing but the
+    digest's state from row to row.
     """
-    held = under(files, dirs, itself=False)
+    short = files.select("path", F.unhex(F.sha2("content", 256)).alias("sha"))
+    held = under(short, dirs.select("dir").distinct(), itself=False)
     p = F.expr("CASE WHEN dir = '' THEN path ELSE substr(path, length(dir) + 2) END") if relative else F.col("path")
-    piece = F.concat(_little_endian(F.octet_length(p)), F.encode(p, "utf-8"), F.unhex(F.sha2("content", 256)))
-    grouped = held.groupBy("dir").agg(F.array_sort(F.collect_list(F.struct(F.split(p, "/").alias("k"), piece.alias("v")))).alias("all"))
-    return grouped.select("dir", F.sha2(F.aggregate("all", F.lit(b""), lambda a, x: F.concat(a, x["v"])), 256).alias("content_sha"))
-
-
-def _little_endian(n):
-    """Eight bytes of a small non-negative number."""
-    h = F.lpad(F.hex(n.cast("long")), 16, "0")
-    return F.unhex(F.concat(*[F.substring(h, 15 - 2 * k, 2) for k in range(8)]))
+    rows = held.select("dir", p.alias("p"), "sha").repartition("dir").sortWithinPartitions("dir", F.split("p", "/"))
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        here, state = None, None
+        for batch in batches:
+            done: list[tuple[str, str]] = []
+            for d, path, sha in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if d != here:
+                    if state is not None:
+                        done.append((here, state.hexdigest()))
+                    here, state = d, hashlib.sha256()
+                raw = path.encode()
+                state.update(len(raw).to_bytes(8, "little") + raw + sha)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], pa.string()) for k in (0, 1)], names=["dir", "content_sha"])
+        if state is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([here]), pa.array([state.hexdigest()])], names=["dir", "content_sha"])
+
+    return rows.mapInArrow(run, "dir string, content_sha string")
 
 
 def elided(files: DataFrame, limit: int = 1 << 20, sniff: int = 8192) -> DataFrame:

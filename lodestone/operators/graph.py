@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .edges import is_symmetric
 from .settle import discard, settle
 from .tree import lines
 
@@ -66,51 +67,125 @@ def _tarjan(edges: pd.DataFrame) -> pd.DataFrame:
 def strong_components(edges: DataFrame, max_rounds: int = 1000, small: int = 200_000) -> DataFrame:
     """``(component, node)`` of the strongly connected groups of two nodes and more, named by their least node.
 
-    Forward colouring: each node takes the least name that reaches it. Within a colour, what reaches
-    the node of that name forms a group. Groups are taken out and the rest is coloured anew. As soon as at
-    most ``small`` edges are left, one task finishes them by Tarjan's exact walk; the result is the same.
+    Where edges have a ``kind``, those of symmetric kinds are left out: they have no direction. Chains of nodes with one way
+    out, then of nodes with one way in, are drawn together by doubling, so that long cycles take rounds by the logarithm of
+    their length. Forward colouring: each node takes the least name that reaches it. Within a colour, what reaches the node
+    of that name forms a group. Groups are taken out and the rest is coloured anew. As soon as at most ``small`` edges are
+    left, one task finishes them by Tarjan's exact walk; the result is the same.
     """
-    spark = edges.sparkSession
+    if "kind" in edges.columns:
+        edges = edges.where(~is_symmetric(F.col("kind")))
     live = settle(edges.select("src", "dst").where("src <> dst").distinct())
+    return _strong(live, max_rounds, small, ("dst", "src"))
+
+
+def _trimmed(live: DataFrame, small: int) -> DataFrame:
+    """Edges among nodes with a way in and a way out; nodes without are groups of their own. Stops where few edges are left."""
+    count = live.count()
+    while count > small:
+        kept = settle(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        discard(live)
+        live, before = kept, count
+        if (count := live.count()) == before:
+            break
+    return live
+
+
+def _strong(live: DataFrame, max_rounds: int, small: int, ways: tuple[str, ...]) -> DataFrame:
+    """``live``: a settled table of distinct edges, which goes. ``ways``: the ends along which chains are still to be drawn together."""
+    spark = live.sparkSession
     kind = live.schema["src"].dataType.simpleString()
-    found = spark.createDataFrame([], f"component {kind}, node {kind}")
+    if ways and live.count() > small:
+        live = _trimmed(live, small)
+        if live.count() > small:
+            return _along_chains(live, max_rounds, small, ways)
+    found = settle(spark.createDataFrame([], f"component {kind}, node {kind}"))
     for _ in range(max_rounds):
+        live = _trimmed(live, small)
         if live.count() <= small:
             rest = live.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(lambda pdf: _tarjan(pdf), found.schema)
-            return found.union(rest)
-        # nodes without a way in or out are groups of their own
-        while True:
-            kept = settle(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-            same = kept.count() == live.count()
-            live = kept
-            if same:
-                break
-        if live.isEmpty():
-            return found
-        colour = live.select(F.col("src").alias("node")).union(live.select("dst")).distinct().withColumn("colour", F.col("node"))
-        colour = settle(colour)
+            out = settle(found.union(rest))
+            discard(found, live)
+            return out
+        colour = settle(live.select(F.col("src").alias("node")).union(live.select("dst")).distinct().withColumn("colour", F.col("node")))
         while True:
             sent = live.join(colour, live["src"] == colour["node"]).select(F.col("dst").alias("node"), "colour").union(colour.select("node", "colour"))
             nxt = settle(sent.groupBy("node").agg(F.min("colour").alias("colour")))
-            if nxt.join(colour, ["node", "colour"], "left_anti").isEmpty():
-                break
+            same = nxt.join(colour, ["node", "colour"], "left_anti").isEmpty()
+            discard(colour)
             colour = nxt
+            if same:
+                break
         inside = live.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("c")), ["dst", "c"]).select("src", "dst", "c")
         inside = settle(inside)
         group = settle(colour.where("node = colour").select("node", "colour"))
         front = group
         while True:
             back = inside.join(front.select(F.col("node").alias("dst"), F.col("colour").alias("c")), ["dst", "c"]).select(F.col("src").alias("node"), F.col("c").alias("colour")).distinct()
-            front = settle(back.join(group, ["node", "colour"], "left_anti"))
-            if front.isEmpty():
+            more = settle(back.join(group, ["node", "colour"], "left_anti"))
+            if more.isEmpty():
+                discard(more)
                 break
-            group = settle(group.union(front))
+            both = settle(group.union(more))
+            discard(group, front)
+            group, front = both, more
         large = group.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1")
-        found = settle(found.union(group.join(large, "colour").select(F.col("colour").alias("component"), "node")))
-        live = settle(live.join(group.select(F.col("node").alias("src")), "src", "left_anti").join(group.select(F.col("node").alias("dst")), "dst", "left_anti"))
+        known = settle(found.union(group.join(large, "colour").select(F.col("colour").alias("component"), "node")))
+        rest = settle(live.join(group.select(F.col("node").alias("src")), "src", "left_anti").join(group.select(F.col("node").alias("dst")), "dst", "left_anti"))
+        discard(found, live, colour, inside, group, front)
+        found, live = known, rest
     raise RuntimeError("strong components did not settle")
 
 
+def _along_chains(live: DataFrame, max_rounds: int, small: int, ways: tuple[str, ...]) -> DataFrame:
+    """Strong components by way of the graph in which each node with one way on (towards the end ``ways[0]``) gives way to the end of its chain.
+
+    Chains that never end run into a cycle of such nodes, which is a component: after as many steps as there are nodes, all are
+    on it. A node of a chain that ends belongs to its end's component if that component has an edge into the chain at or before
+    the node. Jumps double in length each round; marks travel along the same jumps.
+    """
+    ahead, behind = ways[0], "src" if ways[0] == "dst" else "dst"
+    once = live.groupBy(F.col(behind).alias("node")).agg(F.count("*").alias("n"), F.first(ahead).alias("jump")).where("n = 1")
+    jumps = [settle(once.select("node", "jump", F.least("node", "jump").alias("low")))]
+    if not (count := jumps[0].count()):
+        discard(*jumps)
+        return _strong(live, max_rounds, small, ways[1:])
+    reach = 1
+    while True:
+        now = jumps[-1]
+        far = now.select(F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("low").alias("lower"))
+        met = now.join(far, "jump", "left")
+        if reach >= count or met.where("next is not null").isEmpty():
+            break
+        jumps.append(settle(met.select("node", F.coalesce("next", "jump").alias("jump"), F.least("low", "lower").alias("low"))))
+        reach *= 2
+    now, chained = jumps[-1], jumps[0].select("node")
+    # those whose jump is still a node of a chain
+    endless = settle(now.join(chained.select(F.col("node").alias("jump")), "jump", "left_semi"))
+    on = endless.select(F.col("jump").alias("node")).distinct()
+    cycles = settle(endless.join(on, "node", "left_semi").select(F.col("low").alias("component"), "node"))
+    ends = settle(now.join(endless.select("node"), "node", "left_anti").select("node", F.col("jump").alias("end")))
+    outer = live.join(chained.select(F.col("node").alias(behind)), behind, "left_anti").join(endless.select(F.col("node").alias(ahead)), ahead, "left_anti")
+    outer = settle(outer.join(ends.withColumnRenamed("node", ahead), ahead, "left").select(behind, ahead, "end"))
+    drawn = settle(outer.select(F.col(behind), F.coalesce("end", ahead).alias(ahead)).where(f"{behind} <> {ahead}").distinct().select("src", "dst"))
+    inner = _strong(drawn, max_rounds, small, ways[1:])
+    home = inner.select("node", F.col("component").alias("home"))
+    entered = outer.where("end is not null").join(home.withColumnsRenamed({"node": behind, "home": "from"}), behind, "left").join(home.withColumnsRenamed({"node": "end", "home": "to"}), "end", "left")
+    marked = settle(entered.where(F.coalesce("from", behind) == F.coalesce("to", "end")).select(F.col(ahead).alias("node")).distinct())
+    for jump in jumps:
+        if marked.isEmpty():
+            break
+        more = settle(marked.union(marked.join(jump, "node").select(F.col("jump").alias("node")).join(ends.select("node"), "node", "left_semi")).distinct())
+        discard(marked)
+        marked = more
+    joined = marked.join(ends, "node").join(home.withColumnRenamed("node", "end"), "end", "left").select(F.coalesce("home", "end").alias("home"), "node", "end")
+    every = inner.select(F.col("component").alias("home"), "node").union(joined.select("home", "node")).union(joined.where("home = end").select("home", "end")).distinct()
+    names = every.groupBy("home").agg(F.min("node").alias("component"))
+    out = settle(cycles.union(every.join(names, "home").select("component", "node")))
+    discard(live, *jumps, endless, cycles, ends, outer, inner, marked)
+    return out
+
+
 def peeled(both: DataFrame, max_rounds: int = 200) -> DataFrame:
     """``(node, layer)``: in each layer the nodes whose degree among those left is at most twice the mean.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import paths as P
 from . import enumerate as E
-from .settle import settle
+from .settle import discard, settle
 
 
 def policy_by_kind(kind: Column) -> Column:
@@ -83,8 +83,11 @@ def fixedpoint(step: Callable[[DataFrame], DataFrame], start: DataFrame, max_rou
         if hooks is not None:
             hooks.after(tried, new)
         if new.isEmpty():
+            discard(new)
             return known, rounds
         rounds += 1
         if rounds >= max_rounds:
             raise RuntimeError(f"no fixed point after {max_rounds} rounds")
-        known = settle(known.union(new))
+        both = settle(known.union(new))
+        discard(known, new)
+        known = both
