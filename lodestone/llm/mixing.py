@@ -56,7 +56,8 @@ def place(documents: DataFrame, carry: list[str], text_col: str = "text", **opti
     document, the words taken in each, and where in training (0 to 1). A null source is a source of
     its own, the last; a null text has no words. A document without words gets one copy of 0 words,
     which costs nothing. Repeated rows count as documents of their own. Input columns that are not in
-    ``carry`` are not read; a new column takes the place of a carried one of its name. An empty table gives no rows. Texts are read once: what is needed of them is
+    ``carry`` are not read; a new column takes the place of a carried one of its name. An empty table gives no rows. Texts of any
+    length are counted whole; rows of one id stand by size and text. Texts are read once: what is needed of them is
     written as a narrow table. Options are those of ``_placed``.
     """
     names = ["size", "source_size", "target", "copies"]
@@ -65,7 +66,10 @@ def place(documents: DataFrame, carry: list[str], text_col: str = "text", **opti
 
 
 def _placed(documents: DataFrame, carry: list[str], weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = 3.0, slopes: tuple[float, ...] = SLOPES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", narrow: bool = False) -> DataFrame:
-    """``_d`` (the carried columns), ``_size, _source_size, _target, _copies``; inner names don't clash with carried ones."""
+    """``_d`` (the carried columns), ``_size, _source_size, _target, _copies``; inner names don't clash with carried ones.
+
+    Rows of one id stand by their size, then by a hash of their text, so that only equal ones may swap places.
+    """
     rows = documents.count()
     buckets = max(1, math.ceil(math.sqrt(rows)))
     hashed = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
@@ -74,6 +78,7 @@ def _placed(documents: DataFrame, carry: list[str], weights: tuple[float, ...] =
         word_count(text_or_empty(text_col)).alias("_size"),
         F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string"))).alias("skey"),
         hashed.alias("_h"),
+        F.xxhash64(text_or_empty(text_col)).alias("_x"),
     )
     # bucket numbers rise with the hash: the leading 32 bits, scaled
     base = base.withColumn("_b", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(1 << 32)))
@@ -85,7 +90,7 @@ def _placed(documents: DataFrame, carry: list[str], weights: tuple[float, ...] =
     goal = sources.join(source_targets(sources, weights, cap), "skey").withColumnsRenamed({"source_size": "_source_size", "target": "_target", "rank": "_rank"})
     along = Window.partitionBy("skey").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.withColumn("_s", F.coalesce(F.sum("_n").over(along), F.lit(0))).drop("_n").join(goal, "skey")
-    inside = Window.partitionBy("skey", "_b").orderBy("_h", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("skey", "_b").orderBy("_h", "_size", "_x").rowsBetween(Window.unboundedPreceding, -1)
     placed = base.withColumn("_i", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(starts, ["skey", "_b"])
     aim, slope = F.round("_target").cast("long"), F.element_at(F.array(*[F.lit(float(a)) for a in slopes]), (F.pmod(F.col("_rank") - 1, F.lit(len(slopes))) + 1).cast("int"))
 
