@@ -133,3 +133,25 @@ def provider_text(body: Column) -> Column:
 def status_line(name: Column, summary: Column, failed: Column, width: int) -> Column:
     """One line about an agent's step, cut to a width, with a mark for a failure."""
     return F.concat(F.when(failed, F.lit("✗ ")).otherwise(F.lit("")), name, F.when(summary == "", F.lit("")).otherwise(F.concat(F.lit(" "), clip(summary, width))))
+
+
+def prompt_head(prompt: Column, boundary: str) -> Column:
+    """What precedes the boundary and stays the same between calls; empty without one."""
+    at = F.instr(prompt, F.lit(boundary))
+    return F.when(at > 0, F.substring(prompt, F.lit(1), at - 1)).otherwise("")
+
+
+def prompt_tail(prompt: Column, boundary: str) -> Column:
+    """What follows the boundary; everything without one."""
+    at = F.instr(prompt, F.lit(boundary))
+    return F.when(at > 0, F.substring(prompt, at + len(boundary), F.length(prompt))).otherwise(prompt)
+
+
+def prompt_block_count(prompt: Column, boundary: str) -> Column:
+    """Blocks that a request is sent in: an empty head makes none."""
+    return F.when(prompt_head(prompt, boundary) != "", 2).otherwise(1)
+
+
+def template_digest(*named: tuple[Column, Column]) -> Column:
+    """Digest of templates, given as names and bodies in order."""
+    return F.sha2(F.concat(*[F.concat(name, F.lit("\0"), body) for name, body in named]), 256)

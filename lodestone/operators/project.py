@@ -129,6 +129,20 @@ def stable_timestamp(prior: DataFrame | None, fresh: DataFrame, prior_time: str
     return prior_time if prior is not None and prior_time and digest(prior) == digest(fresh) else now
 
 
+def stable_timestamps(prior: DataFrame, fresh: DataFrame, by: str, prior_time: str, now: str) -> DataFrame:
+    """``(by, stamp)``: the prior time for each group of rows, by one column, that is the same in both tables."""
+
+    def sums(df: DataFrame) -> DataFrame:
+        one = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
+        parts = [F.conv(F.substring(one, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)") for k in range(4)]
+        rows = df.select(by, *[p.alias(f"p{k}") for k, p in enumerate(parts)])
+        return rows.groupBy(by).agg(F.struct(F.count("*").alias("n"), *[F.sum(f"p{k}").alias(f"p{k}") for k in range(4)]).alias("d"))
+
+    a, b = sums(prior).select(F.col(by).alias("_a"), F.col("d").alias("da")), sums(fresh).select(F.col(by).alias("_b"), F.col("d").alias("db"))
+    both = a.join(b, F.col("_a").eqNullSafe(F.col("_b")), "full_outer")
+    return both.select(F.coalesce("_a", "_b").alias(by), F.when(F.col("da").eqNullSafe(F.col("db")), prior_time).otherwise(now).alias("stamp"))
+
+
 def summary_line(s: Column | str = "s") -> Column:
     """One line about a run from a struct of counters."""
     c = lambda k: F.col(f"{s}.{k}").cast("string")

@@ -143,7 +143,10 @@ def prompt_breakdown(spark: SparkSession, sf: str) -> DataFrame:
     return C.breakdown(_requests(spark, sf)[0])
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT conv_id, turn, CAST(octet_length(encode(coalesce(text, ''))) // 4 AS BIGINT) AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
+f AS (SELECT conv_id, turn, cost, rn, cost <= 500 AS accepted, CASE WHEN cost <= 500 THEN cost ELSE 0 END AS used FROM r WHERE rn = 1
+  UNION ALL SELECT r.conv_id, r.turn, r.cost, r.rn, f.used + r.cost <= 500, CASE WHEN f.used + r.cost <= 500 THEN f.used + r.cost ELSE f.used END FROM f JOIN r ON r.conv_id = f.conv_id AND r.rn = f.rn + 1)
+SELECT conv_id AS session, turn AS seq, cost, accepted, CAST(used AS BIGINT) AS used FROM f""")
 def token_budget(spark: SparkSession, sf: str) -> DataFrame:
     """Greedy charges of each conversation's turns against 500 tokens."""
     r = B.table(spark, sf, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), X.token_estimate(F.col("text")).alias("cost"))

@@ -18,7 +18,7 @@ from ..operators import project as J
 from ..operators import tree as T
 from ..respond import cache as C
 from ..respond import templates as R
-from ..respond.core import PROMPTS, Canned, Fingerprint, Router, template_sha
+from ..respond.core import PROMPTS, Canned, Fingerprint, Router
 from . import bindings as B
 from .registry import query
 
@@ -105,16 +105,15 @@ def edges_valid(spark: SparkSession, sf: str) -> DataFrame:
     return D.valid(e, need_evidence=True).select("l_orderkey", "l_linenumber")
 
 
-@query(f"""WITH {B.VERSIONS}, l AS (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL ORDER BY source LIMIT 3),
+@query(f"""WITH {B.VERSIONS}, l AS (SELECT DISTINCT source FROM documents),
 changed AS (SELECT DISTINCT b.language FROM base b JOIN fresh f ON f.ord = b.ord WHERE b.id <> f.id OR b.kind <> f.kind)
-SELECT source, CASE WHEN source IN (SELECT language FROM changed) THEN 'now' ELSE 'then' END AS stamp FROM l UNION ALL SELECT 'every', CASE WHEN EXISTS (SELECT 1 FROM changed) THEN 'now' ELSE 'then' END UNION ALL SELECT 'same', 'then'""")
+SELECT source, CASE WHEN EXISTS (SELECT 1 FROM changed WHERE language IS NOT DISTINCT FROM source) THEN 'now' ELSE 'then' END AS stamp FROM l UNION ALL SELECT 'every', CASE WHEN EXISTS (SELECT 1 FROM changed) THEN 'now' ELSE 'then' END UNION ALL SELECT 'same', 'then'""")
 def stable_timestamps(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether the first three sources' components, and all of them, keep their time."""
+    """Whether each source's components, and all of them, keep their time."""
     base, fresh = B.versions(spark, sf)
-    names = [r["source"] for r in B.table(spark, sf, "documents").select("source").where("source is not null").distinct().orderBy("source").limit(3).collect()]
-    rows = [(n, J.stable_timestamp(base.where(F.col("language") == n), fresh.where(F.col("language") == n), "then", "now")) for n in names]
-    rows += [("every", J.stable_timestamp(base, fresh, "then", "now")), ("same", J.stable_timestamp(base, base, "then", "now"))]
-    return spark.createDataFrame(rows, "source string, stamp string")
+    each = J.stable_timestamps(base, fresh, "language", "then", "now").withColumnRenamed("language", "source")
+    rows = [("every", J.stable_timestamp(base, fresh, "then", "now")), ("same", J.stable_timestamp(base, base, "then", "now"))]
+    return each.union(spark.createDataFrame(rows, "source string, stamp string"))
 
 
 @query(f"WITH {B.TREE} SELECT parent, id FROM tree WHERE parent IN ('r0', 'n3', 'n7')")
@@ -203,15 +202,9 @@ def tool_summaries(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT n_nationkey AS id, CASE WHEN n_regionkey % 2 = 0 THEN n_name || ' ' ELSE '' END AS head, CASE WHEN n_regionkey % 2 = 0 THEN ' rest' ELSE n_name || ' rest' END AS tail, CASE WHEN n_regionkey % 2 = 0 THEN 2 ELSE 1 END AS blocks FROM nation""")
 def prompt_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Prompts split at their boundary, and the blocks that are sent; every other region's have no boundary."""
-
-    def run(batches) -> Iterator:
-        for pdf in batches:
-            texts = [f"{n} {R.BOUNDARY} rest" if k % 2 == 0 else f"{n} rest" for n, k in zip(pdf["n_name"], pdf["n_regionkey"], strict=True)]
-            parts = [R.split_at_boundary(t) for t in texts]
-            yield pdf[["id"]].assign(head=[h for h, _ in parts], tail=[t for _, t in parts], blocks=[len(R.request_body(t)) for t in texts])
-
-    n = B.table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), "n_name", "n_regionkey")
-    return n.mapInPandas(run, "id int, head string, tail string, blocks int")
+    text = F.concat("n_name", F.when(F.col("n_regionkey") % 2 == 0, F.lit(f" {R.BOUNDARY} rest")).otherwise(F.lit(" rest")))
+    n = B.table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), text.alias("prompt"))
+    return n.select("id", X.prompt_head(F.col("prompt"), R.BOUNDARY).alias("head"), X.prompt_tail(F.col("prompt"), R.BOUNDARY).alias("tail"), X.prompt_block_count(F.col("prompt"), R.BOUNDARY).alias("blocks"))
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'missing role' WHEN 2 THEN 'expected object' ELSE 'missing kind,missing role' END AS problems FROM part""")
@@ -230,20 +223,16 @@ def response_problems(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT n_nationkey AS id, sha256(CAST(n_name AS BLOB) || '\\x00'::BLOB || CAST(CAST(n_regionkey AS VARCHAR) AS BLOB)) AS sha FROM nation")
 def template_shas(spark: SparkSession, sf: str) -> DataFrame:
     """Digest of a template's name and body, for each nation's name and region."""
-
-    def run(batches) -> Iterator:
-        for pdf in batches:
-            yield pdf[["id"]].assign(sha=[template_sha([(n, str(k))]) for n, k in zip(pdf["n_name"], pdf["n_regionkey"], strict=True)])
-
-    return B.table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), "n_name", "n_regionkey").mapInPandas(run, "id int, sha string")
+    n = B.table(spark, sf, "nation")
+    return n.select(F.col("n_nationkey").alias("id"), X.template_digest((F.col("n_name"), F.col("n_regionkey").cast("string"))).alias("sha"))
 
 
-@query("WITH req AS (SELECT DISTINCT lang AS prompt, coalesce(source, '') AS a FROM documents) SELECT prompt, '{\"a\":\"' || a || '\"}' AS inputs FROM req ORDER BY prompt, inputs LIMIT 10")
+@query("WITH req AS (SELECT DISTINCT lang AS prompt, '{\"a\":\"' || coalesce(source, '') || '\"}' AS inputs FROM documents) SELECT prompt, inputs, row_number() OVER (ORDER BY prompt, inputs) AS place FROM req")
 def cache_order(spark: SparkSession, sf: str) -> DataFrame:
-    """The first ten entries of a cache, in the order in which it is stored."""
+    """Every entry of a cache, with its place in the order in which it is stored."""
     d = B.table(spark, sf, "documents").select(F.col("lang").alias("prompt"), F.concat(F.lit('{"a":"'), F.coalesce("source", F.lit("")), F.lit('"}')).alias("inputs"))
     store = C.ResponseCache(C.keyed(d, _Picky()).withColumn("response", F.lit("{}")))
-    return store.snapshot().select("prompt", "inputs").limit(10)
+    return C.placed(store.snapshot()).select("prompt", "inputs", "place")
 
 
 @query("""SELECT event_id, CASE CAST(event_id % 4 AS INT) WHEN 0 THEN 'small' WHEN 2 THEN 'large' ELSE 'plain' END AS model FROM events""")

@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    from . import evaluation, more, structure, text  # noqa: F401  registers
+    from . import evaluation, more, rounds, structure, text  # noqa: F401  registers
 
     return dict(_queries)
 

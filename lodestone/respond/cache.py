@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,26 +99,44 @@ class ResponseCache:
         return self.entries.orderBy(*KEY)
 
 
+def placed(entries: DataFrame) -> DataFrame:
+    """Entries of one fingerprint with their ``place`` in the order of keys, from 1.
+
+    Prompts are few, so each prompt's entries are ranked by themselves and what stands before the prompt is added.
+    """
+    own = F.row_number().over(Window.partitionBy("prompt").orderBy("inputs"))
+    sizes = entries.groupBy("prompt").agg(F.count("*").alias("_n"))
+    first = sizes.select("prompt", (F.sum("_n").over(Window.orderBy("prompt").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).alias("_first"))
+    return entries.withColumn("_own", own).join(first, "prompt").withColumn("place", (F.col("_own") + F.col("_first")).cast("long")).drop("_own", "_first")
+
+
 def greedy_charges(requests: DataFrame, limit: int) -> DataFrame:
     """``(session, seq, cost, accepted, used)``: charges of each session in order; one that goes over is rejected and leaves the count.
 
-    A fold, not a running sum: a rejected charge doesn't count against later ones.
+    A fold, not a running sum: a rejected charge doesn't count against later ones. Rows come sorted to one task a session, which
+    carries nothing but the count from batch to batch, so a session may be of any length. A null cost is 0.
     """
+    rows = requests.select("session", "seq", F.coalesce(F.col("cost").cast("long"), F.lit(0)).alias("cost"))
+    kind = dict(rows.dtypes)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        b, ok, used = Budget(limit), [], []
-        for c in pdf["cost"]:
-            try:
-                b.charge(int(c))
-                ok.append(True)
-            except BudgetExceeded:
-                ok.append(False)
-            used.append(b.used)
-        return pdf.assign(accepted=ok, used=used)
-
-    kind = dict(requests.dtypes)
-    return requests.select("session", "seq", "cost").groupBy("session").applyInPandas(fold, f"session {kind['session']}, seq {kind['seq']}, cost long, accepted boolean, used long")
+    def run(batches):
+        here, budget = object(), Budget(limit)
+        for pdf in batches:
+            ok, used = [], []
+            for session, cost in zip(pdf["session"].tolist(), pdf["cost"].tolist(), strict=True):
+                session = None if session != session else session  # a null number
+                if session != here:
+                    here, budget = session, Budget(limit)
+                try:
+                    budget.charge(cost)
+                    ok.append(True)
+                except BudgetExceeded:
+                    ok.append(False)
+                used.append(budget.used)
+            yield pdf.assign(accepted=ok, used=used)
+
+    dealt = rows.repartition("session").sortWithinPartitions("session", "seq")
+    return dealt.mapInPandas(run, f"session {kind['session']}, seq {kind['seq']}, cost long, accepted boolean, used long")
 
 
 def running_cost(requests: DataFrame) -> DataFrame:
