@@ -7,10 +7,11 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import vocab
 from ..functions import paths as P
 from ..functions.manifests import cargo_dependencies, package_dependencies
 from ..functions.text import kind_suggestion
-from .. import vocab
+from .settle import settle
 
 
 def npm_externals(files: DataFrame) -> DataFrame:
@@ -34,40 +35,46 @@ def known_ids(components: DataFrame, externals: DataFrame) -> DataFrame:
     return components.where(~F.col("deleted")).select("id").union(externals.select("id")).distinct()
 
 
-def _matcher(regex: str):
-    return lambda p: p.rlike(regex)
+def compiled_globs(members: DataFrame) -> DataFrame:
+    """``(subsystem, ord, member, stem, regex)`` of the patterns among ``members``; ``regex`` is null where a pattern is invalid.
+
+    ``stem``: the directory, or the whole path, that a pattern names before its first wildcard; '' for the root.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            stems, regexes = [], []
+            for g in pdf["member"]:
+                at = min((k for k in (g.find(c) for c in "*?[{") if k >= 0), default=-1)
+                stems.append(g if at < 0 else g[:at].rpartition("/")[0])
+                try:
+                    regexes.append(P.glob_regex(g))
+                except ValueError:
+                    regexes.append(None)
+            yield pdf.assign(stem=stems, regex=regexes)
+
+    kept = members.where(P.is_glob(F.col("member"))).select("subsystem", F.col("ord").cast("int").alias("ord"), "member")
+    return kept.mapInPandas(run, "subsystem string, ord int, member string, stem string, regex string")
 
 
 def subsystem_evidence(members: DataFrame, components: DataFrame) -> DataFrame:
     """``(subsystem, ord, id, matched_via)`` of ``members(subsystem, ord, member)``, each component by the first member that names it.
 
-    Names are joined by equality. Patterns are few, authored by hand; they are compiled into one
-    expression each and tried on each path segment, ``*`` crossing slashes.
+    Names are joined by equality. A pattern meets only the path segments that lie at or below its stem, by equality
+    with their ancestors; ``*`` crosses slashes.
     """
     live = components.where(~F.col("deleted"))
     plain = members.where(~P.is_glob(F.col("member")))
     by_id = plain.join(live.select(F.col("id").alias("member")), "member", "left_semi").select("subsystem", "ord", F.col("member").alias("id"), F.lit("id").alias("matched_via"))
     lost = plain.join(live.select(F.col("id").alias("member")), "member", "left_anti").select("subsystem", "ord", F.col("member").alias("id"), F.lit("id (no such component)").alias("matched_via"), F.lit(False).alias("ok"))
-    globs = [(r["subsystem"], r["ord"], r["member"]) for r in members.where(P.is_glob(F.col("member"))).collect()]
-    hits, misses = [], []
-    for s, o, g in globs:
-        try:
-            hits.append((s, o, g, P.glob_regex(g)))
-        except ValueError:
-            misses.append((s, o, "", f"{g} (invalid glob)", False))
-    spark = members.sparkSession
-    out = by_id.withColumn("ok", F.lit(True))
-    if hits:
-        tests = F.array(*[F.when(F.exists("paths", _matcher(r)), F.struct(F.lit(s).alias("subsystem"), F.lit(o).cast("int").alias("ord"), F.lit(g).alias("matched_via"))) for s, o, g, r in hits])
-        found = live.select("id", F.explode(F.filter(tests, lambda t: t.isNotNull())).alias("t")).select("t.subsystem", "t.ord", "id", "t.matched_via")
-        out = out.union(found.withColumn("ok", F.lit(True)))
-        rows = spark.createDataFrame([(s, o, g) for s, o, g, _ in hits], "subsystem string, ord int, g string")
-        none = rows.join(found.select("subsystem", "ord").distinct(), ["subsystem", "ord"], "left_anti").select("subsystem", "ord", F.lit("").alias("id"), F.concat("g", F.lit(" (no matches)")).alias("matched_via"), F.lit(False).alias("ok"))
-        lost = lost.union(none)
-    if misses:
-        lost = lost.union(spark.createDataFrame(misses, "subsystem string, ord int, id string, matched_via string, ok boolean"))
+    globs = settle(compiled_globs(members))
+    under = live.select("id", F.explode("paths").alias("path")).select("id", "path", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), P.ancestors(F.col("path"), True)))).alias("stem"))
+    found = settle(under.join(globs.where("regex is not null"), "stem").where(F.rlike("path", F.col("regex"))).select("subsystem", "ord", "id", F.col("member").alias("matched_via")).distinct())
+    out = by_id.withColumn("ok", F.lit(True)).union(found.withColumn("ok", F.lit(True)))
+    none = globs.where("regex is not null").join(found.select("subsystem", "ord").distinct(), ["subsystem", "ord"], "left_anti").select("subsystem", "ord", F.lit("").alias("id"), F.concat("member", F.lit(" (no matches)")).alias("matched_via"), F.lit(False).alias("ok"))
+    wrong = globs.where("regex is null").select("subsystem", "ord", F.lit("").alias("id"), F.concat("member", F.lit(" (invalid glob)")).alias("matched_via"), F.lit(False).alias("ok"))
     w = Window.partitionBy("subsystem", "id").orderBy("ord")
-    return out.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn").union(lost)
+    return out.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn").union(lost).union(none).union(wrong)
 
 
 def subsystems(evidence: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -60,7 +60,7 @@ def allocate_ids(nodes: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """``(dir, id, parent_id)`` for ``nodes(dir, parent_dir, depth, slug)``, at any depth.
 
     Ids of different parents can't clash, so the groups, each one directory's direct components, are
-    independent: a group fixes the last segments of its ids, and these are joined along the parents. Ids in
+    independent: a group fixes the last segments of its ids, family by family of slugs, and these are joined along the parents. Ids in
     ``taken`` bar segments below the parent they name; as long as that changes the ids of parents, the
     groups are tried again. The top settles first, so the rounds are at most the levels at which a taken id lies, and one.
     """
@@ -70,26 +70,56 @@ def allocate_ids(nodes: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     own = base.select(group.alias("grp"), "dir", "slug")
     bars = taken.select(P.parent(F.col("id")).alias("parent_id"), P.basename(F.col("id")).alias("dir")) if taken is not None else None
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        mine = pdf[pdf["slug"].notna()].sort_values("dir")
-        barred = set(pdf.loc[pdf["slug"].isna(), "dir"])
-        return pd.DataFrame({"dir": mine["dir"].tolist(), "segment": allocate_in_group(None, mine["dir"].tolist(), mine["slug"].tolist(), barred)})
-
     ids = None
     while True:
-        rows = own
+        at = None
         if bars is not None:
             at = bars.where("parent_id = ''").select(F.lit("top").alias("grp"), "dir")
             if ids is not None:
                 at = at.union(bars.join(ids.select(F.col("id").alias("parent_id"), F.concat(F.lit("in "), "dir").alias("grp")), "parent_id").select("grp", "dir"))
-            rows = own.union(at.join(own.select("grp").distinct(), "grp", "left_semi").select("grp", "dir", F.lit(None).cast("string").alias("slug")))
-        segments = rows.groupBy("grp").applyInPandas(assign, "dir string, segment string")
-        new = settle(_full_paths(settle(base.join(segments, "dir").select("dir", "above", "segment"))))
+        new = settle(_full_paths(settle(base.join(_segments(own, at), "dir").select("dir", "above", "segment"))))
         if bars is None or (ids is not None and new.join(ids, ["dir", "id"], "left_anti").isEmpty()):
             return new
         ids = new
 
 
+def _family(segment: Column) -> Column:
+    """What is left of a segment without the numbers and digests at its end: only segments of one family can clash."""
+    return F.regexp_replace(segment, r"(-([0-9]{1,4}|[0-9a-f]{8}))+$", "")
+
+
+def _segments(own: DataFrame, bars: DataFrame | None) -> DataFrame:
+    """``(dir, segment)``: the last segments of ids, as ``allocate_in_group`` gives them, for ``own(grp, dir, slug)``.
+
+    Where all of a family have one slug and none is barred, a directory's rank among them tells its segment. The others, whose
+    slugs end in numbers that another's may take, or with barred segments (``bars(grp, dir)``), are settled one after another,
+    a family at a time.
+    """
+    rows = own.withColumn("fam", _family(F.col("slug")))
+    whole = Window.partitionBy("grp", "fam")
+    marked = rows.withColumn("plain", F.min("slug").over(whole) == F.max("slug").over(whole))
+    if bars is not None:
+        at = bars.select("grp", F.col("dir").alias("bar"), _family(F.col("dir")).alias("fam"))
+        marked = marked.join(at.select("grp", "fam").distinct().withColumn("barred", F.lit(True)), ["grp", "fam"], "left").withColumn("plain", F.col("plain") & F.col("barred").isNull()).drop("barred")
+    marked = settle(marked)
+    many = F.lit(1000)
+    hashed = F.concat("slug", F.lit("-"), F.substring(F.sha2("dir", 256), 1, 8))
+    ranked = marked.where("plain").withColumn("r", F.row_number().over(whole.orderBy("dir"))).withColumn("h", F.when(F.col("r") > many, hashed))
+    ranked = ranked.withColumn("j", F.row_number().over(Window.partitionBy("grp", "fam", "h").orderBy("dir")))
+    numbered = lambda stem, k: F.when(k == 1, stem).otherwise(F.concat(stem, F.lit("-"), k.cast("string")))
+    easy = ranked.select("dir", F.when(F.col("h").isNull(), numbered(F.col("slug"), F.col("r"))).when(F.col("j") <= many, numbered(F.col("h"), F.col("j"))).alias("segment"))
+    hard = marked.where("not plain").select("grp", "fam", "dir", "slug")
+    if bars is not None:
+        hard = hard.union(at.join(hard.select("grp", "fam").distinct(), ["grp", "fam"], "left_semi").select("grp", "fam", F.col("bar").alias("dir"), F.lit(None).cast("string").alias("slug")))
+
+    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+        mine = pdf[pdf["slug"].notna()].sort_values("dir")
+        barred = set(pdf.loc[pdf["slug"].isna(), "dir"])
+        return pd.DataFrame({"dir": mine["dir"].tolist(), "segment": allocate_in_group(None, mine["dir"].tolist(), mine["slug"].tolist(), barred)})
+
+    return easy.union(hard.groupBy("grp", "fam").applyInPandas(assign, "dir string, segment string"))
+
+
 def match_renames(prior: DataFrame, live: DataFrame) -> DataFrame:
     """``(content_sha, live_key, prior_id, state)``: equal digests pair up one to one in key order.
 

@@ -1,4 +1,4 @@
-"""File trees as ``files(path, content, elided)``: walk on the driver, read on the executors.
+"""File trees as ``files(path, content, elided)``, listed and read on the executors.
 
 Paths are relative to the root. The root must be readable by the executors. ``binary_files`` reads through Spark instead, for trees
 in any store, without ignore rules.
@@ -8,12 +8,16 @@ from __future__ import annotations
 
 import os
 import re
+from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import glob_regex
+from ..operators.settle import settle
 
 LIMIT, SNIFF = 1 << 20, 8192
 SCHEMA = "path string, content binary, size long, elided boolean"
@@ -47,6 +51,48 @@ class IgnoreRules:
         return out
 
 
+def _skipped(root: str, excluded: str | None) -> str | None:
+    skip = os.path.relpath(os.path.realpath(excluded), os.path.realpath(root)) if excluded else None
+    return None if skip in (None, ".") or skip.startswith("..") else skip.replace(os.sep, "/")
+
+
+@lru_cache(maxsize=1024)
+def _rules_of(folder: str) -> tuple[IgnoreRules, ...]:
+    """The rules that stand in a directory: the repository's own exclude file, then the ignore file."""
+    out = []
+    for name in (".git/info/exclude", ".gitignore"):
+        f = os.path.join(folder, name)
+        if os.path.isfile(f):
+            with open(f, encoding="utf-8", errors="replace") as h:
+                out.append(IgnoreRules(h.read()))
+    return tuple(out)
+
+
+def _entries(root: str, rel: str, bases: tuple[str, ...], respect: bool, skip: str | None) -> tuple[tuple[str, ...], list[tuple[str, bool]]]:
+    """One directory: the directories whose rules hold below it, and its entries ``(path, is a directory to enter)`` in order."""
+    here = os.path.join(root, rel) if rel else root
+    if respect and _rules_of(here):
+        bases = (*bases, rel)
+    out = []
+    for name in sorted(os.listdir(here)):
+        p = f"{rel}/{name}" if rel else name
+        full = os.path.join(here, name)
+        is_dir = os.path.isdir(full) and not os.path.islink(full)
+        if p == skip:
+            continue
+        if name == ".git":
+            out.append((p + "/" if is_dir else p, False))
+            continue
+        said = None
+        for base in bases:
+            for r in _rules_of(os.path.join(root, base) if base else root):
+                v = r.verdict(p[len(base) + 1 :] if base else p, is_dir)
+                said = v if v is not None else said
+        if not said and (is_dir or os.path.isfile(full)):
+            out.append((p, is_dir))
+    return bases, out
+
+
 def walk(root: str, respect_gitignore: bool = True, excluded: str | None = None) -> Iterator[str]:
     """Relative paths of files in order; ``.git`` itself is listed (with a slash if it is a directory) but not entered.
 
@@ -54,46 +100,63 @@ def walk(root: str, respect_gitignore: bool = True, excluded: str | None = None)
     Hidden files are listed. ``excluded`` below the root is left out; elsewhere it is ignored.
     """
     root = os.path.abspath(root)
-    skip = os.path.relpath(os.path.realpath(excluded), os.path.realpath(root)) if excluded else None
-    skip = None if skip in (None, ".") or skip.startswith("..") else skip.replace(os.sep, "/")
-
-    def go(rel: str, rules: list[tuple[str, IgnoreRules]]) -> Iterator[str]:
-        here = os.path.join(root, rel) if rel else root
-        if respect_gitignore:
-            for name in (".git/info/exclude", ".gitignore"):
-                f = os.path.join(here, name)
-                if os.path.isfile(f):
-                    with open(f, encoding="utf-8", errors="replace") as h:
-                        rules = [*rules, (rel, IgnoreRules(h.read()))]
-        for name in sorted(os.listdir(here)):
-            p = f"{rel}/{name}" if rel else name
-            full = os.path.join(here, name)
-            is_dir = os.path.isdir(full) and not os.path.islink(full)
-            if p == skip:
-                continue
-            if name == ".git":
-                yield p + "/" if is_dir else p
-                continue
-            said = None
-            for base, r in rules:
-                v = r.verdict(p[len(base) + 1 :] if base else p, is_dir)
-                said = v if v is not None else said
-            if said:
-                continue
-            if is_dir:
-                yield from go(p, rules)
-            elif os.path.isfile(full):
+    skip = _skipped(root, excluded)
+    _rules_of.cache_clear()
+
+    def go(rel: str, bases: tuple[str, ...]) -> Iterator[str]:
+        bases, found = _entries(root, rel, bases, respect_gitignore, skip)
+        for p, enter in found:
+            if enter:
+                yield from go(p, bases)
+            else:
                 yield p
 
-    yield from go("", [])
+    yield from go("", ())
+
+
+def listing(spark: SparkSession, root: str, respect_gitignore: bool = True, excluded: str | None = None, share: int = 4096) -> DataFrame:
+    """``path`` of the files that ``walk`` gives, listed by executors.
+
+    A row of the frontier is a directory to enter, with the names of those above it whose ignore rules hold. A task goes
+    down from its directory until it has seen about ``share`` entries and hands the directories it didn't enter to the next round.
+    """
+    root = os.path.abspath(root)
+    skip = _skipped(root, excluded)
+
+    def run(batches):
+        _rules_of.cache_clear()
+        for pdf in batches:
+            rows: list[tuple[str, bool, list[str]]] = []
+            for rel, bases in zip(pdf["path"], pdf["bases"], strict=True):
+                todo, seen = deque([(rel, tuple(bases))]), 0
+                while todo and seen < share:
+                    here, above = todo.popleft()
+                    held, found = _entries(root, here, above, respect_gitignore, skip)
+                    seen += len(found) + 1
+                    rows += [(p, False, []) for p, enter in found if not enter]
+                    todo.extend((p, held) for p, enter in found if enter)
+                rows += [(p, True, list(b)) for p, b in todo]
+            yield pd.DataFrame(rows, columns=["path", "enter", "bases"])
+
+    schema = "path string, enter boolean, bases array<string>"
+    frontier, parts = spark.createDataFrame([("", True, [])], schema), []
+    most, n = 4 * spark.sparkContext.defaultParallelism, 1
+    while n:
+        got = settle(frontier.select("path", "bases").repartition(min(n, most)).mapInPandas(run, schema))
+        parts.append(got.where("not enter").select("path"))
+        frontier = got.where("enter")
+        n = frontier.count()
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
 
 
 def read_tree(spark: SparkSession, root: str, respect_gitignore: bool = True, excluded: str | None = None, limit: int = LIMIT, partitions: int | None = None) -> DataFrame:
     """The tree's files; contents over ``limit`` bytes, or with a zero byte near their beginning, are empty and marked."""
     root = os.path.abspath(root)
-    rows = [(p,) for p in walk(root, respect_gitignore, excluded)]
-    paths = spark.createDataFrame(rows, "path string")
-    paths = paths.repartition(partitions or max(1, min(200, len(rows) // 500 + 1)))
+    paths = listing(spark, root, respect_gitignore, excluded)
+    paths = paths.repartition(partitions or max(1, paths.count() // 500 + 1))
 
     def read(batches):
         for pdf in batches:
