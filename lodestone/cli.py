@@ -74,8 +74,9 @@ def validate(spark, folder: str) -> int:
     issues = J.validate_pins(S.pins_table(spark, over)).union(J.validate_additions(S.table(spark, over.get("additions", []), S.COMPONENT))).union(J.validate_subsystems(listed)).cache()
     for r in J.report_lines(issues).collect():
         print(r["line"])
-    errors, warnings = issues.where("severity = 'error'").count(), issues.where("severity = 'warning'").count()
-    print(f"  ({errors} error(s), {warnings} warning(s))" if errors + warnings else "ok")
+    last = J.tally(issues).first()
+    print(last["line"] if last else "ok")
+    errors = issues.where("severity = 'error'").count()
     return 1 if errors else 0
 
 

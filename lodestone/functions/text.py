@@ -118,11 +118,15 @@ def tool_summary(tool: Column, input_json: Column) -> Column:
     return out
 
 
+# Fixed value: the wrapper of a login shell.
+SHELL = "/bin/zsh -lc "
+
+
 def shell_summary(command: Column) -> Column:
     """The command inside a login shell's wrapper, without its quotes."""
-    inner = F.trim(F.regexp_extract(F.trim(command), r"(?s)^/bin/zsh -lc (.*)$", 1))
+    inner = F.trim(F.regexp_extract(F.trim(command), f"(?s)^{SHELL}(.*)$", 1))
     bare = F.when(inner.rlike("""(?s)^".*"$|^'.*'$""") & (F.length(inner) > 1), F.regexp_replace(inner, """(?s)^["'](.*)["']$""", "$1")).otherwise(inner)
-    return F.when(F.startswith(F.trim(command), F.lit("/bin/zsh -lc ")), bare).otherwise(F.trim(command))
+    return F.when(F.startswith(F.trim(command), F.lit(SHELL)), bare).otherwise(F.trim(command))
 
 
 def provider_text(body: Column) -> Column:

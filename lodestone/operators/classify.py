@@ -21,6 +21,7 @@ def answer(kind: str | Column, language: str | None, build: str | None, roles: l
 
 def rules(cargo: Column, package: Column, pyproject: Column, git_root: Column, has_manifest: Column, near_readme: Column) -> list[tuple[str, Column, Column]]:
     """``(name, condition, answer)`` in order; the first that holds decides."""
+    # The evidence that each rule names.
     run = ["build", "runtime"]
     no = lambda c: ~F.coalesce(c, F.lit(False))
     return [

@@ -122,6 +122,12 @@ def report_lines(issues: DataFrame) -> DataFrame:
     return issues.select(F.concat(F.lit("  "), "severity", F.coalesce(where, F.lit("")), F.lit(": "), "message", hint).alias("line"))
 
 
+def tally(issues: DataFrame) -> DataFrame:
+    """The report's last line, how many errors and warnings there are; no row without any."""
+    n = issues.agg(F.count_if(F.col("severity") == "error").alias("e"), F.count_if(F.col("severity") == "warning").alias("w")).where("e + w > 0")
+    return n.select(F.concat(F.lit("  ("), F.col("e").cast("string"), F.lit(" error(s), "), F.col("w").cast("string"), F.lit(" warning(s))")).alias("line"))
+
+
 def digest(df: DataFrame, without: tuple[str, ...] = ("generated_at",)) -> str:
     """Order-free digest of a table's rows, for telling whether anything changed."""
     rows = df.drop(*without)

@@ -161,12 +161,8 @@ def token_running_total(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT n_nationkey AS id, 'Nation ' || n_name || ' {{kept}} ' || CAST(n_regionkey AS VARCHAR) AS prompt FROM nation")
 def prompt_render(spark: SparkSession, sf: str) -> DataFrame:
-    def run(batches):
-        for pdf in batches:
-            yield pdf.assign(prompt=[R.render("Nation {{NAME}} {{{{kept}}}} {{KEY}}", {"NAME": n, "KEY": int(k)}) for n, k in zip(pdf["n_name"], pdf["n_regionkey"], strict=True)])[["id", "prompt"]]
-
-    n = B.table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), "n_name", "n_regionkey")
-    return n.mapInPandas(run, "id int, prompt string")
+    n = B.table(spark, sf, "nation")
+    return n.select(F.col("n_nationkey").alias("id"), R.filled("Nation {{NAME}} {{{{kept}}}} {{KEY}}", {"NAME": F.col("n_name"), "KEY": F.col("n_regionkey")}).alias("prompt"))
 
 
 _LINE = """CASE role WHEN 'assistant' THEN '{"type":"result","is_error":' || CASE WHEN turn % 2 = 0 THEN 'true' ELSE 'false' END || ',"result":"t' || CAST(turn AS VARCHAR(20)) || '"}' WHEN 'user' THEN '{"type":"user","result":"no"}' ELSE 'not json' END"""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -165,17 +164,11 @@ def cache_counters(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT n_nationkey AS id, CASE WHEN n_regionkey % 2 = 0 THEN '' ELSE n_name END AS missing, CASE WHEN n_regionkey % 3 = 0 THEN 'EXTRA' ELSE '' END AS unused FROM nation""")
 def template_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """A template for each nation against its inputs: names that nothing fills, and inputs without a use."""
-
-    def run(batches) -> Iterator:
-        for pdf in batches:
-            got = []
-            for n, k in zip(pdf["n_name"], pdf["n_regionkey"], strict=True):
-                keys = {"KEY", "SHA"} | ({n} if k % 2 == 0 else set()) | ({"EXTRA"} if k % 3 == 0 else set())
-                got.append(R.coverage("A {{" + n + "}} of {{KEY}}", keys, {"SHA"}))
-            yield pdf[["id"]].assign(missing=[",".join(sorted(m)) for m, _ in got], unused=[",".join(sorted(u)) for _, u in got])
-
-    n = B.table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), "n_name", "n_regionkey")
-    return n.mapInPandas(run, "id int, missing string, unused string")
+    n = B.table(spark, sf, "nation")
+    some = lambda c, name: F.when(c, F.array(name)).otherwise(F.array().cast("array<string>"))
+    keys = F.concat(F.array(F.lit("KEY"), F.lit("SHA")), some(F.col("n_regionkey") % 2 == 0, F.col("n_name")), some(F.col("n_regionkey") % 3 == 0, F.lit("EXTRA")))
+    missing, unused = R.gaps(F.concat(F.lit("A {{"), "n_name", F.lit("}} of {{ KEY }} and {{{{braces}}}}")), keys, F.array(F.lit("SHA")))
+    return n.select(F.col("n_nationkey").alias("id"), F.array_join(missing, ",").alias("missing"), F.array_join(unused, ",").alias("unused"))
 
 
 @query("""WITH p AS (SELECT n.n_name AS name, count(c_custkey) FILTER (c_acctbal < -900) = 0 AS passed FROM nation n LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n.n_name)
@@ -210,14 +203,9 @@ def prompt_blocks(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'missing role' WHEN 2 THEN 'expected object' ELSE 'missing kind,missing role' END AS problems FROM part""")
 def response_problems(spark: SparkSession, sf: str) -> DataFrame:
     """Answers against a schema that asks for an object with a kind and a role."""
-    schema = {"type": "object", "required": ["kind", "role"]}
-
-    def run(batches) -> Iterator:
-        for pdf in batches:
-            values = [({"kind": k, "role": 1}, {"kind": k}, [k], {"other": k})[k % 4] for k in pdf["p_partkey"].tolist()]
-            yield pdf.assign(problems=[",".join(R.problems(v, schema)) for v in values])
-
-    return B.table(spark, sf, "part").select("p_partkey").mapInPandas(run, "p_partkey int, problems string")
+    k = F.col("p_partkey")
+    value = F.expr("""CASE p_partkey % 4 WHEN 0 THEN '{"kind":1,"role":null}' WHEN 1 THEN '{"kind":"x"}' WHEN 2 THEN '["kind","role"]' ELSE '{"other":{"kind":1}}' END""")
+    return B.table(spark, sf, "part").select(k, R.object_problems(value, ("kind", "role")).alias("problems"))
 
 
 @query("SELECT n_nationkey AS id, sha256(CAST(n_name AS BLOB) || '\\x00'::BLOB || CAST(CAST(n_regionkey AS VARCHAR) AS BLOB)) AS sha FROM nation")
@@ -239,7 +227,7 @@ def cache_order(spark: SparkSession, sf: str) -> DataFrame:
 def provider_dispatch(spark: SparkSession, sf: str) -> DataFrame:
     """Which model each request goes to, by its prompt."""
 
-    def run(batches) -> Iterator:
+    def run(batches):
         named = lambda m: Canned({}, Fingerprint("t", "o", m, "1"))
         router = Router({"classify": named("small"), "edges": named("large")}, named("plain"))
         for pdf in batches:

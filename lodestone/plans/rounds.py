@@ -115,3 +115,15 @@ SELECT met, every AS "all", CASE WHEN every > 0 THEN met / every ELSE 1 END AS r
 def block_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Which share of all pairs of parts that share a token meets in a block."""
     return Q.coverage(_index(spark, sf), 12)
+
+
+@query("""WITH pins AS (SELECT DISTINCT p_brand AS key, p_size % 3 AS f, p_size % 2 AS v FROM part)
+SELECT '  (' || CAST(count(*) FILTER (f = 0 AND v = 0) AS VARCHAR) || ' error(s), ' || CAST(count(*) FILTER (f = 1) AS VARCHAR) || ' warning(s))' AS line FROM pins HAVING count(*) FILTER (f = 1 OR f = 0 AND v = 0) > 0""")
+def validation_tally(spark: SparkSession, sf: str) -> DataFrame:
+    """How many of the brands' pins are wrong, and how many have no effect."""
+    from ..operators import project as J
+
+    field = F.expr("CASE p_size % 3 WHEN 0 THEN 'kind' WHEN 1 THEN 'hue' ELSE 'role' END")
+    value = F.expr("CASE p_size % 2 WHEN 0 THEN 'rust-binary' ELSE 'service' END")
+    p = B.table(spark, sf, "part").select(F.col("p_brand").alias("key"), field.alias("field"), F.lit("value").alias("variant"), value.alias("value")).distinct()
+    return J.tally(J.validate_pins(p))

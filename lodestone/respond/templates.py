@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 import re
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 _MARK = re.compile(r"\{\{\{\{|\}\}\}\}|\{\{|\}\}")
 BOUNDARY = "<!-- cache-boundary -->"
 
@@ -28,6 +31,35 @@ def render(template: str, values: dict[str, object]) -> str:
     return _walk(template, fill)
 
 
+def filled(template: str, values: dict[str, Column]) -> Column:
+    """``render`` of one template for every row: columns of text as they are, others in their text form. The template is read once, here."""
+    parts: list[Column] = []
+    mark = "\0"
+
+    def fill(name: str) -> str:
+        if name not in values:
+            raise KeyError(f"template asks for unknown {name}")
+        parts.append(values[name].cast("string"))
+        return mark
+
+    texts = _walk(template.replace(mark, ""), fill).split(mark)
+    return F.concat(F.lit(texts[0]), *[c for part, text in zip(parts, texts[1:], strict=True) for c in (part, F.lit(text))])
+
+
+def gaps(template: Column, keys: Column, unseen: Column) -> tuple[Column, Column]:
+    """``coverage`` by columns: sorted arrays of names without a key, and of keys, other than ``unseen`` ones, without a name."""
+    bare = F.regexp_replace(template, r"\{\{\{\{|\}\}\}\}", "")
+    found = F.array_distinct(F.transform(F.regexp_extract_all(bare, F.lit(r"\{\{(.*?)\}\}"), F.lit(1)), lambda x: F.trim(x)))
+    return F.array_sort(F.array_except(found, keys)), F.array_sort(F.array_except(F.array_except(keys, found), unseen))
+
+
+def object_problems(value: Column, required: tuple[str, ...]) -> Column:
+    """``problems`` of JSON text against a schema that asks for an object with these keys, joined by commas."""
+    keys = F.json_object_keys(value)
+    missing = [F.when(~F.array_contains(keys, k), f"missing {k}") for k in required]
+    return F.when(keys.isNull(), "expected object").otherwise(F.concat_ws(",", *missing))
+
+
 def _walk(template: str, fill) -> str:
     out, at = [], 0
     while m := _MARK.search(template, at):
