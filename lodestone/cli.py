@@ -31,6 +31,7 @@ def main(argv: list[str] | None = None) -> int:
     i.add_argument("--no-gitignore", action="store_true")
     i.add_argument("--recarve", action="store_true", help="forget earlier components and give ids anew")
     i.add_argument("--parallel", type=int, help="calls at a time")
+    i.add_argument("--stages", help="folder of digests that later runs reuse")
     i.add_argument("--quiet", action="store_true", help="don't tell what happens")
     n = sub.add_parser("init", help="write template files that aren't there")
     n.add_argument("folder")
@@ -53,14 +54,14 @@ def main(argv: list[str] | None = None) -> int:
 
     root = os.path.realpath(a.root)
     try:
-        r = index(spark, root, a.out or os.path.join(root, ".lodestone"), options=Options(a.max_depth, a.budget, a.dry_run, not a.no_overrides, not a.no_gitignore, a.parallel, a.recarve), progress=Silent() if a.quiet else Narrator())
+        r = index(spark, root, a.out or os.path.join(root, ".lodestone"), options=Options(a.max_depth, a.budget, a.dry_run, not a.no_overrides, not a.no_gitignore, a.parallel, a.recarve, a.stages), progress=Silent() if a.quiet else Narrator())
     except BudgetExceeded as e:
         print(e, file=sys.stderr)
         return 2
     except SetupError as e:
         print(e, file=sys.stderr)
         return 3
-    print(" ".join(f"{k}={v}" for k, v in r.summary.items() if k != "rounds"))
+    print(" ".join(f"{k}={v}" for k, v in r.summary.items() if k not in ("rounds", "hashed")))
     return 0
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
+from .memo import digest_of
 
 
 def manifests_in(files: DataFrame, directory: str = "") -> DataFrame:
@@ -80,6 +81,12 @@ def tree_sha(files: DataFrame, dirs: DataFrame, relative: bool = True) -> DataFr
     return rows.mapInArrow(run, "dir string, content_sha string")
 
 
+def tree_inputs(files: DataFrame, dirs: DataFrame) -> DataFrame:
+    """``(dir, digest)`` of what ``tree_sha`` reads for each directory: paths and contents below it, in no order, so without a sort."""
+    short = files.select("path", F.sha2("content", 256).alias("sha"))
+    return digest_of(under(short, dirs.select("dir").distinct(), itself=False), "dir", F.col("path"), F.col("sha"))
+
+
 def elided(files: DataFrame, limit: int = 1 << 20, sniff: int = 8192) -> DataFrame:
     """Large and binary contents are emptied, their rows stay and say so."""
     big = F.octet_length("content") > limit

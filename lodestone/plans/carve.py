@@ -22,6 +22,7 @@ from ..operators import graph as G
 from ..operators import propose as Q
 from ..operators import recurse as R
 from ..operators import tree as T
+from ..operators.memo import Memo
 from ..operators.settle import settle
 
 Ask = Callable[[DataFrame], DataFrame]
@@ -66,7 +67,8 @@ class Carving:
     ``rows`` has, for each round, how many directories were classified, digested and placed, and for how many libraries edges were asked.
     """
 
-    def __init__(self, files: DataFrame, fixed_dirs: DataFrame, classify: Callable[[DataFrame, DataFrame], DataFrame], build: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], pins: DataFrame, ask, max_depth: int):
+    def __init__(self, files: DataFrame, fixed_dirs: DataFrame, classify: Callable[[DataFrame, DataFrame], DataFrame], build: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], pins: DataFrame, ask, max_depth: int, memo: Memo | None = None):
+        self.memo = memo
         self.files, self.classify, self.build, self.pins, self.ask, self.max_depth = files, classify, build, pins, ask, max_depth
         self.signals = settle(signals(files))
         self.base = settle(C.candidate_dirs(self.signals, fixed_dirs))
@@ -79,6 +81,7 @@ class Carving:
         self.subs = [spark.createDataFrame([], "dir string, sub_dir string")]
         self.looked = [spark.createDataFrame([], "dir string")]
         self.rows: list[dict] = []
+        self.hashed = 0
         self.components: DataFrame | None = None
 
     def _judge(self, dirs: DataFrame) -> int:
@@ -95,7 +98,7 @@ class Carving:
         new = settle(own.select("dir").join(_union(self.own), "dir", "left_anti"))
         if not (n := new.count()):
             return 0, 0
-        self.shas.append(settle(E.tree_sha(self.files, new)))
+        self.shas.append(settle(self._digests(new)))
         below = settle(_union(self.lines).join(new.where("dir <> ''").select(F.col("dir").alias("up")), "up").groupBy("dir").agg(F.max_by("up", F.length("up")).alias("parent_dir")))
         self.own.append(new)
         every = _union(self.own).where("dir <> ''")
@@ -104,6 +107,14 @@ class Carving:
         self.found += [below, first]
         return n, n + below.count()
 
+    def _digests(self, dirs: DataFrame) -> DataFrame:
+        """Tree digests; with a memo, of those directories only below which something changed since the last run."""
+        if self.memo is None:
+            return E.tree_sha(self.files, dirs)
+        out = self.memo.through("tree-sha", E.tree_inputs(self.files, dirs), "dir", lambda missing: E.tree_sha(self.files, missing)).select("dir", "content_sha")
+        self.hashed += self.memo.computed
+        return out
+
     def tree(self, back: DataFrame) -> DataFrame:
         dirs = settle(self.base.select("dir").union(back.select(F.col("sub_dir").alias("dir"))).distinct())
         judged = self._judge(dirs)

@@ -19,6 +19,7 @@ from ..operators import project as J
 from ..operators import propose as Q
 from ..operators import recurse as R
 from ..operators import tree as T
+from ..operators.memo import Memo
 from ..operators.settle import settle
 from ..respond import cache as M
 from ..respond.core import Budget, BudgetExceeded, Canned, Responder, SetupError
@@ -33,7 +34,7 @@ class Options:
     """``budget`` None: as many tokens as it takes. ``overrides`` False: authored pins, additions and subsystems are ignored.
 
     ``parallel``: calls at a time, by default as many as the session has slots. ``recarve``: earlier components are forgotten, so
-    that ids are given anew.
+    that ids are given anew. ``stages``: a folder, reached by all machines, of digests that later runs over a changed tree reuse.
     """
 
     max_depth: int = 8
@@ -43,6 +44,7 @@ class Options:
     respect_gitignore: bool = True
     parallel: int | None = None
     recarve: bool = False
+    stages: str | None = None
 
 
 @dataclass
@@ -194,7 +196,7 @@ def index(spark: SparkSession, root: str, out_dir: str, responder: Responder | N
         files, add_dirs,
         lambda some, dirs: classify(some, dirs, pins, named, ask),
         lambda classified, sha, nearest: build_tree(classified, sha, nearest, additions, prior, pins),
-        pins, ask, options.max_depth,
+        pins, ask, options.max_depth, Memo(spark, options.stages) if options.stages else None,
     )
     progress.on_event(Phase("fixedpoint"))
     size = lambda: carving.components.where("not deleted").count() if carving.components is not None else 0
@@ -216,7 +218,7 @@ def index(spark: SparkSession, root: str, out_dir: str, responder: Responder | N
     found = subs.drop("members").join(J.subsystems(evidence).withColumnRenamed("subsystem", "id"), "id")
     seen = evidence.groupBy(F.col("subsystem").alias("id")).agg(F.array_sort(F.collect_list(F.struct("ord", "id", "matched_via"))).alias("e")).select("id", F.transform("e", lambda e: F.struct(e["id"].alias("id"), e["matched_via"].alias("matched_via"))).alias("member_evidence"))
     subsystems = found.join(seen, "id")
-    summary = {"components": live.count(), "externals": externals.count(), "edges": edges.count(), "calls": ask.store.calls, "errors": ask.store.errors, "tokens_used": budget.used, "token_budget": options.budget, "iterations": rounds, "rounds": carving.rows, "written": not options.dry_run}
+    summary = {"components": live.count(), "externals": externals.count(), "edges": edges.count(), "calls": ask.store.calls, "errors": ask.store.errors, "tokens_used": budget.used, "token_budget": options.budget, "iterations": rounds, "rounds": carving.rows, "hashed": carving.hashed, "written": not options.dry_run}
     result = Result(components, externals, edges, subsystems, ask.cache, summary)
     keep(ask.cache)
     if not options.dry_run:
