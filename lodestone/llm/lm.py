@@ -311,7 +311,11 @@ def _streams(column):
 
 
 def build_trie(documents: DataFrame, training: Column, params: LmParams = LmParams(), text_col: str = "text") -> Trie:
-    """Count the texts of the rows for which ``training`` holds and write the trie's shards to the shared folder."""
+    """Count the texts of the rows for which ``training`` holds and write the trie's shards to the shared folder.
+
+    A null text is the empty one, a text of its end token alone; texts of any length are counted whole, repeated rows as often
+    as they occur. Of an empty table the trie holds nothing.
+    """
     spark = documents.sparkSession
     url = urlparse(scratch_path(spark, "trie"))
     if url.scheme not in ("", "file"):

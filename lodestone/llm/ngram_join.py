@@ -129,8 +129,8 @@ def near_duplicates(documents: DataFrame, params: JoinParams = JoinParams(), id_
     ``n_links`` counts the other rows of similarity at or above the threshold, copies included;
     ``component_id`` is the smallest id that is reachable over links; ``kept`` marks the row that
     stands for its group (of repeated equal rows all are marked). Null ids are allowed and sort first.
-    An empty table gives no rows. Other columns are not read, so their names don't matter. A text of any length
-    is compared whole; one task holds its set of n-grams.
+    An empty table gives no rows. Other columns are not read, so their names don't matter. Of equal similarities
+    none goes before another: all links count. A text of any length is compared whole; one task holds its set of n-grams.
     """
     return _flagged(documents, params, id_col, text_col).select(F.col("id").alias(id_col), "n_links", "component_id", "kept")
 

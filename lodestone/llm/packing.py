@@ -171,6 +171,8 @@ def pack(documents: DataFrame, capacity: int = 1024, eos: int = 2, tokenizer: st
     """Pack all rows of ``documents``; one row for each piece: id, piece, start, length, ids_crc32, (ids,) sequence_id, offset.
 
     An empty table gives an empty result. Repeated rows are packed as often as they occur.
+    A null text is the empty one, a piece of its end token; texts of any length are packed whole; pieces of one length may stand in any
+    order. ``id_col`` must not have the name of another column of the result; other columns aren't read.
     """
     pieces = materialise(tokenized_pieces(documents, [id_col], capacity, eos, tokenizer, text_col, with_ids), "pieces")
     return assign_sequences(pieces, capacity, (id_col, "piece", "ids_crc32"))

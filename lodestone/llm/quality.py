@@ -194,6 +194,7 @@ def score_quality(documents: DataFrame, model: bytes | None, carry: list[str], t
     A null text is the empty text, which gets the network's answer for no words at all. Without a
     model every score is 0. Repeated rows stay, each scored alike; columns of the input that are not
     in ``carry`` are not read. A new column takes the place of a carried one of its name, unless it is renamed. An empty table gives no rows.
+    Texts of any length are scored whole.
     """
     bound_batches(documents.sparkSession)
     carry = without_names(carry, [score_col, predicted_col])

@@ -134,7 +134,7 @@ def score_toxicity(documents: DataFrame, model: bytes | None, carry: list[str],
     A null text is the empty text; texts without a known feature get the bias alone, the score of an
     ordinary text. Without a model every score is next to 0. Repeated rows stay, each scored alike;
     columns of the input that are not in ``carry`` are not read. A new column takes the place of a carried one of its name, unless it is renamed.
-    An empty table gives no rows.
+    An empty table gives no rows. Texts of any length are scored whole.
     """
     bound_batches(documents.sparkSession)
     carry = without_names(carry, [score_col, predicted_col])

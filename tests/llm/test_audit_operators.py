@@ -13,6 +13,7 @@ from test_text_operators import LOWER, SCHEMA, WORD, corpus
 from lodestone.llm import alignment as al
 from lodestone.llm import divergence as dv
 from lodestone.llm import fingerprints as fp
+from lodestone.llm import mixing
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 OTHERS = [(200, "Zebra zebra Ünder", None, None), (201, "zebra", None, None), (202, "zebra UNDER under", "", ""), (203, None, "xx", "a"), (204, "1 2", "xx", "b"), (205, "ünder Zebra", "", "s1")]
@@ -242,3 +243,14 @@ def test_words_are_forgotten_and_whole_texts_agree(monkeypatch):
     assert lists(texts) == first
     one.fast = None
     assert lists(texts.slice(0, 4)) == [x[:4] for x in first]
+
+
+def test_rows_of_one_id_and_size_are_mixed_alike(spark):
+    """Rows that differ in their text alone keep their places, however they are dealt."""
+    texts = ["alpha beta gamma", "delta beta gamma", "beta gamma omega", "one two three"]
+    rows = [(1, t, "a") for t in texts] + [(2, "x " * 40, "b"), (3, "y " * 9, "c")]
+    seen = set()
+    for order, parts in ((rows, 1), (rows[::-1], 3), (rows[2:] + rows[:2], 2)):
+        df = spark.createDataFrame(order, "doc_id long, text string, source string").repartition(parts)
+        seen.add(tuple(tuple(r) for r in mixing.mix(df, weights=(1.0, 7.0, 2.0)).orderBy("position", "doc_id", "text").collect()))
+    assert len(seen) == 1
