@@ -12,6 +12,7 @@ from ..operators import enumerate as E
 from ..operators import evaluate as V
 from ..operators import project as J
 from ..respond import cache as C
+from ..respond import charges as G
 from ..respond import templates as R
 from ..respond.core import Canned, Fingerprint
 from ..sources import tables as S
@@ -150,7 +151,7 @@ SELECT conv_id AS session, turn AS seq, cost, accepted, CAST(used AS BIGINT) AS
 def token_budget(spark: SparkSession, sf: str) -> DataFrame:
     """Greedy charges of each conversation's turns against 500 tokens."""
     r = B.table(spark, sf, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), X.token_estimate(F.col("text")).alias("cost"))
-    return C.greedy_charges(r, 500)
+    return G.greedy_charges(r, 500)
 
 
 @query("SELECT conv_id AS session, turn AS seq, CAST(octet_length(encode(text)) // 4 AS BIGINT) AS cost, CAST(sum(octet_length(encode(text)) // 4) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running FROM conversations")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.settle import settle
-from .core import Budget, BudgetExceeded, Responder, canonical_json
+from .core import Budget, Responder, canonical_json
 from .leases import answer_leased
 
 KEY = ("template_sha", "ontology_sha", "model_id", "backend_version", "prompt", "inputs")
@@ -110,35 +110,6 @@ def placed(entries: DataFrame) -> DataFrame:
     return entries.withColumn("_own", own).join(first, "prompt").withColumn("place", (F.col("_own") + F.col("_first")).cast("long")).drop("_own", "_first")
 
 
-def greedy_charges(requests: DataFrame, limit: int) -> DataFrame:
-    """``(session, seq, cost, accepted, used)``: charges of each session in order; one that goes over is rejected and leaves the count.
-
-    A fold, not a running sum: a rejected charge doesn't count against later ones. Rows come sorted to one task a session, which
-    carries nothing but the count from batch to batch, so a session may be of any length. A null cost is 0.
-    """
-    rows = requests.select("session", "seq", F.coalesce(F.col("cost").cast("long"), F.lit(0)).alias("cost"))
-    kind = dict(rows.dtypes)
-
-    def run(batches):
-        here, budget = object(), Budget(limit)
-        for pdf in batches:
-            ok, used = [], []
-            for session, cost in zip(pdf["session"].tolist(), pdf["cost"].tolist(), strict=True):
-                session = None if session != session else session  # a null number
-                if session != here:
-                    here, budget = session, Budget(limit)
-                try:
-                    budget.charge(cost)
-                    ok.append(True)
-                except BudgetExceeded:
-                    ok.append(False)
-                used.append(budget.used)
-            yield pdf.assign(accepted=ok, used=used)
-
-    dealt = rows.repartition("session").sortWithinPartitions("session", "seq")
-    return dealt.mapInPandas(run, f"session {kind['session']}, seq {kind['seq']}, cost long, accepted boolean, used long")
-
-
 def running_cost(requests: DataFrame) -> DataFrame:
     w = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return requests.withColumn("running", F.sum("cost").over(w))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.respond import cache as C
+from lodestone.respond import charges as G
 from lodestone.respond import templates as R
 from lodestone.respond.core import Budget, Budgeted, BudgetExceeded, Canned, Config, Observed, Router, Sentinel, cache_key, canonical_json
 from lodestone.sources import files as FS
@@ -78,7 +79,7 @@ def test_cache_answers_only_misses(spark):
 
 def test_greedy_charges(spark):
     df = spark.createDataFrame([(0, 0, 6), (0, 1, 6), (0, 2, 4), (1, 0, 11)], "session int, seq int, cost int")
-    assert [(r["accepted"], r["used"]) for r in C.greedy_charges(df, 10).orderBy("session", "seq").collect()] == [(True, 6), (False, 6), (True, 10), (False, 0)]
+    assert [(r["accepted"], r["used"]) for r in G.greedy_charges(df, 10).orderBy("session", "seq").collect()] == [(True, 6), (False, 6), (True, 10), (False, 0)]
 
 
 def test_jsonl(spark):

@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_depth import ids_by_force
@@ -11,7 +12,7 @@ from test_respond import tree as write
 from lodestone.functions import paths as P
 from lodestone.operators import project as J
 from lodestone.operators import tree as T
-from lodestone.respond import cache as C
+from lodestone.respond import charges as G
 from lodestone.respond.core import Budget, BudgetExceeded
 from lodestone.sources import files as FS
 
@@ -90,7 +91,7 @@ def test_long_sessions(spark):
     r = random.Random(6)
     rows = [(s, k, r.randrange(60) if k % 50 else None) for s in ("a", "b", None) for k in range(12_000 if s == "a" else 40)]
     df = spark.createDataFrame(rows, "session string, seq int, cost int").repartition(5)
-    got = {(x["session"], x["seq"]): (x["accepted"], x["used"]) for x in C.greedy_charges(df, 1000).collect()}
+    got = {(x["session"], x["seq"]): (x["accepted"], x["used"]) for x in G.greedy_charges(df, 1000).collect()}
     for s in ("a", "b", None):
         b = Budget(1000)
         for _, k, c in (x for x in rows if x[0] == s):
@@ -101,3 +102,63 @@ def test_long_sessions(spark):
                 ok = False
             assert got[s, k] == (ok, b.used)
     assert len(got) == len(rows) and df.where(F.col("session").isNull()).count() == 40
+
+
+def by_force(costs, limit, used=0):
+    b, out = Budget(limit, used), []
+    for c in costs:
+        try:
+            b.charge(c)
+            out.append((True, b.used))
+        except BudgetExceeded:
+            out.append((False, b.used))
+    return out
+
+
+def test_pieces_are_passed_over_as_they_would_be_charged():
+    r = random.Random(8)
+    seen = {True: 0, False: 0}
+    for _ in range(3000):
+        limit = r.choice([0, 1, 2, 7, 8, 100, 1 << 20, 1 << 61])
+        costs = [min(r.choice([0, 1, r.randrange(limit + 2), r.randrange(limit // 50 + 2), 1 << 62]), 1 << 62) for _ in range(r.randrange(1, 12))]
+        used = r.choice([0, limit, r.randrange(limit + 1)])
+        levels, cut = G.Levels(limit), r.randrange(len(costs))
+        for part in (costs[:cut], costs[cut:]):
+            if part:
+                levels.add(np.array(part))
+        got, want = G.passed(used, limit, levels.sums, levels.least), by_force(costs, limit, used)
+        seen[got is None] += 1
+        if got is not None:
+            assert got == want[-1][1]
+        assert [*zip(*G.charge(costs, limit, used), strict=True)] == want
+    assert min(seen.values()) > 300
+
+
+def test_a_session_in_many_tasks(spark):
+    r = random.Random(9)
+    rows = [(s, k, c) for s, n in (("a", 9000), ("b", 3), (None, 4000), ("c", 6000)) for k in range(n) for c in [r.choice([None, -4, 0, 1, r.randrange(1000), r.randrange(200_000)])]]
+    rows += [("c", 7, 900), ("c", 7, 30), ("c", 7, 30)]
+    df = spark.createDataFrame(r.sample(rows, len(rows)), "session string, seq int, cost int").repartition(3)
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "12"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for limit in (-1, 1000, 700_000):
+            dealt = G.dealt(df, limit)
+            assert dealt.where("place is not null").groupBy("session").agg(F.countDistinct("part").alias("n")).where("n > 1").count() == 3
+            got = [tuple(x) for x in G.greedy_charges(df, limit).collect()]
+            want = []
+            for s in ("a", "b", "c", None):
+                mine = sorted((k, max(c or 0, 0)) for t, k, c in rows if t == s)
+                want += [(s, k, c, *x) for (k, c), x in zip(mine, by_force([c for _, c in mine], limit), strict=True)]
+            assert sorted(got, key=repr) == sorted(want, key=repr)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_charges_of_nothing(spark):
+    df = spark.createDataFrame([], "session bigint, seq int, cost int, accepted string, part int")
+    out = G.greedy_charges(df, 5)
+    assert out.count() == 0 and out.columns == ["session", "seq", "cost", "accepted", "used"]
