@@ -31,7 +31,7 @@ def main(argv: list[str] | None = None) -> int:
     i.add_argument("--no-gitignore", action="store_true")
     i.add_argument("--recarve", action="store_true", help="forget earlier components and give ids anew")
     i.add_argument("--parallel", type=int, help="calls at a time")
-    i.add_argument("--stages", help="folder of digests that later runs reuse")
+    i.add_argument("--stages", help="folder of digests and answers of rules that later runs reuse")
     i.add_argument("--quiet", action="store_true", help="don't tell what happens")
     n = sub.add_parser("init", help="write template files that aren't there")
     n.add_argument("folder")

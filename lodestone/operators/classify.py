@@ -9,6 +9,9 @@ from .. import vocab
 from ..functions import paths as P
 from ..functions.manifests import cargo_shape, package_shape
 
+#: Names kept results of the rules; to be raised with any change to the rules or to the signals that they read.
+KEPT_AS = "rules-1"
+
 FIELDS = ("kind", "language", "build_system", "lifecycle_roles", "role", "evidence_grade", "evidence_fields", "rationale", "is_boundary")
 
 

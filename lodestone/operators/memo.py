@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -22,11 +23,12 @@ def digest_of(rows: DataFrame, by: str, *columns: Column) -> DataFrame:
 class Memo:
     """A table of results by key and digest, in a folder that all machines reach. Runs append to it; rows of older digests stay.
 
-    ``computed`` counts the rows that the last call had to compute.
+    ``computed`` counts the rows that the last call had to compute, ``counts`` those of all calls, by name.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder, self.computed = spark, folder.rstrip("/"), 0
+        self.counts: Counter[str] = Counter()
 
     def through(self, name: str, asked: DataFrame, key: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """Results for ``asked(key, digest)``: the kept ones, and those of ``compute(keys)`` for the others, which are kept from now on.
@@ -38,6 +40,7 @@ class Memo:
         known = self._read(path)
         missing = settle(asked if known is None else asked.join(known, [key, "digest"], "left_anti"))
         self.computed = missing.count()
+        self.counts[name] += self.computed
         if self.computed or known is None:
             fresh = compute(missing.select(key)).join(missing, key)
             fresh.write.mode("append").parquet(path)

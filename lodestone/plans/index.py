@@ -34,7 +34,8 @@ class Options:
     """``budget`` None: as many tokens as it takes. ``overrides`` False: authored pins, additions and subsystems are ignored.
 
     ``parallel``: calls at a time, by default as many as the session has slots. ``recarve``: earlier components are forgotten, so
-    that ids are given anew. ``stages``: a folder, reached by all machines, of digests that later runs over a changed tree reuse.
+    that ids are given anew. ``stages``: a folder, reached by all machines, of digests and answers of
+    rules that later runs over a changed tree reuse.
     """
 
     max_depth: int = 8
@@ -120,9 +121,21 @@ def _inputs(**columns):
     return F.to_json(F.struct(*[c.alias(k) for k, c in sorted(columns.items())]), {"ignoreNullFields": "false"})
 
 
-def classify(files: DataFrame, dirs: DataFrame, pins: DataFrame, additions: DataFrame, ask: Ask) -> DataFrame:
+def ruled(files: DataFrame, dirs: DataFrame, memo: Memo | None = None) -> DataFrame:
+    """Signals and the rules' answer for each directory; with a memo, computed for those only whose signals changed since the last run."""
+    if memo is None:
+        return K.classify_by_rules(C.bundles(files, dirs), files)
+
+    def fresh(missing: DataFrame) -> DataFrame:
+        near = settle(C.files_below(files, missing))
+        return K.classify_by_rules(C.bundles(near, missing), near)
+
+    return memo.through(K.KEPT_AS, C.bundle_inputs(files, dirs), "dir", fresh)
+
+
+def classify(files: DataFrame, dirs: DataFrame, pins: DataFrame, additions: DataFrame, ask: Ask, memo: Memo | None = None) -> DataFrame:
     """``dir, source, answer, manifests, headings`` of all candidates."""
-    bundled = settle(K.classify_by_rules(C.bundles(files, dirs), files))
+    bundled = settle(ruled(files, dirs, memo))
     pinned = settle(K.by_pins(dirs, pins, additions))
     left = K.undecided(bundled, pinned)
     req = left.select(F.col("dir").alias("key"), F.lit("classify").alias("prompt"), _inputs(DIR_RELATIVE=F.col("dir"), RATIONALE_BUNDLE=F.struct(*[Q.by_name(F.col(c), left.schema[c].dataType).alias(c) for c in ("headings", "is_git_root", "manifests", "shebangs")])).alias("inputs"))
@@ -192,11 +205,12 @@ def index(spark: SparkSession, root: str, out_dir: str, responder: Responder | N
     ask = Ask(spark, responder, settle(S.load_cache(spark, where("response-cache.json"))), budget, progress, options.parallel, keep)
     add_dirs = additions.select(F.col("path_segments")[0]["path"].alias("dir")).where("dir is not null")
     named = additions.select("id", F.col("path_segments")[0]["path"].alias("dir"))
+    memo = Memo(spark, options.stages) if options.stages else None
     carving = Carving(
         files, add_dirs,
-        lambda some, dirs: classify(some, dirs, pins, named, ask),
+        lambda some, dirs: classify(some, dirs, pins, named, ask, memo),
         lambda classified, sha, nearest: build_tree(classified, sha, nearest, additions, prior, pins),
-        pins, ask, options.max_depth, Memo(spark, options.stages) if options.stages else None,
+        pins, ask, options.max_depth, memo,
     )
     progress.on_event(Phase("fixedpoint"))
     size = lambda: carving.components.where("not deleted").count() if carving.components is not None else 0
@@ -218,7 +232,7 @@ def index(spark: SparkSession, root: str, out_dir: str, responder: Responder | N
     found = subs.drop("members").join(J.subsystems(evidence).withColumnRenamed("subsystem", "id"), "id")
     seen = evidence.groupBy(F.col("subsystem").alias("id")).agg(F.array_sort(F.collect_list(F.struct("ord", "id", "matched_via"))).alias("e")).select("id", F.transform("e", lambda e: F.struct(e["id"].alias("id"), e["matched_via"].alias("matched_via"))).alias("member_evidence"))
     subsystems = found.join(seen, "id")
-    summary = {"components": live.count(), "externals": externals.count(), "edges": edges.count(), "calls": ask.store.calls, "errors": ask.store.errors, "tokens_used": budget.used, "token_budget": options.budget, "iterations": rounds, "rounds": carving.rows, "hashed": carving.hashed, "written": not options.dry_run}
+    summary = {"components": live.count(), "externals": externals.count(), "edges": edges.count(), "calls": ask.store.calls, "errors": ask.store.errors, "tokens_used": budget.used, "token_budget": options.budget, "iterations": rounds, "rounds": carving.rows, "hashed": carving.hashed, "ruled": memo.counts[K.KEPT_AS] if memo else 0, "written": not options.dry_run}
     result = Result(components, externals, edges, subsystems, ask.cache, summary)
     keep(ask.cache)
     if not options.dry_run:

@@ -5,9 +5,11 @@ import os
 from pyspark.sql import functions as F
 from test_respond import tree as write
 
+from lodestone.operators import candidates as C
+from lodestone.operators import classify as K
 from lodestone.operators import enumerate as E
 from lodestone.operators.memo import Memo, digest_of
-from lodestone.plans.index import Options, index
+from lodestone.plans.index import Options, index, ruled
 from lodestone.sources import files as FS
 
 
@@ -45,11 +47,47 @@ def test_a_run_over_an_edited_tree(spark, tmp_path):
     lib = "[package]\n[lib]\n"
     write(root, {"a/Cargo.toml": lib, "a/in/Cargo.toml": lib, "a/in/x.rs": "1", "b/Cargo.toml": lib, "c/Cargo.toml": lib})
     options = Options(stages=f"file://{tmp_path}/stages")
-    assert index(spark, root, out, options=options).summary["hashed"] == 4
+    first = index(spark, root, out, options=options).summary
+    assert first["hashed"] == 4 and first["ruled"] >= 4
     (tmp_path / "r" / "a" / "in" / "x.rs").write_text("2")
     again = index(spark, root, out, options=options)
-    assert again.summary["hashed"] == 2
+    assert again.summary["hashed"] == 2 and again.summary["ruled"] == 0
     files = FS.read_tree(spark, root, excluded=out)
     got = {(s := x["path_segments"][0])["path"]: s["content_sha"] for x in again.components.collect()}
     assert got == {r["dir"]: r["content_sha"] for r in E.tree_sha(files, spark.createDataFrame([(d,) for d in ("a", "a/in", "b", "c")], "dir string")).collect()}
     assert os.path.isdir(f"{tmp_path}/stages/tree-sha")
+
+
+def test_rules_read_what_changed_only(spark, tmp_path):
+    n = 5000
+    tree = spark.range(n).select(F.concat(F.lit("r/a"), (F.col("id") % 50).cast("string"), F.lit("/f"), F.col("id").cast("string")).alias("path"), F.lit("x").alias("content"))
+    lib, tool = "[package]\n[lib]\n", "[package]\n[[bin]]\n"
+    some = {f"r/a{k}/Cargo.toml": lib for k in range(50)} | {"r/README.md": "# r\n", "r/a1/README.md": "# one\n\ntext\n", "r/a2/run": "#!/bin/sh\necho\n", "r/g/.git/HEAD": "x", "r/a3/in/package.json": '{"bin": "b"}'}
+    dirs = spark.createDataFrame([("",), ("r",), ("r/g",), ("r/a3/in",), ("r/none",), *[(f"r/a{k}",) for k in range(50)]], "dir string")
+    memo = Memo(spark, f"file://{tmp_path}/m")
+
+    def run(extra):
+        files = tree.union(spark.createDataFrame(list(extra.items()), "path string, content string"))
+        kept = ruled(files, dirs, memo)
+        got = {r["dir"]: r for r in kept.collect()}
+        assert got == {r["dir"]: r for r in ruled(files, dirs).select(*kept.columns).collect()}
+        return got
+
+    first = run(some)
+    assert len(first) == 55 and memo.counts[K.KEPT_AS] == 55
+    for edit, again in (
+        ({"r/a7/Cargo.toml": tool}, 1),  # a manifest is read by its own directory
+        ({"r/a1/README.md": "# two\n"}, 3),  # a description by all above
+        ({"r/a2/run": "#!/bin/sh\nls\n"}, 0),  # of a script, the interpreter
+        ({"r/a2/run": "#!/usr/bin/perl\nls\n"}, 3),
+        ({"r/g/.git/HEAD": "y", "r/g/.git/index": "z"}, 0),  # of a repository, that there is one
+        ({"r/none/.git": "gitdir: x"}, 1),
+        ({"r/new/f": "x"}, 0),
+    ):
+        before = memo.counts[K.KEPT_AS]
+        got = run(some | edit)
+        assert memo.counts[K.KEPT_AS] - before == again, edit
+        assert again == 0 or got != first
+    empty = C.bundle_inputs(tree.where("1 = 0"), dirs)
+    assert {r["digest"] for r in empty.collect()} == {""}
+    assert run(some) == first
