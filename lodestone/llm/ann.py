@@ -1,7 +1,8 @@
 """Approximate nearest neighbours over balanced posting lists.
 
 Centroids come from a bounded sample, cut in halves again and again at the median of the two-means
-direction, so lists are balanced. A vector near a boundary stands in several lists. A navigable graph over the
+direction, so lists are balanced. Where the sample is too small for the lists, its parts are cut further by executors, each from a
+sample of its own. A vector near a boundary stands in several lists. A navigable graph over the
 centroids, held in memory, finds the lists near a vector. A query reads the lists whose centroids are no
 farther than a ratio times the nearest one; the ratio is calibrated on the sample for a target recall. Every
 vector is indexed. Lists longer than a block are dealt to several tasks, and so are the queries of much-read lists.
@@ -25,7 +26,11 @@ from .shared import materialise, tidy
 
 @dataclass(frozen=True)
 class AnnParams:
-    """``sample_bytes`` bounds the vectors of the fit (at least ``sample``, and eight a list, if there are so many) and ``most_lists`` the centroids, which are broadcast."""
+    """``sample_bytes`` bounds the vectors of the driver's fit: ``sample``, or eight a list if that is more, as far as they fit.
+
+    Lists beyond an eighth of that sample are fitted by executors, from about eight vectors a list. ``most_lists`` bounds the centroids,
+    which are broadcast; one more for each part that the executors cut may come on top.
+    """
 
     k: int = 5
     sample: int = 20_000
@@ -155,6 +160,40 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1).astype(np.float64)
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def finer_centroids(distinct: DataFrame, coarse: np.ndarray, lists: int, total: int) -> np.ndarray:
+    """About ``lists`` unit centroids: the part of each of ``coarse`` cut by itself.
+
+    ``distinct(node, v)`` are ``total`` vectors of one dimension; about eight a list are picked by their hash, so that runs
+    agree. No part has more rows than those picked in all.
+    """
+    spark = distinct.sparkSession
+    shared = spark.sparkContext.broadcast(coarse)
+    share = min(1 << 30, -(-(8 * lists << 30) // total))
+    # of vectors of one dimension, as many as picked are expected
+    per_list = max(1.0, total * share / (1 << 30) / lists)
+    picked = distinct.where(F.pmod(F.xxhash64("node", F.lit(4)), F.lit(1 << 30)) < share).select("node", "v")
+
+    def deal(batches):
+        for b in batches:
+            cells = [(unit(_matrix(b.column(1).slice(lo, 1000))) @ shared.value.T).argmax(axis=1) for lo in range(0, b.num_rows, 1000)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells or [np.empty(0, np.int64)])), *b.columns], names=["cell", "node", "v"])
+
+    def cut(batches):
+        for t in key_groups(batches, 1):
+            x = unit(_matrix(t.column(2).combine_chunks()))
+            c = balanced_centroids(x, max(1, round(len(x) / per_list))).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([t.column(0)[0].as_py()] * len(c)), pa.array(range(len(c)), pa.int64()), pa.array(list(c), pa.list_(pa.float32()))], names=["cell", "at", "c"])
+
+    cells = picked.mapInArrow(tidy(deal), "cell bigint, node bigint, v array<double>").repartition("cell").sortWithinPartitions("cell", "node", "v")
+    found = cells.mapInArrow(tidy(cut), "cell bigint, at bigint, c array<float>").toArrow().sort_by([("cell", "ascending"), ("at", "ascending")])
+    return _matrix(found.column("c").combine_chunks()).astype(np.float32)
+
+
 def nearest(vectors: DataFrame, is_query: Column, params: AnnParams = AnnParams(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, id_col, score``: for each row for which ``is_query`` holds, its nearest other rows by cosine.
 
@@ -180,17 +219,16 @@ def nearest(vectors: DataFrame, is_query: Column, params: AnnParams = AnnParams(
     lists = max(1, min(p.most_lists, dims[main] // p.list_size))
     most = max(1, min(max(p.sample, 8 * lists), p.sample_bytes // (8 * main)))
     sample = _matrix(distinct.where(F.size("v") == main).orderBy("node").select("v").limit(most).toArrow().column(0).combine_chunks())
-    sample = sample / np.abs(sample).max(axis=1, keepdims=True)
-    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    lists = max(1, min(lists, len(sample) // 8))
-    graph = CentroidGraph(balanced_centroids(sample, lists), p.degree)
+    sample = unit(sample)
+    parts = max(1, min(lists, len(sample) // 8))
+    centroids = balanced_centroids(sample, parts)
+    if parts < lists:
+        centroids = finer_centroids(distinct.where(F.size("v") == main), centroids, lists, dims[main])
+    lists = len(centroids)
+    graph = CentroidGraph(centroids, p.degree)
     ratio = calibrated_ratio(sample, graph, p)
     shared = spark.sparkContext.broadcast((graph, ratio, main))
 
-    def unit(x: np.ndarray) -> np.ndarray:
-        x = x / np.abs(x).max(axis=1, keepdims=True)
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
-
     def assign(query: bool, all_lists: bool = False):
         def run(batches):
             graph, ratio, main = shared.value

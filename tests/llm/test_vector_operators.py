@@ -174,3 +174,30 @@ def test_graph_finds_the_nearest_centroids():
     assert len(c) == 64 and sizes.max() < 6 * sizes.mean()
     d = g.search(x[:300], 1.0, 4)
     assert (d.argmin(axis=1) == (x[:300] @ c.T).argmax(axis=1)).mean() > 0.95
+
+
+def test_more_lists_than_the_sample_holds(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(60, 24))[r.integers(0, 60, 4000)] + r.normal(size=(4000, 24)) * 0.5
+    x[:1300] = x[5] + r.normal(size=(1300, 24)) * 0.01  # a hot part
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    # the driver's fit holds 320 vectors, so 40 lists; 200 are wanted
+    p = ann.AnnParams(list_size=20, sample=320, sample_bytes=320 * 8 * 24)
+    got = ann.nearest(df, F.col("vec_id") % 50 == 0, p).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 4000, 50):
+        s = u @ u[q]
+        s[q] = -np.inf
+        mine = sorted((g["rank"], g["vec_id"], g["score"]) for g in got if g["query_id"] == q)
+        assert [m[0] for m in mine] == [1, 2, 3, 4, 5] and all(abs(s[v] - sc) < 1e-9 for _, v, sc in mine)
+        hits += len({v for _, v, _ in mine} & set(np.argsort(-s)[:5].tolist()))
+    assert hits >= 0.9 * 5 * 80
+    nodes = df.select(F.xxhash64("embedding").alias("node"), F.col("embedding").alias("v"))
+    coarse = ann.balanced_centroids(u[:320], 40)
+    finer = ann.finer_centroids(nodes, coarse, 200, 4000)
+    assert 160 <= len(finer) <= 240 and np.allclose(np.linalg.norm(finer, axis=1), 1, atol=1e-5)
+    assert (finer == ann.finer_centroids(nodes.repartition(7), coarse, 200, 4000)).all()
+    # lists are no longer than a few times the wanted length
+    own = np.bincount((u @ finer.T).argmax(axis=1), minlength=len(finer))
+    assert np.sort(own)[-5:].max() <= 20 * 12
