@@ -56,13 +56,27 @@ def flatten(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def fixed(x: Column, places: int) -> Column:
+    """A double from 1 on with so many digits (one to three) after its point, rounded by its exact binary value, ties to even, as C and Rust do.
+
+    ``format_string`` and ``round`` round the shortest decimal that stands for the double, half up.
+    """
+    # what follows the point is a multiple of 2**-52, so that whole numbers hold it
+    part = ((x - F.floor(x)) * float(1 << 52)).cast("long") * 10**places
+    digits, rest, half = F.shiftright(part, 52), part.bitwiseAND((1 << 52) - 1), 1 << 51
+    up = (rest > half) | (rest == half) & (digits % 2 == 1)
+    digits = digits + F.when(up, 1).otherwise(0)
+    return F.concat((F.floor(x) + F.when(digits == 10**places, 1).otherwise(0)).cast("string"), F.lit("."), F.lpad((digits % 10**places).cast("string"), places, "0"))
+
+
 def abbreviate(n: Column) -> Column:
-    """9999, 12.3k, 1.23M."""
-    return F.when(n < 10_000, n.cast("string")).when(n < 1_000_000, F.format_string("%.1fk", n / 1000.0)).otherwise(F.format_string("%.2fM", n / 1_000_000.0))
+    """9999, 12.3k, 1.23M; null for null."""
+    return F.when(n < 10_000, n.cast("string")).when(n < 1_000_000, F.concat(fixed(n / 1000.0, 1), F.lit("k"))).otherwise(F.concat(fixed(n / 1_000_000.0, 2), F.lit("M")))
 
 
 def minutes_seconds(seconds: Column) -> Column:
-    return F.format_string("%02d:%02d", F.floor(seconds / 60), seconds % 60)
+    """Whole minutes and the seconds left, both towards zero; null for null."""
+    return F.when(seconds.isNotNull(), F.format_string("%02d:%02d", F.call_function("div", seconds, F.lit(60)), seconds % 60))
 
 
 def rfc3339(ts: Column) -> Column:

@@ -64,6 +64,13 @@ def test_formats(spark):
     assert values(spark, ["a/b/c", "x"], T.model_of) == ["b/c", "x"]
 
 
+def test_short_numbers_round_as_c_does(spark):
+    assert values(spark, [10250, 10350, 999950, 1005000, None], T.abbreviate, "long") == ["10.2k", "10.3k", "1000.0k", "1.00M", None]
+    many = [*range(10050, 1_000_000, 100), *range(1_005_000, 30_000_000, 10_000), 12_345_675_000_000, 2**63 - 1]
+    assert values(spark, many, T.abbreviate, "long") == [f"{n / 1e3:.1f}k" if n < 10**6 else f"{n / 1e6:.2f}M" for n in many]
+    assert values(spark, [-65, 2**62 + 1, None], T.minutes_seconds, "long") == ["-1:-5", f"{(2**62 + 1) // 60}:{(2**62 + 1) % 60:02}", None]
+
+
 def test_crate_shapes(spark):
     texts = ['[package]\n[lib]\n', '# [lib]\nx = "[[bin]]"\n', 'x = """\n[workspace]\n"""', "[bin]\n", "not = toml = x", None, "[[bin]]\nname='b'\n[workspace]\n"]
     got = values(spark, texts, lambda c: M.cargo_shape(c))

@@ -39,6 +39,15 @@ def test_against_sql(spark, duck, name):
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in rel.fetchall()), key=repr)
 
 
+def test_number_formats_beyond_the_small_tables(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    c.sql("create table orders as select x as o_orderkey, x as o_custkey, TIMESTAMP '1995-01-01' as o_orderdate from (select unnest(range(9950, 1100000, 50)) as x union all select unnest([-65, 4611686018427387905, NULL]))")
+    c.sql(f"copy orders to '{tmp_path}/orders.parquet'")
+    got = registry.queries()["number_formats"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(c.sql(registry.oracle_sql()["number_formats"]).fetchall(), key=repr)
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["id", "internal", "crossing", "density"] and df.count() > 0
