@@ -8,10 +8,10 @@ keep the shards small and independent of each other.
    anchor form a run. Anchors that occur once in the corpus can't hold a repeated window.
 2. Runs of one anchor with one 128-bit digest of all that their windows cover are of one kind. Of a kind
    with several runs, two go to a shard; neighbouring runs that pair the same two places travel as one
-   passage, so that nothing is sent twice. There a suffix array (Larsson-Sadakane) and common
-   prefixes (Kasai) tell whether their windows start elsewhere; the other runs of a kind follow the two.
+   passage, so that nothing is sent twice. There a suffix array (Larsson-Sadakane), sorted to the
+   width of a window, tells whether their windows start elsewhere; the other runs of a kind follow the two.
 3. Of an anchor with several kinds, one string of each kind goes to the shard of the anchor. What it
-   shares there with no other string is cut off; suffix array and common prefixes tell the repeated windows.
+   shares there with no other string is cut off; a suffix array tells the repeated windows.
 4. An anchor with more kinds than a shard takes is dealt to several shards. Each hands on the sorted keys of
    its distinct windows, cut into as many ranges as the anchor has shards; a range's lists are merged by
    binary search, and the keys found in several shards go back to them.
@@ -403,6 +403,41 @@ def cut_repeats(documents: DataFrame, carry: list[str], params: RepeatParams = R
     return both.mapInArrow(tidy(run), out)
 
 
+def passages(docs: DataFrame, params: RepeatParams) -> DataFrame:
+    """``(id, th, passages)``: how many maximal repeated passages each row of ``docs(id, th, text)`` holds; rows without any are left out.
+
+    Nothing is cut, so no text moves beyond the shards. Texts may be binary and hold broken characters.
+    """
+    found, tables = repeated_spans(docs, params)
+    kind = dict(docs.dtypes)["id"]
+
+    def count(batches):
+        for b in batches:
+            n = [len(_merged({(a, a + x["size"]) for x in spans for a in x["los"]})) for spans in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["id", "th", "passages"])
+
+    grouped = found.groupBy("id", "th").agg(F.collect_list(F.struct("los", "size")).alias("spans"))
+    out = materialise(grouped.mapInArrow(tidy(count), f"id {kind}, th bigint, passages bigint"), "passages")
+    discard(*tables)
+    return out
+
+
+def cut_and_passages(documents: DataFrame, carry: list[str], short: RepeatParams, params: RepeatParams = RepeatParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``cut_repeats``, with ``kept_sha256`` (of ``kept``) in the place of ``kept``, and ``n_passages``: ``n_spans`` and the passages by ``short`` that repeat within what stays.
+
+    The second search reads what the first one left, so long repeats are not sorted twice; it cuts nothing. A short
+    passage whose other copies all lie within removed bytes is therefore not counted.
+    """
+    carry = without_names(carry, ["n_passages", "kept_sha256"])
+    key, th, kept, id_ = (free_name(x, carry, ["id", "passages"]) for x in ("_key", "_th", "_kept", "_id"))
+    source = documents.withColumn(key, F.col(id_col))
+    cut = cut_repeats(source, [*carry, key], params, id_col, text_col).withColumnRenamed("kept", kept)
+    cut = materialise(cut.withColumn("kept_sha256", F.sha2(kept, 256)).withColumn(th, F.xxhash64(kept)), "kept")
+    more = passages(cut.select(F.col(key).alias("id"), F.col(th).alias("th"), F.col(kept).alias("text")).where(F.length("text") > 0), short)
+    both = cut.drop(kept).join(more.select(F.col("id").alias(id_), F.col("th").alias("_other"), "passages"), F.col(key).eqNullSafe(F.col(id_)) & (F.col(th) == F.col("_other")), "left")
+    return both.select(*carry, "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_spans") + F.coalesce("passages", F.lit(0))).alias("n_passages"))
+
+
 def without_repeats(documents: DataFrame, params: RepeatParams = RepeatParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``documents``, repeated passages cut from the text; ``n_chars``, where there is such a column, follows it.
 

@@ -1,4 +1,4 @@
-"""Suffix arrays in numpy: Larsson-Sadakane refinement, Kasai common prefixes, repeated windows.
+"""Suffix arrays in numpy: Larsson-Sadakane refinement, to the end or to the width of a window, and repeated windows.
 
 Strings are arrays of symbols: bytes (uint8), or ranks of words (uint32).
 """
@@ -25,19 +25,21 @@ class Shard:
         self.end = np.repeat((self.start + size).astype(np.int32), size + 1)
 
 
-def suffix_array(shard: Shard) -> np.ndarray:
-    """All suffixes of the shard's strings in order; where one string ends, the earlier string sorts first.
+def _sorted(shard: Shard, depth: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes of the shard's strings, in order by their first ``depth`` symbols (None: by all), and the places
+    among them of those that tie with another: each of these has ``depth`` symbols and shares them all.
 
     Suffixes are first ranked by as many symbols as fit 63 bits. Each refinement sorts only the groups that still
-    tie, by the rank of the suffix that starts ``h`` further on, which doubles the sorted length.
+    tie, by the ranks of the suffixes that start ``h``, ``2 h``, ... further on, which at least doubles the sorted length. A
+    suffix that ends sooner ties with none.
     """
     n = len(shard.text)
     if n == 0:
-        return np.zeros(0, np.int32)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     # places fit 32 bits: a shard is a few megabytes
     places = np.arange(n, dtype=np.int32)
     bits = max(1, int(shard.text.max()).bit_length())
-    h = 63 // bits
+    h = min(63 // bits, depth or 63)
     key = np.zeros(n, np.int64)
     left = shard.end - places
     for k in range(h):
@@ -54,66 +56,39 @@ def suffix_array(shard: Shard) -> np.ndarray:
     rank = np.empty(n, np.int32)
     rank[sa] = np.maximum.accumulate(np.where(head, places, 0))
     tied = places[~(head & np.r_[head[1:], True])]
-    while len(tied):
+    # as many ranks as fit 63 bits make one number, which sorts faster than several keys
+    size = n.bit_length()
+    while len(tied) and (depth is None or h < depth):
         at = sa[tied]
-        # one number of the group's rank and the rank further on sorts faster than two keys
-        both = (rank[at].astype(np.int64) << 32) | rank[at + h]
-        order = np.argsort(both)
+        key = rank[at].astype(np.int64)
+        step = h
+        for k in range(1, 63 // size):
+            step = k * h if depth is None else min(k * h, depth - h)
+            # beyond the end of a string no rank counts, since the one before tells it from all others
+            key = (key << size) | rank[np.minimum(at + step, n - 1)]
+            if depth is not None and step == depth - h:
+                break
+        order = np.argsort(key)
         sa[tied] = at[order]
-        both = both[order]
-        head = np.r_[True, both[1:] != both[:-1]]
+        key = key[order]
+        head = np.r_[True, key[1:] != key[:-1]]
         rank[sa[tied]] = np.maximum.accumulate(np.where(head, tied, 0).astype(np.int32))
         tied = tied[~(head & np.r_[head[1:], True])]
-        h *= 2
-    return sa
-
+        h += step
+    return sa, tied
 
-def common_prefixes(shard: Shard, sa: np.ndarray, cap: int) -> np.ndarray:
-    """Kasai: for each suffix (by place in ``sa``) the length, up to ``cap``, that it shares with the one before.
 
-    Kasai's walk goes through a text from left to right and loses at most one symbol of the common prefix a
-    step. All strings of the shard are walked abreast, one position of each at a time.
-    """
-    n, strings = len(shard.text), len(shard.size)
-    if n == 0:
-        return np.zeros(0, np.int32)
-    # every end mark gets a symbol of its own, so no comparison runs past the end of a string
-    text = shard.text.astype(np.int32)
-    text[shard.start + shard.size] = -1 - np.arange(strings)
-    # end marks sort first, so every suffix that is looked at has one before it
-    before = np.zeros(n, np.int32)
-    before[sa[1:]] = sa[:-1]
-    order = np.argsort(-shard.size, kind="stable")
-    start, size = shard.start[order].astype(np.int32), shard.size[order]
-    held = np.zeros(strings, np.int32)
-    out = np.zeros(n, np.int32)
-    many = np.searchsorted(-size, -np.arange(int(size.max()) + 1), "left")  # strings longer than t
-    for t in range(int(size.max())):
-        m = int(many[t])
-        pos = start[:m] + np.int32(t)
-        prior = before[pos]
-        h = np.maximum(held[:m] - 1, 0)
-        same = text[pos + h] == text[prior + h]
-        h += same
-        live = np.flatnonzero(same & (h < cap))
-        while len(live):
-            at = h[live]
-            live = live[text[pos[live] + at] == text[prior[live] + at]]
-            h[live] += 1
-            live = live[h[live] < cap]
-        held[:m] = h
-        out[pos] = h
-    return out[sa]
+def suffix_array(shard: Shard) -> np.ndarray:
+    """All suffixes of the shard's strings in order; where one string ends, the earlier string sorts first."""
+    return _sorted(shard, None)[0]
 
 
 def repeated_starts(strings: list[np.ndarray], width: int) -> list[np.ndarray]:
     """For each string, which of its window starts (``width`` symbols each) begin a window that also starts elsewhere in the shard."""
     shard = Shard(strings)
-    sa = suffix_array(shard)
-    same = common_prefixes(shard, sa, width) >= width
-    hit = same | np.r_[same[1:], False] if len(same) else same
+    sa, tied = _sorted(shard, width)
     found = np.zeros(len(sa), bool)
-    found[sa[hit]] = True
+    found[sa[tied]] = True
     return [found[a : a + max(0, n - width + 1)] for a, n in zip(shard.start, shard.size, strict=True)]
 
 

@@ -465,6 +465,49 @@ def test_repeats_of_words(spark, docs, width, gram, runs):
     assert Counter((r["doc_id"], r["text"] or "") for r in got) == cut_words_by_force([(r[0], r[1]) for r in corpus()], width)
 
 
+def passages_by_force(rows, width, words):
+    """``n_spans`` of a cut by bytes and, with it, the maximal runs of repeated words in the bytes that stay."""
+    data = [(r[0], (r[1] or "").encode()) for r in rows]
+    seen = Counter(b[k : k + width] for _, b in data for k in range(len(b) - width + 1))
+    left = []
+    for i, b in data:
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - width + 1):
+            gone[k : k + width] |= seen[b[k : k + width]] > 1
+        left.append((i, int(np.sum(np.diff(np.r_[0, gone.astype(int)]) == 1)), re.findall(rb"[^\x20\x09-\x0D]+", np.frombuffer(b, np.uint8)[~gone].tobytes())))
+    seen = Counter(tuple(w[k : k + words]) for _, _, w in left for k in range(len(w) - words + 1))
+    out = Counter()
+    for i, spans, w in left:
+        hit = np.zeros(len(w), bool)
+        for k in range(len(w) - words + 1):
+            hit[k : k + words] |= seen[tuple(w[k : k + words])] > 1
+        out[i, spans, spans + int(np.sum(np.diff(np.r_[0, hit.astype(int)]) == 1))] += 1
+    return out
+
+
+@pytest.mark.parametrize(("width", "gram", "words", "word_gram"), [(400, 64, 50, 8), (60, 16, 5, 2)])
+def test_passages_in_what_stays(spark, docs, empty, width, gram, words, word_gram):
+    p, short = repeats.RepeatParams(width=width, gram=gram), repeats.RepeatParams(width=words, gram=word_gram, unit="word")
+    got = repeats.cut_and_passages(docs, ["doc_id"], short, p).collect()
+    assert Counter((r["doc_id"], r["n_spans"], r["n_passages"]) for r in got) == passages_by_force(corpus(), width, words)
+    plain = repeats.cut_repeats(docs, ["doc_id"], p).collect()
+    assert Counter(r[:5] for r in got) == Counter((*r[:4], hashlib.sha256(r["kept"]).hexdigest()) for r in plain)
+    assert repeats.cut_and_passages(empty, ["doc_id"], short, p).count() == 0
+
+
+def test_short_passages_are_told(spark, tmp_path):
+    """Passages of over 50 words under 400 bytes: op10 removes nothing of them by its contract, and tells of them."""
+    r = random.Random(5)
+    words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    shared, once = words(55), words(55)
+    assert len(shared) < 400
+    texts = [f"{words(80)} {shared} {words(70)}", f"{words(30)}\n{shared}\n{words(90)}", f"{words(60)} {once} {words(60)}", shared, words(40), "", None]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op10_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert [got[i]["n_passages"] for i in range(7)] == [1, 1, 0, 1, 0, 0, 0]
+    assert all(x["n_removed"] == 0 and x["kept_sha256"] == hashlib.sha256((texts[i] or "").encode()).hexdigest() for i, x in got.items())
+
+
 def test_elias_fano():
     r = np.random.default_rng(0)
     for n, top in [(0, 10), (1, 1), (1000, 1000), (1000, 5), (5000, 1 << 40), (3000, 1 << 20)]:
