@@ -215,7 +215,7 @@ def repeated_spans(docs: DataFrame, p: RepeatParams) -> tuple[DataFrame, list[Da
     pair_shards = max(1, -(-int(both or 0) * 3 * symbol // p.shard_bytes))
 
     # what each document hands to the shards: its runs that stand for a kind, and those that prove that a kind repeats
-    alone = kinds.join(several, "f").select(F.col("one.*"), F.lit(0).alias("role"), "f", "w1", "w2", "n", F.ceil(F.col("kinds") / p.shard_runs).alias("subs"), F.lit(None).cast("long").alias("other"), F.lit(None).cast("long").alias("other_lo"))
+    alone = kinds.join(several, "f").select(F.col("one.*"), F.lit(0).alias("role"), "f", "w1", "w2", "n", F.ceil(F.col("kinds") / p.shard_runs).alias("subs"), F.lit(0).cast("long").alias("other"), F.lit(0).cast("long").alias("other_lo"))
     twice = kinds.where("n > 1")
 
     def proof(own: str, other: str, role: int) -> DataFrame:
@@ -228,9 +228,13 @@ def repeated_spans(docs: DataFrame, p: RepeatParams) -> tuple[DataFrame, list[Da
 
     def cut(batches):
         for b in batches:
+            symbols, off = symbols_of(b.column(2), unit)
+            ends = np.r_[0, np.cumsum(pc.list_value_length(b.column(3)).to_numpy(zero_copy_only=False))]
+            every = {name: x.to_numpy(zero_copy_only=False) for name, x in zip(fields, b.column(3).flatten().flatten(), strict=True)}
+            held, size = [], 0
             for k in range(b.num_rows):
-                sym, _ = symbols_of(b.column(2).slice(k, 1), unit)
-                c = {name: x.to_numpy(zero_copy_only=False) for name, x in zip(fields, b.column(3).slice(k, 1).flatten().flatten(), strict=True)}
+                sym = symbols[off[k] : off[k + 1]]
+                c = {name: x[ends[k] : ends[k + 1]] for name, x in every.items()}
                 end = c["lo"] + c["size"]
                 single = np.flatnonzero(c["role"] == 0)
                 pair = np.flatnonzero(c["role"] > 0)
@@ -239,11 +243,17 @@ def repeated_spans(docs: DataFrame, p: RepeatParams) -> tuple[DataFrame, list[Da
                 head, tail = _passages(c["role"][pair], c["other"][pair], shift[pair], c["lo"][pair], end[pair] - width + 1, p.passage)
                 first, last = np.r_[single, pair[head]].astype(np.int64), np.r_[single, pair[tail - 1]].astype(np.int64)
                 members = [[]] * len(single) + [pair[a:z] if c["role"][pair[a]] == 1 else [] for a, z in zip(head, tail, strict=True)]
-                m = len(first)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b.column(0)[k]] * m, b.schema.field(0).type), pa.array([b.column(1)[k].as_py()] * m, pa.int64()), *(pa.array(c[name][first], pa.int64()) for name in ("role", "f", "w1", "n", "subs", "lo", "rel")), pa.array([sym[a:z].tobytes() for a, z in zip(c["lo"][first], end[last], strict=True)], pa.binary()), *(pa.array([value[x].tolist() if len(x) else [] for x in members], pa.list_(pa.int64())) for value in (c["f"], c["w1"], c["w2"], c["lo"], end))],
-                    names=["id", "th", "role", "f", "w1", "n", "subs", "lo", "rel", "symbols", "fs", "w1s", "w2s", "los", "ends"],
-                )
+                parts = [sym[a:z].tobytes() for a, z in zip(c["lo"][first], end[last], strict=True)]
+                held.append((k, parts, *(c[name][first] for name in ("role", "f", "w1", "n", "subs", "lo", "rel")), *([value[x].tolist() if len(x) else [] for x in members] for value in (c["f"], c["w1"], c["w2"], c["lo"], end))))
+                size += sum(map(len, parts))
+                if size >= p.shard_bytes or k + 1 == b.num_rows:
+                    rows, parts, *columns = zip(*held, strict=True)
+                    pick = pa.array(np.repeat(np.array(rows), [len(x) for x in parts]))
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).take(pick), b.column(1).take(pick), *(pa.array(np.concatenate(x), pa.int64()) for x in columns[:7]), pa.array([x for part in parts for x in part], pa.binary()), *(pa.array([x for part in column for x in part], pa.list_(pa.int64())) for column in columns[7:])],
+                        names=["id", "th", "role", "f", "w1", "n", "subs", "lo", "rel", "symbols", "fs", "w1s", "w2s", "los", "ends"],
+                    )
+                    held, size = [], 0
 
     lists_of = ", ".join(f"{x} array<bigint>" for x in ("fs", "w1s", "w2s", "los", "ends"))
     strings = joined.mapInArrow(tidy(cut), f"id {kind}, th bigint, role bigint, f bigint, w1 bigint, n bigint, subs bigint, lo bigint, rel bigint, symbols binary, {lists_of}")
